@@ -249,7 +249,7 @@ def running_metrics(
         "sum_correct": F.col("num_correct"),
         "sum_formatted": F.col("num_formatted"),
     }
-    run = running_sums(rows, runs, order, sums, **ranges)
+    run = running_sums(rows, runs, [order], sums, **ranges)
     asked = F.col("idx") * val_n
     return run.select(
         *runs,

@@ -106,7 +106,7 @@ def last_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFram
 
 def with_ordinal(df: DataFrame, order: str, name: str = "ordinal", **ranges) -> DataFrame:
     """Number all rows from 0 in ``order``."""
-    return ranks(df, [], order, name, **ranges)
+    return ranks(df, [], [order], name, **ranges)
 
 
 def pending(problems: DataFrame, graded: DataFrame, keys: list[str]) -> DataFrame:

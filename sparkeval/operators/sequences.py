@@ -64,7 +64,7 @@ def assign_batch(
     df: DataFrame, size: int, order: str, name: str = "batch_id", **ranges
 ) -> DataFrame:
     """Consecutive batches of ``size`` rows in ``order`` (numeric, unique), with the place inside."""
-    numbered = ranks(df, [], order, "_rank", **ranges)
+    numbered = ranks(df, [], [order], "_rank", **ranges)
     return numbered.select(
         *df.columns,
         F.floor(F.col("_rank") / size).cast("long").alias(name),

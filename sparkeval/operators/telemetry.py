@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkeval.plans.ordering import RANGE, ROWS_PER_RANGE, ranks, with_ranges
+from sparkeval.plans.ordering import RANGE, ROWS_PER_RANGE, position_of, ranks, with_ranges
 from sparkeval.plans.skew import attach
 
 
@@ -87,7 +87,7 @@ def ema(
     if decay == 0:
         return df.withColumn("ema", x)
     block = math.ceil(600 / -math.log(decay)) if decay < 1 else 2**62
-    ranged = with_ranges(df, order[0], rows_per_range)
+    ranged, _ = with_ranges(df, position_of(df, order), rows_per_range)
     here = Window.partitionBy(*keys, RANGE).orderBy(*order)
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = here.rowsBetween(Window.unboundedPreceding, -1)
@@ -158,7 +158,7 @@ def generation_log(
 ) -> DataFrame:
     """Records (step, prompt, completion) with the flush they belong to and their place in it."""
     flushed = df.withColumn("flush_step", flush_step(step, every))
-    return ranks(flushed, ["flush_step"], order, "place", **ranges)
+    return ranks(flushed, ["flush_step"], [order], "place", **ranges)
 
 
 def generation_log_files(

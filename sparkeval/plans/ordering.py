@@ -18,51 +18,58 @@ MAX_RANGES = 4096
 RANGE = "_range"
 
 
-def with_ranges(df: DataFrame, order: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Add ``_range``: the number of the order range a row falls into, monotone in ``order``.
+def with_ranges(
+    df: DataFrame, position: Column, rows_per_range: int = ROWS_PER_RANGE
+) -> tuple[DataFrame, int]:
+    """Add ``_range``, the number of the range that ``position`` falls into; also the number of ranges.
 
     The cut points are approximate quantiles, at most ``MAX_RANGES`` numbers, fixed in the plan: which
-    rows share a range can only change the balance, never the result. Equal values share a range.
+    rows share a range can only change the balance, never the result. Equal positions share a range.
     """
-    position = F.col(order)
-    if dict(df.dtypes)[order].startswith("timestamp"):
-        position = F.unix_micros(position.cast("timestamp"))
     located = df.withColumn("_position", position.cast("double"))
-    rows = located.count()
-    ranges = min(MAX_RANGES, math.ceil(rows / rows_per_range))
+    ranges = min(MAX_RANGES, math.ceil(df.count() / rows_per_range))
     if ranges <= 1:
-        return df.withColumn(RANGE, F.lit(0))
+        return df.withColumn(RANGE, F.lit(0)), 1
     probabilities = [i / ranges for i in range(1, ranges)]
     cuts = located.stat.approxQuantile("_position", probabilities, 0.1 / ranges)
     edges = [-math.inf, *sorted(set(cuts)), math.inf]
     cutter = Bucketizer(
         splits=edges, inputCol="_position", outputCol="_raw_range", handleInvalid="keep"
     )
-    return (
-        cutter.transform(located)
-        .withColumn(RANGE, F.col("_raw_range").cast("int"))
-        .drop("_position", "_raw_range")
-    )
+    ranged = cutter.transform(located).withColumn(RANGE, F.col("_raw_range").cast("int"))
+    return ranged.drop("_position", "_raw_range"), len(edges) - 1
+
+
+def position_of(df: DataFrame, order: list[str]) -> Column:
+    """The first order column as a number."""
+    if dict(df.dtypes)[order[0]].startswith("timestamp"):
+        return F.unix_micros(F.col(order[0]).cast("timestamp"))
+    return F.col(order[0])
 
 
 def running_sums(
     df: DataFrame,
     keys: list[str],
-    order: str,
+    order: list[str],
     sums: dict[str, Column],
+    position: Column | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Add, per entry of ``sums``, its total over the rows up to and including this one.
 
-    ``order`` is numeric or a timestamp, and unique within ``keys``.
+    ``order`` is unique within ``keys``. ``position`` is a number that never falls along ``order``; by
+    default its first column, a number or a timestamp. Few rows should share a position.
     """
-    ranged = with_ranges(df, order, rows_per_range)
-    here = Window.partitionBy(*keys, RANGE).orderBy(order).rowsBetween(
+    place = position_of(df, order) if position is None else position
+    ranged, ranges = with_ranges(df, place, rows_per_range)
+    here = Window.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    earlier = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(
-        RANGE
-    ).rowsBetween(Window.unboundedPreceding, -1)
+    if ranges == 1:
+        return ranged.select(*df.columns, *[F.sum(c).over(here).alias(n) for n, c in sums.items()])
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(RANGE).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
     totals = ranged.groupBy(*keys, RANGE).agg(*[F.sum(c).alias("_t_" + n) for n, c in sums.items()])
     before = totals.select(
         *keys,
@@ -78,12 +85,8 @@ def running_sums(
 
 
 def ranks(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    name: str = "rank",
-    rows_per_range: int = ROWS_PER_RANGE,
+    df: DataFrame, keys: list[str], order: list[str], name: str = "rank", **ranges
 ) -> DataFrame:
-    """Add the 0-based position of each row within ``keys`` in ``order``."""
-    counted = running_sums(df, keys, order, {name: F.lit(1)}, rows_per_range)
+    """Add the 0-based place of each row within ``keys`` in ``order``."""
+    counted = running_sums(df, keys, order, {name: F.lit(1)}, **ranges)
     return counted.withColumn(name, F.col(name) - 1)
