@@ -19,6 +19,7 @@ B = Bindings()
 SERIES = ["user_id", "event_type"]
 ORDER = ["ts", "event_id"]
 DECAY = 0.9
+TIE = 3e-10  # averages of values with two decimals often end in an exact 5: round those upwards
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -105,14 +106,14 @@ EMA = f"""WITH numbered AS (
   SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events)
 SELECT a.event_id, a.user_id, a.event_type,
   round(sum(b.value * CASE WHEN b.i = 1 THEN {DECAY} ** (a.i - 1)
-                           ELSE (1 - {DECAY}) * {DECAY} ** (a.i - b.i) END), 4) AS ema
+                           ELSE (1 - {DECAY}) * {DECAY} ** (a.i - b.i) END) + {TIE}, 6) AS ema
 FROM numbered a JOIN numbered b
   ON b.user_id = a.user_id AND b.event_type = a.event_type AND b.i <= a.i
 GROUP BY a.event_id, a.user_id, a.event_type"""
 
 
 def ema_columns(df: DataFrame) -> DataFrame:
-    return df.select("event_id", *SERIES, F.round("ema", 4).alias("ema"))
+    return df.select("event_id", *SERIES, F.round(F.col("ema") + TIE, 6).alias("ema"))
 
 
 @B.add("ema_series", EMA)

@@ -92,48 +92,63 @@ def fallback_equal(predicted: ColumnOrName, gold: ColumnOrName) -> Column:
     return F.coalesce(plain(predicted) == plain(gold), F.lit(False))
 
 
-def canonical_answer(answer: ColumnOrName) -> Column:
-    """Drop what does not change the value: dollars, spaces, LaTeX spacing, sizing and text wrappers,
-    thousands separators."""
-    text = F.translate(strip_ws(answer), "$", "")
-    text = F.regexp_replace(text, r"\\(?:left|right)(?![a-zA-Z])|\\[,;:! ]|\s", "")
+def _plain_latex(text: Column) -> Column:
+    """Without sizing, spacing and text commands; simple fractions as a/b."""
+    text = F.regexp_replace(text, r"\\(?:left|right)(?![a-zA-Z])|\\[,;:!]", "")
     text = F.regexp_replace(text, r"\\[dt]frac(?![a-zA-Z])", r"\\frac")
     text = F.regexp_replace(text, r"^\\(?:text|textbf|mathrm|mathbf)\{([^{}]*)\}$", "$1")
     text = F.regexp_replace(text, r"^([+-]?)\\frac\{(\d+)\}\{(\d+)\}$", "$1$2/$3")
-    text = F.regexp_replace(text, r"^\\frac\{([+-]\d+)\}\{(\d+)\}$", "$1/$2")
-    grouped = F.rlike(text, F.lit(r"^[+-]?\d{1,3}(?:,\d{3})+(?:\.\d+)?(?:\\?%)?$"))
-    return F.when(grouped, F.translate(text, ",", "")).otherwise(text)
+    return F.regexp_replace(text, r"^\\frac\{([+-]\d+)\}\{(\d+)\}$", "$1/$2")
+
+
+def canonical_answer(answer: ColumnOrName) -> Column:
+    """Drop what does not change the value: dollars, spaces, LaTeX spacing, sizing and text wrappers,
+    thousands separators."""
+    grouped = F.lit(r"^[+-]?\d{1,3}(?:,\d{3})+(?:\.\d+)?(?:\\?%)?$")
+
+    def plain(text: Column) -> Column:
+        return F.when(F.contains(text, F.lit("\\")), _plain_latex(text)).otherwise(text)
+
+    def ungrouped(text: Column) -> Column:
+        has_groups = F.contains(text, F.lit(",")) & F.rlike(text, grouped)
+        return F.when(has_groups, F.translate(text, ",", "")).otherwise(text)
+
+    bare = F.translate(F.replace(as_column(answer), F.lit("\\ "), F.lit("")), "$" + WHITESPACE, "")
+    return let(let(bare, plain), ungrouped)
 
 
 # 16 digits a side keep the cross product below within 34 digits, inside DECIMAL(38).
-_RATIO = r"^([+-]?\d{1,16})/(\d{1,16})$"
-_DECIMAL = r"^([+-]?)(\d*)\.?(\d*?)(\\?%)?$"
+_RATIO = r"^[+-]?\d{1,16}/\d{0,15}[1-9]\d{0,15}$"
+_DECIMAL = r"^[+-]?(?=\.?\d)\d*\.?\d*(?:\\?%)?$"
 _LONGEST = 16
 
 
 def rational(canonical: ColumnOrName) -> Column:
     """``struct<n, d>`` with value n / d for integers, decimals, percentages and a/b; else null."""
     text = as_column(canonical)
-    bottom = F.regexp_extract(text, _RATIO, 2)
-    is_ratio = F.rlike(text, F.lit(_RATIO)) & ~F.rlike(bottom, F.lit("^0*$"))
-    whole = F.regexp_extract(text, _DECIMAL, 2)
-    fraction = F.regexp_extract(text, _DECIMAL, 3)
-    percent = F.regexp_extract(text, _DECIMAL, 4) != ""
-    digits = F.concat(whole, fraction)
-    is_decimal = F.rlike(text, F.lit(_DECIMAL)) & F.length(digits).between(1, _LONGEST)
-    scale = F.length(fraction) + F.when(percent, 2).otherwise(0)
-
-    def number(value: Column) -> Column:
-        return value.try_cast("decimal(18,0)")
-
-    sign = F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    top = F.regexp_replace(F.regexp_extract(text, _RATIO, 1), r"^\+", "")
-    return F.when(is_ratio, F.struct(number(top).alias("n"), number(bottom).alias("d"))).when(
-        is_decimal,
-        F.struct(
-            number(F.concat(sign, digits)).alias("n"),
-            number(F.concat(F.lit("1"), F.repeat(F.lit("0"), scale))).alias("d"),
-        ),
+
+    def fraction_of(top: Column, bottom: Column) -> Column:
+        n, d = top.try_cast("decimal(18,0)"), bottom.try_cast("decimal(18,0)")
+        return F.struct(n.alias("n"), d.alias("d"))
+
+    def from_ratio(t: Column) -> Column:
+        top, bottom = F.substring_index(t, "/", 1), F.substring_index(t, "/", -1)
+        fits = (F.length(bottom) <= _LONGEST) & F.rlike(t, F.lit(_RATIO))
+        return F.when(fits, fraction_of(top, bottom))
+
+    def from_decimal(t: Column) -> Column:
+        number = F.translate(t, "\\%", "")
+        decimals = F.when(
+            F.contains(number, F.lit(".")), F.length(F.substring_index(number, ".", -1))
+        ).otherwise(0)
+        scale = decimals + F.when(F.endswith(t, F.lit("%")), 2).otherwise(0)
+        digits = F.translate(number, ".", "")
+        fits = (F.length(F.translate(digits, "+-", "")) <= _LONGEST) & F.rlike(t, F.lit(_DECIMAL))
+        unit = F.concat(F.lit("1"), F.repeat(F.lit("0"), scale))
+        return F.when(fits, fraction_of(digits, unit))
+
+    return let(
+        text, lambda t: F.when(F.contains(t, F.lit("/")), from_ratio(t)).otherwise(from_decimal(t))
     )
 
 
@@ -143,11 +158,21 @@ def equivalent(predicted: ColumnOrName, gold: ColumnOrName) -> Column:
     Covers integers, decimals, percentages, ``a/b`` and ``\\frac{a}{b}``; symbolic algebra is not
     attempted. False where a side is null.
     """
-    p = canonical_answer(as_column(predicted).cast("string"))
-    g = canonical_answer(as_column(gold).cast("string"))
-    pn, gn = rational(p), rational(g)
-    same_value = pn["n"] * gn["d"] == gn["n"] * pn["d"]
-    return F.coalesce((p == g) | same_value, F.lit(False))
+    predicted, gold = as_column(predicted).cast("string"), as_column(gold).cast("string")
+    texts = F.struct(canonical_answer(predicted).alias("p"), canonical_answer(gold).alias("g"))
+    digit = F.lit("[0-9]")
+
+    def same_value(t: Column) -> Column:
+        values = F.struct(rational(t["p"]).alias("p"), rational(t["g"]).alias("g"))
+        return let(values, lambda v: v["p"]["n"] * v["g"]["d"] == v["g"]["n"] * v["p"]["d"])
+
+    def compare(t: Column) -> Column:
+        numeric = F.rlike(t["p"], digit) & F.rlike(t["g"], digit)
+        return F.when(t["p"] == t["g"], True).when(numeric, same_value(t)).otherwise(False)
+
+    known = predicted.isNotNull() & gold.isNotNull()
+    equal = F.when(~known, False).when(predicted == gold, True).otherwise(let(texts, compare))
+    return F.coalesce(equal, F.lit(False))
 
 
 def stored_prediction(predicted: ColumnOrName) -> Column:

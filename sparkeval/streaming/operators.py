@@ -135,7 +135,7 @@ def stream_last_n(
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     salted = stream.withColumn("_share", F.pmod(F.xxhash64(*order), F.lit(shares)).cast("int"))
     kept = salted.groupBy(*keys, "_share").transformWithStateInPandas(
-        Newest(n, order, salted.schema), salted.schema, "Update", "None"
+        Newest(n, order, stream.schema), stream.schema, "Update", "None"
     )
     return start(kept, path, changes_to(path), available_now=available_now)
 
@@ -145,7 +145,7 @@ def read_last_n(
 ) -> DataFrame:
     """A row that a share held before newer ones arrived cannot be among the newest ``n`` any more
     unless it still belongs to them, so all versions may stand."""
-    rows = spark.read.parquet(f"{path}/changes").drop("batch", "_share").distinct()
+    rows = spark.read.parquet(f"{path}/changes").drop("batch").distinct()
     return last_n(rows, keys, order, n)
 
 
