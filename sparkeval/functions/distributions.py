@@ -20,15 +20,17 @@ def temperature_scale(logits: ColumnOrName, temperature: float = 1.0) -> Column:
     return F.transform(as_column(logits), lambda x: x.cast("double") / F.lit(float(temperature)))
 
 
+def _normalizer(z: Column) -> Column:
+    """log(sum(exp(z))), shifted by the maximum."""
+    return let(
+        F.array_max(z),
+        lambda top: top + F.log(F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top))),
+    )
+
+
 def log_softmax(logits: ColumnOrName, temperature: float = 1.0) -> Column:
     def shifted(z: Column) -> Column:
-        return let(
-            F.array_max(z),
-            lambda top: let(
-                top + F.log(F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top))),
-                lambda norm: F.transform(z, lambda x: x - norm),
-            ),
-        )
+        return let(_normalizer(z), lambda norm: F.transform(z, lambda x: x - norm))
 
     return let(temperature_scale(logits, temperature), shifted)
 
@@ -66,6 +68,24 @@ def pointwise(log_s: Column, log_t: Column, beta: float) -> Column:
     return beta * F.exp(log_t) * (log_t - log_m) + (1 - beta) * F.exp(log_s) * (log_s - log_m)
 
 
+def _log_pair(
+    student: Column, teacher: Column, temperature: float, top_k: int | None, are_probs: bool
+) -> Column:
+    """Struct of both sides' log-probabilities over the entries that count."""
+    if are_probs:
+        return F.struct(log_probs(student).alias("s"), log_probs(teacher).alias("t"))
+
+    def normalized(s: Column, t: Column) -> Column:
+        return F.struct(
+            log_softmax(s, temperature).alias("s"), log_softmax(t, temperature).alias("t")
+        )
+
+    if top_k is None or top_k <= 0:
+        return normalized(student, teacher)
+    kept = F.struct(student.alias("s"), teacher.alias("t"), top_k_ids(teacher, top_k).alias("k"))
+    return let(kept, lambda r: normalized(gather(r["s"], r["k"]), gather(r["t"], r["k"])))
+
+
 def divergence_terms(
     student: ColumnOrName,
     teacher: ColumnOrName,
@@ -78,23 +98,8 @@ def divergence_terms(
 
     Probabilities as input ignore temperature and top-k.
     """
-    student, teacher = as_column(student), as_column(teacher)
-    if are_probs:
-        pair = F.struct(log_probs(student).alias("s"), log_probs(teacher).alias("t"))
-    elif top_k is not None and top_k > 0:
-        kept = F.struct(student.alias("s"), teacher.alias("t"), top_k_ids(teacher, top_k).alias("k"))
-        pair = let(
-            kept,
-            lambda r: F.struct(
-                log_softmax(gather(r["s"], r["k"]), temperature).alias("s"),
-                log_softmax(gather(r["t"], r["k"]), temperature).alias("t"),
-            ),
-        )
-    else:
-        pair = F.struct(
-            log_softmax(student, temperature).alias("s"), log_softmax(teacher, temperature).alias("t")
-        )
-    return let(pair, lambda p: F.zip_with(p["s"], p["t"], lambda s, t: pointwise(s, t, beta)))
+    logs = _log_pair(as_column(student), as_column(teacher), temperature, top_k, are_probs)
+    return let(logs, lambda p: F.zip_with(p["s"], p["t"], lambda s, t: pointwise(s, t, beta)))
 
 
 def divergence(
@@ -107,9 +112,32 @@ def divergence(
 ) -> Column:
     """Generalized Jensen-Shannon divergence of one position, summed over the vocabulary.
 
-    ``beta=0`` is KL(teacher || student), ``beta=1`` is KL(student || teacher).
+    ``beta=0`` is KL(teacher || student), ``beta=1`` is KL(student || teacher). In between the sum is
+    taken as the difference of entropies, which needs half the exponentials of the sum of the terms.
     """
-    return _total(divergence_terms(student, teacher, beta, temperature, top_k, are_probs))
+    if beta in (0, 1):
+        return _total(divergence_terms(student, teacher, beta, temperature, top_k, are_probs))
+    logs = _log_pair(as_column(student), as_column(teacher), temperature, top_k, are_probs)
+
+    def product(x: Column, y: Column) -> Column:
+        return x * y
+
+    def weight_log_weight(x: Column, y: Column) -> Column:
+        return (x + y) * F.coalesce(F.log(x + y), F.lit(0.0))
+
+    def entropies(p: Column) -> Column:
+        weighted = F.struct(
+            F.transform(p["t"], lambda v: beta * F.exp(v)).alias("t"),
+            F.transform(p["s"], lambda v: (1 - beta) * F.exp(v)).alias("s"),
+        )
+        return let(
+            weighted,
+            lambda w: _total(F.zip_with(w["t"], p["t"], product))
+            + _total(F.zip_with(w["s"], p["s"], product))
+            - _total(F.zip_with(w["t"], w["s"], weight_log_weight)),
+        )
+
+    return let(logs, entropies)
 
 
 def sampled_logprob(
@@ -118,11 +146,6 @@ def sampled_logprob(
     """Log-probability of one token; only the normaliser and that entry are computed."""
 
     def pick(z: Column) -> Column:
-        return let(
-            F.array_max(z),
-            lambda top: F.get(z, as_column(token))
-            - top
-            - F.log(F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top))),
-        )
+        return F.get(z, as_column(token)) - _normalizer(z)
 
     return let(temperature_scale(logits, temperature), pick)
