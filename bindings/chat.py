@@ -13,7 +13,7 @@ from sparkeval.operators.chat import exchanges, render_chat
 from sparkeval.operators.selection import dedup_first, last_n, sample_exact
 from sparkeval.operators.sequences import align_next, build_vocab, encode
 from sparkeval.operators.telemetry import generation_log, generation_log_files
-from sparkeval.plans.session import materialize, work_dir
+from sparkeval.plans.session import materialize, spread, work_dir
 from sparkeval.sources.sinks import write_generation_log
 
 B = Bindings()
@@ -35,7 +35,7 @@ sequences AS (
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations")
+    turns = spread(table(spark, d, "conversations"), "conv_id", "turn")
     return exchanges(turns).withColumn("seq", F.col("conv_id") * TURNS + F.col("turn"))
 
 

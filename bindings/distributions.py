@@ -12,7 +12,7 @@ from bindings.tables import rounded, table
 from sparkeval.functions import distributions as D
 from sparkeval.functions.sequences import IGNORE, mask_pads
 from sparkeval.operators import distributions as O
-from sparkeval.plans.session import materialize
+from sparkeval.plans.session import materialize, spread
 
 B = Bindings()
 T = 0.1
@@ -23,7 +23,7 @@ KEYS = ["seq_id", "pos"]
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     """(vec_id, seq_id, pos, label, token_id, logits): eight positions to a sequence."""
     token = F.pmod("vec_id", F.lit(64)).cast("int")
-    return table(spark, d, "embeddings").select(
+    return spread(table(spark, d, "embeddings"), "vec_id").select(
         "vec_id",
         F.floor(F.col("vec_id") / 8).alias("seq_id"),
         F.pmod("vec_id", F.lit(8)).cast("int").alias("pos"),

@@ -27,7 +27,7 @@ from sparkeval.functions.answers import (
 )
 from sparkeval.operators import grading
 from sparkeval.operators.selection import pending
-from sparkeval.plans.session import materialize, work_dir
+from sparkeval.plans.session import materialize, spread, work_dir
 from sparkeval.registry import apply_rewards
 from sparkeval.sources.sinks import run_key, training_run_name, write_report
 
@@ -189,7 +189,8 @@ def grade_equiv(spark, d):
         .when(line == 6, text("\\dfrac{", cents * 10, "}{1000}"))
         .otherwise(text("+", cents, ".0%"))
     )
-    return table(spark, d, "lineitem").select(
+    lines = spread(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+    return lines.select(
         "l_orderkey",
         "l_linenumber",
         spelled.alias("predicted"),
@@ -246,12 +247,15 @@ def pass_at_n(spark, d):
   (SELECT round(count_if(correct) / count(*)::DOUBLE * 100, 6) FROM graded) AS observed_pct FROM totals""",
 )
 def avg_at_n(spark, d):
-    rows, asked = scored(spark, d), problems(spark, d)
+    """Both denominators: the samples asked for, and the samples there are."""
+    rows, asked = materialize(scored(spark, d), "scored"), problems(spark, d)
     observed = grading.summary(rows, asked, VAL_N, "observed").select(
         F.round("average_at_n_pct", 6).alias("observed_pct")
     )
-    declared = summary(spark, d).select("total_solutions", "average_at_n", "average_at_n_pct")
-    return declared.withColumn("observed_pct", observed.scalar())
+    declared = grading.summary(rows, asked, VAL_N).withColumns(rounded("average_at_n_pct"))
+    return declared.select("total_solutions", "average_at_n", "average_at_n_pct").withColumn(
+        "observed_pct", observed.scalar()
+    )
 
 
 @B.add(
@@ -388,10 +392,10 @@ def explode_outputs(spark, d):
     "resume_anti_join",
     f"""WITH {PROBLEMS_SQL}
 SELECT problem_id, ord, problem, ground_truth FROM problems
-WHERE problem_id NOT IN (SELECT CAST(l_orderkey AS VARCHAR) FROM lineitem)""",
+WHERE problem_id NOT IN (SELECT l_orderkey FROM lineitem)""",
 )
 def resume_anti_join(spark, d):
-    done = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("problem_id"))
+    done = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("problem_id"))
     return pending(problems(spark, d), done, ["problem_id"])
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindings import Bindings
-from bindings.tables import encoded_sql, ids_sql, joined_ids, table, vocab_sql
-from sparkeval.functions.sequences import attention_mask, pad_to, truncate
+from bindings.tables import documents, encoded_sql, ids_sql, joined_ids, table, vocab_sql
+from sparkeval.functions.sequences import attention_mask, pad_to, tokens, truncate
 from sparkeval.operators.sequences import (
     assign_batch,
     batch_lengths,
@@ -36,11 +36,11 @@ collated AS (SELECT *, max(length) OVER (PARTITION BY batch_id) AS max_len FROM
 
 
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return materialize(build_vocab(table(spark, d, "documents"), "text"), "vocab")
+    return materialize(build_vocab(documents(spark, d), "text"), "vocab")
 
 
 def encoded(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = documents(spark, d).select("doc_id", "text")
     return encode(docs, "doc_id", "text", vocabulary(spark, d))
 
 
@@ -51,7 +51,7 @@ def batches(spark: SparkSession, d: str) -> DataFrame:
 
 @B.add("vocab_build", f"WITH {VOCAB} SELECT token, n, id FROM vocab")
 def vocab_build(spark, d):
-    return build_vocab(table(spark, d, "documents"), "text")
+    return build_vocab(documents(spark, d), "text")
 
 
 @B.add("encode_tokens", f"{ENCODED} SELECT doc_id, {ids_sql('ids')} AS ids FROM encoded")
@@ -72,7 +72,9 @@ def truncated(spark, d):
     f"{ENCODED} SELECT doc_id, CAST(least(len(ids), {MAX_LENGTH}) AS INTEGER) AS length FROM encoded",
 )
 def seq_len(spark, d):
-    return encoded(spark, d).select("doc_id", F.size(truncate("ids", MAX_LENGTH)).alias("length"))
+    """Ids are one to a word, so lengths need no vocabulary."""
+    words = truncate(tokens("text"), MAX_LENGTH)
+    return documents(spark, d).select("doc_id", F.size(words).alias("length"))
 
 
 @B.add("assign_batch", f"{BATCHED} SELECT doc_id, batch_id, batch_pos FROM batched")
@@ -86,7 +88,8 @@ def assigned(spark, d):
 FROM batched GROUP BY batch_id""",
 )
 def batch_max_len(spark, d):
-    return batch_lengths(batches(spark, d), "ids")
+    words = documents(spark, d).select("doc_id", tokens("text").alias("ids"))
+    return batch_lengths(assign_batch(words, BATCH, "doc_id"), "ids")
 
 
 @B.add(
@@ -143,5 +146,6 @@ def masks(spark, d):
 FROM encoded""",
 )
 def gen_stats(spark, d):
-    stats = generation_stats(encoded(spark, d), "ids", 12.5)
+    words = documents(spark, d).select(tokens("text").alias("ids"))
+    stats = generation_stats(words, "ids", 12.5)
     return stats.withColumns({c: F.round(c, 6) for c in ("avg_length", "tokens_per_sec")})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkeval.plans.ordering import ranks
+from sparkeval.plans.session import spread
 from sparkeval.sources.tables import read_corpus
 
 VAL_N = 4
@@ -27,7 +28,7 @@ def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.col("o_orderstatus")
     gold = F.when(status == "P", "A").when(status == "F", "R").otherwise("N")
     return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").cast("string").alias("problem_id"),
+        F.col("o_orderkey").alias("problem_id"),
         F.col("o_orderkey").alias("ord"),
         F.concat(
             F.lit("Order "),
@@ -60,7 +61,7 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["l_orderkey", *order, "l_returnflag", "l_linestatus", "l_tax", "l_discount"],
     )
     named = lines.select(
-        F.col("l_orderkey").cast("string").alias("problem_id"),
+        F.col("l_orderkey").alias("problem_id"),
         F.concat(F.lit("run-"), F.pmod("l_suppkey", F.lit(4)).cast("string")).alias("run_id"),
         *order,
         completion_text().alias("text"),
@@ -71,12 +72,12 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROBLEMS_SQL = """problems AS (
-  SELECT CAST(o_orderkey AS VARCHAR) AS problem_id, o_orderkey AS ord,
+  SELECT o_orderkey AS problem_id, o_orderkey AS ord,
          'Order ' || o_orderkey || ' of customer ' || o_custkey AS problem,
          CASE o_orderstatus WHEN 'P' THEN 'A' WHEN 'F' THEN 'R' ELSE 'N' END AS ground_truth
   FROM orders)"""
 COMPLETIONS_SQL = r"""completions AS (
-  SELECT CAST(l_orderkey AS VARCHAR) AS problem_id, 'run-' || (l_suppkey % 4) AS run_id,
+  SELECT l_orderkey AS problem_id, 'run-' || (l_suppkey % 4) AS run_id,
          CAST(row_number() OVER (PARTITION BY l_orderkey
            ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS INTEGER) AS sample_idx,
          CASE WHEN l_linestatus = 'O' AND l_tax = 0 THEN 'No final answer'
@@ -126,7 +127,7 @@ scored AS (
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as training rows: the text is the problem, source and language stand for the rest."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id",
         F.col("text").alias("problem"),
         F.col("text").alias("Question"),
@@ -135,6 +136,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long texts, over all cores."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 CORPUS_SQL = """corpus AS (
   SELECT doc_id, text AS problem, text AS "Question", source || ' / ' || lang AS solution,
          CAST(n_chars AS VARCHAR) AS "Answer" FROM documents)"""

@@ -179,7 +179,7 @@ def stream_last_n(spark, d):
     path = work_dir(spark, "stream-last")
     rows = event_stream(spark, d).drop("props")
     streams.stream_last_n(rows, path, ["user_id"], ORDER, 3).awaitTermination()
-    newest = streams.read_last_n(spark, path, ["user_id"], ORDER, 3)
+    newest = streams.read_last_n(spark, path)
     return newest.select("event_id", *SERIES, "value")
 
 

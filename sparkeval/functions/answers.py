@@ -159,20 +159,22 @@ def equivalent(predicted: ColumnOrName, gold: ColumnOrName) -> Column:
     attempted. False where a side is null.
     """
     predicted, gold = as_column(predicted).cast("string"), as_column(gold).cast("string")
-    texts = F.struct(canonical_answer(predicted).alias("p"), canonical_answer(gold).alias("g"))
-    digit = F.lit("[0-9]")
 
-    def same_value(t: Column) -> Column:
-        values = F.struct(rational(t["p"]).alias("p"), rational(t["g"]).alias("g"))
-        return let(values, lambda v: v["p"]["n"] * v["g"]["d"] == v["g"]["n"] * v["p"]["d"])
+    def same_value(v: Column) -> Column:
+        return F.coalesce(v[0]["n"] * v[1]["d"] == v[1]["n"] * v[0]["d"], F.lit(False))
 
     def compare(t: Column) -> Column:
-        numeric = F.rlike(t["p"], digit) & F.rlike(t["g"], digit)
-        return F.when(t["p"] == t["g"], True).when(numeric, same_value(t)).otherwise(False)
+        numeric = F.forall(t, lambda x: F.rlike(x, F.lit("[0-9]")))
+        values = F.transform(t, rational)
+        return F.when(t[0] == t[1], True).when(numeric, let(values, same_value)).otherwise(False)
 
-    known = predicted.isNotNull() & gold.isNotNull()
-    equal = F.when(~known, False).when(predicted == gold, True).otherwise(let(texts, compare))
-    return F.coalesce(equal, F.lit(False))
+    letters = F.lit("^[A-Za-z]+$")  # letters alone are their own canonical form, and no number
+    return (
+        F.when(predicted.isNull() | gold.isNull(), False)
+        .when(predicted == gold, True)
+        .when(F.rlike(predicted, letters) & F.rlike(gold, letters), False)
+        .otherwise(let(F.transform(F.array(predicted, gold), canonical_answer), compare))
+    )
 
 
 def stored_prediction(predicted: ColumnOrName) -> Column:

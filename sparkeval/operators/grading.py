@@ -131,6 +131,7 @@ def score(
     """Grade the counted answers and fold them into one row per problem."""
     gold = problems.select("problem_id", "ground_truth")
     formatted = F.col("formatted")
+    has_empty = formatted & (F.col("n_empty") > 0)
     graded = counts.join(gold, "problem_id").select(
         *keys,
         "formatted",
@@ -139,7 +140,7 @@ def score(
         "first_idx",
         F.col("n_empty"),
         (formatted & grader(F.col("answer"), F.col("ground_truth"))).alias("correct"),
-        (formatted & grader(F.lit(""), F.col("ground_truth"))).alias("empty_correct"),
+        F.when(has_empty, grader(F.lit(""), F.col("ground_truth"))).alias("empty_correct"),
     )
     correct = F.when(F.col("correct"), F.col("n") - F.col("n_empty")).otherwise(0) + F.when(
         F.col("empty_correct"), F.col("n_empty")

@@ -51,12 +51,13 @@ def encode(
     """
     words = df.select(key, F.posexplode_outer(tokens(text)).alias("pos", "token"))
     found = attach(words, vocab, ["token"], [key, "pos"], "n", how="left", **salting)
-    numbered = F.struct("pos", F.coalesce("id", F.lit(unk_id)).alias("id"))
-    items = F.collect_list(F.when(F.col("pos").isNotNull(), numbered))
+    # Position and id in one long: arrays of longs are collected and sorted without objects.
+    packed = F.shiftleft(F.col("pos").cast("long"), 32) + F.coalesce("id", F.lit(unk_id))
+    lower = F.lit(2**32 - 1)
     return (
         found.groupBy(key)
-        .agg(F.array_sort(items).alias("_items"))
-        .select(key, F.transform("_items", lambda x: x["id"]).alias("ids"))
+        .agg(F.sort_array(F.collect_list(packed)).alias("_packed"))
+        .select(key, F.transform("_packed", lambda x: x.bitwiseAND(lower).cast("int")).alias("ids"))
     )
 
 

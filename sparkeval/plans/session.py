@@ -42,3 +42,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a table that comes in fewer pieces than the session has cores.
+
+    One small file is one task, however much work each row takes. A table in many files passes
+    unchanged, so nothing large is shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

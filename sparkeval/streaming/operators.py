@@ -6,14 +6,11 @@ Each function starts its query and returns it; the results are read from ``path`
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from sparkeval.functions.answers import equivalent
 from sparkeval.operators.grading import PROBLEM, Grader, count_answers, extract, score
@@ -21,9 +18,6 @@ from sparkeval.operators.selection import last_n
 from sparkeval.operators.telemetry import ema, loss_windows
 from sparkeval.streaming.tables import changes_to, latest, start
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def stream_metrics(
     completions: DataFrame, path: str, keys: list[str] = PROBLEM, available_now: bool = True
 ) -> StreamingQuery:
@@ -84,7 +78,7 @@ def stream_ema(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/state/batch={batch_id - 1}") if batch_id else None
+        before = spark.read.parquet(_held(path, batch_id - 1)) if batch_id else None
         values = ema(batch, keys, order, value, decay, before, **ranges)
         target = f"{path}/changes/batch={batch_id}"
         values.write.mode("overwrite").parquet(target)
@@ -92,61 +86,42 @@ def stream_ema(
         ends = ends.groupBy(*keys).agg(F.max_by("ema", F.struct(*order)).alias("ema"))
         if before is not None:
             ends = ends.unionByName(before.join(ends, keys, "left_anti"))
-        ends.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+        ends.write.mode("overwrite").parquet(_held(path, batch_id))
 
     return start(stream, path, write, "append", available_now)
 
 
-class Newest(StatefulProcessor):
-    """Keeps the newest ``n`` rows of a key; input arrives and is trimmed chunk by chunk."""
-
-    def __init__(self, n: int, order: list[str], schema: T.StructType):
-        self._n, self._order, self._schema = n, order, schema
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._held = handle.getListState("held", self._schema)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator:
-        names = self._schema.fieldNames()
-        held = pd.DataFrame([tuple(r) for r in self._held.get()], columns=names)
-        for chunk in rows:
-            both = pd.concat([held, chunk[names]]) if len(held) else chunk[names]
-            held = both.sort_values(self._order, ascending=False).head(self._n)
-        self._held.put([tuple(r) for r in held.astype(object).itertuples(index=False)])
-        yield held
-
-    def close(self) -> None:
-        pass
-
-
 def stream_last_n(
     stream: DataFrame,
     path: str,
     keys: list[str],
     order: list[str],
     n: int,
-    shares: int = 16,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Newest ``n`` rows per key; read them with ``read_last_n``.
 
-    Each key is kept in ``shares`` salted lists, so a key with very many rows is trimmed in many tasks.
+    Each micro-batch is merged with the rows held so far by the batch operator, which trims a key
+    with very many rows before the shuffle. The held rows, ``n`` per key at most, are the state.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    salted = stream.withColumn("_share", F.pmod(F.xxhash64(*order), F.lit(shares)).cast("int"))
-    kept = salted.groupBy(*keys, "_share").transformWithStateInPandas(
-        Newest(n, order, stream.schema), stream.schema, "Update", "None"
-    )
-    return start(kept, path, changes_to(path), available_now=available_now)
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if batch_id:
+            batch = batch.unionByName(batch.sparkSession.read.parquet(_held(path, batch_id - 1)))
+        last_n(batch, keys, order, n).write.mode("overwrite").parquet(_held(path, batch_id))
 
-def read_last_n(
-    spark: SparkSession, path: str, keys: list[str], order: list[str], n: int
-) -> DataFrame:
-    """A row that a share held before newer ones arrived cannot be among the newest ``n`` any more
-    unless it still belongs to them, so all versions may stand."""
-    rows = spark.read.parquet(f"{path}/changes").drop("batch").distinct()
-    return last_n(rows, keys, order, n)
+    return start(stream, path, write, "append", available_now)
+
+
+def _held(path: str, batch_id: int) -> str:
+    return f"{path}/state/batch={batch_id}"
+
+
+def read_last_n(spark: SparkSession, path: str) -> DataFrame:
+    """The rows held after the last micro-batch."""
+    states = spark.read.parquet(f"{path}/state")
+    newest = states.select(F.max("batch")).scalar()
+    return states.filter(F.col("batch") == newest).drop("batch")
 
 
 def stream_dedup(
