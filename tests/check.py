@@ -13,7 +13,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import duckdb  # noqa: E402
-from pyspark.sql import SparkSession  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 
@@ -30,6 +30,7 @@ def session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("FATAL")
@@ -59,8 +60,8 @@ def rows_of(names: list[str], rows) -> list[tuple]:
     return sorted(tuple(plain(r[i]) for i in order) for r in rows)
 
 
-def compare(spark: SparkSession, con, folder: str, name: str) -> str | None:
-    df = entry.queries()[name](spark, folder)
+def compare(df: DataFrame, con, name: str) -> str | None:
+    """What is wrong with the result of query ``name``, if anything."""
     got = rows_of(df.columns, df.collect())
     sql = entry.oracle_sql().get(name)
     if sql is None:
@@ -84,7 +85,7 @@ if __name__ == "__main__":
     for name in sys.argv[2:] or entry.queries():
         began = time.time()
         try:
-            problem = compare(spark, con, folder, name)
+            problem = compare(entry.queries()[name](spark, folder), con, name)
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
         failed += problem is not None
