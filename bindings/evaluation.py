@@ -108,11 +108,8 @@ def normalized(spark, d):
 
 
 def rewarded(spark: SparkSession, d: str) -> DataFrame:
-    """Exact-match rewards through the registry; only the reward leaves the join."""
-    joined = completions(spark, d).join(problems(spark, d), "problem_id")
-    return apply_rewards(joined, ["correctness"]).select(
-        "problem_id", "sample_idx", F.col("correctness").alias("reward")
-    )
+    rewards = grading.exact_rewards(completions(spark, d), problems(spark, d))
+    return rewards.select("problem_id", "sample_idx", "reward")
 
 
 @B.add("reward_exact", f"{WITH_FIRST} SELECT * FROM rewards")
@@ -120,6 +117,15 @@ def reward_exact(spark, d):
     return rewarded(spark, d)
 
 
+@B.add("reward_registry", f"{WITH_FIRST} SELECT * FROM rewards")
+def reward_registry(spark, d):
+    """The same through the registry, where a reward sees the text and all other columns."""
+    joined = completions(spark, d).join(problems(spark, d), "problem_id")
+    return apply_rewards(joined, ["correctness"]).select(
+        "problem_id", "sample_idx", F.col("correctness").alias("reward")
+    )
+
+
 @B.add(
     "reward_mean",
     f"""{WITH_FIRST} SELECT problem_id, count(*) AS num_samples, round(avg(reward), 6) AS mean_reward

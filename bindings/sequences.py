@@ -121,7 +121,7 @@ def padded_left(spark, d):
   repeat('1', length) || repeat('0', max_len - length) AS attention_mask FROM collated""",
 )
 def collated(spark, d):
-    out = collate(batches(spark, d), "ids", MAX_LENGTH, spread=["doc_id"])
+    out = collate(batches(spark, d), "ids", MAX_LENGTH)
     mask = F.array_join(F.transform("attention_mask", lambda x: x.cast("string")), "")
     return out.select(
         "doc_id", "batch_id", "length", joined_ids("ids").alias("ids"), mask.alias("attention_mask")

@@ -36,20 +36,21 @@ def render_chat(
     Only the last part carries the generation prompt. The parts in order, joined, are the whole text.
     """
     opening = generation_prompt + ("" if enable_thinking else THINKING_OFF)
-    line = render_turn(role, text, prefix, suffix)
-    parts = (
-        df.select(conv, F.floor(F.col(turn) / part_size).cast("int").alias("part"), turn, line.alias("_l"))
+    part = F.floor(F.col(turn) / part_size).cast("int").alias("part")
+    lines = df.select(conv, part, turn, render_turn(role, text, prefix, suffix).alias("_line"))
+    # The generation prompt joins as one more line behind the last turn: no join with the texts.
+    last = df.groupBy(conv).agg(F.max(turn).alias(turn))
+    ends = last.select(conv, part, (F.col(turn) + 1).alias(turn), F.lit(opening).alias("_line"))
+    return (
+        lines.unionByName(ends)
         .groupBy(conv, "part")
-        .agg(F.array_sort(F.collect_list(F.struct(turn, "_l"))).alias("_turns"))
+        .agg(F.array_sort(F.collect_list(F.struct(turn, "_line"))).alias("_lines"))
         .select(
-            conv, "part", F.array_join(F.transform("_turns", lambda t: t["_l"]), "").alias("rendered")
+            conv,
+            "part",
+            F.array_join(F.transform("_lines", lambda t: t["_line"]), "").alias("rendered"),
         )
     )
-    last = df.groupBy(conv).agg(F.floor(F.max(turn) / part_size).cast("int").alias("_last"))
-    ended = F.when(F.col("part") == F.col("_last"), F.lit(opening)).otherwise(F.lit(""))
-    return parts.join(last, conv).select(
-        conv, "part", F.concat("rendered", ended).alias("rendered")
-    )
 
 
 def exchanges(

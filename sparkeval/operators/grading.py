@@ -8,7 +8,13 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkeval.functions.answers import boxed_last, equivalent, stored_prediction
+from sparkeval.functions.answers import (
+    boxed_first,
+    boxed_last,
+    equivalent,
+    exact_reward,
+    stored_prediction,
+)
 from sparkeval.plans.ordering import running_sums
 from sparkeval.plans.skew import attach
 
@@ -330,6 +336,19 @@ def explode_outputs(df: DataFrame, outputs: str = "outputs", text: str = "text")
     return df.select(*kept, F.posexplode(outputs).alias("sample_idx", text))
 
 
+def exact_rewards(
+    completions: DataFrame, problems: DataFrame, text: str = "text"
+) -> DataFrame:
+    """Reward of each sample: 1.0 where its first box holds the gold answer.
+
+    The answer is read before the join, so the texts stay where they are.
+    """
+    kept = [c for c in completions.columns if c != text]
+    answers = completions.select(*kept, boxed_first(text).alias("_answer"))
+    joined = answers.join(problems.select("problem_id", "ground_truth"), "problem_id")
+    return joined.select(*kept, exact_reward("_answer", "ground_truth").alias("reward"))
+
+
 def group_advantage(
     df: DataFrame,
     group: list[str],

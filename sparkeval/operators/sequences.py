@@ -95,9 +95,14 @@ def pad_batch(
     """Pad ``ids`` to the longest of its batch and add ``max_len``.
 
     Lengths are aggregated alone and joined back, so the arrays are not sorted through a window.
+    Batches from ``assign_batch`` are small; for other batch ids, which may be very uneven, name in
+    ``spread`` the columns that tell the rows of a batch apart, and large batches are salted.
     """
-    spread = spread or [c for c in df.columns if c not in (batch, ids)]
-    joined = attach(df, batch_lengths(df, ids, batch), [batch], spread, "batch_size", **salting)
+    lengths = batch_lengths(df, ids, batch)
+    if spread:
+        joined = attach(df, lengths, [batch], spread, "batch_size", **salting)
+    else:
+        joined = df.join(lengths, batch)
     return joined.withColumn(ids, pad_to(ids, "max_len", pad, side)).drop("batch_size")
 
 

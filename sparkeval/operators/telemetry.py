@@ -75,7 +75,7 @@ def ema(
     ``order[0]`` is numeric or a timestamp and the whole of ``order`` is unique within ``keys``.
     ``start`` (keys, ema) continues earlier averages.
 
-    The series of a key is cut into order ranges, so that one long series spreads over tasks. Inside a
+    A long series is cut into order ranges, so that it spreads over tasks. Inside a
     range the average is a running sum of value / decay**i, scaled back, over blocks short enough for
     ``decay**-i`` to stay a finite double; what a whole block carries over from before it is below
     1e-250 of its own size, so a block needs only the end of the one before. Range ends are then folded
@@ -87,7 +87,7 @@ def ema(
     if decay == 0:
         return df.withColumn("ema", x)
     block = math.ceil(600 / -math.log(decay)) if decay < 1 else 2**62
-    ranged, _ = with_ranges(df, position_of(df, order), rows_per_range)
+    ranged, was_cut = with_ranges(df, keys, position_of(df, order), rows_per_range)
     here = Window.partitionBy(*keys, RANGE).orderBy(*order)
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = here.rowsBetween(Window.unboundedPreceding, -1)
@@ -109,14 +109,24 @@ def ema(
     local = local.withColumn("_carried", block_end).withColumn(
         "_own", F.col("_local") + power * F.coalesce("_carried", F.lit(0.0))
     )
-    ends = local.groupBy(*keys, RANGE).agg(
-        F.count("*").alias("n"),
-        F.min_by("_x", "_place").alias("first"),
-        F.max_by("_own", "_place").alias("end"),
-    )
-    inherited = _fold_ranges(ends, keys, decay, start)
-    whole = F.col("_own") + F.when(F.col("_carried").isNull(), power * F.col("_inherited")).otherwise(0.0)
-    return local.join(inherited, [*keys, RANGE]).select(*df.columns, whole.alias("ema"))
+    # Null keys match nothing in the joins: their group is never cut and starts with its first value.
+    local = local.withColumn("_begin", F.first("_x").over(upto))
+    if was_cut:
+        ends = local.groupBy(*keys, RANGE).agg(
+            F.count("*").alias("n"),
+            F.min_by("_x", "_place").alias("first"),
+            F.max_by("_own", "_place").alias("end"),
+        )
+        folded = _fold_ranges(ends, keys, decay, start)
+        local = local.join(folded, [*keys, RANGE], "left")
+    elif start is not None:
+        begins = start.select(*keys, F.col("ema").alias("_inherited"))
+        local = local.join(begins, keys, "left")
+    else:
+        local = local.withColumn("_inherited", F.lit(None).cast("double"))
+    local = local.withColumn("_inherited", F.coalesce("_inherited", "_begin"))
+    inherited = F.when(F.col("_carried").isNull(), power * F.col("_inherited")).otherwise(0.0)
+    return local.select(*df.columns, (F.col("_own") + inherited).alias("ema"))
 
 
 def _fold_ranges(

@@ -1,8 +1,9 @@
-"""Ranks and running sums over a global order, without putting a whole group in one task.
+"""Ranks and running sums over long orders, without putting a whole group in one task.
 
-A window without a partition key, or over one very large key, runs in a single task. Here the order
-column is cut into ranges first. Each range is summed on its own, the range totals (few rows) are
-accumulated, and each row adds the total of the ranges before its own.
+A window without a partition key, or over one very large key, runs in a single task. Here the order of
+such a group is cut into ranges first. Each range is summed on its own, the range totals (few rows) are
+accumulated, and each row adds the total of the ranges before its own. Groups that fit into one task
+stay whole.
 """
 
 from __future__ import annotations
@@ -15,29 +16,51 @@ from pyspark.sql import functions as F
 
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 4096
+MAX_LARGE = 10_000
 RANGE = "_range"
 
 
+def large_groups(df: DataFrame, keys: list[str], rows: int) -> DataFrame | None:
+    """The keys with more than ``rows`` rows, largest first, as a table made of at most ``MAX_LARGE``
+    literal rows; None if there are none."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > rows)
+    found = counts.orderBy(F.desc("_rows"), *keys).limit(MAX_LARGE).collect()
+    return df.sparkSession.createDataFrame(found, counts.schema) if found else None
+
+
 def with_ranges(
-    df: DataFrame, position: Column, rows_per_range: int = ROWS_PER_RANGE
-) -> tuple[DataFrame, int]:
-    """Add ``_range``, the number of the range that ``position`` falls into; also the number of ranges.
+    df: DataFrame, keys: list[str], position: Column, rows_per_range: int = ROWS_PER_RANGE
+) -> tuple[DataFrame, bool]:
+    """Add ``_range``, the order range that ``position`` falls into; also whether any group was cut.
 
-    The cut points are approximate quantiles, at most ``MAX_RANGES`` numbers, fixed in the plan: which
-    rows share a range can only change the balance, never the result. Equal positions share a range.
+    Only groups with more than ``rows_per_range`` rows are cut, all others are range 0. The cut points
+    are approximate quantiles over the large groups, at most ``MAX_RANGES`` numbers, fixed in the plan:
+    which rows share a range can only change the balance, never the result. Equal positions share a
+    range.
     """
+    whole = df.withColumn(RANGE, F.lit(0))
+    rows = df.count()
+    if rows <= rows_per_range:
+        return whole, False
     located = df.withColumn("_position", position.cast("double"))
-    ranges = min(MAX_RANGES, math.ceil(df.count() / rows_per_range))
-    if ranges <= 1:
-        return df.withColumn(RANGE, F.lit(0)), 1
+    if keys:
+        large = large_groups(df, keys, rows_per_range)
+        if large is None:
+            return whole, False
+        located = located.join(F.broadcast(large), keys, "left")  # MAX_LARGE rows at most
+    else:
+        located = located.withColumn("_rows", F.lit(rows))
+    cut = located.filter(F.col("_rows").isNotNull())
+    ranges = min(MAX_RANGES, math.ceil((cut.count() if keys else rows) / rows_per_range))
     probabilities = [i / ranges for i in range(1, ranges)]
-    cuts = located.stat.approxQuantile("_position", probabilities, 0.1 / ranges)
+    cuts = cut.stat.approxQuantile("_position", probabilities, 0.1 / ranges)
     edges = [-math.inf, *sorted(set(cuts)), math.inf]
     cutter = Bucketizer(
         splits=edges, inputCol="_position", outputCol="_raw_range", handleInvalid="keep"
     )
-    ranged = cutter.transform(located).withColumn(RANGE, F.col("_raw_range").cast("int"))
-    return ranged.drop("_position", "_raw_range"), len(edges) - 1
+    number = F.when(F.col("_rows").isNotNull(), F.col("_raw_range").cast("int")).otherwise(0)
+    ranged = cutter.transform(located).withColumn(RANGE, number)
+    return ranged.drop("_position", "_rows", "_raw_range").select(*df.columns, RANGE), True
 
 
 def position_of(df: DataFrame, order: list[str]) -> Column:
@@ -61,11 +84,11 @@ def running_sums(
     default its first column, a number or a timestamp. Few rows should share a position.
     """
     place = position_of(df, order) if position is None else position
-    ranged, ranges = with_ranges(df, place, rows_per_range)
+    ranged, was_cut = with_ranges(df, keys, place, rows_per_range)
     here = Window.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    if ranges == 1:
+    if not was_cut:
         return ranged.select(*df.columns, *[F.sum(c).over(here).alias(n) for n, c in sums.items()])
     earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(RANGE).rowsBetween(
         Window.unboundedPreceding, -1
@@ -74,13 +97,15 @@ def running_sums(
     before = totals.select(
         *keys,
         RANGE,
-        *[F.coalesce(F.sum("_t_" + n).over(earlier), F.lit(0)).alias("_b_" + n) for n in sums],
+        *[F.sum("_t_" + n).over(earlier).alias("_b_" + n) for n in sums],
     )
     if not keys:
         before = F.broadcast(before)  # one row per range: MAX_RANGES at most
     local = ranged.select("*", *[F.sum(c).over(here).alias("_l_" + n) for n, c in sums.items()])
-    return local.join(before, [*keys, RANGE]).select(
-        *df.columns, *[(F.col("_l_" + n) + F.col("_b_" + n)).alias(n) for n in sums]
+    # Null keys match nothing here: their group is never cut, and nothing comes before it.
+    earlier_sum = {n: F.coalesce(F.col("_b_" + n), F.lit(0)) for n in sums}
+    return local.join(before, [*keys, RANGE], "left").select(
+        *df.columns, *[(F.col("_l_" + n) + earlier_sum[n]).alias(n) for n in sums]
     )
 
 

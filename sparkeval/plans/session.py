@@ -44,11 +44,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a table that comes in fewer pieces than the session has cores.
+def spread(df: DataFrame, *keys: str, few: int = 16) -> DataFrame:
+    """Hash-partition a table that is read in a few pieces only, fewer than the session has cores.
 
-    One small file is one task, however much work each row takes. A table in many files passes
-    unchanged, so nothing large is shuffled for this.
+    One small file is one task, however much work each row takes. A piece is at most
+    ``spark.sql.files.maxPartitionBytes`` large, so what is shuffled here is bounded; a table in
+    ``few`` pieces or more passes unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    enough = df.rdd.getNumPartitions() >= min(cores, few)
+    return df if enough else df.repartition(cores, *keys)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,4 +41,12 @@ def attach(
     repeated = small.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), shares - 1))
     )
-    return salted.drop("_shares").join(repeated.drop("_shares"), [*on, "_salt"], how).drop("_salt")
+    return same_group(salted.drop("_shares"), repeated.drop("_shares"), [*on, "_salt"], how).drop("_salt")
+
+
+def same_group(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join on equal keys where null is a key like any other, as in ``groupBy``."""
+    l, r = left.alias("_left"), right.alias("_right")
+    equal = [F.col(f"_left.{c}").eqNullSafe(F.col(f"_right.{c}")) for c in on]
+    added = [F.col(f"_right.{c}") for c in right.columns if c not in on]
+    return l.join(r, reduce(and_, equal), how).select("_left.*", *added)

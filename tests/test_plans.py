@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkeval.operators.telemetry import ema
-from sparkeval.plans.ordering import ranks, running_sums
+from sparkeval.plans.ordering import RANGE, ranks, running_sums, with_ranges
 from sparkeval.plans.session import materialize, spread, work_dir
 from sparkeval.plans.skew import attach
 
@@ -128,6 +128,31 @@ def test_shared_folder(spark):
     assert stored.count() == 10
 
 
+@pytest.mark.parametrize("rows_per_range", [10**6, 20])
+def test_null_is_a_group(series, rows_per_range):
+    rows, df = series
+    named = df.withColumn("k", F.when(F.col("k") != "b", F.col("k")))
+    out = ranks(named, ["k"], ["i"], rows_per_range=rows_per_range).filter("k is null")
+    places = sorted(i for k, i, _ in rows if k == "b")
+    assert sorted((r.i, r["rank"]) for r in out.collect()) == [(i, n) for n, i in enumerate(places)]
+    averages = {r.i: r.ema for r in ema(named, ["k"], ["i"], "x", 0.9, rows_per_range=rows_per_range).filter("k is null").collect()}
+    whole = {r.i: r.ema for r in ema(df.filter("k = 'b'"), ["k"], ["i"], "x", 0.9).collect()}
+    assert averages == pytest.approx(whole)
+    sizes = named.groupBy("k").agg(F.count("*").alias("n"))
+    joined = attach(named, sizes, ["k"], ["i"], "n", rows_per_salt=rows_per_range)
+    assert joined.count() == len(rows) and joined.filter("k is null and n = 120").count() == 120
+
+
+def test_only_large_groups_are_cut(series):
+    _, df = series
+    out = running_sums(df, ["k"], ["i"], {"n": F.lit(1)}, rows_per_range=200)
+    assert out.count() == 1021
+    ranged, was_cut = with_ranges(df, ["k"], F.col("i"), 200)
+    ranges = {r.k: r.n for r in ranged.groupBy("k").agg(F.count_distinct(RANGE).alias("n")).collect()}
+    assert was_cut and ranges == {"a": 5, "b": 1, "c": 1}
+    assert not with_ranges(df, ["k"], F.col("i"), 1000)[1]
+
+
 def test_spread_leaves_wide_tables_alone(spark):
     wide, narrow = spark.range(100, numPartitions=16), spark.range(100, numPartitions=1)
     assert spread(wide, "id") is wide
