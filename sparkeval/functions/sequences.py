@@ -12,8 +12,7 @@ IGNORE = -100  # fixed value: label of a token that takes no part in the loss
 
 def tokens(text: ColumnOrName) -> Column:
     """Words of a text: split at blanks, tabs and line ends, no empty words."""
-    words = F.split(as_column(text), "[ \t\n\r]+")
-    return F.filter(words, lambda w: w != "")
+    return F.array_remove(F.split(as_column(text), "[ \t\n\r]+"), "")
 
 
 def truncate(ids: ColumnOrName, size: int = 2048) -> Column:

@@ -60,13 +60,10 @@ def divergence_long(
         cells = top_k_cells(cells, top_k, on)
     here = Window.partitionBy(*on)
 
-    scaled = cells
-    for side in ("s", "t"):
-        z = F.col(side) / temperature
-        scaled = scaled.withColumn("_z" + side, z - F.max(z).over(here))
-    for side in ("s", "t"):
-        total = F.sum(F.exp("_z" + side)).over(here)
-        scaled = scaled.withColumn("_l" + side, F.col("_z" + side) - F.log(total))
+    z = {side: F.col(side) / temperature for side in ("s", "t")}
+    scaled = cells.withColumns({"_z" + side: z[side] - F.max(z[side]).over(here) for side in z})
+    logs = {"_l" + side: F.col("_z" + side) - F.log(F.sum(F.exp("_z" + side)).over(here)) for side in z}
+    scaled = scaled.withColumns(logs)
     term = pointwise(F.col("_ls"), F.col("_lt"), beta)
     return scaled.groupBy(*on).agg(F.sum(term).alias("divergence"))
 

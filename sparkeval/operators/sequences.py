@@ -50,7 +50,7 @@ def encode(
     ``vocab`` is read twice: pass a stored table.
     """
     words = df.select(key, F.posexplode_outer(tokens(text)).alias("pos", "token"))
-    found = attach(words, vocab, ["token"], [key, "pos"], "n", how="left", **salting)
+    found = attach(words, vocab, ["token"], [key, "pos"], "n", "left", null_group=False, **salting)
     # Position and id in one long: arrays of longs are collected and sorted without objects.
     packed = F.shiftleft(F.col("pos").cast("long"), 32) + F.coalesce("id", F.lit(unk_id))
     lower = F.lit(2**32 - 1)

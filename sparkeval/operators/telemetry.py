@@ -61,6 +61,12 @@ def every_step(step: str, n: int, offset: int = 0, positive: bool = True) -> Col
     return hit & (F.col(step) > 0) if positive else hit
 
 
+def optimizer_steps(df: DataFrame, microstep: str, accumulation: int) -> DataFrame:
+    """Rows at which an accumulation cycle ends, the only ones a moving average follows. Microsteps
+    count from 1."""
+    return df.filter(every_step(microstep, accumulation))
+
+
 def ema(
     df: DataFrame,
     keys: list[str],

@@ -20,6 +20,7 @@ def attach(
     count: str,
     how: str = "inner",
     rows_per_salt: int = ROWS_PER_SALT,
+    null_group: bool = True,
 ) -> DataFrame:
     """Join ``big`` with ``small``, which is unique in ``on`` and knows the group sizes (``count``).
 
@@ -27,6 +28,7 @@ def attach(
     ``spread``, and its single small row is repeated once per share, so no task gets the whole group.
     The broadcast list of such keys is at most ``MAX_HOT`` rows long; keys beyond it are joined
     unsalted. The hash is taken from the data, so a task that runs again gives the same rows.
+    With ``null_group`` null is a key like any other, as in ``groupBy``.
     """
     hot = (
         small.filter(F.col(count) > rows_per_salt)
@@ -41,11 +43,13 @@ def attach(
     repeated = small.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), shares - 1))
     )
-    return same_group(salted.drop("_shares"), repeated.drop("_shares"), [*on, "_salt"], how).drop("_salt")
+    salted, repeated, on = salted.drop("_shares"), repeated.drop("_shares"), [*on, "_salt"]
+    joined = same_group(salted, repeated, on, how) if null_group else salted.join(repeated, on, how)
+    return joined.drop("_salt")
 
 
 def same_group(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join on equal keys where null is a key like any other, as in ``groupBy``."""
+    """Join on equal keys, null equal to null."""
     l, r = left.alias("_left"), right.alias("_right")
     equal = [F.col(f"_left.{c}").eqNullSafe(F.col(f"_right.{c}")) for c in on]
     added = [F.col(f"_right.{c}") for c in right.columns if c not in on]

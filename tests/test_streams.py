@@ -173,3 +173,4 @@ def test_steps(spark):
     got = df.filter(M.every_step("id", 5)).collect()
     assert [r.id for r in got] == [5, 10]
     assert [r.id for r in df.filter(M.every_step("id", 10, 1, False)).collect()] == [9]
+    assert [r.id for r in M.optimizer_steps(df, "id", 4).collect()] == [4, 8]
