@@ -161,6 +161,17 @@ def prompt_student(spark, d):
     return corpus(spark, d).select("doc_id", P.student_prompt("problem").alias("prompt"))
 
 
+@B.add(
+    "prompt_rendered",
+    f"""{WITH} SELECT doc_id, '<|im_start|>user' || chr(10) || 'Problem: ' || problem || chr(10) || chr(10)
+  || {INSTRUCTION} || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt FROM corpus""",
+)
+def prompt_rendered(spark, d):
+    """The student prompt as a chat of one message."""
+    messages = P.user_message(P.student_prompt("problem"))
+    return corpus(spark, d).select("doc_id", P.render_messages(messages).alias("prompt"))
+
+
 TEACHER = f"problem || {quote(P.SOLUTION_START)} || solution || {quote(P.TRANSITION_SUFFIX)}"
 REASONING = (
     f"'Problem: ' || problem || chr(10) || chr(10) || {quote(P.REASONING_START)} || solution || "

@@ -328,7 +328,7 @@ def progress_snapshot(spark, d):
     "eval_results",
     f"""{WITH_SCORED} SELECT p.problem_id, p.problem, p.ground_truth, {VAL_N} AS val_n, s.num_correct,
   s.has_correct AS pass_at_n, s.majority_vote_correct, g.predicted AS predicted_answer,
-  g.text AS full_generation, g.formatted
+  g.text AS full_generation, g.correct, g.formatted
 FROM problems p JOIN scored s USING (problem_id)
 JOIN graded g ON g.problem_id = p.problem_id AND g.sample_idx = 0""",
 )

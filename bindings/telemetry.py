@@ -10,8 +10,8 @@ from bindings.evaluation import VAL_N, WITH_TOTALS, SUMMARY_SQL
 from bindings.tables import completions, problems, rounded, table
 from sparkeval.operators import grading
 from sparkeval.operators import telemetry as M
-from sparkeval.plans.session import materialize, work_dir
-from sparkeval.sources.tables import stream_table
+from sparkeval.plans.session import work_dir
+from sparkeval.sources.tables import read_completions, stream_table
 from sparkeval.streaming import operators as streams
 from sparkeval.streaming.tables import appended, latest
 
@@ -141,10 +141,10 @@ def step_filter(spark, d):
 @B.add("stream_metrics", f"{WITH_TOTALS} SELECT {SUMMARY_SQL} FROM totals")
 def stream_metrics(spark, d):
     """Evaluates a stream of completions; they are stored first, a stream cannot number them."""
-    path = work_dir(spark, "stream-metrics")
-    stored = materialize(completions(spark, d), "completions")
-    source = stored.inputFiles()[0].rpartition("/")[0]
-    stream = spark.readStream.schema(stored.schema).parquet(source)
+    path, arrivals = work_dir(spark, "stream-metrics"), work_dir(spark, "arrivals")
+    rows = completions(spark, d)
+    rows.write.parquet(arrivals)
+    stream = read_completions(spark, arrivals, streaming=True, schema=rows.schema)
     streams.stream_metrics(stream, path).awaitTermination()
     asked = problems(spark, d)
     out = grading.summary(streams.stream_scores(spark, path, asked), asked, VAL_N)

@@ -22,6 +22,7 @@ ANALYSE = (
 REASONING_START = "Here is a correct reasoning to this problem:=== Reference Reasoning Start ===\n"
 REASONING_END = "\n=== Reference Reasoning End ===\n\n"
 SOLUTION_START = "\n\nHere is a reference solution to this problem:\n"
+THINKING_OFF = "<think>\n\n</think>\n\n"
 TRANSITION_SUFFIX = "\n" + TRANSITION + "\n" + INSTRUCTION
 
 
@@ -80,3 +81,34 @@ def strip_special(text: ColumnOrName, tokens: list[str]) -> Column:
     """Remove special-token texts, longest first so that no token is cut by a shorter one."""
     quoted = ["\\Q" + t + "\\E" for t in sorted(tokens, key=len, reverse=True)]
     return F.regexp_replace(as_column(text), "|".join(quoted), "") if quoted else as_column(text)
+
+
+def render_turn(role: ColumnOrName, text: ColumnOrName, prefix: str, suffix: str) -> Column:
+    """One turn; ``{role}`` in ``prefix`` stands for the role."""
+    before, found, after = prefix.partition("{role}")
+    start = F.concat(F.lit(before), as_column(role), F.lit(after)) if found else F.lit(before)
+    return F.concat(start, as_column(text), F.lit(suffix))
+
+
+def opening(generation_prompt: str, enable_thinking: bool = True) -> str:
+    """Start of the reply that the model is asked for."""
+    return generation_prompt + ("" if enable_thinking else THINKING_OFF)
+
+
+def user_message(text: ColumnOrName) -> Column:
+    """A list of one message."""
+    return F.array(F.struct(F.lit("user").alias("role"), as_column(text).alias("content")))
+
+
+def render_messages(
+    messages: ColumnOrName,
+    prefix: str = "<|im_start|>{role}\n",
+    suffix: str = "<|im_end|>\n",
+    generation_prompt: str = "<|im_start|>assistant\n",
+    enable_thinking: bool = True,
+) -> Column:
+    """Chat text of a list of ``struct<role, content>``; the marks belong to a model's template."""
+    turns = F.transform(
+        as_column(messages), lambda m: render_turn(m["role"], m["content"], prefix, suffix)
+    )
+    return F.concat(F.array_join(turns, ""), F.lit(opening(generation_prompt, enable_thinking)))

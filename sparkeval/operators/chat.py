@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkeval.functions.common import ColumnOrName, as_column
-
-THINKING_OFF = "<think>\n\n</think>\n\n"
-
-
-def render_turn(role: ColumnOrName, text: ColumnOrName, prefix: str, suffix: str) -> Column:
-    """One turn; ``{role}`` in ``prefix`` stands for the role."""
-    before, found, after = prefix.partition("{role}")
-    opening = F.concat(F.lit(before), as_column(role), F.lit(after)) if found else F.lit(before)
-    return F.concat(opening, as_column(text), F.lit(suffix))
-
+from sparkeval.functions.prompts import opening, render_turn
 
 def render_chat(
     df: DataFrame,
@@ -35,12 +25,12 @@ def render_chat(
     turns is one row; a longer one continues in the next part, so that no row grows without bound.
     Only the last part carries the generation prompt. The parts in order, joined, are the whole text.
     """
-    opening = generation_prompt + ("" if enable_thinking else THINKING_OFF)
+    reply = opening(generation_prompt, enable_thinking)
     part = F.floor(F.col(turn) / part_size).cast("int").alias("part")
     lines = df.select(conv, part, turn, render_turn(role, text, prefix, suffix).alias("_line"))
     # The generation prompt joins as one more line behind the last turn: no join with the texts.
     last = df.groupBy(conv).agg(F.max(turn).alias(turn))
-    ends = last.select(conv, part, (F.col(turn) + 1).alias(turn), F.lit(opening).alias("_line"))
+    ends = last.select(conv, part, (F.col(turn) + 1).alias(turn), F.lit(reply).alias("_line"))
     return (
         lines.unionByName(ends)
         .groupBy(conv, "part")

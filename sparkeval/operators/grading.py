@@ -276,7 +276,12 @@ def progress_snapshot(running: DataFrame, every: int = 10) -> DataFrame:
 
 
 def results(
-    completions: DataFrame, problems: DataFrame, scored: DataFrame, val_n: int, text: str = "text"
+    completions: DataFrame,
+    problems: DataFrame,
+    scored: DataFrame,
+    val_n: int,
+    grader: Grader = equivalent,
+    text: str = "text",
 ) -> DataFrame:
     """Report header, one row per problem; the first sample (``sample_idx`` 0) stands at the top level.
 
@@ -298,6 +303,10 @@ def results(
         "majority_vote_correct",
         stored_prediction("_answer").alias("predicted_answer"),
         F.col(text).alias("full_generation"),
+        F.coalesce(
+            F.col("_answer").isNotNull() & grader(F.col("_answer"), F.col("ground_truth")),
+            F.lit(False),
+        ).alias("correct"),
         F.col("_answer").isNotNull().alias("formatted"),
     )
 

@@ -15,10 +15,12 @@ ADAPTIVE = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
+# Event-time windows are aligned to UTC; so are times without a zone when they are read.
+TIME_ZONE = {"spark.sql.session.timeZone": "UTC"}
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    for key, value in ADAPTIVE.items():
+    for key, value in {**ADAPTIVE, **TIME_ZONE}.items():
         spark.conf.set(key, value)
     return spark
 

@@ -39,7 +39,8 @@ def read_completions(
 
 
 def stream_table(spark: SparkSession, folder: str, file: str, schema: T.StructType) -> DataFrame:
-    """One file of a folder as a stream; a zone-less time is read as UTC so that it can be watermarked."""
+    """One file of a folder as a stream. A time without a zone cannot be watermarked: it becomes a
+    timestamp in the session's time zone."""
     stream = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
     times = [f.name for f in schema if isinstance(f.dataType, T.TimestampNTZType)]
-    return stream.withColumns({c: F.to_utc_timestamp(F.col(c).cast("timestamp"), F.current_timezone()) for c in times})
+    return stream.withColumns({c: F.col(c).cast("timestamp") for c in times})

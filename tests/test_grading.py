@@ -160,6 +160,7 @@ def test_results_and_generations(spark):
     scored = G.evaluate(completions, problems)
     first = {r.problem_id: r for r in G.results(completions, problems, scored, 4).collect()}
     assert (first["p3"].predicted_answer, first["p3"].formatted) == (NO_ANSWER, True)
+    assert (first["p1"].correct, first["p3"].correct) == (True, False)
     assert first["p1"].full_generation == "so \\boxed{1/2}"
     parts = G.generations(completions, problems, part_size=3).orderBy("problem_id", "part").collect()
     sizes = [(r.problem_id, r.part, [g.sample_idx for g in r.generations]) for r in parts]
