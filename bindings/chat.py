@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindings import Bindings
-from bindings.tables import encoded_sql, ids_sql, joined_ids, table, vocab_sql
+from bindings.tables import encoded_sql, ids_sql, joined_ids, quote, table, vocab_sql
+from sparkeval.functions import prompts as P
 from sparkeval.functions import sequences as S
 from sparkeval.functions.prompts import strip_special
 from sparkeval.operators.chat import exchanges, render_chat
+from sparkeval.operators.distillation import assemble, collate_prompts, prompt_pairs
 from sparkeval.operators.selection import dedup_first, last_n, sample_exact
-from sparkeval.operators.sequences import align_next, build_vocab, encode
+from sparkeval.operators.sequences import align_next, assign_batch, build_vocab, encode
 from sparkeval.operators.telemetry import generation_log, generation_log_files
 from sparkeval.plans.session import materialize, spread, work_dir
 from sparkeval.sources.sinks import write_generation_log
@@ -128,6 +130,68 @@ def shift_align(spark, d):
     return align_next(scores, tokens, "seq").select("seq", "pos", "score", "token_id")
 
 
+# Distillation batches -------------------------------------------------------------------------------
+
+BATCH, LONGEST, REPLY = 8, 96, 48
+
+
+def chat_sql(text: str) -> str:
+    return f"""'<|im_start|>user' || chr(10) || {text} || '<|im_end|>' || chr(10) || '<|im_start|>assistant'
+    || chr(10)"""
+
+
+STUDENT = f"'Problem: ' || prompt || chr(10) || chr(10) || {quote(P.INSTRUCTION)}"
+TEACHER = f"prompt || {quote(P.SOLUTION_START)} || completion || {quote(P.TRANSITION_SUFFIX)}"
+
+
+def padded_sql(ids: str, size: str) -> str:
+    return f"list_resize({ids}[1:{LONGEST}], {size}, 0)"
+
+
+BATCHED = f"""WITH {vocab_sql('conversations')},
+{EXCHANGES},
+rendered AS (
+  SELECT seq, {chat_sql(STUDENT)} AS student, {chat_sql(TEACHER)} AS teacher, completion FROM pairs),
+{encoded_sql('students', 'rendered', 'seq', 'student')},
+{encoded_sql('teachers', 'rendered', 'seq', 'teacher')},
+{encoded_sql('answers', 'rendered', 'seq', 'completion')},
+batched AS (
+  SELECT seq, (row_number() OVER (ORDER BY seq) - 1) // {BATCH} AS batch_id, s.ids AS s, t.ids AS t,
+         list_resize(a.ids, {REPLY}, 0) AS c, least(len(s.ids), {LONGEST}) AS slen,
+         least(len(t.ids), {LONGEST}) AS tlen
+  FROM students s JOIN teachers t USING (seq) JOIN answers a USING (seq)),
+sized AS (
+  SELECT *, max(slen) OVER (PARTITION BY batch_id) AS smax, max(tlen) OVER (PARTITION BY batch_id) AS tmax
+  FROM batched),
+joined AS (
+  SELECT seq, batch_id, slen, list_concat({padded_sql('s', 'smax')}, c) AS sids,
+         list_concat({padded_sql('t', 'tmax')}, c) AS tids FROM sized)"""
+
+
+@B.add(
+    "distillation_batch",
+    f"""{BATCHED} SELECT seq, batch_id, {ids_sql('sids')} AS student_input_ids,
+  {ids_sql('tids')} AS teacher_input_ids,
+  {ids_sql('list_transform(tids, lambda x: CASE WHEN x = 0 THEN 0 ELSE 1 END)')} AS teacher_attention_mask,
+  {ids_sql('list_transform(sids, lambda x, i: CASE WHEN i <= slen OR x = 0 THEN -100 ELSE x END)')} AS labels
+FROM joined""",
+)
+def distillation_batch(spark, d):
+    """User turns as problems, the replies as solutions and as completions."""
+    turns = table(spark, d, "conversations")
+    vocab = materialize(build_vocab(turns, "text"), "vocab")
+    rows = pairs(spark, d)
+    corpus = rows.select(
+        "seq", F.col("prompt").alias("problem"), F.col("completion").alias("solution")
+    )
+    batches = assign_batch(rows.select("seq"), BATCH, "seq")
+    prompts = collate_prompts(prompt_pairs(corpus, "seq"), batches, vocab, "seq", LONGEST)
+    completions = encode(rows, "seq", "completion", vocab)
+    out = assemble(prompts, completions, "seq", REPLY)
+    columns = ["student_input_ids", "teacher_input_ids", "teacher_attention_mask", "labels"]
+    return out.select("seq", "batch_id", *[joined_ids(c).alias(c) for c in columns])
+
+
 # Generation logs -----------------------------------------------------------------------------------
 
 

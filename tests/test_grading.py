@@ -212,3 +212,33 @@ def test_registry(spark):
     assert grader("equivalent") is equivalent
     with pytest.raises(ValueError):
         grader("unknown")
+
+
+def test_hot_problem_is_split_at_run_time(spark):
+    """One problem with a third of all rows and only distinct answers: adaptive execution splits it."""
+    hot = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 5000)
+    completions = spark.range(150_000, numPartitions=16).select(
+        hot.alias("problem_id"),
+        F.col("id").cast("int").alias("sample_idx"),
+        F.concat(F.lit("so \\boxed{a"), F.col("id").cast("string"), F.lit("}")).alias("text"),
+    )
+    problems = spark.range(-1, 5000).select(F.col("id").alias("problem_id"), F.lit("a0").alias("ground_truth"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "10k",  # several map tasks, as at scale
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        for result in (G.evaluate(completions, problems), G.grade(completions, problems)):
+            rows = result.collect()
+            plan = result._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin(skew=true)" in plan
+            assert len(rows) in (150_000, result.select("problem_id").distinct().count())
+    finally:
+        for key in settings:
+            spark.conf.unset(key)

@@ -12,6 +12,7 @@ from sparkeval.functions import prompts as P
 from sparkeval.functions import sequences as A
 from sparkeval.operators import chat as C
 from sparkeval.operators import sequences as S
+from sparkeval.operators.distillation import assemble, collate_prompts, prompt_pairs
 from sparkeval.registry import collate_with
 
 
@@ -173,3 +174,30 @@ def test_chat(spark):
     assert [(r.prompt, r.completion) for r in C.exchanges(df).orderBy("turn").collect()] == [
         ("t0", "t1"), ("t2", "t3"), ("t4", "t5")
     ]
+
+
+def test_distillation_batch(spark):
+    corpus = spark.createDataFrame(
+        [(1, "one two", "three"), (2, "two", "three four")], "k long, problem string, solution string"
+    )
+    pairs = prompt_pairs(corpus, "k").orderBy("k").collect()
+    assert pairs[0].student.startswith("<|im_start|>user\nProblem: one two\n\nPlease reason")
+    assert "Here is a reference solution to this problem:\nthree\n" in pairs[0].teacher
+    assert pairs[0].teacher.endswith("<|im_end|>\n<|im_start|>assistant\n")
+    analysed = prompt_pairs(corpus, "k", reason_first=True).first().teacher
+    assert "=== Reference Reasoning Start ===\nthree\n" in analysed
+
+    texts = spark.createDataFrame([(1, "a b c d", "a a a"), (2, "b", "d c")], "k long, student string, teacher string")
+    vocab = spark.createDataFrame([(w, 1, i) for i, w in enumerate("abcd", 2)], "token string, n long, id int")
+    batches = spark.createDataFrame([(1, 0), (2, 0)], "k long, batch_id long")
+    prompts = collate_prompts(texts, batches, vocab, "k", max_length=3)
+    row = prompts.filter("k = 2").first()
+    assert (row.student_prompts, row.student_prompt_length) == ([3, 0, 0], 3)
+    assert (row.teacher_prompts, row.teacher_prompt_lengths_per_example) == ([5, 4, 0], 2)
+    assert row.teacher_prompt_attention_mask == [1, 1, 0]
+    replies = spark.createDataFrame([(1, [9, 9, 9]), (2, [7])], "k long, ids array<int>")
+    full = {r.k: r for r in assemble(prompts, replies, "k", 2).collect()}
+    assert full[1].student_input_ids == [2, 3, 4, 9, 9] and full[1].labels == [-100, -100, -100, 9, 9]
+    assert full[2].student_input_ids == [3, 0, 0, 7, 0] and full[2].labels == [-100, -100, -100, 7, -100]
+    assert full[2].teacher_input_ids == [5, 4, 0, 7, 0]
+    assert full[2].teacher_attention_mask == [1, 1, 0, 1, 0]
