@@ -266,7 +266,8 @@ def sample_bernoulli(spark, d):
 
 @B.add(
     "sample_flags",
-    """SELECT count(*) AS rows, count_if(substring(md5('7:' || doc_id), 1, 8) < '028f5c28') AS sampled
+    """SELECT count(*) AS rows,
+  count(*) FILTER (WHERE substring(md5('7:' || doc_id), 1, 8) < '028f5c28') AS sampled
 FROM documents""",
 )
 def sample_flags(spark, d):

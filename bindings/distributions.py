@@ -101,7 +101,7 @@ def pair_distributions(spark, d):
 
 @B.add(
     "gather_token",
-    f"""WITH {LONG} SELECT seq_id, pos, token_id, round(s, 6) + 0.0 AS s, round(t, 6) + 0.0 AS t
+    f"""WITH {LONG} SELECT seq_id, pos, CAST(token_id AS INTEGER) AS token_id, round(s, 6) + 0.0 AS s, round(t, 6) + 0.0 AS t
 FROM cells WHERE token_id = token""",
 )
 def gather_token(spark, d):
@@ -202,7 +202,7 @@ def jsd_masked(spark, d):
 
 @B.add(
     "mask_tokens",
-    """SELECT vec_id // 8 AS seq_id, count(*) AS tokens, count_if(label <> 0) AS unmasked,
+    """SELECT vec_id // 8 AS seq_id, count(*) AS tokens, count(*) FILTER (WHERE label <> 0) AS unmasked,
   string_agg(CASE WHEN label = 0 THEN '-100' ELSE CAST(label AS VARCHAR) END, ' ' ORDER BY vec_id)
     AS labels
 FROM embeddings GROUP BY vec_id // 8""",

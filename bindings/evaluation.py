@@ -48,9 +48,10 @@ WITH_GRADED = f"WITH {EVALUATED}"
 WITH_SCORED = f"WITH {EVALUATED},\n{votes_sql()}"
 TOTALS = f"""totals AS (
   SELECT count(*) AS num_problems, count(*) * {VAL_N} AS total_solutions,
-         count_if(has_correct) AS pass_at_n, coalesce(sum(num_correct), 0) AS average_at_n,
-         count_if(majority_vote_correct) AS majority_vote_at_n,
-         coalesce(sum(num_formatted), 0) AS formatted_count
+         count(*) FILTER (WHERE has_correct) AS pass_at_n,
+         CAST(coalesce(sum(num_correct), 0) AS BIGINT) AS average_at_n,
+         count(*) FILTER (WHERE majority_vote_correct) AS majority_vote_at_n,
+         CAST(coalesce(sum(num_formatted), 0) AS BIGINT) AS formatted_count
   FROM problems LEFT JOIN scored USING (problem_id))"""
 WITH_TOTALS = f"{WITH_SCORED},\n{TOTALS}"
 
@@ -216,8 +217,8 @@ def grade_table(spark, d):
 
 @B.add(
     "per_problem",
-    f"""{WITH_GRADED} SELECT problem_id, count(*) AS num_samples, count_if(correct) AS num_correct,
-  count_if(formatted) AS num_formatted, bool_or(correct) AS has_correct FROM graded GROUP BY problem_id""",
+    f"""{WITH_GRADED} SELECT problem_id, count(*) AS num_samples, count(*) FILTER (WHERE correct) AS num_correct,
+  count(*) FILTER (WHERE formatted) AS num_formatted, bool_or(correct) AS has_correct FROM graded GROUP BY problem_id""",
 )
 def per_problem(spark, d):
     return grading.per_problem(grading.grade(completions(spark, d), problems(spark, d)))
@@ -250,7 +251,7 @@ def pass_at_n(spark, d):
     "avg_at_n",
     f"""{WITH_TOTALS} SELECT total_solutions, average_at_n,
   {pct('average_at_n', 'total_solutions', 'average_at_n_pct')},
-  (SELECT round(count_if(correct) / count(*)::DOUBLE * 100, 6) FROM graded) AS observed_pct FROM totals""",
+  (SELECT round(count(*) FILTER (WHERE correct) / count(*)::DOUBLE * 100, 6) FROM graded) AS observed_pct FROM totals""",
 )
 def avg_at_n(spark, d):
     """Both denominators: the samples asked for, and the samples there are."""
@@ -411,8 +412,8 @@ def resume_anti_join(spark, d):
 {votes_sql('run_id, problem_id')}
 SELECT run_id, np AS num_problems, np * {VAL_N} AS total_solutions,
   {pct('sum(num_correct)', f'(np * {VAL_N})', 'average_at_n_pct')},
-  {pct('count_if(has_correct)', 'np', 'pass_at_n_pct')},
-  {pct('count_if(majority_vote_correct)', 'np', 'majority_vote_at_n_pct')}
+  {pct('count(*) FILTER (WHERE has_correct)', 'np', 'pass_at_n_pct')},
+  {pct('count(*) FILTER (WHERE majority_vote_correct)', 'np', 'majority_vote_at_n_pct')}
 FROM scored, (SELECT count(*) AS np FROM problems) GROUP BY run_id, np""",
 )
 def leaderboard(spark, d):

@@ -117,8 +117,8 @@ def votes_sql(keys: str = "problem_id") -> str:
 scored AS (
   SELECT {cs}, c.num_samples, c.num_correct, c.num_formatted, c.num_correct > 0 AS has_correct,
          coalesce(v.won, false) AS majority_vote_correct
-  FROM (SELECT {keys}, count(*) AS num_samples, count_if(correct) AS num_correct,
-               count_if(formatted) AS num_formatted FROM graded GROUP BY {keys}) c
+  FROM (SELECT {keys}, count(*) AS num_samples, count(*) FILTER (WHERE correct) AS num_correct,
+               count(*) FILTER (WHERE formatted) AS num_formatted FROM graded GROUP BY {keys}) c
   LEFT JOIN votes v ON {on})"""
 
 
