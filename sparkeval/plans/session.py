@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +21,14 @@ ADAPTIVE = {
 TIME_ZONE = {"spark.sql.session.timeZone": "UTC"}
 
 
+# Python workers look for the package where the driver found it, besides their own path.
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
 def configure(spark: SparkSession) -> SparkSession:
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     for key, value in {**ADAPTIVE, **TIME_ZONE}.items():
         spark.conf.set(key, value)
     return spark
