@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkeval.llm import classifier, decontam, pieces, quality, secret_scan, tokens
+from sparkeval.llm import classifier, decontam, neardup, pieces, quality, repeats, secret_scan, tokens
 from sparkeval.llm.common import prepared
 from sparkeval.plans.session import materialize
 
@@ -78,6 +78,16 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(documents(spark, sf_dir))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "kept.n_words", "kept.n_removed", F.sha2("kept.text", 256).alias("kept_sha256")
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality.ledger(documents(spark, sf_dir))
     failures = F.col("quality.failures")
@@ -134,6 +144,8 @@ QUERIES = {
     for f in (
         op2_token_counts,
         op3_secret_scan,
+        op4_minhash_near_dedup,
+        op5_substring_dedup,
         op6_quality_rules,
         op8_decontamination,
         op9_quality_classifier,
@@ -141,7 +153,41 @@ QUERIES = {
     )
 }
 WHITE_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = {
+    "op4_minhash_near_dedup": rf"""
+      WITH RECURSIVE d AS (
+        SELECT doc_id, {WHITE_WORDS.replace("coalesce(text, '')", LOWERED)} AS w FROM documents),
+      s AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+      n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+      links AS (
+        SELECT a, b FROM (
+          SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id
+          GROUP BY 1, 2)
+        JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+      reach AS (
+        SELECT doc_id AS a, doc_id AS b FROM documents
+        UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+      SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept
+      FROM documents LEFT JOIN n USING (doc_id) JOIN reach ON a = doc_id GROUP BY doc_id, n""",
+    "op5_substring_dedup": rf"""
+      WITH d AS (SELECT doc_id, {WHITE_WORDS} AS w FROM documents),
+      windows AS (
+        SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+      later AS (
+        SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY g) AS least FROM windows)
+        WHERE least < doc_id),
+      gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM later),
+      words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+      kept AS (
+        SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text
+        FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+      SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+        sha256(coalesce(text, '')) AS kept_sha256
+      FROM d LEFT JOIN kept USING (doc_id)""",
     "op6_quality_rules": rf"""
       WITH d AS (
         SELECT doc_id, coalesce(text, '') AS text, {WHITE_WORDS} AS w FROM documents),
