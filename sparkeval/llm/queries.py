@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkeval.llm import classifier, decontam, neardup, pieces, quality, repeats, secret_scan, tokens
+from sparkeval.llm import chat_views, classifier, decontam, licenses, neardup, pieces, quality, repeats, secret_scan, tokens
 from sparkeval.llm.common import prepared
 from sparkeval.plans.session import materialize
 
@@ -26,6 +26,17 @@ def joined(items: Column | str) -> Column:
     return F.array_join(items, ",")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        *[f"licences.{c}" for c in ("n_words", "n_base", "first_word", "last_word")],
+        joined("licences.base_labels").alias("base_labels"),
+        joined("licences.labels").alias("labels"),
+        "licences.score",
+    )
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts before and after three edits of every document, the places drawn from its id: a
     sentence goes in, thirty characters go, ten become upper case."""
@@ -100,6 +111,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    span = lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))
+    return chat_views.views(turns).select(
+        "conv_id", "speaker", "part", "first_turn", "n_turns", "text", joined(F.transform("mask", span)).alias("mask")
+    )
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = table(spark, sf_dir, "benchmark", "item_id", "text")
     found = decontam.contamination(documents(spark, sf_dir), benchmark)
@@ -142,11 +161,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_license_scan,
         op2_token_counts,
         op3_secret_scan,
         op4_minhash_near_dedup,
         op5_substring_dedup,
         op6_quality_rules,
+        op7_chat_formatting,
         op8_decontamination,
         op9_quality_classifier,
         op10_sentencepiece,
@@ -154,7 +175,58 @@ QUERIES = {
 }
 WHITE_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TEMPLATES = ", ".join(
+    f"({number}, '{label}', {str(number < len(licenses.PHRASES)).lower()}, string_split('{text}', ' '))"
+    for number, (text, label) in enumerate(licenses.PHRASES + licenses.NOTICES)
+)
 ORACLE = {
+    "op1_license_scan": rf"""
+      WITH d AS (
+        SELECT doc_id, regexp_extract_all({LOWERED}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+      t AS (SELECT * FROM (VALUES {TEMPLATES}) v(template, label, phrase, w)),
+      tg AS (
+        SELECT template, label, phrase, len(w) - 1 AS grams, i, w[i] || ' ' || w[i + 1] AS g
+        FROM (SELECT *, unnest(range(1, len(w))) AS i FROM t)),
+      dg AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] AS g
+             FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
+      hits AS (SELECT DISTINCT doc_id, template, label, phrase, grams, dg.i - tg.i AS diagonal, tg.i AS tpos, dg.i AS p
+               FROM dg JOIN tg USING (g)),
+      diagonals AS (SELECT DISTINCT doc_id, template, phrase, diagonal FROM hits),
+      numbered AS (
+        SELECT *, sum(CASE WHEN phrase OR diagonal - before > {licenses.MAX_SHIFT} THEN 1 ELSE 0 END)
+          OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span
+        FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS before FROM diagonals)),
+      spans AS (
+        SELECT doc_id, label, phrase, count(DISTINCT tpos) / max(grams) AS share, min(p) - 1 AS first
+        FROM hits JOIN numbered USING (doc_id, template, phrase, diagonal) GROUP BY doc_id, template, label, phrase, span),
+      good AS (SELECT *, phrase AS base FROM spans WHERE share >= CASE WHEN phrase THEN 1 ELSE {licenses.MIN_SHARE} END),
+      per AS (
+        SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(first) FILTER (WHERE base) AS first_word,
+          max(first) FILTER (WHERE base) AS last_word,
+          array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE base))), ',') AS base_labels,
+          array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(share) AS score
+        FROM good GROUP BY doc_id)
+      SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+        CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+        CAST(round(coalesce(score, 0), 6) AS DOUBLE) AS score
+      FROM d LEFT JOIN per USING (doc_id)""",
+    "op7_chat_formatting": rf"""
+      WITH c AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text, turn // {chat_views.PART_TURNS} AS part
+                 FROM conversations),
+      speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM c WHERE role <> 'system'),
+      s AS (
+        SELECT conv_id, speaker, part, turn, role = speaker AS own,
+          '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant'
+            ELSE 'user name=' || role END || chr(10) AS head, text || '<|im_end|>' AS said
+        FROM c JOIN speakers USING (conv_id)),
+      p AS (SELECT *, coalesce(sum(length(head) + length(said)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS said_at FROM s)
+      SELECT conv_id, speaker, CAST(part AS BIGINT) AS part, CAST(min(turn) AS BIGINT) AS first_turn,
+        count(*) AS n_turns, string_agg(head || said, '' ORDER BY turn) AS text,
+        coalesce(string_agg(CAST(said_at AS BIGINT) || ':' || CAST(said_at + length(said) AS BIGINT), ',' ORDER BY turn)
+          FILTER (WHERE own), '') AS mask
+      FROM p GROUP BY conv_id, speaker, part""",
     "op4_minhash_near_dedup": rf"""
       WITH RECURSIVE d AS (
         SELECT doc_id, {WHITE_WORDS.replace("coalesce(text, '')", LOWERED)} AS w FROM documents),
