@@ -13,6 +13,7 @@ from sparkeval.functions import prompts as P
 from sparkeval.functions.hashing import hash_below
 from sparkeval.operators.selection import dedup_first, sample_exact, sample_fraction, split
 from sparkeval.operators.selection import with_ordinal
+from sparkeval.plans.ordering import numbered
 from sparkeval.sources.benchmarks import SHAPES, first_samples, unify_benchmarks
 from sparkeval.sources.tables import read_corpus
 
@@ -104,6 +105,16 @@ def ordinal_id(spark, d):
     return with_ordinal(table(spark, d, "pages").select("page_id", "url"), "page_id")
 
 
+@B.add(
+    "ordinal_text",
+    "SELECT page_id, url, row_number() OVER (ORDER BY url, page_id) - 1 AS ordinal FROM pages",
+)
+def ordinal_text(spark, d):
+    """In the order of a text, with cuts far below the size of the table."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    return numbered(pages, [], ["url", "page_id"], "ordinal", rows_per_range=40)
+
+
 @B.add(
     "prompt_eval",
     f"""{UNIFIED} SELECT dataset, problem_id, problem || chr(10) || chr(10) || {INSTRUCTION} AS prompt

@@ -327,11 +327,13 @@ def progress_snapshot(spark, d):
 
 @B.add(
     "eval_results",
-    f"""{WITH_SCORED} SELECT p.problem_id, p.problem, p.ground_truth, {VAL_N} AS val_n, s.num_correct,
-  s.has_correct AS pass_at_n, s.majority_vote_correct, g.predicted AS predicted_answer,
-  g.text AS full_generation, g.correct, g.formatted
-FROM problems p JOIN scored s USING (problem_id)
-JOIN graded g ON g.problem_id = p.problem_id AND g.sample_idx = 0""",
+    f"""{WITH_SCORED} SELECT p.problem_id, p.problem, p.ground_truth, {VAL_N} AS val_n,
+  coalesce(s.num_correct, 0) AS num_correct, coalesce(s.has_correct, false) AS pass_at_n,
+  coalesce(s.majority_vote_correct, false) AS majority_vote_correct,
+  coalesce(g.predicted, '[No boxed answer found]') AS predicted_answer,
+  g.text AS full_generation, coalesce(g.correct, false) AS correct, coalesce(g.formatted, false) AS formatted
+FROM problems p LEFT JOIN scored s USING (problem_id)
+LEFT JOIN graded g ON g.problem_id = p.problem_id AND g.sample_idx = 0""",
 )
 def eval_results(spark, d):
     rows = completions(spark, d)
@@ -382,6 +384,62 @@ def eval_report(spark, d):
     )
 
 
+RUNS_SCORED = f"WITH {EVALUATED},\n{votes_sql('run_id, problem_id')}"
+
+
+def scored_runs(spark: SparkSession, d: str) -> DataFrame:
+    return grading.evaluate(completions(spark, d), problems(spark, d), keys=RUN)
+
+
+@B.add(
+    "eval_results_runs",
+    f"""{RUNS_SCORED} SELECT s.run_id, p.problem_id, p.problem, p.ground_truth, {VAL_N} AS val_n, s.num_correct,
+  s.has_correct AS pass_at_n, s.majority_vote_correct, g.predicted AS predicted_answer,
+  g.text AS full_generation, g.correct, g.formatted
+FROM problems p JOIN scored s USING (problem_id)
+JOIN (SELECT *, row_number() OVER (PARTITION BY run_id, problem_id ORDER BY sample_idx) AS r FROM graded) g
+  ON g.problem_id = p.problem_id AND g.run_id = s.run_id AND r = 1""",
+)
+def eval_results_runs(spark, d):
+    """Per run; the first sample of a run is any index, as samples are numbered per problem."""
+    rows = completions(spark, d)
+    return grading.results(rows, problems(spark, d), scored_runs(spark, d), VAL_N, runs=["run_id"])
+
+
+@B.add(
+    "eval_generations_runs",
+    f"""{WITH_GRADED} SELECT run_id, problem_id, CAST(sample_idx // 64 AS INTEGER) AS part,
+  string_agg(sample_idx || '|' || predicted || '|' || correct, ';' ORDER BY sample_idx) AS generations
+FROM graded GROUP BY run_id, problem_id, sample_idx // 64""",
+)
+def eval_generations_runs(spark, d):
+    nested = grading.generations(completions(spark, d), problems(spark, d), runs=["run_id"])
+    fields = ["sample_idx", "predicted_answer", "correct"]
+    sample = lambda g: F.concat_ws("|", *[g[f].cast("string") for f in fields])
+    return nested.withColumn("generations", F.array_join(F.transform("generations", sample), ";"))
+
+
+@B.add(
+    "running_metrics_runs",
+    f"""{RUNS_SCORED},
+ordered AS (
+  SELECT run_id, ord, problem_id, row_number() OVER o AS idx, coalesce(has_correct, false) AS has_correct,
+         coalesce(num_correct, 0) AS num_correct,
+         sum(CASE WHEN has_correct THEN 1 ELSE 0 END) OVER o AS p,
+         sum(coalesce(num_correct, 0)) OVER o AS c, sum(coalesce(num_formatted, 0)) OVER o AS f
+  FROM (SELECT DISTINCT run_id FROM scored) CROSS JOIN problems LEFT JOIN scored USING (run_id, problem_id)
+  WINDOW o AS (PARTITION BY run_id ORDER BY ord ROWS UNBOUNDED PRECEDING))
+SELECT run_id, ord, problem_id, idx, has_correct, num_correct, {pct('p', 'idx', 'pass_at_n_pct')},
+       {pct('c', f'(idx * {VAL_N})', 'average_at_n_pct')}, {pct('f', f'(idx * {VAL_N})', 'format_rate')}
+FROM ordered""",
+)
+def running_metrics_runs(spark, d):
+    """Each run over all problems, answered or not."""
+    stored = materialize(scored_runs(spark, d), "scored")
+    out = grading.running_metrics(stored, problems(spark, d), VAL_N, runs=["run_id"])
+    return out.withColumns(rounded("pass_at_n_pct", "average_at_n_pct", "format_rate"))
+
+
 @B.add(
     "explode_outputs",
     f"{WITH_LAST} SELECT problem_id, sample_idx, text FROM completions",

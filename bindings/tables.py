@@ -66,8 +66,7 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
         *order,
         completion_text().alias("text"),
     )
-    place = F.col("l_linenumber") * 1e9 + F.col("l_partkey")
-    numbered = ranks(named, ["problem_id"], order, "sample_idx", position=place)
+    numbered = ranks(named, ["problem_id"], order, "sample_idx")
     return numbered.select("run_id", "problem_id", F.col("sample_idx").cast("int"), "text")
 
 

@@ -11,8 +11,8 @@ from sparkeval.functions.common import ColumnOrName, as_column
 
 
 def hash_order(seed: int, key: ColumnOrName) -> Column:
-    """32 hex digits; sorting by them is a seeded shuffle of the keys."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), as_column(key).cast("string")))
+    """32 hex digits; sorting by them is a seeded shuffle of the keys, null being one."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(as_column(key).cast("string"), F.lit(""))))
 
 
 def hash_below(seed: int, key: ColumnOrName, fraction: float) -> Column:

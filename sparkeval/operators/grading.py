@@ -16,7 +16,7 @@ from sparkeval.functions.answers import (
     stored_prediction,
 )
 from sparkeval.plans.ordering import running_sums
-from sparkeval.plans.skew import attach
+from sparkeval.plans.skew import attach, same_group
 
 Grader = Callable[[Column, Column], Column]
 PROBLEM = ["problem_id"]
@@ -220,7 +220,7 @@ def summary(
 
 
 def leaderboard(summaries: DataFrame) -> DataFrame:
-    """Runs with their average accuracy, best first (a rank, not a sort of the table)."""
+    """Runs with their average accuracy, sorted, best first: a row per run, so the sort is small."""
     return summaries.select(
         "run_id",
         "num_problems",
@@ -239,15 +239,25 @@ def running_metrics(
     runs: list[str] | None = None,
     **ranges,
 ) -> DataFrame:
-    """Rates after each problem in ``order``, which is numeric and unique within a run.
+    """Rates after each problem in ``order``, which is unique; problems without an answer count.
 
-    ``scored`` is read several times: pass a stored table, not the whole evaluation.
+    With ``runs`` every run that reported anything gets a row for every problem: the result of the
+    report, a row per run and problem. ``scored`` is read several times: pass a stored table.
     """
     runs = runs or []
     listed = problems.select("problem_id", order)
-    if runs:  # every problem of a run that reported at least one
-        listed = scored.select(*runs, "problem_id").join(listed, "problem_id")
-    rows = listed.join(scored, [*runs, "problem_id"], "left").fillna(
+    if runs:
+        # Each problem is repeated once per run, from a list of the runs (names, not results).
+        names = scored.select(F.struct(*runs).alias("_run")).distinct()
+        listed_runs = names.agg(F.sort_array(F.collect_list("_run")).alias("_runs"))
+        one = F.lit(0).alias("_one")
+        listed = (
+            listed.select("*", one)
+            .join(F.broadcast(listed_runs.select("*", one)), "_one")
+            .select("problem_id", order, F.explode("_runs").alias("_run"))
+            .select("_run.*", "problem_id", order)
+        )
+    rows = same_group(listed, scored, [*runs, "problem_id"], "left").fillna(
         0, ["num_correct", "num_formatted"]
     )
     sums = {
@@ -282,19 +292,26 @@ def results(
     val_n: int,
     grader: Grader = equivalent,
     text: str = "text",
+    runs: list[str] | None = None,
 ) -> DataFrame:
-    """Report header, one row per problem; the first sample (``sample_idx`` 0) stands at the top level.
+    """Report header, one row per problem (and run); the first sample stands at the top level.
 
-    Only the first samples' texts are read and moved.
+    The first is the one with the lowest ``sample_idx``, found on narrow rows; only its text is moved.
+    Problems without an answer are kept, with zeros and the mark for a missing answer: without ``runs``
+    all problems, with ``runs`` all that ``scored`` lists for the run.
     """
-    columns = [c for c in completions.columns if c in ("problem_id", text)]
-    first = completions.filter(F.col("sample_idx") == 0).select(
-        *columns, boxed_last(text).alias("_answer")
-    )
+    runs = runs or []
+    keys = [*runs, "problem_id"]
+    lowest = completions.groupBy(*keys).agg(F.min("sample_idx").alias("sample_idx"))
+    first = same_group(
+        completions.select(*keys, "sample_idx", text), lowest, [*keys, "sample_idx"], "left_semi"
+    ).select(*keys, text, boxed_last(text).alias("_answer"))
     gold = problems.select("problem_id", "problem", "ground_truth")
-    joined = gold.join(scored, "problem_id").join(first, "problem_id", "left")
+    listed = gold.join(scored, "problem_id", "inner" if runs else "left")
+    joined = same_group(listed, first, keys, "left").fillna(0, ["num_correct"])
+    joined = joined.fillna(False, ["has_correct", "majority_vote_correct"])
     return joined.select(
-        "problem_id",
+        *keys,
         "problem",
         "ground_truth",
         F.lit(val_n).alias("val_n"),
@@ -317,8 +334,9 @@ def generations(
     grader: Grader = equivalent,
     part_size: int = 64,
     text: str = "text",
+    runs: list[str] | None = None,
 ) -> DataFrame:
-    """Report detail: the samples of a problem in order, nested in parts of ``part_size``.
+    """Report detail: the samples of a problem (and run) in order, nested in parts of ``part_size``.
 
     A problem may have any number of samples, a row may not: part ``p`` holds the samples
     ``p * part_size`` up to the next part.
@@ -334,7 +352,7 @@ def generations(
         "correct",
         "formatted",
     )
-    return graded.groupBy("problem_id", part.alias("part")).agg(
+    return graded.groupBy(*(runs or []), "problem_id", part.alias("part")).agg(
         F.array_sort(F.collect_list(sample)).alias("generations")
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkeval.functions.hashing import hash_below, hash_order
-from sparkeval.plans.ordering import ranks
+from sparkeval.plans.ordering import numbered
 
 GROUP_LIMIT = 1000  # Spark keeps only the first rows of a group before the shuffle up to this many
 
@@ -28,10 +28,13 @@ def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def sample_exact(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """``n`` rows picked by a seeded hash of the unique ``key``; raises if there are fewer."""
+    """``n`` rows picked by a seeded hash of the unique ``key``; raises if there are fewer.
+
+    A filter: the rows up to the ``n``-th in the seeded order, which is found by counting.
+    """
     if df.select(key).limit(n).count() < n:
         raise ValueError(f"cannot sample {n} rows: the table has fewer")
-    return df.orderBy(hash_order(seed, key), key).limit(n)
+    return df.filter(_upto(df, n, seed, key)) if n else df.limit(0)
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed: int, key: str) -> DataFrame:
@@ -64,6 +67,14 @@ def split_point(df: DataFrame, rows: int, seed: int, key: str) -> tuple[str, obj
             return cut["_h"], cut["_k"]
 
 
+def _upto(df: DataFrame, rows: int, seed: int, key: str) -> Column:
+    """True for the first ``rows`` rows in the seeded order, and false for the others."""
+    cut_hash, cut_key = split_point(df, rows, seed, key)
+    order = hash_order(seed, key)
+    at_cut = (order == cut_hash) & F.coalesce(F.col(key) <= F.lit(cut_key), F.lit(cut_key is None))
+    return (order < cut_hash) | at_cut
+
+
 def split_flag(df: DataFrame, test_size: float, seed: int, key: str) -> Column:
     """True for the ``ceil(test_size * rows)`` first rows in the seeded order of the unique ``key``.
 
@@ -73,9 +84,7 @@ def split_flag(df: DataFrame, test_size: float, seed: int, key: str) -> Column:
     wanted = math.ceil(Decimal(str(test_size)) * rows)
     if wanted == 0:
         return F.lit(False)
-    cut_hash, cut_key = split_point(df, wanted, seed, key)
-    order = hash_order(seed, key)
-    return (order < cut_hash) | ((order == cut_hash) & (F.col(key) <= F.lit(cut_key)))
+    return _upto(df, wanted, seed, key)
 
 
 def split(
@@ -105,8 +114,8 @@ def last_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFram
 
 
 def with_ordinal(df: DataFrame, order: str, name: str = "ordinal", **ranges) -> DataFrame:
-    """Number all rows from 0 in ``order``."""
-    return ranks(df, [], [order], name, **ranges)
+    """Number all rows from 0 in ``order`` (unique, nulls first)."""
+    return numbered(df, [], [order], name, **ranges)
 
 
 def pending(problems: DataFrame, graded: DataFrame, keys: list[str]) -> DataFrame:

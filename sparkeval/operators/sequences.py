@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkeval.functions.sequences import pad_to, tokens
-from sparkeval.plans.ordering import ranks
+from sparkeval.plans.ordering import numbered
 from sparkeval.plans.skew import attach
 
 
@@ -64,9 +64,8 @@ def encode(
 def assign_batch(
     df: DataFrame, size: int, order: str, name: str = "batch_id", **ranges
 ) -> DataFrame:
-    """Consecutive batches of ``size`` rows in ``order`` (numeric, unique), with the place inside."""
-    numbered = ranks(df, [], [order], "_rank", **ranges)
-    return numbered.select(
+    """Consecutive batches of ``size`` rows in ``order`` (unique), with the place inside."""
+    return numbered(df, [], [order], "_rank", **ranges).select(
         *df.columns,
         F.floor(F.col("_rank") / size).cast("long").alias(name),
         F.pmod(F.col("_rank"), F.lit(size)).cast("int").alias("batch_pos"),

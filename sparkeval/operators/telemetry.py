@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkeval.plans.ordering import RANGE, ROWS_PER_RANGE, position_of, ranks, with_ranges
-from sparkeval.plans.skew import attach
+from sparkeval.plans.ordering import RANGE, ROWS_PER_RANGE, numbered, prefix_maps, with_ranges
+from sparkeval.plans.session import materialize
+from sparkeval.plans.skew import attach, same_group
 
 
 def metric_means(telemetry: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -78,90 +79,65 @@ def ema(
 ) -> DataFrame:
     """Add ``ema``: the first value of a key, then decay * ema + (1 - decay) * value in ``order``.
 
-    ``order[0]`` is numeric or a timestamp and the whole of ``order`` is unique within ``keys``.
-    ``start`` (keys, ema) continues earlier averages.
+    The whole of ``order`` is unique within ``keys``; null is a key like any other. ``start`` (keys, ema)
+    continues earlier averages.
 
-    A long series is cut into order ranges, so that it spreads over tasks. Inside a
-    range the average is a running sum of value / decay**i, scaled back, over blocks short enough for
-    ``decay**-i`` to stay a finite double; what a whole block carries over from before it is below
-    1e-250 of its own size, so a block needs only the end of the one before. Range ends are then folded
-    per key (at most MAX_RANGES numbers) and each range adds what it inherits.
+    A long series is cut into order ranges, and a range into blocks short enough for ``decay**-i`` to
+    stay finite. Inside a block the average is a running sum of value / decay**i, scaled back, with
+    values in units of the block's largest. A block maps what it inherits to its end; these maps are
+    composed along the blocks of a range and along the ranges of a key, so nothing is cut off.
     """
     x = F.col(value).cast("double")
     if not 0 <= decay <= 1:
         raise ValueError("decay must lie between 0 and 1")
     if decay == 0:
         return df.withColumn("ema", x)
-    block = math.ceil(600 / -math.log(decay)) if decay < 1 else 2**62
-    ranged, was_cut = with_ranges(df, keys, position_of(df, order), rows_per_range)
+    block = max(1, math.ceil(100 / -math.log(decay))) if decay < 1 else 2**62
+    ranged, was_cut = with_ranges(df, keys, order, rows_per_range)
     here = Window.partitionBy(*keys, RANGE).orderBy(*order)
-    upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = here.rowsBetween(Window.unboundedPreceding, -1)
-    place = F.row_number().over(here) - 1
-    inside = Window.partitionBy(*keys, RANGE, "_block").orderBy(*order).rowsBetween(
+    units = [*keys, RANGE, "_block"]
+    inside = Window.partitionBy(*units).orderBy("_i").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     placed = (
         ranged.withColumn("_x", x)
-        .withColumn("_place", place)
+        .withColumn("_place", (F.row_number().over(here) - 1).cast("bigint"))
         .withColumn("_block", F.floor(F.col("_place") / block))
         .withColumn("_i", F.pmod(F.col("_place"), F.lit(block)) + 1)
+        .withColumn("_m", F.max(F.abs("_x")).over(Window.partitionBy(*units)))
+        .withColumn("_m", F.when(F.col("_m") > 0, F.col("_m")).otherwise(1.0))
     )
     power = F.pow(F.lit(float(decay)), F.col("_i"))
-    local = placed.withColumn(
-        "_local", (1 - decay) * F.sum(F.col("_x") / power).over(inside) * power
-    )
-    block_end = F.last(F.when(F.col("_i") == block, F.col("_local")), ignorenulls=True).over(before)
-    local = local.withColumn("_carried", block_end).withColumn(
-        "_own", F.col("_local") + power * F.coalesce("_carried", F.lit(0.0))
-    )
-    # Null keys match nothing in the joins: their group is never cut and starts with its first value.
-    local = local.withColumn("_begin", F.first("_x").over(upto))
+    scaled = F.sum(F.col("_x") / F.col("_m") / power).over(inside) * power
+    local = placed.withColumn("_own", (1 - decay) * F.coalesce(scaled, F.lit(0.0)) * F.col("_m"))
+
+    ends = local.groupBy(*units).agg(
+        F.count("*").alias("_n"), F.max_by("_own", "_i").alias("_b"), F.min_by("_x", "_i").alias("_x0")
+    ).withColumn("_a", F.pow(F.lit(float(decay)), F.col("_n")))
     if was_cut:
-        ends = local.groupBy(*keys, RANGE).agg(
-            F.count("*").alias("n"),
-            F.min_by("_x", "_place").alias("first"),
-            F.max_by("_own", "_place").alias("end"),
-        )
-        folded = _fold_ranges(ends, keys, decay, start)
-        local = local.join(folded, [*keys, RANGE], "left")
-    elif start is not None:
-        begins = start.select(*keys, F.col("ema").alias("_inherited"))
-        local = local.join(begins, keys, "left")
+        ends = materialize(ends, "ends")
+        most = ends.agg(F.max("_block")).first()[0] + 1
+        ranges = ranged.agg(F.max(RANGE)).first()[0] + 1
     else:
-        local = local.withColumn("_inherited", F.lit(None).cast("double"))
-    local = local.withColumn("_inherited", F.coalesce("_inherited", "_begin"))
-    inherited = F.when(F.col("_carried").isNull(), power * F.col("_inherited")).otherwise(0.0)
-    return local.select(*df.columns, (F.col("_own") + inherited).alias("ema"))
-
-
-def _fold_ranges(
-    ends: DataFrame, keys: list[str], decay: float, start: DataFrame | None
-) -> DataFrame:
-    """(keys, range, _inherited): the average a range starts from."""
-    listed = ends.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(RANGE, "n", "first", "end"))).alias("_ends")
+        most, ranges = math.ceil(rows_per_range / block), 1
+    within = prefix_maps(ends.withColumns({"_pa": F.col("_a"), "_pb": F.col("_b")}), [*keys, RANGE], "_block", "_pa", "_pb", most)
+    last = F.struct(
+        (F.col("_a") * F.col("_pa")).alias("a"), (F.col("_b") + F.col("_a") * F.col("_pb")).alias("b")
     )
-    if start is None:
-        listed = listed.withColumn("_start", F.lit(None).cast("double"))
-    else:
-        listed = listed.join(start.select(*keys, F.col("ema").alias("_start")), keys, "left")
-    initial = F.coalesce("_start", F.col("_ends")[0]["first"])
-
-    def step(state: Column, r: Column) -> Column:
-        after = r["end"] + F.pow(F.lit(float(decay)), r["n"]) * state["last"]
-        return F.struct(
-            F.concat(state["seen"], F.array(F.struct(r[RANGE].alias(RANGE), state["last"].alias("e")))).alias(
-                "seen"
-            ),
-            after.alias("last"),
-        )
-
-    nothing = F.array().cast(f"array<struct<{RANGE}:int,e:double>>")
-    folded = F.aggregate("_ends", F.struct(nothing.alias("seen"), initial.alias("last")), step)
-    return listed.select(*keys, F.explode(folded["seen"]).alias("_r")).select(
-        *keys, F.col("_r")[RANGE].alias(RANGE), F.col("_r")["e"].alias("_inherited")
+    whole = within.groupBy(*keys, RANGE).agg(
+        F.max_by(last, "_block").alias("_last"), F.min_by("_x0", "_block").alias("_x0")
+    ).select(*keys, RANGE, "_x0", F.col("_last.a").alias("_ra"), F.col("_last.b").alias("_rb"))
+    first = F.first("_x0").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(RANGE))
+    across = prefix_maps(whole.withColumn("_start", first), keys, RANGE, "_ra", "_rb", ranges).drop("_x0")
+    if start is not None:
+        given = start.select(*keys, F.col("ema").alias("_given"))
+        across = same_group(across, given, keys, "left").withColumn("_start", F.coalesce("_given", "_start"))
+    across = across.select(*keys, RANGE, (F.col("_ra") * F.col("_start") + F.col("_rb")).alias("_into"))
+    inherited = same_group(within.select(*units, "_pa", "_pb"), across, [*keys, RANGE], "inner").select(
+        *units, (F.col("_pa") * F.col("_into") + F.col("_pb")).alias("_inherited")
     )
+    joined = same_group(local, inherited, units, "inner")
+    return joined.select(*df.columns, (F.col("_own") + power * F.col("_inherited")).alias("ema"))
 
 
 def flush_step(step: str, every: int = 5) -> Column:
@@ -174,7 +150,7 @@ def generation_log(
 ) -> DataFrame:
     """Records (step, prompt, completion) with the flush they belong to and their place in it."""
     flushed = df.withColumn("flush_step", flush_step(step, every))
-    return ranks(flushed, ["flush_step"], [order], "place", **ranges)
+    return numbered(flushed, ["flush_step"], [order], "place", **ranges)
 
 
 def generation_log_files(

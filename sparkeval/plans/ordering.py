@@ -1,73 +1,40 @@
-"""Ranks and running sums over long orders, without putting a whole group in one task.
+"""Ranks, running sums and prefix maps over long orders, without putting a whole group in one task.
 
-A window without a partition key, or over one very large key, runs in a single task. Here the order of
-such a group is cut into ranges first. Each range is summed on its own, the range totals (few rows) are
-accumulated, and each row adds the total of the ranges before its own. Groups that fit into one task
-stay whole.
+A window without a partition key, or over one very large key, runs in a single task. A table of more
+than ``ROWS_PER_RANGE`` rows is therefore sorted into ranges first, by keys and the whole order, so a
+group of any size and rows with equal first order columns spread. Each range is summed on its own, the
+range totals (a row per range and key) are accumulated, and each row adds the total of the ranges before
+its own. Only the columns that are needed travel; wide rows are joined with their place afterwards.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkeval.plans.session import materialize
+from sparkeval.plans.skew import same_group
+
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 4096
-MAX_LARGE = 10_000
 RANGE = "_range"
 
 
-def large_groups(df: DataFrame, keys: list[str], rows: int) -> DataFrame | None:
-    """The keys with more than ``rows`` rows, largest first, as a table made of at most ``MAX_LARGE``
-    literal rows; None if there are none."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > rows)
-    found = counts.orderBy(F.desc("_rows"), *keys).limit(MAX_LARGE).collect()
-    return df.sparkSession.createDataFrame(found, counts.schema) if found else None
-
-
 def with_ranges(
-    df: DataFrame, keys: list[str], position: Column, rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, keys: list[str], order: list[str], rows_per_range: int = ROWS_PER_RANGE
 ) -> tuple[DataFrame, bool]:
-    """Add ``_range``, the order range that ``position`` falls into; also whether any group was cut.
+    """Add ``_range``, which rises along ``keys`` and ``order``; also whether there is more than one.
 
-    Only groups with more than ``rows_per_range`` rows are cut, all others are range 0. The cut points
-    are approximate quantiles over the large groups, at most ``MAX_RANGES`` numbers, fixed in the plan:
-    which rows share a range can only change the balance, never the result. Equal positions share a
-    range.
+    The ranges are those of a range-partitioned sort, by any sortable columns, nulls first. They are
+    written to shared storage with their rows, so every reader, also one that runs again, sees the same.
+    Where the cuts fall changes the balance, never a result.
     """
-    whole = df.withColumn(RANGE, F.lit(0))
     rows = df.count()
     if rows <= rows_per_range:
-        return whole, False
-    located = df.withColumn("_position", position.cast("double"))
-    if keys:
-        large = large_groups(df, keys, rows_per_range)
-        if large is None:
-            return whole, False
-        located = located.join(F.broadcast(large), keys, "left")  # MAX_LARGE rows at most
-    else:
-        located = located.withColumn("_rows", F.lit(rows))
-    cut = located.filter(F.col("_rows").isNotNull())
-    ranges = min(MAX_RANGES, math.ceil((cut.count() if keys else rows) / rows_per_range))
-    probabilities = [i / ranges for i in range(1, ranges)]
-    cuts = cut.stat.approxQuantile("_position", probabilities, 0.1 / ranges)
-    edges = [-math.inf, *sorted(set(cuts)), math.inf]
-    cutter = Bucketizer(
-        splits=edges, inputCol="_position", outputCol="_raw_range", handleInvalid="keep"
-    )
-    number = F.when(F.col("_rows").isNotNull(), F.col("_raw_range").cast("int")).otherwise(0)
-    ranged = cutter.transform(located).withColumn(RANGE, number)
-    return ranged.drop("_position", "_rows", "_raw_range").select(*df.columns, RANGE), True
-
-
-def position_of(df: DataFrame, order: list[str]) -> Column:
-    """The first order column as a number."""
-    if dict(df.dtypes)[order[0]].startswith("timestamp"):
-        return F.unix_micros(F.col(order[0]).cast("timestamp"))
-    return F.col(order[0])
+        return df.withColumn(RANGE, F.lit(0)), False
+    dealt = df.repartitionByRange(math.ceil(rows / rows_per_range), *keys, *order)
+    return materialize(dealt.withColumn(RANGE, F.spark_partition_id()), "ranges"), True
 
 
 def running_sums(
@@ -75,16 +42,13 @@ def running_sums(
     keys: list[str],
     order: list[str],
     sums: dict[str, Column],
-    position: Column | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Add, per entry of ``sums``, its total over the rows up to and including this one.
 
-    ``order`` is unique within ``keys``. ``position`` is a number that never falls along ``order``; by
-    default its first column, a number or a timestamp. Few rows should share a position.
+    ``order`` is unique within ``keys`` and of any sortable types; nulls come first.
     """
-    place = position_of(df, order) if position is None else position
-    ranged, was_cut = with_ranges(df, keys, place, rows_per_range)
+    ranged, was_cut = with_ranges(df, keys, order, rows_per_range)
     here = Window.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -94,18 +58,18 @@ def running_sums(
         Window.unboundedPreceding, -1
     )
     totals = ranged.groupBy(*keys, RANGE).agg(*[F.sum(c).alias("_t_" + n) for n, c in sums.items()])
+    # A range begins inside one group at most, so this has a row per range at most.
     before = totals.select(
         *keys,
         RANGE,
+        F.count("*").over(earlier).alias("_ranges"),
         *[F.sum("_t_" + n).over(earlier).alias("_b_" + n) for n in sums],
-    )
-    if not keys:
-        before = F.broadcast(before)  # one row per range: MAX_RANGES at most
+    ).filter(F.col("_ranges") > 0)
     local = ranged.select("*", *[F.sum(c).over(here).alias("_l_" + n) for n, c in sums.items()])
-    # Null keys match nothing here: their group is never cut, and nothing comes before it.
-    earlier_sum = {n: F.coalesce(F.col("_b_" + n), F.lit(0)) for n in sums}
-    return local.join(before, [*keys, RANGE], "left").select(
-        *df.columns, *[(F.col("_l_" + n) + earlier_sum[n]).alias(n) for n in sums]
+    joined = same_group(local, before, [*keys, RANGE], "left")
+    return joined.select(
+        *df.columns,
+        *[(F.col("_l_" + n) + F.coalesce(F.col("_b_" + n), F.lit(0))).alias(n) for n in sums],
     )
 
 
@@ -115,3 +79,35 @@ def ranks(
     """Add the 0-based place of each row within ``keys`` in ``order``."""
     counted = running_sums(df, keys, order, {name: F.lit(1)}, **ranges)
     return counted.withColumn(name, F.col(name) - 1)
+
+
+def numbered(
+    df: DataFrame, keys: list[str], order: list[str], name: str, **ranges
+) -> DataFrame:
+    """``ranks`` for wide rows: keys and order are numbered alone, and every row looks its place up, so
+    texts and arrays never meet in the task that numbers."""
+    own = list(dict.fromkeys([*keys, *order]))
+    return same_group(df, ranks(df.select(*own), keys, order, name, **ranges), own, "inner")
+
+
+def prefix_maps(
+    units: DataFrame, keys: list[str], order: str, slope: str, shift: str, most: int
+) -> DataFrame:
+    """Replace (slope, shift), the map x -> slope * x + shift of each unit, by the map of all units
+    *before* it within ``keys``; the first gets x -> x.
+
+    Composed by doubling: a step joins each unit's map with the one that many places back, so no list
+    of units is built. ``most`` is the largest number of units of a key, or more.
+    """
+    along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
+    out = units.withColumns(
+        {slope: F.lag(slope, 1, 1.0).over(along), shift: F.lag(shift, 1, 0.0).over(along)}
+    )
+    back = 1
+    while back < most:
+        a, b = F.lag(slope, back, 1.0).over(along), F.lag(shift, back, 0.0).over(along)
+        out = out.withColumns(
+            {slope: F.col(slope) * a, shift: F.col(shift) + F.col(slope) * b}
+        )
+        back *= 2
+    return out

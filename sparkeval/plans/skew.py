@@ -26,8 +26,8 @@ def attach(
 
     A key with more than ``rows_per_salt`` rows is cut into that many shares by a hash of the columns
     ``spread``, and its single small row is repeated once per share, so no task gets the whole group.
-    The broadcast list of such keys is at most ``MAX_HOT`` rows long; keys beyond it are joined
-    unsalted. The hash is taken from the data, so a task that runs again gives the same rows.
+    The broadcast list of such keys is at most ``MAX_HOT`` rows long, the largest keys first: a key
+    beyond it holds less than one ``MAX_HOT``-th of all rows, which is no hot key. The hash is taken from the data, so a task that runs again gives the same rows.
     With ``null_group`` null is a key like any other, as in ``groupBy``.
     """
     hot = (
@@ -37,10 +37,10 @@ def attach(
         .select(*on, F.ceil(F.col(count) / rows_per_salt).cast("int").alias("_shares"))
     )
     shares = F.coalesce(F.col("_shares"), F.lit(1))
-    salted = big.join(F.broadcast(hot), on, "left").withColumn(
+    salted = _looked_up(big, hot, on, null_group).withColumn(
         "_salt", F.pmod(F.xxhash64(*spread), shares).cast("int")
     )
-    repeated = small.join(F.broadcast(hot), on, "left").withColumn(
+    repeated = _looked_up(small, hot, on, null_group).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), shares - 1))
     )
     salted, repeated, on = salted.drop("_shares"), repeated.drop("_shares"), [*on, "_salt"]
@@ -48,9 +48,17 @@ def attach(
     return joined.drop("_salt")
 
 
+def _looked_up(df: DataFrame, hot: DataFrame, on: list[str], null_group: bool) -> DataFrame:
+    if null_group:
+        return same_group(df, F.broadcast(hot), on, "left")
+    return df.join(F.broadcast(hot), on, "left")
+
+
 def same_group(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
     """Join on equal keys, null equal to null."""
     l, r = left.alias("_left"), right.alias("_right")
     equal = [F.col(f"_left.{c}").eqNullSafe(F.col(f"_right.{c}")) for c in on]
+    if how in ("left_semi", "left_anti"):
+        return l.join(r, reduce(and_, equal), how)
     added = [F.col(f"_right.{c}") for c in right.columns if c not in on]
     return l.join(r, reduce(and_, equal), how).select("_left.*", *added)

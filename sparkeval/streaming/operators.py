@@ -16,8 +16,10 @@ from sparkeval.functions.answers import equivalent
 from sparkeval.operators.grading import PROBLEM, Grader, count_answers, extract, score
 from sparkeval.operators.selection import last_n
 from sparkeval.operators.telemetry import ema, loss_windows
+from sparkeval.plans.skew import same_group
 from sparkeval.streaming.tables import changes_to, latest, start
 
+
 def stream_metrics(
     completions: DataFrame, path: str, keys: list[str] = PROBLEM, available_now: bool = True
 ) -> StreamingQuery:
@@ -85,7 +87,7 @@ def stream_ema(
         ends = spark.read.schema(values.schema).parquet(target)
         ends = ends.groupBy(*keys).agg(F.max_by("ema", F.struct(*order)).alias("ema"))
         if before is not None:
-            ends = ends.unionByName(before.join(ends, keys, "left_anti"))
+            ends = ends.unionByName(same_group(before, ends, keys, "left_anti"))
         ends.write.mode("overwrite").parquet(_held(path, batch_id))
 
     return start(stream, path, write, "append", available_now)

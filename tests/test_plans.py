@@ -8,8 +8,9 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from sparkeval.operators.selection import sample_exact, split
 from sparkeval.operators.telemetry import ema
-from sparkeval.plans.ordering import RANGE, ranks, running_sums, with_ranges
+from sparkeval.plans.ordering import RANGE, numbered, ranks, running_sums, with_ranges
 from sparkeval.plans.session import materialize, spread, work_dir
 from sparkeval.plans.skew import attach
 
@@ -144,14 +145,68 @@ def test_null_is_a_group(series, rows_per_range):
     assert joined.count() == len(rows) and joined.filter("k is null and n = 120").count() == 120
 
 
-def test_only_large_groups_are_cut(series):
+def test_large_groups_are_cut(series):
     _, df = series
-    out = running_sums(df, ["k"], ["i"], {"n": F.lit(1)}, rows_per_range=200)
-    assert out.count() == 1021
-    ranged, was_cut = with_ranges(df, ["k"], F.col("i"), 200)
-    ranges = {r.k: r.n for r in ranged.groupBy("k").agg(F.count_distinct(RANGE).alias("n")).collect()}
-    assert was_cut and ranges == {"a": 5, "b": 1, "c": 1}
-    assert not with_ranges(df, ["k"], F.col("i"), 1000)[1]
+    ranged, was_cut = with_ranges(df, ["k"], ["i"], 100)
+    assert was_cut and ranged.count() == 1021
+    sizes = [r["count"] for r in ranged.groupBy(RANGE).count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 300
+    assert not with_ranges(df, ["k"], ["i"], 2000)[1]
+
+
+ORDERS = {
+    "text": "cast(id as string)",
+    "words": "concat('w', cast(id % 7 as string))",
+    "date": "date_add(date'2020-01-01', cast(id as int))",
+    "tied time": "timestamp_seconds(id div 100)",
+    "decimal": "cast(id as decimal(20,2)) / 7",
+    "nulls": "if(id % 3 = 0, null, id)",
+}
+
+
+@pytest.mark.parametrize("order", ORDERS)
+@pytest.mark.parametrize("group", ["'k'", "if(id > 20, null, 'k')", "if(id > 990, 'k', null)"])
+def test_any_order_gives_one_answer_at_every_size(spark, order, group):
+    df = spark.range(1000).selectExpr(f"{group} AS k", f"{ORDERS[order]} AS o", "id").repartition(5)
+    whole = ranks(df, ["k"], ["o", "id"], rows_per_range=10**6).collect()
+    for rows_per_range in (400, 30):
+        cut = ranks(df, ["k"], ["o", "id"], rows_per_range=rows_per_range).collect()
+        assert sorted(map(str, cut)) == sorted(map(str, whole))
+    places = {}
+    for r in sorted(whole, key=lambda r: (r.k or "", r.o is not None, r.o or 0, r.id)):
+        assert r["rank"] == places.get(r.k, 0)
+        places[r.k] = r["rank"] + 1
+
+
+def test_texts_stay_out_of_the_task_that_numbers(spark):
+    df = spark.range(500).selectExpr("id", "repeat('x', 50) AS text")
+    out = numbered(df, [], ["id"], "place")
+    assert [r.place for r in out.orderBy("id").collect()] == list(range(500))
+    windows = out._jdf.queryExecution().optimizedPlan().collectLeaves().toString()
+    assert windows.count("Range") == 2  # the rows, and their ids alone
+
+
+@pytest.mark.parametrize("decay", [0.3, 0.9])
+@pytest.mark.parametrize("rows_per_range", [10**6, 50])
+def test_ema_of_large_values_and_null_keys(spark, decay, rows_per_range):
+    values = [1e60, 1e300, 3.0, -1e299, 0.0, 1.0] * 40
+    rows = [(None, i, v) for i, v in enumerate(values)] + [("k", i, 1.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "k string, i int, x double")
+    got = {(r.k, r.i): r.ema for r in ema(df, ["k"], ["i"], "x", decay, rows_per_range=rows_per_range).collect()}
+    state = None
+    for i, v in enumerate(values):
+        state = v if state is None else decay * state + (1 - decay) * v
+        assert got[None, i] == pytest.approx(state, rel=1e-9)
+    assert got["k", 99] == pytest.approx(1.0)
+
+
+def test_splits_and_samples_cover_null_keys(spark):
+    df = spark.range(21).selectExpr("if(id = 20, null, id) AS k", "id")
+    for seed in range(6):
+        train, test = split(df, 0.4, seed, "k")
+        assert sorted(r.id for r in train.union(test).collect()) == list(range(21))
+        assert test.count() == 9
+        assert sample_exact(df, 5, seed, "k").count() == 5
 
 
 def test_spread_leaves_wide_tables_alone(spark):
