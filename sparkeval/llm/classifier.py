@@ -207,10 +207,10 @@ def _scored(df: DataFrame, model: Model, x: str, into: str) -> DataFrame:
 
 def score(df: DataFrame, model: Model | None, x: str = "statistics", into: str = "score") -> DataFrame:
     """Add ``into``: the calibrated score, 0 to 1; 0.5 for all rows without a model. Ties in the
-    calibration are broken by the raw score, within a thousandth."""
+    calibration are broken by the raw score, within a thousandth. A column named ``into`` is replaced."""
     if model is None:
         return df.withColumn(into, F.lit(0.5))
-    held = fresh(df, "_raw")
+    df, held = df.drop(into), fresh(df, "_raw")
 
     def calibrated(raw: np.ndarray) -> np.ndarray:
         level = np.interp(raw, model.points, model.values)

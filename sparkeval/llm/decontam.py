@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkeval.llm.common import append, struct
+from sparkeval.llm.common import append, fresh, struct
 from sparkeval.plans.session import materialize
 
 WINDOW = 10
@@ -91,7 +91,7 @@ def scan(text: str | None, automaton: ahocorasick.Automaton, earlier: dict | Non
     """Words, hit words, items, hit ranges in words and in code points; ``earlier`` blocks are added."""
     words = words_of(text)
     line = b" " + b" ".join(words) + b" "
-    matches = list(automaton.iter(line.decode("latin-1"))) if words else []
+    matches = list(automaton.iter(line.decode("latin-1"))) if words and len(automaton) else []
     items = set(earlier["items"] if earlier else ())
     first, past, start, end = [], [], [], []
     if matches or items:
@@ -133,18 +133,19 @@ def contamination(
     blocks = max(1, -(-total // block_bytes))
     if into.lower() in {c.lower() for c in df.columns}:
         df = df.drop(into)
+    before = fresh(df, "_before")
     for block in range(blocks):
         here = patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block)
         sent = spark.sparkContext.broadcast([(r.pattern, list(r["items"])) for r in here.toLocalIterator()])
 
         def rows(columns: dict[str, list], name=uuid.uuid4().hex, sent=sent) -> list[tuple]:
             built = _automaton(name, sent)
-            earlier = columns.get("_earlier") or [None] * len(columns[text])
+            earlier = columns.get(before) or [None] * len(columns[text])
             return [scan(t, built, e) for t, e in zip(columns[text], earlier)]
 
         if block == 0:
             df = append(df, into, FOUND, rows, [text])
         else:
-            stored = materialize(df.withColumnRenamed(into, "_earlier"), "hits")
-            df = append(stored, into, FOUND, rows, [text, "_earlier"]).drop("_earlier")
+            stored = materialize(df.withColumnRenamed(into, before), "hits")
+            df = append(stored, into, FOUND, rows, [text, before]).drop(before)
     return df

@@ -43,7 +43,7 @@ NOTICES = (
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
 GRAM = 2
-MIN_SHARE = 0.8  # of a notice's pairs
+MIN_SHARE = 0.85  # of a notice's pairs
 MAX_SHIFT = 2  # words between diagonals that are merged
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

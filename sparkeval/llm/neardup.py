@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkeval.llm.common import SHINGLE_WORDS, append, struct
+from sparkeval.llm.common import SHINGLE_WORDS, append, fresh, struct
 from sparkeval.llm.hashing import window_hashes, word_hashes
 from sparkeval.plans.session import materialize
 
@@ -297,14 +297,16 @@ def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     order = F.struct(F.col("_key").isNull().alias("no"), "_key", "_hash")
     first = members.filter("label is not null").groupBy("label").agg(F.min(order).alias("w"))
     wordless = members.filter("label is null").select("_key", "_hash", F.lit(None).cast("binary").alias("label"))
-    winners = first.select("w._key", "w._hash", "label").union(wordless.distinct())
-    own = df.select(*df.columns, F.xxhash64(text).alias("_own"))
-    stayed = own.join(winners, own[key].eqNullSafe(winners["_key"]) & (own["_own"] == winners["_hash"]))
+    names = {c: fresh(df, "_of" + c) for c in ("_key", "_hash", "label")}
+    winners = first.select("w._key", "w._hash", "label").union(wordless.distinct()).withColumnsRenamed(names)
+    own, of_key, of_hash, label = fresh(df, "_own"), *names.values()
+    stayed = df.withColumn(own, F.xxhash64(text)).join(
+        winners, F.col(key).eqNullSafe(F.col(of_key)) & (F.col(own) == F.col(of_hash))
+    )
     again = members.filter("label is not null").groupBy("_key", "_hash").agg(F.count("*").alias("n")).filter("n > 1")
     if again.isEmpty():
         return stayed.select(*df.columns)
-    whole = F.struct(*df.columns)
-    one = stayed.filter("label is not null").groupBy("label").agg(
-        F.min_by(whole, F.xxhash64(*df.columns)).alias("row")
+    one = stayed.filter(F.col(label).isNotNull()).groupBy(label).agg(
+        F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns)).alias(own)
     )
-    return one.select("row.*").union(stayed.filter("label is null").select(*df.columns))
+    return one.select(f"{own}.*").union(stayed.filter(F.col(label).isNull()).select(*df.columns))

@@ -100,7 +100,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", into
     """
     if into.lower() in {c.lower() for c in df.columns}:
         df = df.drop(into)
-    own, spans = fresh(df, "_own"), fresh(df, "_spans")
+    own, spans, of_doc, of_own = (fresh(df, c) for c in ("_own", "_spans", "_of_doc", "_of_own"))
     keyed = df.withColumn(own, F.xxhash64(text))
     docs = keyed.select(F.col(key).alias("doc"), F.col(own).alias("own"), F.col(text).alias("text"))
 
@@ -133,11 +133,11 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", into
 
     whole = met.filter("removed").select("doc", "own", "first", (F.col("last") + WINDOW).alias("past"))
     single = later.select("doc", "own", F.col("start").alias("first"), (F.col("start") + WINDOW).alias("past"))
-    ranges = whole.union(single).groupBy(F.col("doc").alias("_doc"), F.col("own").alias("_hash")).agg(
+    ranges = whole.union(single).groupBy(F.col("doc").alias(of_doc), F.col("own").alias(of_own)).agg(
         F.collect_set(F.struct("first", "past")).alias(spans)
     )
-    joined = keyed.join(ranges, (keyed[key] == ranges["_doc"]) & (keyed[own] == ranges["_hash"]), "left")
-    joined = joined.drop("_doc", "_hash", own)
+    joined = keyed.join(ranges, (F.col(key) == F.col(of_doc)) & (F.col(own) == F.col(of_own)), "left")
+    joined = joined.drop(of_doc, of_own, own)
     return append(
         joined, into, KEPT, lambda c: [cut(*r) for r in zip(c[text], c[spans])], [text, spans]
     ).drop(spans)

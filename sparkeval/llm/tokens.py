@@ -210,9 +210,9 @@ def with_edits(df: DataFrame, edits: DataFrame, key: str = "doc_id", into: str =
     An array holds the change set of one document, which is applied as a whole. Edits with a null key or
     of no document are left out; documents without edits get null.
     """
-    held = fresh(df, "_edits")
-    sets = edits.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(
+    held, of = fresh(df, "_edits"), fresh(df, "_of")
+    sets = edits.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(of)).agg(
         F.collect_list(F.struct("start", "end", "by")).alias(held)
     )
-    joined = df.join(sets, df[key] == sets["_key"], "left").drop("_key")
+    joined = df.join(sets, F.col(key) == F.col(of), "left").drop(of)
     return joined.withColumn(into, F.col(held)).drop(held)
