@@ -93,80 +93,152 @@ def fallback_equal(predicted: ColumnOrName, gold: ColumnOrName) -> Column:
 
 
 def _plain_latex(text: Column) -> Column:
-    """Without sizing, spacing and text commands; simple fractions as a/b."""
+    """Without sizing, spacing, units and text commands; fractions as a/b, powers of ten as ×10^k."""
     text = F.regexp_replace(text, r"\\(?:left|right)(?![a-zA-Z])|\\[,;:!]", "")
     text = F.regexp_replace(text, r"\\[dt]frac(?![a-zA-Z])", r"\\frac")
+    text = F.regexp_replace(text, r"\\frac(\d)(?=[\d{])", r"\\frac{$1}")
+    text = F.regexp_replace(text, r"(\\frac\{[^{}]*\})(\d)(?!\d)", "$1{$2}")
     text = F.regexp_replace(text, r"^\\(?:text|textbf|mathrm|mathbf)\{([^{}]*)\}$", "$1")
-    text = F.regexp_replace(text, r"^([+-]?)\\frac\{(\d+)\}\{(\d+)\}$", "$1$2/$3")
-    return F.regexp_replace(text, r"^\\frac\{([+-]\d+)\}\{(\d+)\}$", "$1/$2")
+    text = F.regexp_replace(text, r"(?<=[\d}])\\(?:text|textbf|mathrm|mathbf)\{[^{}]*\}$", "")
+    text = F.regexp_replace(text, r"(?<=\d)\^(?:\\circ|\{\\circ\})$", "")
+    text = F.regexp_replace(text, r"(?<=[\d.])(?:\\times|\\cdot)10\^(?:\{([+-]?\d+)\}|(\d))(?!\d)", "×10^$1$2")
+    number = r"[+-]?(?=\.?\d)\d*\.?\d*"
+    return F.regexp_replace(text, rf"([+-]?)\\frac\{{({number})\}}\{{({number})\}}", "$1$2/$3")
 
 
 def canonical_answer(answer: ColumnOrName) -> Column:
     """Drop what does not change the value: dollars, spaces, LaTeX spacing, sizing and text wrappers,
-    thousands separators."""
+    units behind a number, outer braces, a name before an equals sign, thousands separators."""
     grouped = F.lit(r"^[+-]?\d{1,3}(?:,\d{3})+(?:\.\d+)?(?:\\?%)?$")
 
     def plain(text: Column) -> Column:
-        return F.when(F.contains(text, F.lit("\\")), _plain_latex(text)).otherwise(text)
+        latex = F.when(F.contains(text, F.lit("\\")), _plain_latex(text)).otherwise(text)
+        shorn = F.regexp_replace(F.regexp_replace(latex, r"^[a-zA-Z]=(?=.)", ""), r"^\{([^{}]+)\}$", "$1")
+        return F.when(F.rlike(text, F.lit(r"[\\={]")), shorn).otherwise(text)
 
     def ungrouped(text: Column) -> Column:
         has_groups = F.contains(text, F.lit(",")) & F.rlike(text, grouped)
         return F.when(has_groups, F.translate(text, ",", "")).otherwise(text)
 
-    bare = F.translate(F.replace(as_column(answer), F.lit("\\ "), F.lit("")), "$" + WHITESPACE, "")
-    return let(let(bare, plain), ungrouped)
+    bare = as_column(answer)
+    for written, meant in (("\\ ", ""), ("\\$", ""), ("{,}", ",")):
+        bare = F.replace(bare, F.lit(written), F.lit(meant))
+    return let(let(F.translate(bare, "$" + WHITESPACE, ""), plain), ungrouped)
 
 
-# 16 digits a side keep the cross product below within 34 digits, inside DECIMAL(38).
-_RATIO = r"^[+-]?\d{1,16}/\d{0,15}[1-9]\d{0,15}$"
-_DECIMAL = r"^[+-]?(?=\.?\d)\d*\.?\d*(?:\\?%)?$"
-_LONGEST = 16
+# Fixed value: primes below 2^31. Two products with equal remainders by all of them are equal as far as
+# they have 110 digits; longer ones differ with a chance below 1e-110 of being taken for equal.
+PRIMES = (
+    2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549,
+    2147483543, 2147483497, 2147483489, 2147483477, 2147483423, 2147483399,
+)
+_NUMBER = r"[+-]{0,2}(?=\.?\d)\d*\.?\d*(?:×10\^[+-]?\d{1,4}(?!\d))?"
+_VALUE = rf"^{_NUMBER}(?:\\?%|/[+-]?(?=[\d.]*[1-9])\d*\.?\d*)?$"
+_SHORT = 16  # digits a side whose cross product stays within DECIMAL(38)
 
 
 def rational(canonical: ColumnOrName) -> Column:
-    """``struct<n, d>`` with value n / d for integers, decimals, percentages and a/b; else null."""
+    """``struct<negative, n, d>``, the digits of a value n / d, for integers, decimals, percentages, a/b
+    and powers of ten; else null."""
     text = as_column(canonical)
 
-    def fraction_of(top: Column, bottom: Column) -> Column:
-        n, d = top.try_cast("decimal(18,0)"), bottom.try_cast("decimal(18,0)")
-        return F.struct(n.alias("n"), d.alias("d"))
-
-    def from_ratio(t: Column) -> Column:
-        top, bottom = F.substring_index(t, "/", 1), F.substring_index(t, "/", -1)
-        fits = (F.length(bottom) <= _LONGEST) & F.rlike(t, F.lit(_RATIO))
-        return F.when(fits, fraction_of(top, bottom))
-
-    def from_decimal(t: Column) -> Column:
-        number = F.translate(t, "\\%", "")
+    def scaled(number: Column) -> Column:
+        """Digits and the power of ten that they are to be multiplied with."""
+        mantissa, power = F.substring_index(number, "×", 1), F.regexp_extract(number, r"\^([+-]?\d+)$", 1)
+        plain = F.translate(mantissa, "+-", "")
         decimals = F.when(
-            F.contains(number, F.lit(".")), F.length(F.substring_index(number, ".", -1))
+            F.contains(plain, F.lit(".")), F.length(F.substring_index(plain, ".", -1))
         ).otherwise(0)
-        scale = decimals + F.when(F.endswith(t, F.lit("%")), 2).otherwise(0)
-        digits = F.translate(number, ".", "")
-        fits = (F.length(F.translate(digits, "+-", "")) <= _LONGEST) & F.rlike(t, F.lit(_DECIMAL))
-        unit = F.concat(F.lit("1"), F.repeat(F.lit("0"), scale))
-        return F.when(fits, fraction_of(digits, unit))
-
-    return let(
-        text, lambda t: F.when(F.contains(t, F.lit("/")), from_ratio(t)).otherwise(from_decimal(t))
+        shift = F.coalesce(power.try_cast("int"), F.lit(0)) - decimals
+        return F.struct(F.translate(plain, ".", "").alias("digits"), shift.alias("shift"))
+
+    def of(t: Column) -> Column:
+        percent = F.endswith(t, F.lit("%"))
+        whole = F.translate(t, "\\%", "")
+        bases = F.replace(whole, F.lit("^-"), F.lit("^"))
+        minus = F.length(bases) - F.length(F.replace(bases, F.lit("-"), F.lit("")))
+        sides = F.struct(
+            scaled(F.substring_index(whole, "/", 1)).alias("top"),
+            F.when(F.contains(whole, F.lit("/")), scaled(F.substring_index(whole, "/", -1)))
+            .otherwise(F.struct(F.lit("1").alias("digits"), F.lit(0).alias("shift")))
+            .alias("bottom"),
+        )
+
+        def reduced(v: Column) -> Column:
+            shift = v["top"]["shift"] - v["bottom"]["shift"] - F.when(percent, 2).otherwise(0)
+
+            def side(digits: Column, zeros: Column) -> Column:
+                written = F.concat(digits, F.repeat(F.lit("0"), F.greatest(zeros, F.lit(0))))
+                return F.regexp_replace(written, "^0+", "")
+
+            return F.struct(
+                (minus % 2 == 1).alias("negative"),
+                side(v["top"]["digits"], shift).alias("n"),
+                side(v["bottom"]["digits"], -shift).alias("d"),
+            )
+
+        return let(sides, reduced)
+
+    return let(text, lambda t: F.when(F.rlike(t, F.lit(_VALUE)), of(t)))
+
+
+def _remainder(digits: Column, prime: Column) -> Column:
+    length = F.length(digits)
+    padded = F.lpad(digits, F.ceil(length / 9).cast("int") * 9, "0")
+    parts = F.transform(
+        F.regexp_extract_all(padded, F.lit(r"\d{9}"), F.lit(0)), lambda x: x.cast("bigint")
+    )
+    return F.aggregate(parts, F.lit(0).cast("bigint"), lambda r, x: (r * 1_000_000_000 + x) % prime)
+
+
+def _same_value(a: Column, b: Column) -> Column:
+    """Whether two rationals are equal: by decimals where they are short, else by remainders."""
+    sides = (a["n"], a["d"], b["n"], b["d"])
+    short = F.greatest(*[F.length(x) for x in sides]) <= _SHORT
+
+    def small(digits: Column) -> Column:
+        return F.concat(F.lit("0"), digits).try_cast("decimal(18,0)")
+
+    quick = small(a["n"]) * small(b["d"]) == small(b["n"]) * small(a["d"])
+    primes = F.array(*[F.lit(p).cast("bigint") for p in PRIMES])
+    long = F.forall(
+        primes,
+        lambda p: (_remainder(a["n"], p) * _remainder(b["d"], p)) % p
+        == (_remainder(b["n"], p) * _remainder(a["d"], p)) % p,
     )
+    zero = (a["n"] == "") & (b["n"] == "")
+    signed = (a["negative"] == b["negative"]) & (a["n"] != "") & (b["n"] != "")
+    return F.coalesce(zero | (signed & F.when(short, quick).otherwise(long)), F.lit(False))
 
 
 def equivalent(predicted: ColumnOrName, gold: ColumnOrName) -> Column:
     """True where both answers have the same canonical text or the same rational value.
 
-    Covers integers, decimals, percentages, ``a/b`` and ``\\frac{a}{b}``; symbolic algebra is not
-    attempted. False where a side is null.
+    Covers integers, decimals, percentages, fractions and powers of ten of any length, and tuples of
+    them in equal brackets; symbolic algebra is not attempted. False where a side is null.
     """
     predicted, gold = as_column(predicted).cast("string"), as_column(gold).cast("string")
 
-    def same_value(v: Column) -> Column:
-        return F.coalesce(v[0]["n"] * v[1]["d"] == v[1]["n"] * v[0]["d"], F.lit(False))
+    def same(x: Column, y: Column) -> Column:
+        values = F.array(rational(x), rational(y))
+        return let(values, lambda v: _same_value(v[0], v[1]))
+
+    def same_tuple(t: Column) -> Column:
+        inner = F.transform(t, lambda x: F.split(F.substring(x, F.lit(2), F.length(x) - 2), ","))
+        pairs = F.arrays_zip(inner[0].alias("x"), inner[1].alias("y"))
+        equal = F.forall(pairs, lambda p: F.coalesce((p["x"] == p["y"]) | same(p["x"], p["y"]), F.lit(False)))
+        ends = (F.left(t[0], F.lit(1)) == F.left(t[1], F.lit(1))) & (F.right(t[0], F.lit(1)) == F.right(t[1], F.lit(1)))
+        return ends & (F.size(inner[0]) == F.size(inner[1])) & equal
 
     def compare(t: Column) -> Column:
         numeric = F.forall(t, lambda x: F.rlike(x, F.lit("[0-9]")))
-        values = F.transform(t, rational)
-        return F.when(t[0] == t[1], True).when(numeric, let(values, same_value)).otherwise(False)
+        tuples = F.forall(t, lambda x: F.rlike(x, F.lit(r"^[(\[][^()\[\]]*,[^()\[\]]*[)\]]$")))
+        return (
+            F.when(t[0] == t[1], True)
+            .when(numeric & tuples, same_tuple(t))
+            .when(numeric, same(t[0], t[1]))
+            .otherwise(False)
+        )
 
     letters = F.lit("^[A-Za-z]+$")  # letters alone are their own canonical form, and no number
     return (

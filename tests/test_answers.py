@@ -120,6 +120,45 @@ EQUIVALENT = [
     ("12345678901234567890", "12345678901234567891", False),
     ("1e3", "1000", False),
     (".", "0", False),
+    ("1234567890123456", "1234567890123456.0", True),
+    ("0.50000000000000000", "1/2", True),
+    ("1234567890123456789012345678901234567890", "1234567890123456789012345678901234567890.00", True),
+    ("1234567890123456789012345678901234567890", "1234567890123456789012345678901234567891", False),
+    ("2469135780246913578024691357802469135780/2", "1234567890123456789012345678901234567890", True),
+    ("1/3", "333333333333333333333333333333/1000000000000000000000000000000", False),
+    ("111111111111111111111/333333333333333333333", "1/3", True),
+    ("-111111111111111111111/333333333333333333333", "1/3", False),
+    (r"\frac12", "0.5", True),
+    (r"\frac1{2}", "1/2", True),
+    (r"\frac{1}2", "1/2", True),
+    (r"\frac{3}{12}", "1/4", True),
+    ("1{,}234", "1234", True),
+    (r"90^\circ", "90", True),
+    (r"90^{\circ}", "90.0", True),
+    (r"5\text{ cm}", "5", True),
+    (r"\frac{1}{2}\text{ m}", "0.5", True),
+    ("x=5", "5", True),
+    ("x=y", "y", True),
+    ("x=5", "6", False),
+    (r"\$5", "5", True),
+    ("{5}", "5", True),
+    (r"1.2\times10^3", "1200", True),
+    (r"1.2 \cdot 10^{-3}", "0.0012", True),
+    (r"1.2\times 10^{3}", "1201", False),
+    (r"\frac{1}{-2}", "-0.5", True),
+    (r"-\frac{-1}{2}", "0.5", True),
+    (r"\frac{1.5}{3}", "1/2", True),
+    ("(0.5,2)", "(1/2,2)", True),
+    (r"\left(\frac12, 2\right)", "(0.5,2.0)", True),
+    ("(0.5,2]", "(1/2,2)", False),
+    ("(0.5,2)", "(2,1/2)", False),
+    ("(1,2,3)", "(1,2)", False),
+    ("(a,1)", "(a,1.0)", True),
+    ("00.50", ".5", True),
+    ("-0.0", "0", True),
+    ("5%", "0.05", True),
+    ("1/2%", "0.005", False),
+    ("1/0", "0", False),
     ("", "0", False),
     ("", "", True),
     (None, "a", False),
