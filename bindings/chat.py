@@ -11,7 +11,12 @@ from sparkeval.functions import prompts as P
 from sparkeval.functions import sequences as S
 from sparkeval.functions.prompts import strip_special
 from sparkeval.operators.chat import exchanges, render_chat
-from sparkeval.operators.distillation import assemble, collate_prompts, prompt_pairs
+from sparkeval.operators.distillation import (
+    assemble,
+    collate_prompts,
+    prompt_pairs,
+    with_reasoning,
+)
 from sparkeval.operators.selection import dedup_first, last_n, sample_exact
 from sparkeval.operators.sequences import align_next, assign_batch, build_vocab, encode
 from sparkeval.operators.telemetry import generation_log, generation_log_files
@@ -45,9 +50,7 @@ def sequences(spark: SparkSession, d: str) -> DataFrame:
     """(seq, prompt, completion) as ids of one vocabulary."""
     vocab = materialize(build_vocab(table(spark, d, "conversations"), "text"), "vocab")
     rows = pairs(spark, d)
-    prompt = encode(rows, "seq", "prompt", vocab).withColumnRenamed("ids", "prompt")
-    completion = encode(rows, "seq", "completion", vocab).withColumnRenamed("ids", "completion")
-    return prompt.join(completion, "seq")
+    return encode(rows, "seq", ["prompt", "completion"], vocab)
 
 
 @B.add(
@@ -132,7 +135,7 @@ def shift_align(spark, d):
 
 # Distillation batches -------------------------------------------------------------------------------
 
-BATCH, LONGEST, REPLY = 8, 96, 48
+BATCH, LONGEST, REPLY, REASONING = 8, 2048, 1024, 256
 
 
 def chat_sql(text: str) -> str:
@@ -168,6 +171,17 @@ joined AS (
          list_concat({padded_sql('t', 'tmax')}, c) AS tids FROM sized)"""
 
 
+ASKED = f"""'Problem: ' || prompt || {quote(chr(10) * 2 + P.REASONING_START)} || completion
+    || {quote(P.REASONING_END + P.ANALYSE)}"""
+REASONED = (
+    BATCHED.replace(chat_sql(TEACHER) + " AS teacher, completion", chat_sql(ASKED) + f" AS teacher, completion, {quote(P.TRANSITION_SUFFIX)} AS transition")
+    .replace("batched AS (", f"{encoded_sql('transitions', 'rendered', 'seq', 'transition')},\nbatched AS (")
+    .replace(f"list_resize(a.ids, {REPLY}, 0) AS c", f"list_resize(a.ids, {REPLY}, 0) AS c, list_concat(list_resize(a.ids, {REASONING}, 0), x.ids) AS r")
+    .replace("JOIN answers a USING (seq))", "JOIN answers a USING (seq) JOIN transitions x USING (seq))")
+    .replace(f"list_concat({padded_sql('t', 'tmax')}, c) AS tids", f"list_concat(list_concat({padded_sql('t', 'tmax')}, r), c) AS tids")
+)
+
+
 @B.add(
     "distillation_batch",
     f"""{BATCHED} SELECT seq, batch_id, {ids_sql('sids')} AS student_input_ids,
@@ -178,16 +192,39 @@ FROM joined""",
 )
 def distillation_batch(spark, d):
     """User turns as problems, the replies as solutions and as completions."""
-    turns = table(spark, d, "conversations")
-    vocab = materialize(build_vocab(turns, "text"), "vocab")
+    prompts = collate_prompts(distillation_rows(spark, d), LONGEST)
+    return distilled(assemble(prompts, "completion", REPLY, ["seq", "batch_id"]))
+
+
+def distillation_rows(spark: SparkSession, d: str, reason_first: bool = False) -> DataFrame:
+    """(seq, batch_id, student, teacher, completion, transition) as ids, from one pass over all texts."""
+    vocab = materialize(build_vocab(table(spark, d, "conversations"), "text"), "vocab")
     rows = pairs(spark, d)
     corpus = rows.select(
-        "seq", F.col("prompt").alias("problem"), F.col("completion").alias("solution")
+        "seq", F.col("prompt").alias("problem"), F.col("completion").alias("solution"), "completion"
     )
-    batches = assign_batch(rows.select("seq"), BATCH, "seq")
-    prompts = collate_prompts(prompt_pairs(corpus, "seq"), batches, vocab, "seq", LONGEST)
-    completions = encode(rows, "seq", "completion", vocab)
-    out = assemble(prompts, completions, "seq", REPLY)
+    transition = F.lit(P.TRANSITION_SUFFIX)
+    texts = prompt_pairs(corpus, "seq", reason_first, ["completion"]).withColumn("transition", transition)
+    ids = encode(texts, "seq", ["student", "teacher", "completion", "transition"], vocab)
+    return assign_batch(materialize(ids, "encoded"), BATCH, "seq").drop("batch_pos")
+
+
+@B.add(
+    "distillation_batch_reasoning",
+    f"""{REASONED} SELECT seq, batch_id, {ids_sql('sids')} AS student_input_ids,
+  {ids_sql('tids')} AS teacher_input_ids,
+  {ids_sql('list_transform(tids, lambda x: CASE WHEN x = 0 THEN 0 ELSE 1 END)')} AS teacher_attention_mask,
+  {ids_sql('list_transform(sids, lambda x, i: CASE WHEN i <= slen OR x = 0 THEN -100 ELSE x END)')} AS labels
+FROM joined""",
+)
+def distillation_batch_reasoning(spark, d):
+    """The teacher reasons first; here the reply stands for its reasoning too."""
+    prompts = collate_prompts(distillation_rows(spark, d, reason_first=True), LONGEST)
+    reasoned = with_reasoning(prompts, "completion", "transition", REASONING)
+    return distilled(assemble(reasoned, "completion", REPLY, ["seq", "batch_id"]))
+
+
+def distilled(out: DataFrame) -> DataFrame:
     columns = ["student_input_ids", "teacher_input_ids", "teacher_attention_mask", "labels"]
     return out.select("seq", "batch_id", *[joined_ids(c).alias(c) for c in columns])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bindings import Bindings
 from bindings.tables import documents, encoded_sql, ids_sql, joined_ids, table, vocab_sql
-from sparkeval.functions.sequences import attention_mask, pad_to, tokens, truncate
+from sparkeval.functions.sequences import attention_mask, tokens, truncate
 from sparkeval.operators.sequences import (
     assign_batch,
     batch_lengths,
@@ -20,7 +20,7 @@ from sparkeval.operators.sequences import (
 from sparkeval.plans.session import materialize
 
 B = Bindings()
-MAX_LENGTH = 256
+MAX_LENGTH = 2048
 BATCH = 32
 VOCAB = vocab_sql("documents")
 ENCODED = f"WITH {VOCAB},\n{encoded_sql('encoded', 'documents', 'doc_id', 'text')}"
@@ -33,6 +33,9 @@ COLLATED = f"""{BATCHED},
 cut AS (SELECT doc_id, batch_id, ids[1:{MAX_LENGTH}] AS ids, len(ids[1:{MAX_LENGTH}]) AS length
         FROM batched),
 collated AS (SELECT *, max(length) OVER (PARTITION BY batch_id) AS max_len FROM cut)"""
+WHOLE = f"""{BATCHED},
+padded AS (SELECT doc_id, batch_id, ids, len(ids) AS length, max(len(ids)) OVER (PARTITION BY batch_id) AS max_len
+           FROM batched)"""
 
 
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
@@ -94,23 +97,23 @@ def batch_max_len(spark, d):
 
 @B.add(
     "pad_batch",
-    f"""{COLLATED} SELECT doc_id, batch_id, CAST(max_len AS INTEGER) AS max_len,
-  {ids_sql('list_resize(ids, max_len, 0)')} AS ids FROM collated""",
+    f"""{WHOLE} SELECT doc_id, batch_id, CAST(max_len AS INTEGER) AS max_len,
+  {ids_sql('list_resize(ids, max_len, 0)')} AS ids FROM padded""",
 )
 def padded(spark, d):
-    cut = batches(spark, d).select("doc_id", "batch_id", truncate("ids", MAX_LENGTH).alias("ids"))
-    return pad_batch(cut, "ids").select("doc_id", "batch_id", "max_len", joined_ids("ids").alias("ids"))
+    rows = batches(spark, d).select("doc_id", "batch_id", "ids")
+    return pad_batch(rows, "ids").select("doc_id", "batch_id", "max_len", joined_ids("ids").alias("ids"))
 
 
 @B.add(
     "pad_left",
-    f"""{COLLATED} SELECT doc_id, batch_id,
+    f"""{WHOLE} SELECT doc_id, batch_id,
   {ids_sql('list_concat(list_resize(CAST([] AS INTEGER[]), max_len - length, 0), ids)')} AS ids
-FROM collated""",
+FROM padded""",
 )
 def padded_left(spark, d):
-    cut = batches(spark, d).select("doc_id", "batch_id", truncate("ids", MAX_LENGTH).alias("ids"))
-    out = pad_batch(cut, "ids", side="left")
+    rows = batches(spark, d).select("doc_id", "batch_id", "ids")
+    out = pad_batch(rows, "ids", side="left")
     return out.select("doc_id", "batch_id", joined_ids("ids").alias("ids"))
 
 
@@ -130,13 +133,13 @@ def collated(spark, d):
 
 @B.add(
     "attention_mask",
-    f"""{ENCODED} SELECT doc_id, repeat('1', least(len(ids), {MAX_LENGTH})) ||
-  repeat('0', greatest({MAX_LENGTH} - len(ids), 0)) AS mask FROM encoded""",
+    f"{WHOLE} SELECT doc_id, repeat('1', length) || repeat('0', max_len - length) AS mask FROM padded",
 )
 def masks(spark, d):
-    fixed = pad_to(truncate("ids", MAX_LENGTH), F.lit(MAX_LENGTH))
-    mask = F.array_join(F.transform(attention_mask(fixed), lambda x: x.cast("string")), "")
-    return encoded(spark, d).select("doc_id", mask.alias("mask"))
+    """Of whole sequences, padded to the longest of their batch."""
+    rows = pad_batch(batches(spark, d).select("doc_id", "batch_id", "ids"), "ids")
+    mask = F.array_join(F.transform(attention_mask("ids"), lambda x: x.cast("string")), "")
+    return rows.select("doc_id", mask.alias("mask"))
 
 
 @B.add(

@@ -9,6 +9,10 @@ from sparkeval.functions.sequences import pad_to, tokens
 from sparkeval.plans.ordering import numbered
 from sparkeval.plans.skew import attach
 
+# Frequent words that are looked up without a shuffle, and their longest: a few megabytes at most.
+HEAD = 50_000
+LONGEST_HEAD = 64
+
 
 def build_vocab(df: DataFrame, text: str, min_count: int = 1, first_id: int = 2) -> DataFrame:
     """(token, n, id): the words of a corpus, how often they occur, and their ids.
@@ -41,24 +45,47 @@ def build_vocab(df: DataFrame, text: str, min_count: int = 1, first_id: int = 2)
 
 
 def encode(
-    df: DataFrame, key: str, text: str, vocab: DataFrame, unk_id: int = 1, **salting
+    df: DataFrame,
+    key: str,
+    text: str | list[str],
+    vocab: DataFrame,
+    unk_id: int = 1,
+    head: int = HEAD,
 ) -> DataFrame:
     """(key, ids): the id of each word in order; words outside the vocabulary become ``unk_id``.
 
-    A lookup join. Frequent words are salted by their counts in the vocabulary, so the most common
-    word does not meet in one task. ``key`` is unique; texts without words give an empty array.
-    ``vocab`` is read twice: pass a stored table.
+    With a list of text columns there is one column of ids per text, all from one pass. ``key`` is unique;
+    texts without words give an empty array. The ``head`` most frequent words of the vocabulary, a table
+    of bounded size, are looked up where the text is; only the other words are shuffled, and none of
+    them is frequent. Ids are gathered per text before they move. ``vocab`` is read twice: pass a stored
+    table.
     """
-    words = df.select(key, F.posexplode_outer(tokens(text)).alias("pos", "token"))
-    found = attach(words, vocab, ["token"], [key, "pos"], "n", "left", null_group=False, **salting)
-    # Position and id in one long: arrays of longs are collected and sorted without objects.
-    packed = F.shiftleft(F.col("pos").cast("long"), 32) + F.coalesce("id", F.lit(unk_id))
-    lower = F.lit(2**32 - 1)
-    return (
-        found.groupBy(key)
-        .agg(F.sort_array(F.collect_list(packed)).alias("_packed"))
-        .select(key, F.transform("_packed", lambda x: x.bitwiseAND(lower).cast("int")).alias("ids"))
+    texts = [text] if isinstance(text, str) else text
+    sides = F.posexplode(F.array(*[F.col(t) for t in texts])).alias("_side", "_text")
+    words = df.select(key, sides).select(
+        key, "_side", F.posexplode_outer(tokens("_text")).alias("pos", "token")
+    )
+    short = vocab.filter(F.length("token") <= LONGEST_HEAD)
+    frequent = short.orderBy(F.desc("n"), "token").limit(head).select("token", "id")
+    looked = words.join(F.broadcast(frequent), "token", "left")
+    there = F.col("id").isNotNull() | F.col("token").isNull()
+    rare = looked.filter(~there).drop("id").join(vocab.select("token", "id"), "token", "left")
+    columns = [key, "_side", "pos", "token", "id"]
+    found = looked.filter(there).select(*columns).union(
+        rare.select(*columns).withColumn("id", F.coalesce("id", F.lit(unk_id)))
     )
+    # Position and id in one long: arrays of longs are collected and sorted without objects. Null for
+    # a text without words, which leaves its array empty.
+    packed = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("id")
+    lower = F.lit(2**32 - 1)
+    ids = [
+        F.transform(
+            F.sort_array(F.collect_list(F.when(F.col("_side") == i, packed))),
+            lambda x: x.bitwiseAND(lower).cast("int"),
+        ).alias("ids" if isinstance(text, str) else name)
+        for i, name in enumerate(texts)
+    ]
+    return found.groupBy(key).agg(*ids)
 
 
 def assign_batch(

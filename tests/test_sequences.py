@@ -12,7 +12,7 @@ from sparkeval.functions import prompts as P
 from sparkeval.functions import sequences as A
 from sparkeval.operators import chat as C
 from sparkeval.operators import sequences as S
-from sparkeval.operators.distillation import assemble, collate_prompts, prompt_pairs
+from sparkeval.operators.distillation import assemble, collate_prompts, prompt_pairs, with_reasoning
 from sparkeval.registry import collate_with
 
 
@@ -69,11 +69,11 @@ def test_vocabulary(spark, corpus):
     assert {r.token for r in S.build_vocab(corpus, "text", 2).collect()} == {"the", "dog"}
 
 
-@pytest.mark.parametrize("rows_per_salt", [10**6, 40])
-def test_encode(spark, corpus, rows_per_salt):
+@pytest.mark.parametrize("head", [50_000, 1, 0])
+def test_encode(spark, corpus, head):
     vocab = S.build_vocab(corpus, "text", 2)
     ids = {r.token: r.id for r in vocab.collect()}
-    got = {r.doc: r.ids for r in S.encode(corpus, "doc", "text", vocab, 1, rows_per_salt=rows_per_salt).collect()}
+    got = {r.doc: r.ids for r in S.encode(corpus, "doc", "text", vocab, 1, head=head).collect()}
     assert got == {d: [ids.get(w, 1) for w in t.split()] for d, t in TEXTS.items()}
 
 
@@ -189,15 +189,31 @@ def test_distillation_batch(spark):
 
     texts = spark.createDataFrame([(1, "a b c d", "a a a"), (2, "b", "d c")], "k long, student string, teacher string")
     vocab = spark.createDataFrame([(w, 1, i) for i, w in enumerate("abcd", 2)], "token string, n long, id int")
-    batches = spark.createDataFrame([(1, 0), (2, 0)], "k long, batch_id long")
-    prompts = collate_prompts(texts, batches, vocab, "k", max_length=3)
+    replies = spark.createDataFrame([(1, [9, 9, 9]), (2, [7])], "k long, reply array<int>")
+    encoded = S.encode(texts, "k", ["student", "teacher"], vocab).withColumn("batch_id", F.lit(0))
+    prompts = collate_prompts(encoded.join(replies, "k"), max_length=3)
     row = prompts.filter("k = 2").first()
     assert (row.student_prompts, row.student_prompt_length) == ([3, 0, 0], 3)
     assert (row.teacher_prompts, row.teacher_prompt_lengths_per_example) == ([5, 4, 0], 2)
     assert row.teacher_prompt_attention_mask == [1, 1, 0]
-    replies = spark.createDataFrame([(1, [9, 9, 9]), (2, [7])], "k long, ids array<int>")
-    full = {r.k: r for r in assemble(prompts, replies, "k", 2).collect()}
+    full = {r.k: r for r in assemble(prompts, "reply", 2, ["k", "batch_id"]).collect()}
     assert full[1].student_input_ids == [2, 3, 4, 9, 9] and full[1].labels == [-100, -100, -100, 9, 9]
     assert full[2].student_input_ids == [3, 0, 0, 7, 0] and full[2].labels == [-100, -100, -100, 7, -100]
     assert full[2].teacher_input_ids == [5, 4, 0, 7, 0]
     assert full[2].teacher_attention_mask == [1, 1, 0, 1, 0]
+    reasoned = with_reasoning(
+        prompts.withColumns({"reasoning": F.array(F.lit(8)), "transition": F.array(F.lit(6), F.lit(6))}), max_reasoning=2
+    )
+    long = {r.k: r for r in assemble(reasoned, "reply", 2, ["k"]).collect()}
+    assert long[2].teacher_input_ids == [5, 4, 0, 8, 0, 6, 6, 7, 0]
+    assert long[2].teacher_attention_mask == [1, 1, 0, 1, 0, 1, 1, 1, 0]
+    assert long[2].student_input_ids == full[2].student_input_ids and long[2].labels == full[2].labels
+
+
+def test_distillation_shuffles(spark):
+    """All sides in one pass: few exchanges, whatever the number of texts."""
+    import __spark_entry__ as entry
+
+    df = entry.queries()["distillation_batch"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") < 10
