@@ -21,7 +21,8 @@ from sparkeval.operators.selection import dedup_first, last_n, sample_exact
 from sparkeval.operators.sequences import align_next, assign_batch, build_vocab, encode
 from sparkeval.operators.telemetry import generation_log, generation_log_files
 from sparkeval.plans.session import materialize, spread, work_dir
-from sparkeval.sources.sinks import write_generation_log
+from sparkeval.sources.sinks import generation_log_sink, write_generation_log
+from sparkeval.streaming.tables import start
 
 B = Bindings()
 FIXED = 64
@@ -268,6 +269,31 @@ def gen_log_files(spark, d):
     )
 
 
+@B.add(
+    "stream_gen_log",
+    f"""{LOG} SELECT flush_step, count(*) AS num_samples,
+  string_agg(step || '|' || prompt || '|' || completion, ';' ORDER BY step || '|' || prompt || '|' || completion)
+    AS generations
+FROM log GROUP BY flush_step""",
+)
+def stream_gen_log(spark, d):
+    """The same log from a stream: nested files per micro-batch, whose parts add up."""
+    path, arrivals = work_dir(spark, "stream-generations"), work_dir(spark, "arrivals")
+    rows = records(spark, d)
+    rows.write.parquet(arrivals)
+    stream = spark.readStream.schema(rows.schema).parquet(arrivals)
+    start(stream, f"{path}/run", generation_log_sink(f"{path}/log"), "append").awaitTermination()
+    record = lambda g: F.concat_ws("|", g["step"].cast("string"), g["prompt"], g["completion"])
+    parts = spark.read.json(f"{path}/log")
+    all_records = F.array_sort(F.flatten(F.collect_list(F.transform("generations", record))))
+    parts = parts.groupBy(F.col("flush_step").cast("long").alias("flush_step"), "batch").agg(
+        F.max("num_samples").alias("n"), F.flatten(F.collect_list("generations")).alias("generations")
+    )
+    return parts.groupBy("flush_step").agg(
+        F.sum("n").alias("num_samples"), F.array_join(all_records, ";").alias("generations")
+    )
+
+
 @B.add(
     "completion_preview",
     f"""WITH {EXCHANGES}, firsts AS (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from sparkeval.operators.sequences import (
     pad_batch,
 )
 from sparkeval.plans.session import materialize
+from sparkeval.registry import collate_with
 
 B = Bindings()
 MAX_LENGTH = 2048
@@ -131,6 +133,24 @@ def collated(spark, d):
     )
 
 
+@B.add(
+    "collate_registry",
+    f"""{WHOLE} SELECT batch_id, count(*) AS n, CAST(max(max_len) AS BIGINT) AS longest, CAST(sum(length) AS BIGINT) AS used
+FROM padded GROUP BY batch_id""",
+)
+def collate_registry(spark, d):
+    """A collator of a user's own: it reports how full each batch is."""
+
+    def fullness(rows: pd.DataFrame) -> pd.DataFrame:
+        sizes = rows["ids"].map(len)
+        return pd.DataFrame(
+            {"batch_id": [rows["batch_id"][0]], "n": [len(rows)], "longest": [sizes.max()], "used": [sizes.sum()]}
+        )
+
+    rows = batches(spark, d).select("batch_id", "ids")
+    return collate_with(rows, fullness, "batch_id long, n long, longest long, used long")
+
+
 @B.add(
     "attention_mask",
     f"{WHOLE} SELECT doc_id, repeat('1', length) || repeat('0', max_len - length) AS mask FROM padded",

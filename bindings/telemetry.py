@@ -11,9 +11,10 @@ from bindings.tables import completions, problems, rounded, table
 from sparkeval.operators import grading
 from sparkeval.operators import telemetry as M
 from sparkeval.plans.session import work_dir
+from sparkeval.registry import apply_metrics, register_metric
 from sparkeval.sources.tables import read_completions, stream_table
 from sparkeval.streaming import operators as streams
-from sparkeval.streaming.tables import appended, latest
+from sparkeval.streaming.tables import appended, latest, start
 
 B = Bindings()
 SERIES = ["user_id", "event_type"]
@@ -121,6 +122,28 @@ def ema_series(spark, d):
     return ema_columns(M.ema(table(spark, d, "events"), SERIES, ORDER, "value", DECAY))
 
 
+@B.add(
+    "ema_accumulated",
+    EMA.replace("FROM events)", "FROM events WHERE event_id > 0 AND event_id % 4 = 0)"),
+)
+def ema_accumulated(spark, d):
+    """Follows only the rows at which an accumulation cycle of four ends."""
+    rows = M.optimizer_steps(table(spark, d, "events"), "event_id", 4)
+    return ema_columns(M.ema(rows, SERIES, ORDER, "value", DECAY))
+
+
+@B.add(
+    "metric_registry",
+    """SELECT event_type, round(max(value) - min(value), 6) AS spread, count(*) FILTER (WHERE value > 50) AS high
+FROM events GROUP BY event_type""",
+)
+def metric_registry(spark, d):
+    """Two metrics of a user's own."""
+    register_metric("spread", lambda value, **_: F.round(F.max(value) - F.min(value), 6))
+    register_metric("high", lambda value, **_: F.count_if(value > 50))
+    return apply_metrics(table(spark, d, "events"), ["spread", "high"], ["event_type"])
+
+
 @B.add(
     "step_filter",
     """SELECT event_id, event_id > 0 AND event_id % 5 = 0 AS flush, (event_id + 1) % 10 = 0 AS progress,
@@ -183,6 +206,24 @@ def stream_last_n(spark, d):
     return newest.select("event_id", *SERIES, "value")
 
 
+@B.add(
+    "stream_callback",
+    "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type",
+)
+def stream_callback(spark, d):
+    """A user's function per micro-batch: it stores sums under the number of the batch."""
+    path = work_dir(spark, "stream-callback")
+
+    def sums(batch: DataFrame, batch_id: int) -> None:
+        found = batch.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+        found.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
+
+    start(event_stream(spark, d), path, sums, "append").awaitTermination()
+    return appended(spark, path).groupBy("event_type").agg(
+        F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total")
+    )
+
+
 @B.add("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, d):
     """First event of each user and type; which copy comes first depends on the arrival."""

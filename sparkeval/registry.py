@@ -1,4 +1,4 @@
-"""User-supplied rewards, graders and batch functions."""
+"""User-supplied rewards, graders, metrics and batch functions."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ ColumnFunction = Callable[..., Column]
 _rewards: dict[str, ColumnFunction] = {
     "correctness": lambda completion, answer, **_: exact_reward(boxed_first(completion), answer)
 }
+_metrics: dict[str, ColumnFunction] = {}
 _graders: dict[str, ColumnFunction] = {"equivalent": equivalent, "fallback": fallback_equal}
 
 
@@ -28,6 +29,19 @@ def register_grader(name: str, function: ColumnFunction) -> None:
     _graders[name] = function
 
 
+def register_metric(name: str, function: ColumnFunction) -> None:
+    """``function(**columns) -> Column``: an aggregate of the table's columns, built in or a grouped
+    ``pandas_udf``."""
+    _metrics[name] = function
+
+
+def apply_metrics(df: DataFrame, names: list[str], by: list[str] | None = None) -> DataFrame:
+    """One column per metric, over the whole table or per group."""
+    columns = {c: df[c] for c in df.columns}
+    wanted = [_lookup(_metrics, n)(**columns).alias(n) for n in names]
+    return df.groupBy(*(by or [])).agg(*wanted)
+
+
 def _lookup(table: dict[str, ColumnFunction], name: str) -> ColumnFunction:
     if name not in table:
         raise ValueError(f"unknown name {name!r}; registered: {sorted(table)}")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkeval.functions.common import ColumnOrName, as_column
-from sparkeval.operators.telemetry import flush_step
+from sparkeval.operators.telemetry import generation_log, generation_log_files
+from sparkeval.plans.session import materialize
 
 
 def basename(path: ColumnOrName, level: int = 1) -> Column:
@@ -77,14 +78,16 @@ def write_generation_log(files: DataFrame, path: str) -> None:
 
 
 def generation_log_sink(path: str, every: int = 5) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function that writes the records of a micro-batch under their flush step.
+    """``foreachBatch`` function that writes the records (step, seq, prompt, completion) of a micro-batch
+    nested under their flush step, as ``generation_log_files`` does in batch.
 
-    The folder is named after the micro-batch, so a batch that runs again replaces its own files.
+    The folder is named after the micro-batch, so a batch that runs again replaces its own files. A
+    flush that arrives in several micro-batches has a part in each; their ``num_samples`` add up.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        flushed = batch.withColumn("flush_step", flush_step("step", every))
-        target = f"{path}/batch={batch_id}"
-        flushed.write.mode("overwrite").partitionBy("flush_step").json(target)
+        stored = materialize(batch, "records")
+        files = generation_log_files(generation_log(stored, every=every))
+        files.write.mode("overwrite").partitionBy("flush_step").json(f"{path}/batch={batch_id}")
 
     return write

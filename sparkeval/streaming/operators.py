@@ -17,7 +17,7 @@ from sparkeval.operators.grading import PROBLEM, Grader, count_answers, extract,
 from sparkeval.operators.selection import last_n
 from sparkeval.operators.telemetry import ema, loss_windows
 from sparkeval.plans.skew import same_group
-from sparkeval.streaming.tables import changes_to, latest, start
+from sparkeval.streaming.tables import batches, changes_to, drop_batches, latest, start
 
 
 def stream_metrics(
@@ -25,7 +25,8 @@ def stream_metrics(
 ) -> StreamingQuery:
     """Keep the number of samples per distinct answer; samples are counted before the shuffle."""
     counts = count_answers(extract(completions), keys)
-    return start(counts, path, changes_to(path), available_now=available_now)
+    write = changes_to(path, [*keys, "formatted", "answer"])
+    return start(counts, path, write, available_now=available_now)
 
 
 def stream_scores(
@@ -59,7 +60,8 @@ def stream_loss_windows(
     marked = telemetry.withWatermark(ts, delay)
     windows = loss_windows(marked, duration, slide, session_gap, by, ts)
     mode = "append" if session_gap else "update"
-    return start(windows, path, changes_to(path), mode, available_now)
+    kept = None if session_gap else ["window_start", "window_end", *(by or [])]
+    return start(windows, path, changes_to(path, kept), mode, available_now)
 
 
 def stream_ema(
@@ -89,6 +91,7 @@ def stream_ema(
         if before is not None:
             ends = ends.unionByName(same_group(before, ends, keys, "left_anti"))
         ends.write.mode("overwrite").parquet(_held(path, batch_id))
+        drop_batches(spark, f"{path}/state", batch_id - 1)
 
     return start(stream, path, write, "append", available_now)
 
@@ -111,6 +114,7 @@ def stream_last_n(
         if batch_id:
             batch = batch.unionByName(batch.sparkSession.read.parquet(_held(path, batch_id - 1)))
         last_n(batch, keys, order, n).write.mode("overwrite").parquet(_held(path, batch_id))
+        drop_batches(batch.sparkSession, f"{path}/state", batch_id - 1)
 
     return start(stream, path, write, "append", available_now)
 
@@ -121,9 +125,7 @@ def _held(path: str, batch_id: int) -> str:
 
 def read_last_n(spark: SparkSession, path: str) -> DataFrame:
     """The rows held after the last micro-batch."""
-    states = spark.read.parquet(f"{path}/state")
-    newest = states.select(F.max("batch")).scalar()
-    return states.filter(F.col("batch") == newest).drop("batch")
+    return spark.read.parquet(_held(path, batches(spark, f"{path}/state")[-1]))
 
 
 def stream_dedup(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,19 +26,69 @@ def start(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def changes_to(path: str) -> Callable[[DataFrame, int], None]:
-    """Write each micro-batch into a folder of its own."""
+COMPACT_EVERY = 16
+
+
+def batches(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the micro-batches that have a folder there, rising."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(path)]
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def drop_batches(spark: SparkSession, folder: str, before: int) -> None:
+    """Remove the folders of the micro-batches before that number."""
+    for n in batches(spark, folder):
+        if n < before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch={n}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def changes_to(
+    path: str, keys: list[str] | None = None, every: int = COMPACT_EVERY
+) -> Callable[[DataFrame, int], None]:
+    """Write each micro-batch into a folder of its own.
+
+    With ``keys`` the newest version of each row is written out every ``every`` micro-batches, from the
+    last such table and the changes since; what is older than the last such table goes. So reading
+    ``latest`` takes one table and fewer than ``2 * every`` folders, however long the stream runs. A
+    micro-batch that runs again finds all that it read the first time.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
+        if keys and batch_id % every == every - 1:
+            spark = batch.sparkSession
+            newest = _latest(spark, path, keys, batch_id)
+            newest.write.mode("overwrite").parquet(f"{path}/compacted/batch={batch_id}")
+            done = batch_id - every
+            drop_batches(spark, f"{path}/compacted", done)
+            drop_batches(spark, f"{path}/changes", done + 1)
 
     return write
 
 
 def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The newest version of each row from the changes."""
-    changes = spark.read.parquet(f"{path}/changes")
-    values = [c for c in changes.columns if c not in (*keys, "batch")]
+    return _latest(spark, path, keys, None).drop("batch")
+
+
+def _latest(spark: SparkSession, path: str, keys: list[str], upto: int | None) -> DataFrame:
+    """Newest rows with the batch they come from; ``upto``: as that micro-batch saw them."""
+    tables = [n for n in batches(spark, f"{path}/compacted") if upto is None or n < upto]
+    since = tables[-1] if tables else -1
+    numbers = [n for n in batches(spark, f"{path}/changes") if n > since and (upto is None or n <= upto)]
+    folders = [f"{path}/changes/batch={n}" for n in numbers]
+    parts = []
+    if folders:
+        parts.append(spark.read.option("basePath", f"{path}/changes").parquet(*folders))
+    if tables:
+        parts.append(spark.read.parquet(f"{path}/compacted/batch={since}"))
+    changes = reduce(DataFrame.unionByName, parts)
+    values = [c for c in changes.columns if c not in keys]
     newest = F.max_by(F.struct(*values), "batch").alias("_row")
     return changes.groupBy(*keys).agg(newest).select(*keys, "_row.*")
 

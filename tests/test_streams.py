@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import json
 import random
 
 import pytest
@@ -17,7 +16,7 @@ from sparkeval.operators.selection import last_n
 from sparkeval.plans.session import work_dir
 from sparkeval.sources.sinks import generation_log_sink, write_generation_log
 from sparkeval.streaming import operators as streams
-from sparkeval.streaming.tables import appended, latest, start
+from sparkeval.streaming.tables import appended, batches, changes_to, latest, start
 
 START = dt.datetime(2024, 1, 1)
 
@@ -145,14 +144,57 @@ def test_generation_log(spark):
 
 
 def test_generation_log_stream(spark):
-    rows = [(s, f"p{s}", "c") for s in range(12)]
-    df = spark.createDataFrame(rows, "step long, prompt string, completion string")
+    rows = [(s, s, f"p{s}", "c") for s in range(12)]
+    df = spark.createDataFrame(rows, "step long, seq long, prompt string, completion string")
     out, state = work_dir(spark), work_dir(spark)
-    stream = as_stream(df, F.floor(F.col("step") / 6))
+    stream = as_stream(df, F.floor(F.col("step") / 4))
     start(stream, state, generation_log_sink(out), "append").awaitTermination()
-    back = spark.read.json(out)
-    assert sorted((r.step, r.flush_step) for r in back.collect())[:7] == [(s, 5) for s in range(6)] + [(6, 10)]
-    assert json.loads(back.filter("step = 11").select("prompt").toJSON().first()) == {"prompt": "p11"}
+    back = spark.read.json(out).orderBy("batch", "flush_step").collect()
+    assert [(r.batch, r.flush_step, r.num_samples) for r in back] == [(0, 5, 4), (1, 5, 2), (1, 10, 2), (2, 10, 3), (2, 15, 1)]
+    assert [g.prompt for r in back for g in r.generations] == [f"p{s}" for s in range(12)]
+
+
+def test_changes_are_compacted(spark):
+    """However many micro-batches, few folders are read, and a batch that runs again changes nothing."""
+    path = work_dir(spark)
+    write = changes_to(path, ["k"], every=3)
+    for b in range(14):
+        batch = spark.createDataFrame([(b % 4, b), (100 + b, b)], "k int, v int")
+        write(batch, b)
+        if b in (5, 8):
+            write(batch, b)
+        got = {r.k: r.v for r in latest(spark, path, ["k"]).collect()}
+        assert got == {k % 4: k for k in range(b + 1)} | {100 + k: k for k in range(b + 1)}
+        folders = batches(spark, f"{path}/changes")
+        assert len(folders) < 6 and len(batches(spark, f"{path}/compacted")) <= 2
+
+
+def test_states_are_dropped(spark, telemetry):
+    path = work_dir(spark)
+    stream = as_stream(telemetry, F.floor(F.col("id") / 30))
+    streams.stream_ema(stream, path, ["run"], ["ts", "id"], "value", 0.9).awaitTermination()
+    assert batches(spark, f"{path}/state") == [6, 7]
+
+
+def test_ema_of_a_null_key_goes_on(spark):
+    rows = [(i, START + dt.timedelta(minutes=i), None if i % 2 else "k", float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, run string, value double")
+    path = work_dir(spark)
+    stream = as_stream(df, F.floor(F.col("id") / 20))
+    streams.stream_ema(stream, path, ["run"], ["ts", "id"], "value", 0.9).awaitTermination()
+    want = M.ema(df, ["run"], ["ts", "id"], "value", 0.9).select("id", "ema")
+    assert rows_of(appended(spark, path).select("id", "ema")) == rows_of(want)
+    assert spark.read.parquet(f"{path}/state/batch=2").count() == 2
+
+
+def test_a_copy_after_expiry_is_a_new_row(spark):
+    # The state of a key goes at the end of the first micro-batch that starts beyond its time.
+    rows = [(i, START + dt.timedelta(hours=h), "a", 0.0) for i, h in enumerate([0, 1, 50, 51, 200])]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, run string, value double")
+    path = work_dir(spark)
+    stream = as_stream(df, F.col("id"))
+    streams.stream_dedup(stream, path, ["run"], "2 hours", ["id"]).awaitTermination()
+    assert sorted(r.id for r in appended(spark, path).collect()) == [0, 4]
 
 
 def test_metric_means(spark):
