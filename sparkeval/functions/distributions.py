@@ -42,13 +42,19 @@ def log_probs(probs: ColumnOrName) -> Column:
 
 
 def top_k_ids(teacher: ColumnOrName, k: int) -> Column:
-    """0-based ids of the k largest entries, best first; the lowest id wins a tie."""
-    ranked = F.array_sort(
-        F.transform(
-            as_column(teacher), lambda x, i: F.struct((-x).alias("v"), i.cast("int").alias("id"))
-        )
-    )
-    return F.transform(F.slice(ranked, 1, k), lambda r: r["id"])
+    """0-based ids of the k largest entries, best first; the lowest id wins a tie.
+
+    The plain numbers are sorted for the k-th largest; only entries from there on are ranked with their ids.
+    """
+
+    def largest(x: Column) -> Column:
+        cut = F.try_element_at(F.sort_array(x, asc=False), F.least(F.lit(k), F.size(x)))
+        places = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1)).otherwise(F.array().cast("array<int>"))
+        ids = let(cut, lambda c: F.filter(places, lambda i: F.get(x, i) >= c))
+        ranked = F.array_sort(F.transform(ids, lambda i: F.struct((-F.get(x, i)).alias("v"), i.alias("id"))))
+        return F.transform(F.slice(ranked, 1, k), lambda r: r["id"])
+
+    return let(as_column(teacher), largest)
 
 
 def gather(values: ColumnOrName, ids: Column) -> Column:
