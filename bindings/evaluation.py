@@ -14,6 +14,7 @@ from bindings.tables import (
     VAL_N,
     completions,
     problems,
+    quote,
     rounded,
     table,
     votes_sql,
@@ -440,6 +441,50 @@ def running_metrics_runs(spark, d):
     return out.withColumns(rounded("pass_at_n_pct", "average_at_n_pct", "format_rate"))
 
 
+# Attributes of a report, besides its numbers.
+ATTRIBUTES = {
+    "base_model": "base-1",
+    "dataset": "aime24",
+    "enable_thinking": True,
+    "temperature": 1.0,
+    "top_p": 0.95,
+    "top_k": -1,
+    "min_p": 0.0,
+    "presence_penalty": 0.0,
+    "max_new_tokens": 38912,
+}
+
+
+@B.add(
+    "eval_report_runs",
+    f"""{RUNS_SCORED}, n AS (SELECT count(*) AS num_problems FROM problems)
+SELECT run_id, {", ".join(f"{quote(v) if isinstance(v, str) else v} AS {k}" for k, v in ATTRIBUTES.items())},
+  {VAL_N} AS val_n, any_value(num_problems) AS num_problems,
+  count(*) FILTER (WHERE has_correct) AS pass_at_n, CAST(sum(num_correct) AS BIGINT) AS average_at_n,
+  count(*) AS listed, CAST(sum(num_samples) AS BIGINT) AS num_generations
+FROM scored, n GROUP BY run_id""",
+)
+def eval_report_runs(spark, d):
+    """One report per run with all its attributes, in folders by run, read back."""
+    path = work_dir(spark, "report")
+    rows, asked = materialize(completions(spark, d), "completions"), problems(spark, d)
+    per = materialize(grading.evaluate(rows, asked, keys=RUN), "scored")
+    write_report(
+        grading.summary(per, asked, VAL_N, runs=["run_id"], attributes=ATTRIBUTES),
+        grading.results(rows, asked, per, VAL_N, runs=["run_id"]),
+        grading.generations(rows, asked, runs=["run_id"]),
+        path,
+        ["run_id"],
+    )
+    header = spark.read.json(f"{path}/summary")
+    listed = spark.read.json(f"{path}/results").groupBy("run_id").agg(F.count("*").alias("listed"))
+    detail = spark.read.json(f"{path}/generations").groupBy("run_id")
+    sizes = detail.agg(F.sum(F.size("generations")).alias("num_generations"))
+    return header.join(listed, "run_id").join(sizes, "run_id").select(
+        "run_id", *ATTRIBUTES, "val_n", "num_problems", "pass_at_n", "average_at_n", "listed", "num_generations"
+    )
+
+
 @B.add(
     "explode_outputs",
     f"{WITH_LAST} SELECT problem_id, sample_idx, text FROM completions",
