@@ -7,9 +7,10 @@
    values that nobody shares are skipped, then classes with too few shared values, and of a class that
    is left only the rarest shared values count, as many as a pair with enough collisions cannot miss
    (prefix). Long lists of frequent values thus drop out unless the classes in them agree elsewhere.
-3. Lists are joined in two rounds. First every class meets one pivot of each of its two longest lists,
-   which connects large groups by stars instead of by all pairs. Then lists whose classes are all
-   connected are skipped, and in the others only classes of different components meet.
+3. Lists are joined in two rounds. First every class meets the pivots of its longest list and of its two
+   shortest, which connects large groups by stars instead of by all pairs. Then lists whose classes are all
+   connected are skipped, and in the others only classes of different components meet, as far as the
+   shingles that a class has alone leave room for a link.
 4. A pair that agrees in enough coordinates is confirmed on the full sets, and the components of the
    confirmed links are found by star contraction.
 
@@ -35,7 +36,7 @@ from sparkeval.plans.session import materialize
 COORDINATES = 32
 MATCHES = 12
 PERCENT = 85  # of the union that two linked sets share at least
-PIVOT_LISTS = 2
+SHORT_LISTS = 2
 SIGNATURE = struct(n="bigint", node="binary", signature="array<bigint>")
 
 
@@ -76,8 +77,11 @@ def signatures(df: DataFrame, text: str = "text", into: str = "minhash") -> Data
 
 
 def postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """(key, node, longest): the shared values of each class that a pair with ``matches`` collisions
-    cannot miss; ``longest`` numbers them from the longest list, 1."""
+    """(key, node, prefix, rarest, longest, weight): the shared values of the classes that have enough.
+
+    ``prefix`` marks those that a pair with ``matches`` collisions cannot miss; ``rarest`` and ``longest``
+    number them from either end, from 1, and ``weight`` sums the lengths of all lists of the class.
+    """
     posted = classes.select("node", F.posexplode("signature").alias("at", "value")).select(
         "node", F.xxhash64("at", "value").alias("key")
     )
@@ -87,20 +91,30 @@ def postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
     ranked = shared.select(
         "*",
         F.count("*").over(own).alias("shared"),
+        F.sum("size").over(own).alias("weight"),
         F.row_number().over(own.orderBy("size", "key")).alias("rarest"),
     )
-    needed = F.col("shared") - matches + 1
-    return ranked.filter((F.col("shared") >= matches) & (F.col("rarest") <= needed)).select(
-        "key", "node", (needed - F.col("rarest") + 1).alias("longest")
+    return ranked.filter(F.col("shared") >= matches).select(
+        "key",
+        "node",
+        (F.col("rarest") <= F.col("shared") - matches + 1).alias("prefix"),
+        "rarest",
+        (F.col("shared") - F.col("rarest") + 1).alias("longest"),
+        "weight",
     )
 
 
-def pivot_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b): each class with the pivot of its longest lists. The pivot is the class with the least
-    hash of class and key, so lists have different ones."""
-    hashed = F.struct(F.xxhash64("node", "key").alias("h"), F.col("node").alias("node"))
-    pivots = lists.groupBy("key").agg(F.min(hashed)["node"].alias("pivot"))
-    met = lists.filter(F.col("longest") <= PIVOT_LISTS).join(pivots, "key")
+def pivot_pairs(lists: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, b): each class with the pivots of its longest list and of its shortest ones.
+
+    The pivot is the class with the fewest shingles of its own, then the greatest weight: the middle of
+    a group of near copies. Of equal ones it is that with the least hash of class and key.
+    """
+    hashed = F.xxhash64("node", "key").alias("h")
+    central = F.struct("own", (-F.col("weight")).alias("w"), hashed, F.col("node").alias("node"))
+    pivots = lists.join(own, "node").groupBy("key").agg(F.min(central)["node"].alias("pivot"))
+    ends = (F.col("longest") == 1) | (F.col("rarest") <= SHORT_LISTS)
+    met = lists.filter(ends).join(pivots, "key")
     return _ordered(met.filter("node <> pivot"), F.col("node"), F.col("pivot"))
 
 
@@ -108,13 +122,44 @@ def _ordered(pairs: DataFrame, a: Column, b: Column) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def crossing_pairs(lists: DataFrame, labels: DataFrame, classes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """(a, b): classes of different components that share a list and agree in enough coordinates.
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(node, own): how many shingles of each set no other one has."""
 
-    A list with one component is skipped. In another, the component with the most classes stays on
-    one side: its classes meet the others, and the others meet each other.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                values = np.frombuffer(hashes, np.int64)
+                high, low = np.frombuffer(node, np.int64)
+                columns = [pa.array(values), pa.array(np.full(len(values), high)), pa.array(np.full(len(values), low))]
+                yield pa.RecordBatch.from_arrays(columns, names=["shingle", "high", "low"])
+
+    held = sets.select("node", "hashes").mapInArrow(run, "shingle bigint, high bigint, low bigint")
+    counts = held.groupBy("shingle").agg(
+        F.count("*").alias("holders"), F.min("high").alias("high"), F.min("low").alias("low")
+    )
+    alone = counts.filter("holders = 1").groupBy("high", "low").agg(F.count("*").alias("own"))
+    halves = append(
+        sets.select("node"),
+        "h",
+        struct(high="bigint", low="bigint"),
+        lambda c: [tuple(np.frombuffer(n, np.int64).tolist()) for n in c["node"]],
+        ["node"],
+    ).select("node", "h.high", "h.low")
+    return halves.join(alone, ["high", "low"], "left").select("node", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def crossing_pairs(
+    lists: DataFrame, labels: DataFrame, classes: DataFrame, own: DataFrame, matches: int = MATCHES
+) -> DataFrame:
+    """(a, b): classes of different components that share a list, may be similar enough and agree in
+    enough coordinates.
+
+    A list with one component is skipped. In another, the component with the most classes stays on one
+    side: its classes meet the others, and the others meet each other. Shingles that a class has alone
+    bound what it can share: classes with too many are skipped, and of the others only pairs within the
+    bound meet, once, in the first of their common lists.
     """
-    known = lists.join(labels, "node", "left").select(
+    known = lists.filter("prefix").join(labels, "node", "left").select(
         "key", "node", F.coalesce("label", "node").alias("label")
     )
     known = materialize(known, "labelled")
@@ -122,21 +167,25 @@ def crossing_pairs(lists: DataFrame, labels: DataFrame, classes: DataFrame, matc
     mixed_lists = sizes.groupBy("key").agg(
         F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("labels")
     ).filter("labels > 1")
-    members = known.join(mixed_lists.select("key", "main"), "key").join(
-        classes.select("node", "n", "signature"), "node"
-    )
-    members = materialize(members, "members")
-    left = members.filter("label <> main").select(
-        "key", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "signature")]
-    )
-    right = members.select(
-        "key", "main", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "signature")]
+    members = materialize(known.join(mixed_lists.select("key", "main"), "key"), "members")
+    keys = members.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    able = (
+        classes.select("node", "n", "signature")
+        .join(own, "node")
+        .withColumn("most", F.col("n") - F.col("own"))
+        .filter(100 * F.col("most") >= PERCENT * F.col("n"))
     )
+    members = materialize(members.join(able.join(keys, "node"), "node"), "able")
+    columns = ("node", "label", "n", "most", "keys", "signature")
+    left = members.filter("label <> main").select("key", *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = members.select("key", "main", *[F.col(c).alias(f"{c}_b") for c in columns])
     apart = (F.col("label_a") != F.col("label_b")) & (
         (F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
     )
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    met = left.join(right, "key").filter(apart & (100 * small >= PERCENT * large))
+    most = F.least("most_a", "most_b")
+    within = 100 * most >= PERCENT * (F.col("n_a") + F.col("n_b") - most)
+    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == left["key"]
+    met = left.join(right, (left["key"] == right["key"]) & apart & within & first)
     agreeing = met.select("node_a", "node_b", "signature_a", "signature_b").mapInArrow(
         _agreeing(matches), "node_a binary, node_b binary"
     )
@@ -253,9 +302,10 @@ def _members(df: DataFrame, key: str, text: str) -> DataFrame:
     classes = materialize(classes, "classes")
     lists = materialize(postings(classes), "postings")
     sets = materialize(sets_of(docs, lists, classes, "_text"), "sets")
-    links = materialize(confirmed(agreeing_pairs(pivot_pairs(lists), classes), sets), "links")
+    own = materialize(own_shingles(sets), "own")
+    links = materialize(confirmed(agreeing_pairs(pivot_pairs(lists, own), classes), sets), "links")
     labels = materialize(components(links), "labels")
-    crossing = materialize(crossing_pairs(lists, labels, classes), "crossing")
+    crossing = materialize(crossing_pairs(lists, labels, classes, own), "crossing")
     more = materialize(confirmed(crossing, sets), "links")
     if not more.isEmpty():
         tree = labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))

@@ -27,7 +27,7 @@ def test_near_groups(llm_spark, near_docs):
 
 def test_crossing_pairs_find_what_pivots_miss(llm_spark, near_docs, monkeypatch):
     """Without the stars the second round alone gives the same groups."""
-    monkeypatch.setattr(neardup, "pivot_pairs", lambda lists: neardup._ordered(lists.limit(0).selectExpr("node a", "node b"), "a", "b"))
+    monkeypatch.setattr(neardup, "pivot_pairs", lambda lists, own: neardup._ordered(lists.limit(0).selectExpr("node a", "node b"), "a", "b"))
     docs = llm_spark.createDataFrame(near_docs, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.groups(docs).collect()}
     assert got == brute.near_groups(near_docs)
