@@ -11,8 +11,6 @@ are shuffled once, by document; texts are not.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,14 +54,21 @@ def gram(words: Column, at: Column) -> Column:
 def templates(spark: SparkSession) -> DataFrame:
     """(template, label, phrase, grams, at, hash, words): a row per pair of words of a template, and one
     row with ``at`` -1 and hash 0, which every document meets."""
-    rows = []
-    for number, (text, label) in enumerate(PHRASES + NOTICES):
-        words = re.findall("[0-9a-z]+", text)
-        n = len(words) - GRAM + 1
-        rows += [(number, label, number < len(PHRASES), n, i, words[i : i + GRAM]) for i in range(n)]
-    kind = "template int, label string, phrase boolean, grams int, at int, pair array<string>"
-    pairs = spark.createDataFrame(rows, kind).withColumn("hash", gram(F.col("pair"), F.lit(0)))
-    mark = spark.createDataFrame([(-1, "", False, 0, -1, [])], kind).withColumn("hash", F.lit(0).cast("bigint"))
+    rows = ", ".join(
+        f"({number}, '{label}', {number < len(PHRASES)}, '{text}')"
+        for number, (text, label) in enumerate(PHRASES + NOTICES)
+    )
+    listed = spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, label, phrase, text)")
+    words = F.split("text", " ")
+    starts = F.sequence(F.lit(0), F.size(words) - GRAM)
+    pairs = listed.select(
+        "template",
+        "label",
+        "phrase",
+        (F.size(words) - GRAM + 1).alias("grams"),
+        F.posexplode(F.transform(starts, lambda i: F.slice(words, i + 1, GRAM))).alias("at", "pair"),
+    ).withColumn("hash", gram(F.col("pair"), F.lit(0)))
+    mark = spark.sql("SELECT -1, '', false, 0, -1, CAST(array() AS array<string>), 0L")
     return pairs.union(mark)
 
 
