@@ -249,14 +249,9 @@ def running_metrics(
     if runs:
         # Each problem is repeated once per run, from a list of the runs (names, not results).
         names = scored.select(F.struct(*runs).alias("_run")).distinct()
-        listed_runs = names.agg(F.sort_array(F.collect_list("_run")).alias("_runs"))
-        one = F.lit(0).alias("_one")
-        listed = (
-            listed.select("*", one)
-            .join(F.broadcast(listed_runs.select("*", one)), "_one")
-            .select("problem_id", order, F.explode("_runs").alias("_run"))
-            .select("_run.*", "problem_id", order)
-        )
+        every_run = names.select(F.sort_array(F.collect_list("_run"))).scalar()
+        repeated = listed.select("problem_id", order, F.explode(every_run).alias("_run"))
+        listed = repeated.select("_run.*", "problem_id", order)
     rows = same_group(listed, scored, [*runs, "problem_id"], "left").fillna(
         0, ["num_correct", "num_formatted"]
     )
