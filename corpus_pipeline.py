@@ -13,6 +13,7 @@ from sparkeval.llm.common import fresh, prepared
 from sparkeval.plans.session import configure, materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+NEAR = 80  # of the union of two documents' shingles that near copies share at least; op4's contract has 85
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
-    return neardup.first_of_each(docs)
+    """One document of each group of near copies, which share 80 % of their shingles: the one with the
+    smallest id."""
+    return neardup.first_of_each(docs, percent=NEAR)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

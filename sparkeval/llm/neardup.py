@@ -3,7 +3,8 @@
 1. Documents with one and the same set of shingles are one class; only classes go on, so thousands of
    copies cost one row. A class has a signature of ``COORDINATES`` values.
 2. Each class is posted under each pair of coordinate and value. Two sets that are similar enough agree
-   in at least ``MATCHES`` coordinates (the chance of fewer at a similarity of 0.85 is below 1e-9). So
+   in at least ``MATCHES`` coordinates (the chance of fewer is below 1e-9 at a similarity of 0.85 and
+   below 3e-8 at 0.8). So
    values that nobody shares are skipped, then classes with too few shared values, and of a class that
    is left only the rarest shared values count, as many as a pair with enough collisions cannot miss
    (prefix). Long lists of frequent values thus drop out unless the classes in them agree elsewhere.
@@ -35,7 +36,7 @@ from sparkeval.plans.session import materialize
 
 COORDINATES = 32
 MATCHES = 12
-PERCENT = 85  # of the union that two linked sets share at least
+PERCENT = 85  # of the union that two linked sets share at least, unless a caller gives another share
 SHORT_LISTS = 2
 SIGNATURE = struct(n="bigint", node="binary", signature="array<bigint>")
 
@@ -149,7 +150,12 @@ def own_shingles(sets: DataFrame) -> DataFrame:
 
 
 def crossing_pairs(
-    lists: DataFrame, labels: DataFrame, classes: DataFrame, own: DataFrame, matches: int = MATCHES
+    lists: DataFrame,
+    labels: DataFrame,
+    classes: DataFrame,
+    own: DataFrame,
+    matches: int = MATCHES,
+    percent: int = PERCENT,
 ) -> DataFrame:
     """(a, b): classes of different components that share a list, may be similar enough and agree in
     enough coordinates.
@@ -173,7 +179,7 @@ def crossing_pairs(
         classes.select("node", "n", "signature")
         .join(own, "node")
         .withColumn("most", F.col("n") - F.col("own"))
-        .filter(100 * F.col("most") >= PERCENT * F.col("n"))
+        .filter(100 * F.col("most") >= percent * F.col("n"))
     )
     members = materialize(members.join(able.join(keys, "node"), "node"), "able")
     columns = ("node", "label", "n", "most", "keys", "signature")
@@ -183,7 +189,7 @@ def crossing_pairs(
         (F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
     )
     most = F.least("most_a", "most_b")
-    within = 100 * most >= PERCENT * (F.col("n_a") + F.col("n_b") - most)
+    within = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
     first = F.array_min(F.array_intersect("keys_a", "keys_b")) == left["key"]
     met = left.join(right, (left["key"] == right["key"]) & apart & within & first)
     agreeing = met.select("node_a", "node_b", "signature_a", "signature_b").mapInArrow(
@@ -205,7 +211,9 @@ def _agreeing(matches: int):
     return run
 
 
-def agreeing_pairs(pairs: DataFrame, classes: DataFrame, matches: int = MATCHES) -> DataFrame:
+def agreeing_pairs(
+    pairs: DataFrame, classes: DataFrame, matches: int = MATCHES, percent: int = PERCENT
+) -> DataFrame:
     """The pairs whose signatures agree in enough coordinates and whose sizes allow a link."""
     own = classes.select("node", "n", "signature")
     a, b = (
@@ -213,7 +221,7 @@ def agreeing_pairs(pairs: DataFrame, classes: DataFrame, matches: int = MATCHES)
         for s in "ab"
     )
     sized = pairs.join(a, "a").join(b, "b").filter(
-        100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+        100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     )
     return sized.select("a", "b", "s_a", "s_b").mapInArrow(_agreeing(matches), "a binary, b binary")
 
@@ -235,8 +243,8 @@ def sets_of(docs: DataFrame, lists: DataFrame, classes: DataFrame, text: str) ->
     return kept.groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that share at least ``PERCENT`` of their union."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs that share at least ``percent`` of their union."""
     a, b = (sets.select(F.col("node").alias(s), F.col("hashes").alias(f"h_{s}")) for s in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +253,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "h_a", "h_b")
@@ -287,7 +295,7 @@ def components(links: DataFrame) -> DataFrame:
     return labels.union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def _members(df: DataFrame, key: str, text: str) -> DataFrame:
+def _members(df: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """(_key, _hash, n, node, label, component_id) per document; label is one per component."""
     docs = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     hashed = signatures(docs.select("*", F.xxhash64("_text").alias("_hash")), "_text", "_s")
@@ -303,10 +311,10 @@ def _members(df: DataFrame, key: str, text: str) -> DataFrame:
     lists = materialize(postings(classes), "postings")
     sets = materialize(sets_of(docs, lists, classes, "_text"), "sets")
     own = materialize(own_shingles(sets), "own")
-    links = materialize(confirmed(agreeing_pairs(pivot_pairs(lists, own), classes), sets), "links")
+    links = materialize(confirmed(agreeing_pairs(pivot_pairs(lists, own), classes, percent=percent), sets, percent), "links")
     labels = materialize(components(links), "labels")
-    crossing = materialize(crossing_pairs(lists, labels, classes, own), "crossing")
-    more = materialize(confirmed(crossing, sets), "links")
+    crossing = materialize(crossing_pairs(lists, labels, classes, own, percent=percent), "crossing")
+    more = materialize(confirmed(crossing, sets, percent), "links")
     if not more.isEmpty():
         tree = labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
         labels = materialize(components(tree.union(more)), "labels")
@@ -319,17 +327,17 @@ def _members(df: DataFrame, key: str, text: str) -> DataFrame:
     return done.select("_key", "_hash", "n", "node", "label", component.alias("component_id"))
 
 
-def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, kept) per document.
 
     Words are separated by \\x20 and \\x09-\\x0D, A-Z are lowered; the set of a document holds its distinct
-    shingles of five words, or all its words as one. Documents are linked if they share 85 % of the
-    union of their sets; ``component_id`` is the smallest key that links lead to. Null and empty texts
+    shingles of five words, or all its words as one. Documents are linked if they share ``percent`` of
+    the union of their sets; ``component_id`` is the smallest key that links lead to. Null and empty texts
     have an empty set and no link. Rows without a key take part and get the smallest key of their group,
     null if it has none; rows that repeat a key are documents of their own. ``kept`` says that the key is
     the component's. An empty table gives an empty table; other columns are not read.
     """
-    return _members(df, key, text).select(
+    return _members(df, key, text, percent).select(
         F.col("_key").alias(key),
         F.col("n").alias("n_shingles"),
         "component_id",
@@ -337,13 +345,16 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
 
 
-def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def first_of_each(
+    df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT
+) -> DataFrame:
     """One document of each group of near copies, the one with the smallest key, with all its columns.
+    Near copies are those that ``groups`` links.
 
     Rows without a key come after all others. Of rows that share key and text one stays. Documents
     without words all stay.
     """
-    members = materialize(_members(df, key, text), "members")
+    members = materialize(_members(df, key, text, percent), "members")
     order = F.struct(F.col("_key").isNull().alias("no"), "_key", "_hash")
     first = members.filter("label is not null").groupBy("label").agg(F.min(order).alias("w"))
     wordless = members.filter("label is null").select("_key", "_hash", F.lit(None).cast("binary").alias("label"))

@@ -90,7 +90,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.groups(documents(spark, sf_dir))
+    return neardup.groups(documents(spark, sf_dir), percent=85)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

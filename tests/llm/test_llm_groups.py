@@ -58,6 +58,43 @@ def test_first_of_each(llm_spark, odd, near_docs):
     assert neardup.first_of_each(odd.limit(0)).count() == 0
 
 
+def least_of_near(docs, percent):
+    """The ids that are the least of their component at a share of ``percent``."""
+    sets = {i: brute.shingle_set(t) for i, t in docs}
+    ids = sorted(sets)
+    label = {i: i for i in ids}
+    linked = [
+        (a, b)
+        for k, a in enumerate(ids)
+        for b in ids[k + 1 :]
+        if sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    ]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in linked:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    return {i for i in ids if label[i] == i}
+
+
+def test_near_duplicates_of_the_pipeline_share_80_percent(llm_spark, near_docs):
+    """Copies between 80 and 85 % are near copies in the stage, not in op4."""
+    base = [f"s{i}" for i in range(200)]
+    edited = list(base)
+    for i in range(10, 190, 45):
+        edited[i] = f"other{i}"  # 4 edits of 5 shingles: 176 of 216 shared, 81 %
+    docs = [*near_docs, (5000, " ".join(base)), (5001, " ".join(edited))]
+    df = llm_spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(llm_spark, df, "").collect()}
+    want = least_of_near(docs, 80)
+    assert got == want and 5001 not in got
+    assert want < least_of_near(docs, 85)
+    assert {r.doc_id for r in neardup.groups(df, percent=80).filter("kept").collect()} == want
+    assert {r.doc_id for r in neardup.groups(df).filter("kept").collect()} == least_of_near(docs, 85)
+
+
 def test_components_of_a_path_and_a_star(llm_spark):
     node = lambda i: i.to_bytes(4, "big")
     edges = [(node(i), node(i + 1)) for i in range(60)] + [(node(100), node(101 + i)) for i in range(50)]
