@@ -71,13 +71,23 @@ def with_reasoning(
     prompts: DataFrame,
     reasoning: str = "reasoning",
     transition: str = "transition",
-    max_reasoning: int = 1024,
+    max_reasoning: int | None = None,
     pad: int = 0,
 ) -> DataFrame:
-    """The teacher's prompt followed by its reasoning, of fixed length, and the transition that asks it to
-    teach; the mask leaves out every pad id. ``reasoning`` and ``transition`` are columns of ids."""
-    whole = concat_ids("teacher_prompts", fix_length(reasoning, max_reasoning, pad), transition)
-    longer = prompts.withColumn("teacher_prompts", whole)
+    """The teacher's prompt followed by its reasoning and the transition that asks it to teach; the mask
+    leaves out every pad id. ``reasoning`` and ``transition`` are columns of ids.
+
+    The reasoning is kept whole and padded to the longest of its ``batch_id``; with ``max_reasoning`` it
+    is cut and padded to that length.
+    """
+    if max_reasoning is None:
+        size = F.max(F.size(reasoning)).alias("_longest_reasoning")
+        prompts = prompts.join(prompts.groupBy("batch_id").agg(size), "batch_id")
+        reasoned = pad_to(reasoning, "_longest_reasoning", pad)
+    else:
+        reasoned = fix_length(reasoning, max_reasoning, pad)
+    whole = concat_ids("teacher_prompts", reasoned, transition)
+    longer = prompts.withColumn("teacher_prompts", whole).drop("_longest_reasoning")
     return longer.withColumns(
         {
             "teacher_prompt_attention_mask": attention_mask("teacher_prompts", pad),

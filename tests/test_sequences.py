@@ -210,6 +210,20 @@ def test_distillation_batch(spark):
     assert long[2].student_input_ids == full[2].student_input_ids and long[2].labels == full[2].labels
 
 
+def test_reasoning_is_kept_whole(spark):
+    """Reasoning of any length, padded to the longest of its batch; a given length still holds."""
+    rows = [(1, 0, [5], list(range(10, 1510))), (2, 0, [5], [8]), (3, 1, [4, 0], [9, 9])]
+    prompts = spark.createDataFrame(rows, "k int, batch_id int, teacher_prompts array<int>, reasoning array<int>")
+    prompts = prompts.withColumn("transition", F.array(F.lit(6)))
+    got = {r.k: r for r in with_reasoning(prompts).collect()}
+    assert got[1].teacher_prompts == [5, *range(10, 1510), 6]
+    assert got[2].teacher_prompts == [5, 8, *[0] * 1499, 6]
+    assert got[2].teacher_prompt_attention_mask == [1, 1, *[0] * 1499, 1]
+    assert (got[3].teacher_prompts, got[3].teacher_prompt_length) == ([4, 0, 9, 9, 6], 5)
+    cut = {r.k: r.teacher_prompts for r in with_reasoning(prompts, max_reasoning=3).collect()}
+    assert cut[1] == [5, 10, 11, 12, 6] and cut[2] == [5, 8, 0, 0, 6]
+
+
 def test_distillation_shuffles(spark):
     """All sides in one pass: few exchanges, whatever the number of texts."""
     import __spark_entry__ as entry
