@@ -465,19 +465,20 @@ SELECT run_id, {", ".join(f"{quote(v) if isinstance(v, str) else v} AS {k}" for
 FROM scored, n GROUP BY run_id""",
 )
 def eval_report_runs(spark, d):
-    """One report per run with all its attributes, in folders by run, read back."""
+    """One report per run with all its attributes, in folders by run, read back. Its results have every
+    problem; ``listed`` counts those that the run answered, as the SQL does."""
     path = work_dir(spark, "report")
     rows, asked = materialize(completions(spark, d), "completions"), problems(spark, d)
     per = materialize(grading.evaluate(rows, asked, keys=RUN), "scored")
     write_report(
         grading.summary(per, asked, VAL_N, runs=["run_id"], attributes=ATTRIBUTES),
-        grading.results(rows, asked, per, VAL_N, runs=["run_id"]),
+        grading.results(rows, asked, per, VAL_N, runs=["run_id"], unanswered=True),
         grading.generations(rows, asked, runs=["run_id"]),
         path,
         ["run_id"],
     )
     header = spark.read.json(f"{path}/summary")
-    listed = spark.read.json(f"{path}/results").groupBy("run_id").agg(F.count("*").alias("listed"))
+    listed = spark.read.json(f"{path}/results").groupBy("run_id").agg(F.count("full_generation").alias("listed"))
     detail = spark.read.json(f"{path}/generations").groupBy("run_id")
     sizes = detail.agg(F.sum(F.size("generations")).alias("num_generations"))
     return header.join(listed, "run_id").join(sizes, "run_id").select(

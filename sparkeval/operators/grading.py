@@ -231,6 +231,14 @@ def leaderboard(summaries: DataFrame) -> DataFrame:
     ).orderBy(F.desc("average_at_n_pct"), "run_id")
 
 
+def for_every_run(problems: DataFrame, scored: DataFrame, runs: list[str]) -> DataFrame:
+    """Each problem once per run of ``scored``, from a list of the runs (names, not results)."""
+    names = scored.select(F.struct(*runs).alias("_run")).distinct()
+    every_run = names.select(F.sort_array(F.collect_list("_run"))).scalar()
+    repeated = problems.select("*", F.explode(every_run).alias("_run"))
+    return repeated.select("_run.*", *problems.columns)
+
+
 def running_metrics(
     scored: DataFrame,
     problems: DataFrame,
@@ -247,11 +255,7 @@ def running_metrics(
     runs = runs or []
     listed = problems.select("problem_id", order)
     if runs:
-        # Each problem is repeated once per run, from a list of the runs (names, not results).
-        names = scored.select(F.struct(*runs).alias("_run")).distinct()
-        every_run = names.select(F.sort_array(F.collect_list("_run"))).scalar()
-        repeated = listed.select("problem_id", order, F.explode(every_run).alias("_run"))
-        listed = repeated.select("_run.*", "problem_id", order)
+        listed = for_every_run(listed, scored, runs)
     rows = same_group(listed, scored, [*runs, "problem_id"], "left").fillna(
         0, ["num_correct", "num_formatted"]
     )
@@ -288,12 +292,14 @@ def results(
     grader: Grader = equivalent,
     text: str = "text",
     runs: list[str] | None = None,
+    unanswered: bool = False,
 ) -> DataFrame:
     """Report header, one row per problem (and run); the first sample stands at the top level.
 
     The first is the one with the lowest ``sample_idx``, found on narrow rows; only its text is moved.
     Problems without an answer are kept, with zeros and the mark for a missing answer: without ``runs``
-    all problems, with ``runs`` all that ``scored`` lists for the run.
+    all problems, with ``runs`` all that ``scored`` lists for the run, and with ``unanswered`` all
+    problems for every run that ``scored`` lists.
     """
     runs = runs or []
     keys = [*runs, "problem_id"]
@@ -302,7 +308,10 @@ def results(
         completions.select(*keys, "sample_idx", text), lowest, [*keys, "sample_idx"], "left_semi"
     ).select(*keys, text, boxed_last(text).alias("_answer"))
     gold = problems.select("problem_id", "problem", "ground_truth")
-    listed = gold.join(scored, "problem_id", "inner" if runs else "left")
+    if runs and unanswered:
+        listed = same_group(for_every_run(gold, scored, runs), scored, keys, "left")
+    else:
+        listed = gold.join(scored, "problem_id", "inner" if runs else "left")
     joined = same_group(listed, first, keys, "left").fillna(0, ["num_correct"])
     joined = joined.fillna(False, ["has_correct", "majority_vote_correct"])
     return joined.select(

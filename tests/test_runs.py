@@ -40,6 +40,19 @@ def test_results_keep_unanswered_problems(tables):
     assert out[3].predicted_answer == "[No boxed answer found]" and out[3].num_correct == 0 and not out[3].pass_at_n
 
 
+def test_results_of_every_run_keep_unanswered_problems(tables):
+    completions, problems = tables
+    scored = grading.evaluate(completions, problems, keys=["run_id", "problem_id"])
+    rows = grading.results(completions, problems, scored, 2, runs=["run_id"], unanswered=True).collect()
+    out = {(r.run_id, r.problem_id): r for r in rows}
+    assert len(rows) == len(out) == 6
+    assert (out["a", 1].predicted_answer, out["a", 1].correct) == ("7", True)
+    for key in (("a", 2), ("a", 3), ("b", 3)):
+        r = out[key]
+        assert (r.predicted_answer, r.num_correct, r.problem) == ("[No boxed answer found]", 0, f"q{key[1]}")
+        assert not (r.pass_at_n or r.majority_vote_correct or r.correct or r.formatted) and r.full_generation is None
+
+
 def test_generations(tables):
     completions, problems = tables
     out = grading.generations(completions, problems, runs=["run_id"]).collect()
