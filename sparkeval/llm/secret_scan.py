@@ -3,7 +3,9 @@
 A candidate is a long token after a word like "key" or "credential". Its novelty is the number of bytes
 that it adds to the compressed form of the text around it, where the compressor starts from a
 dictionary of identifiers that code is full of. A name, path or repeated string costs few bytes; a
-random key costs nearly all of its own.
+random key costs nearly all of its own. Letters of one case, or words joined by capitals, may be a plain
+name that the dictionary lacks, so more of them must be new; in long prose a random string of letters of
+one case can stay below that.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SENSITIVE = (b"key", b"secret", b"token", b"passw", b"passphrase", b"credential"
 NEAR = 48  # bytes before a candidate in which a sensitive word makes it one
 AROUND = 256  # bytes of surrounding text that prime the compressor
 MIN_SHARE = 0.6  # of its own length that a candidate must add
+WORD_SHARE = 0.9  # the same for what may be plain words
+WORDS = re.compile(rb"[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*|[A-Z]+")
 IDENTIFIERS = """
 abstract access_key account_id address api_key application args array assert async attribute auth_token
 authorization await base64 bearer boolean break bucket buffer bytes cache callback certificate class client
@@ -81,10 +85,8 @@ def _novel(raw: bytes, low: bytes) -> list[tuple[int, int]]:
         if not any(w in context for w in SENSITIVE):
             continue
         token = m.group()
-        if token.isalpha() or token.isdigit():
-            continue
         added = novelty(raw[max(0, s - AROUND) : s], token, raw[e : e + AROUND])
-        if added >= MIN_SHARE * len(token):
+        if added >= (WORD_SHARE if WORDS.fullmatch(token) else MIN_SHARE) * len(token):
             found.append((s, e))
     return found
 

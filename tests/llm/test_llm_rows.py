@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import string
 
 import brute
 import public_tokenizers
@@ -87,6 +88,21 @@ def test_novel_strings():
     assert novel("authentication and responsibilities without borders") == []
 
 
+def test_novel_strings_of_one_class():
+    """Letters alone and digits alone are measured like all others."""
+    rng = random.Random(5)
+    keys = ["QzXwVbNmLkJhGfDsApOi"]
+    keys += ["".join(rng.choices(kind, k=n)) for kind in (string.ascii_letters, string.digits) for n in (16, 20, 32)]
+    keys += ["".join(rng.choices(kind, k=20)) for kind in (string.ascii_lowercase, string.ascii_uppercase)]
+    for key in keys:
+        text = f"the private key: {key} and then the rest of the text goes on."
+        assert [text[s:e] for _, s, e in secret_scan.scan(text)] == [key]
+        assert key not in secret_scan.redact_text(text, secret_scan.scan(text), "[secret]")
+    assert [s[0] for s in secret_scan.scan("private: QzXwVbNmLkJhGfDsApOi")] == ["novel"]
+    for plain in ("responsibilities", "internationalization", "n" * 40, "0" * 20, "applicationConfiguration"):
+        assert secret_scan.scan(f"the private key: {plain} and then the rest of the text goes on.") == []
+
+
 def test_secrets(odd):
     done = secret_scan.find(odd, into="hits")
     check_columns(odd, done, "hits")
