@@ -30,10 +30,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
+    """Documents without benchmark passages, those of items without an id included."""
     held = fresh(docs, "_hits")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    found = decontam.contamination(docs, benchmark, into=held)
+    found = decontam.contamination(docs, benchmark, into=held, unnamed=True)
     return found.filter(F.col(held)["n_hit"] == 0).select(*docs.columns)
 
 

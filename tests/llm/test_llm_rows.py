@@ -148,6 +148,17 @@ def test_decontamination(llm_spark):
     assert decontam.contamination(docs.limit(0), items).count() == 0
 
 
+def test_passages_of_items_without_an_id(llm_spark):
+    """Their words are hit, also in a block behind the first; no item is listed for them."""
+    texts = ["one two", "two one 日本", "the of alpha beta", "nothing here"]
+    docs = llm_spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    items = llm_spark.createDataFrame([(str(i) if i else None, t) for i, t in ITEMS], "item_id string, text string")
+    for block_bytes in (1 << 20, 400):
+        found = decontam.contamination(docs, items, block_bytes=block_bytes, unnamed=True).collect()
+        got = {r.doc_id: (r.hits.n_hit, r.hits["items"]) for r in found}
+        assert got == {0: (1, []), 1: (2, ["x"]), 2: (4, ["1"]), 3: (0, [])}
+
+
 def test_licences(odd, llm_spark):
     found = licenses.scan(odd)
     rows = found.collect()
