@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sparkeval.llm.common import append, fresh, struct
 
 LEAF = 64
-# A pre-token's match looks at most two characters beyond its end.
+# A pre-token's match looks at most two characters beyond its end, besides a run of whitespace.
 LOOKAHEAD = 3
 MEMO = 300_000
 TREE = struct(chars="array<bigint>", tokens="array<bigint>")
@@ -35,6 +35,17 @@ EDITED = struct(
 )
 
 
+def restart(text: str, start: int) -> int:
+    """A place that no match before it looks from as far as ``start``."""
+
+    def before_run(at: int) -> int:
+        while at > 0 and text[at - 1].isspace():
+            at -= 1
+        return at
+
+    return before_run(max(0, before_run(start) - LOOKAHEAD))
+
+
 class Counter:
     """Tokens of pre-tokens, with a bounded memo."""
 
@@ -128,7 +139,7 @@ def edit(
 ) -> tuple[str, Tree, int]:
     """The text with ``text[start:end]`` replaced, its tree, and the code points that were encoded."""
     changed = text[:start] + by + text[end:]
-    first, begin = tree.leaf_at(max(0, start - LOOKAHEAD))
+    first, begin = tree.leaf_at(restart(text, start))
     shift, settled = len(by) - (end - start), start + len(by)
     past, meets = tree.leaf_at(end)
     if meets < end:
@@ -179,6 +190,9 @@ def apply_edits(
     empty, an edit without start or end is left out, null edits are none. ``n_encoded`` counts the code
     points that were encoded again, ``n_renewed`` the inner sums. A null text stays null and has none.
     Rows are independent: repeated rows get equal values, an empty table gives an empty table.
+
+    ``pattern`` may be any whose matches cover the text, do not look at what lies before them, and look
+    beyond their end at two characters and a run of whitespace at most.
     """
 
     def one(counter: Counter, old: str | None, sums: dict, changes: list | None) -> tuple:

@@ -253,6 +253,18 @@ def test_token_edits(llm_spark):
     assert tokens.build(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_edits_behind_long_whitespace():
+    """A match that reads a whole run of whitespace sees an edit behind it."""
+    for pattern in (r"\s*[\r\n]+|\s|\S+", public_tokenizers.PATTERN):
+        counter = tokens.Counter(RANKS, pattern)
+        for text, at in (("a" + " " * 300 + "b", 301), ("word " * 100 + "\t" * 500 + "x" * 3, 1000), (" " * 200, 200)):
+            for by in ("\n", "y", "  \r\n z"):
+                tree = tokens.Tree.over(counter.leaves(counter.split.findall(text)))
+                changed, tree, _ = tokens.edit(counter, text, tree, at, at, by)
+                assert changed == text[:at] + by + text[at:]
+                assert tree.tokens[1] == counter.count(counter.split.findall(changed))
+
+
 def test_edit_table(llm_spark):
     docs = llm_spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "doc_id int, text string")
     edits = llm_spark.createDataFrame([(1, 0, 1, "z"), (1, 1, 1, "y"), (None, 0, 0, "n"), (9, 0, 0, "q")], "doc_id int, start int, end int, by string")
