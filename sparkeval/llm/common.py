@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 # Texts in one Arrow batch. It bounds the memory of a Python worker; it changes no result.
 ROWS_PER_BATCH = 256
 SHINGLE_WORDS = 5
+TASKS_PER_CORE = 4
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -28,6 +29,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def fewer(df: DataFrame) -> DataFrame:
+    """The same rows in at most ``TASKS_PER_CORE`` tasks for each core of the session, for a pass that
+    hands on one summary per task: summaries then grow with the cluster, not with the input."""
+    return df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def append(
     df: DataFrame, into: str, kind: T.StructType, rows: Callable[[dict[str, list]], list[tuple]], reads: list[str]
 ) -> DataFrame:

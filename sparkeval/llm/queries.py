@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkeval.llm import chat_views, classifier, decontam, licenses, neardup, pieces, quality, repeats, secret_scan, tokens
+from sparkeval.llm import (
+    centroids,
+    chat_views,
+    classifier,
+    decontam,
+    language,
+    licenses,
+    neardup,
+    pieces,
+    quality,
+    repeats,
+    secret_scan,
+    tokens,
+    whitening,
+)
 from sparkeval.llm.common import prepared
 from sparkeval.plans.session import materialize
 
@@ -158,6 +172,29 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
+    model = language.fit(docs.filter(~held_out))
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("language.language").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+    )
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return centroids.clusters(vectors, "vec_id", "embedding").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -171,15 +208,54 @@ QUERIES = {
         op8_decontamination,
         op9_quality_classifier,
         op10_sentencepiece,
+        op11_language_id,
+        op12_centroid_clustering,
+        op13_embedding_whitening,
     )
 }
 WHITE_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def clustering_sql(k: int = 8, rounds: int = 10, seed: int = 3) -> str:
+    """A table of assignments and one of centroids for each round."""
+    parts = [
+        rf"""v AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, vec_id, embedding,
+          list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+        FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+      c0 AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY h, embedding) - 1 AS c, x
+        FROM (SELECT *, sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM v)
+        ORDER BY h, embedding LIMIT {k})"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(rf"""a{i} AS MATERIALIZED (
+        SELECT r, x, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+          SELECT r, v.x, c, list_sum(list_transform(list_zip(v.x, p.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+          FROM v, c{i} AS p) GROUP BY r, x)""")
+        if i < rounds:
+            parts.append(rf"""c{i + 1} AS MATERIALIZED (
+        SELECT c, list(m ORDER BY p) AS x FROM (
+          SELECT c, p, CAST((sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+          FROM (SELECT c, unnest(x) AS e, generate_subscripts(x, 1) AS p FROM a{i}) GROUP BY c, p) GROUP BY c
+        UNION ALL SELECT c, x FROM c{i} WHERE c NOT IN (SELECT c FROM a{i}))""")
+    return rf"""
+      WITH {", ".join(parts)},
+      told AS (SELECT c, sha256(array_to_string(x, ',')) AS centroid_sha256 FROM c{rounds})
+      SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+        CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+        centroid_sha256
+      FROM a{rounds} JOIN v USING (r) JOIN told USING (c)"""
+
+
 TEMPLATES = ", ".join(
     f"({number}, '{label}', {str(number < len(licenses.PHRASES)).lower()}, string_split('{text}', ' '))"
     for number, (text, label) in enumerate(licenses.PHRASES + licenses.NOTICES)
 )
 ORACLE = {
+    "op12_centroid_clustering": clustering_sql(),
     "op1_license_scan": rf"""
       WITH d AS (
         SELECT doc_id, regexp_extract_all({LOWERED}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
