@@ -8,10 +8,11 @@
    values that nobody shares are skipped, then classes with too few shared values, and of a class that
    is left only the rarest shared values count, as many as a pair with enough collisions cannot miss
    (prefix). Long lists of frequent values thus drop out unless the classes in them agree elsewhere.
-3. Lists are joined in two rounds. First every class meets the pivots of its longest list and of its two
+3. Lists are joined in rounds. First every class meets the pivots of its longest list and of its two
    shortest, which connects large groups by stars instead of by all pairs. Then lists whose classes are all
-   connected are skipped, and in the others only classes of different components meet, as far as the
-   shingles that a class has alone leave room for a link.
+   connected are skipped. In the others, classes with one home (the pivot of most of their lists: near copies
+   of one text) are linked by what sets them apart from its middle (``deltas``), and classes of different
+   homes and components meet as far as the shingles that a class has alone leave room for a link.
 4. A pair that agrees in enough coordinates is confirmed on the full sets, and the components of the
    confirmed links are found by star contraction.
 
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkeval.llm import deltas
 from sparkeval.llm.common import SHINGLE_WORDS, append, fresh, struct
 from sparkeval.llm.hashing import window_hashes, word_hashes
 from sparkeval.plans.session import materialize
@@ -149,43 +151,44 @@ def own_shingles(sets: DataFrame) -> DataFrame:
     return halves.join(alone, ["high", "low"], "left").select("node", F.coalesce("own", F.lit(0)).alias("own"))
 
 
-def crossing_pairs(
-    lists: DataFrame,
-    labels: DataFrame,
-    classes: DataFrame,
-    own: DataFrame,
-    matches: int = MATCHES,
-    percent: int = PERCENT,
-) -> DataFrame:
-    """(a, b): classes of different components that share a list, may be similar enough and agree in
-    enough coordinates.
-
-    A list with one component is skipped. In another, the component with the most classes stays on one
-    side: its classes meet the others, and the others meet each other. Shingles that a class has alone
-    bound what it can share: classes with too many are skipped, and of the others only pairs within the
-    bound meet, once, in the first of their common lists.
-    """
-    known = lists.filter("prefix").join(labels, "node", "left").select(
-        "key", "node", F.coalesce("label", "node").alias("label")
+def mixed_members(lists: DataFrame, labels: DataFrame, able: DataFrame) -> DataFrame:
+    """(key, node, label, main, n, most): classes of ``able`` in lists with several components; ``main`` is
+    the component with the most classes there."""
+    known = lists.filter("prefix").join(able, "node").join(labels, "node", "left").select(
+        "key", "node", F.coalesce("label", "node").alias("label"), "n", "most"
     )
     known = materialize(known, "labelled")
     sizes = known.groupBy("key", "label").agg(F.count("*").alias("size"))
     mixed_lists = sizes.groupBy("key").agg(
         F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("labels")
     ).filter("labels > 1")
-    members = materialize(known.join(mixed_lists.select("key", "main"), "key"), "members")
+    return known.join(mixed_lists.select("key", "main"), "key")
+
+
+def able_classes(classes: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """(node, n, most): classes that shingles of their own do not keep from every link; ``most`` of their
+    ``n`` shingles can be shared."""
+    most = classes.select("node", "n").join(own, "node").select("node", "n", (F.col("n") - F.col("own")).alias("most"))
+    return most.filter(100 * F.col("most") >= percent * F.col("n"))
+
+
+def crossing_pairs(
+    members: DataFrame, homes: DataFrame, classes: DataFrame, matches: int = MATCHES, percent: int = PERCENT
+) -> DataFrame:
+    """(a, b): classes of different components and homes that share a list, may be similar enough and agree
+    in enough coordinates.
+
+    Of a list, the component with the most classes stays on one side: its classes meet the others, and the
+    others meet each other. Shingles that a class has alone bound what it can share: only pairs within the
+    bound meet, once, in the first of their common lists.
+    """
     keys = members.groupBy("node").agg(F.collect_list("key").alias("keys"))
-    able = (
-        classes.select("node", "n", "signature")
-        .join(own, "node")
-        .withColumn("most", F.col("n") - F.col("own"))
-        .filter(100 * F.col("most") >= percent * F.col("n"))
-    )
-    members = materialize(members.join(able.join(keys, "node"), "node"), "able")
-    columns = ("node", "label", "n", "most", "keys", "signature")
+    more = classes.select("node", "signature").join(keys, "node").join(homes, "node")
+    members = materialize(members.join(more, "node"), "able")
+    columns = ("node", "label", "home", "n", "most", "keys", "signature")
     left = members.filter("label <> main").select("key", *[F.col(c).alias(f"{c}_a") for c in columns])
     right = members.select("key", "main", *[F.col(c).alias(f"{c}_b") for c in columns])
-    apart = (F.col("label_a") != F.col("label_b")) & (
+    apart = (F.col("label_a") != F.col("label_b")) & (F.col("home_a") != F.col("home_b")) & (
         (F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
     )
     most = F.least("most_a", "most_b")
@@ -295,6 +298,22 @@ def components(links: DataFrame) -> DataFrame:
     return labels.union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label): the components of ``labels`` joined by ``links`` (a, b)."""
+    links = materialize(links, "links")
+    if links.isEmpty():
+        return labels
+    tree = labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return materialize(components(tree.union(links)), "labels")
+
+
+def _of_mixed_homes(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, home, n) of the homes whose classes are in several components."""
+    known = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = known.groupBy("home").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("home")
+    return known.select("node", "home", "n").join(several, "home")
+
+
 def _members(df: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """(_key, _hash, n, node, label, component_id) per document; label is one per component."""
     docs = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
@@ -313,11 +332,17 @@ def _members(df: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     own = materialize(own_shingles(sets), "own")
     links = materialize(confirmed(agreeing_pairs(pivot_pairs(lists, own), classes, percent=percent), sets, percent), "links")
     labels = materialize(components(links), "labels")
-    crossing = materialize(crossing_pairs(lists, labels, classes, own, percent=percent), "crossing")
-    more = materialize(confirmed(crossing, sets, percent), "links")
-    if not more.isEmpty():
-        tree = labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = materialize(components(tree.union(more)), "labels")
+    able = materialize(able_classes(classes, own, percent), "able")
+    members = materialize(mixed_members(lists, labels, able), "members")
+    if not members.isEmpty():
+        nodes = members.select("node", "n").distinct()
+        homes = materialize(deltas.homes(lists, own, nodes.select("node")), "homes")
+        at_home = _of_mixed_homes(nodes.join(homes, "node"), labels)
+        confirm = lambda pairs: confirmed(pairs, sets, percent)
+        labels = deltas.linked(at_home, sets, labels, percent, confirm, joined)
+        members = materialize(mixed_members(lists, labels, able), "members")
+        crossing = materialize(crossing_pairs(members, homes, classes, percent=percent), "crossing")
+        labels = joined(labels, confirmed(crossing, sets, percent))
     least = labels.join(classes.select("node", "least"), "node")
     roots = least.groupBy("label").agg(F.min("least").alias("root"))
     ends = classes.select("node", "least").join(labels, "node", "left").join(roots, "label", "left")

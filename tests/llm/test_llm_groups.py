@@ -228,3 +228,41 @@ def test_queries_give_a_row_per_document(llm_spark, name):
     assert check.compare(df, check.database(d), name) is None
     if "doc_id" in df.columns:
         assert df.count() == 200
+
+
+def edited_copies(n, most, seed, least=0):
+    """Copies of one text of 150 words, each with ``least`` to ``most`` words replaced."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    docs = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randint(least, most)):
+            words[at] = f"e{rng.randrange(40_000)}"
+        docs.append((i, " ".join(words)))
+    return docs
+
+
+@pytest.mark.parametrize(("percent", "least"), [(80, 0), (85, 0), (80, 2)])
+def test_pairs_of_a_large_near_group_grow_with_its_size(llm_spark, monkeypatch, percent, least):
+    """No link is lost in a group of edited copies, and twice the copies make fewer than 2.5 times the
+    pairs that are compared."""
+    met = []
+    confirmed = neardup.confirmed
+
+    def counted(pairs, sets, share):
+        done = pairs.cache()
+        met.append(done.count())
+        return confirmed(done, sets, share)
+
+    monkeypatch.setattr(neardup, "confirmed", counted)
+    made = []
+    for n in (300, 600):
+        met.clear()
+        docs = edited_copies(n, 8, 7, least)
+        df = llm_spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+        kept = {r.doc_id for r in neardup.groups(df, percent=percent).filter("kept").collect()}
+        if n == 300:
+            assert kept == least_of_near(docs, percent)
+        made.append(sum(met))
+    assert made[1] < 2.5 * made[0], made
