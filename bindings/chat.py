@@ -136,7 +136,7 @@ def shift_align(spark, d):
 
 # Distillation batches -------------------------------------------------------------------------------
 
-BATCH, LONGEST, REPLY, REASONING = 8, 2048, 1024, 256
+BATCH, LONGEST, REPLY = 8, 2048, 1024
 
 
 def chat_sql(text: str) -> str:
@@ -177,9 +177,13 @@ ASKED = f"""'Problem: ' || prompt || {quote(chr(10) * 2 + P.REASONING_START)} ||
 REASONED = (
     BATCHED.replace(chat_sql(TEACHER) + " AS teacher, completion", chat_sql(ASKED) + f" AS teacher, completion, {quote(P.TRANSITION_SUFFIX)} AS transition")
     .replace("batched AS (", f"{encoded_sql('transitions', 'rendered', 'seq', 'transition')},\nbatched AS (")
-    .replace(f"list_resize(a.ids, {REPLY}, 0) AS c", f"list_resize(a.ids, {REPLY}, 0) AS c, list_concat(list_resize(a.ids, {REASONING}, 0), x.ids) AS r")
+    .replace(f"list_resize(a.ids, {REPLY}, 0) AS c", f"list_resize(a.ids, {REPLY}, 0) AS c, a.ids AS r, x.ids AS x")
     .replace("JOIN answers a USING (seq))", "JOIN answers a USING (seq) JOIN transitions x USING (seq))")
-    .replace(f"list_concat({padded_sql('t', 'tmax')}, c) AS tids", f"list_concat(list_concat({padded_sql('t', 'tmax')}, r), c) AS tids")
+    .replace("AS tmax", "AS tmax, max(len(r)) OVER (PARTITION BY batch_id) AS rmax")
+    .replace(
+        f"list_concat({padded_sql('t', 'tmax')}, c) AS tids",
+        f"list_concat(list_concat({padded_sql('t', 'tmax')}, list_concat(list_resize(r, rmax, 0), x)), c) AS tids",
+    )
 )
 
 
@@ -219,9 +223,9 @@ def distillation_rows(spark: SparkSession, d: str, reason_first: bool = False) -
 FROM joined""",
 )
 def distillation_batch_reasoning(spark, d):
-    """The teacher reasons first; here the reply stands for its reasoning too."""
+    """The teacher reasons first; here the reply, whole, stands for its reasoning too."""
     prompts = collate_prompts(distillation_rows(spark, d, reason_first=True), LONGEST)
-    reasoned = with_reasoning(prompts, "completion", "transition", REASONING)
+    reasoned = with_reasoning(prompts, "completion", "transition")
     return distilled(assemble(reasoned, "completion", REPLY, ["seq", "batch_id"]))
 
 

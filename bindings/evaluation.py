@@ -394,15 +394,19 @@ def scored_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @B.add(
     "eval_results_runs",
-    f"""{RUNS_SCORED} SELECT s.run_id, p.problem_id, p.problem, p.ground_truth, {VAL_N} AS val_n, s.num_correct,
-  s.has_correct AS pass_at_n, s.majority_vote_correct, g.predicted AS predicted_answer,
-  g.text AS full_generation, g.correct, g.formatted
-FROM problems p JOIN scored s USING (problem_id)
-JOIN (SELECT *, row_number() OVER (PARTITION BY run_id, problem_id ORDER BY sample_idx) AS r FROM graded) g
-  ON g.problem_id = p.problem_id AND g.run_id = s.run_id AND r = 1""",
+    f"""{RUNS_SCORED} SELECT a.run_id, p.problem_id, p.problem, p.ground_truth, {VAL_N} AS val_n,
+  coalesce(s.num_correct, 0) AS num_correct, coalesce(s.has_correct, false) AS pass_at_n,
+  coalesce(s.majority_vote_correct, false) AS majority_vote_correct,
+  coalesce(g.predicted, '[No boxed answer found]') AS predicted_answer,
+  g.text AS full_generation, coalesce(g.correct, false) AS correct, coalesce(g.formatted, false) AS formatted
+FROM (SELECT DISTINCT run_id FROM scored) a CROSS JOIN problems p
+LEFT JOIN scored s ON s.problem_id = p.problem_id AND s.run_id = a.run_id
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY run_id, problem_id ORDER BY sample_idx) AS r FROM graded) g
+  ON g.problem_id = p.problem_id AND g.run_id = a.run_id AND r = 1""",
 )
 def eval_results_runs(spark, d):
-    """Per run; the first sample of a run is any index, as samples are numbered per problem."""
+    """Every problem for every run; the first sample of a run is any index, as samples are numbered per
+    problem."""
     rows = completions(spark, d)
     return grading.results(rows, problems(spark, d), scored_runs(spark, d), VAL_N, runs=["run_id"])
 
@@ -461,24 +465,24 @@ ATTRIBUTES = {
 SELECT run_id, {", ".join(f"{quote(v) if isinstance(v, str) else v} AS {k}" for k, v in ATTRIBUTES.items())},
   {VAL_N} AS val_n, any_value(num_problems) AS num_problems,
   count(*) FILTER (WHERE has_correct) AS pass_at_n, CAST(sum(num_correct) AS BIGINT) AS average_at_n,
-  count(*) AS listed, CAST(sum(num_samples) AS BIGINT) AS num_generations
+  any_value(num_problems) AS listed, CAST(sum(num_samples) AS BIGINT) AS num_generations
 FROM scored, n GROUP BY run_id""",
 )
 def eval_report_runs(spark, d):
-    """One report per run with all its attributes, in folders by run, read back. Its results have every
-    problem; ``listed`` counts those that the run answered, as the SQL does."""
+    """One report per run with all its attributes, in folders by run, read back. Its results list every
+    problem."""
     path = work_dir(spark, "report")
     rows, asked = materialize(completions(spark, d), "completions"), problems(spark, d)
     per = materialize(grading.evaluate(rows, asked, keys=RUN), "scored")
     write_report(
         grading.summary(per, asked, VAL_N, runs=["run_id"], attributes=ATTRIBUTES),
-        grading.results(rows, asked, per, VAL_N, runs=["run_id"], unanswered=True),
+        grading.results(rows, asked, per, VAL_N, runs=["run_id"]),
         grading.generations(rows, asked, runs=["run_id"]),
         path,
         ["run_id"],
     )
     header = spark.read.json(f"{path}/summary")
-    listed = spark.read.json(f"{path}/results").groupBy("run_id").agg(F.count("full_generation").alias("listed"))
+    listed = spark.read.json(f"{path}/results").groupBy("run_id").agg(F.count("*").alias("listed"))
     detail = spark.read.json(f"{path}/generations").groupBy("run_id")
     sizes = detail.agg(F.sum(F.size("generations")).alias("num_generations"))
     return header.join(listed, "run_id").join(sizes, "run_id").select(

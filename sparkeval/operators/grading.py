@@ -20,6 +20,7 @@ from sparkeval.plans.skew import attach, same_group
 
 Grader = Callable[[Column, Column], Column]
 PROBLEM = ["problem_id"]
+MAX_RUNS = 10_000
 
 
 def join_completions(completions: DataFrame, problems: DataFrame) -> DataFrame:
@@ -232,9 +233,12 @@ def leaderboard(summaries: DataFrame) -> DataFrame:
 
 
 def for_every_run(problems: DataFrame, scored: DataFrame, runs: list[str]) -> DataFrame:
-    """Each problem once per run of ``scored``, from a list of the runs (names, not results)."""
+    """Each problem once per run of ``scored``, from a list of the runs' names: ``MAX_RUNS`` at most, more
+    are an error."""
     names = scored.select(F.struct(*runs).alias("_run")).distinct()
-    every_run = names.select(F.sort_array(F.collect_list("_run"))).scalar()
+    few = F.when(F.count("*") <= MAX_RUNS, F.sort_array(F.collect_list("_run")))
+    too_many = F.raise_error(F.lit(f"more than {MAX_RUNS} runs"))
+    every_run = names.limit(MAX_RUNS + 1).select(few.otherwise(too_many)).scalar()
     repeated = problems.select("*", F.explode(every_run).alias("_run"))
     return repeated.select("_run.*", *problems.columns)
 
@@ -292,14 +296,12 @@ def results(
     grader: Grader = equivalent,
     text: str = "text",
     runs: list[str] | None = None,
-    unanswered: bool = False,
 ) -> DataFrame:
     """Report header, one row per problem (and run); the first sample stands at the top level.
 
     The first is the one with the lowest ``sample_idx``, found on narrow rows; only its text is moved.
-    Problems without an answer are kept, with zeros and the mark for a missing answer: without ``runs``
-    all problems, with ``runs`` all that ``scored`` lists for the run, and with ``unanswered`` all
-    problems for every run that ``scored`` lists.
+    All problems are listed, with ``runs`` all for every run that ``scored`` has; those without an answer
+    with zeros and the mark for a missing answer.
     """
     runs = runs or []
     keys = [*runs, "problem_id"]
@@ -308,10 +310,7 @@ def results(
         completions.select(*keys, "sample_idx", text), lowest, [*keys, "sample_idx"], "left_semi"
     ).select(*keys, text, boxed_last(text).alias("_answer"))
     gold = problems.select("problem_id", "problem", "ground_truth")
-    if runs and unanswered:
-        listed = same_group(for_every_run(gold, scored, runs), scored, keys, "left")
-    else:
-        listed = gold.join(scored, "problem_id", "inner" if runs else "left")
+    listed = same_group(for_every_run(gold, scored, runs) if runs else gold, scored, keys, "left")
     joined = same_group(listed, first, keys, "left").fillna(0, ["num_correct"])
     joined = joined.fillna(False, ["has_correct", "majority_vote_correct"])
     return joined.select(

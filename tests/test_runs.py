@@ -26,11 +26,22 @@ def test_results(tables):
     out = grading.results(completions, problems, scored, 2, runs=["run_id"]).collect()
     assert {(r.run_id, r.problem_id): (r.predicted_answer, r.correct) for r in out} == {
         ("a", 1): ("7", True),
+        ("a", 2): ("[No boxed answer found]", False),
+        ("a", 3): ("[No boxed answer found]", False),
         ("b", 1): ("9", False),
         ("b", 2): ("7", True),
+        ("b", 3): ("[No boxed answer found]", False),
     }
 
 
+def test_too_many_runs_are_an_error(tables, monkeypatch):
+    monkeypatch.setattr(grading, "MAX_RUNS", 1)
+    completions, problems = tables
+    scored = grading.evaluate(completions, problems, keys=["run_id", "problem_id"])
+    with pytest.raises(Exception, match="more than 1 runs"):
+        grading.results(completions, problems, scored, 2, runs=["run_id"]).collect()
+
+
 def test_results_keep_unanswered_problems(tables):
     completions, problems = tables
     one = completions.filter("run_id = 'a'")
@@ -43,7 +54,7 @@ def test_results_keep_unanswered_problems(tables):
 def test_results_of_every_run_keep_unanswered_problems(tables):
     completions, problems = tables
     scored = grading.evaluate(completions, problems, keys=["run_id", "problem_id"])
-    rows = grading.results(completions, problems, scored, 2, runs=["run_id"], unanswered=True).collect()
+    rows = grading.results(completions, problems, scored, 2, runs=["run_id"]).collect()
     out = {(r.run_id, r.problem_id): r for r in rows}
     assert len(rows) == len(out) == 6
     assert (out["a", 1].predicted_answer, out["a", 1].correct) == ("7", True)
