@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from string import Formatter
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindings import Bindings
@@ -19,6 +22,7 @@ from bindings.tables import (
     table,
     votes_sql,
 )
+from sparkeval.functions.algebra import equivalent_algebra
 from sparkeval.functions.answers import (
     boxed_first,
     boxed_last,
@@ -28,7 +32,7 @@ from sparkeval.functions.answers import (
 )
 from sparkeval.operators import grading
 from sparkeval.operators.selection import pending
-from sparkeval.plans.session import materialize, spread, work_dir
+from sparkeval.plans.session import materialize, work_dir
 from sparkeval.registry import apply_rewards
 from sparkeval.sources.sinks import run_key, training_run_name, write_report
 
@@ -197,15 +201,67 @@ def grade_equiv(spark, d):
         .when(line == 6, text("\\dfrac{", cents * 10, "}{1000}"))
         .otherwise(text("+", cents, ".0%"))
     )
-    lines = spread(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
-    return lines.select(
+    lines = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", spelled.alias("predicted"), decimal(tax).alias("ground_truth")
+    )
+    return grading.graded_once(lines, "predicted", "ground_truth")
+
+
+# Two spellings of one expression in x; with ``off`` they are one apart. The last kind cannot be read.
+EXPRESSIONS = {
+    0: ("(x+{a})^2", "x^{{2}}+{2a}x+{aa+off}"),
+    1: ("(x+{a})(x-{b})", "x^2+{a-b}x-{ab+off}"),
+    2: (r"\frac{{x}}{{{a}}}+\frac{{x}}{{{b}}}", r"\frac{{{a+b+off}x}}{{{ab}}}"),
+    3: (r"\sqrt{{{aab}}}", r"{a}\sqrt{{{b+off}}}"),
+    4: (r"({a}\pi r)^{{-2}}", r"\frac{{1}}{{{aa+off}r^2\cdot\pi^2}}"),
+    5: (r"\sin({a})", r"\sin({a+off})"),
+}
+TERMS = {
+    "a": "a", "b": "b", "2a": "2 * a", "aa+off": "a * a + off", "a-b": "a - b", "ab+off": "a * b + off",
+    "a+b+off": "a + b + off", "ab": "a * b", "aab": "a * a * b", "b+off": "b + off", "a+off": "a + off",
+}
+
+
+def expression_parts(form: str) -> list[tuple[str, bool]]:
+    """Literal texts and the names of terms, in order."""
+    return [x for text, name, _, _ in Formatter().parse(form) for x in ((text, False), (name, True)) if x[0]]
+
+
+def expression_sql(side: int) -> str:
+    def text(form: str) -> str:
+        return " || ".join(f"CAST({TERMS[x]} AS VARCHAR)" if term else quote(x) for x, term in expression_parts(form))
+
+    return "CASE kind " + " ".join(f"WHEN {k} THEN {text(v[side])}" for k, v in EXPRESSIONS.items()) + " END"
+
+
+@B.add(
+    "grade_algebra",
+    f"""SELECT l_orderkey, l_linenumber, {expression_sql(0)} AS predicted, {expression_sql(1)} AS ground_truth,
+  off = 0 AS correct
+FROM (SELECT *, CAST(l_linenumber AS BIGINT) AS a, CAST(l_quantity AS BIGINT) AS b, l_suppkey % 6 AS kind,
+        CASE l_returnflag WHEN 'R' THEN 1 ELSE 0 END AS off FROM lineitem)""",
+)
+def grade_algebra(spark, d):
+    """Expressions in several spellings, equal or one apart."""
+    off = F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
+    numbers = table(spark, d, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
-        spelled.alias("predicted"),
-        decimal(tax).alias("ground_truth"),
-        equivalent(spelled, decimal(tax)).alias("correct"),
+        F.col("l_linenumber").cast("bigint").alias("a"),
+        F.col("l_quantity").cast("bigint").alias("b"),
+        off.alias("off"),
+        F.pmod("l_suppkey", F.lit(6)).alias("kind"),
     )
 
+    def text(side: int) -> Column:
+        def of(form: str) -> Column:
+            return F.concat(*[F.expr(TERMS[x]).cast("string") if term else F.lit(x) for x, term in expression_parts(form)])
+
+        return reduce(lambda c, k: c.when(F.col("kind") == k, of(EXPRESSIONS[k][side])), EXPRESSIONS, F)
+
+    lines = numbers.select("l_orderkey", "l_linenumber", text(0).alias("predicted"), text(1).alias("ground_truth"))
+    return grading.graded_once(lines, "predicted", "ground_truth", equivalent_algebra)
+
 
 @B.add(
     "grade_table",

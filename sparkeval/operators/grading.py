@@ -54,6 +54,20 @@ def grade(
     )
 
 
+def graded_once(
+    df: DataFrame, predicted: str, gold: str, grader: Grader = equivalent, into: str = "correct", **salting
+) -> DataFrame:
+    """Add ``into``: the grade of each row, found once for each distinct pair of answers.
+
+    The pairs are an aggregate, and a pair that very many rows share is joined back in shares. Null answers
+    are pairs like any other; an empty table gives an empty table.
+    """
+    pairs = df.groupBy(predicted, gold).agg(F.count("*").alias("_n"))
+    judged = pairs.withColumn(into, F.coalesce(grader(F.col(predicted), F.col(gold)), F.lit(False)))
+    others = [c for c in df.columns if c not in (predicted, gold)] or [predicted]
+    return attach(df, judged, [predicted, gold], others, "_n", **salting).drop("_n")
+
+
 def per_problem(graded: DataFrame, keys: list[str] = PROBLEM) -> DataFrame:
     """Counts per problem from graded samples."""
     return graded.groupBy(*keys).agg(

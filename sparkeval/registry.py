@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
+from sparkeval.functions.algebra import equivalent_algebra
 from sparkeval.functions.answers import boxed_first, equivalent, exact_reward, fallback_equal
 
 ColumnFunction = Callable[..., Column]
@@ -16,7 +17,11 @@ _rewards: dict[str, ColumnFunction] = {
     "correctness": lambda completion, answer, **_: exact_reward(boxed_first(completion), answer)
 }
 _metrics: dict[str, ColumnFunction] = {}
-_graders: dict[str, ColumnFunction] = {"equivalent": equivalent, "fallback": fallback_equal}
+_graders: dict[str, ColumnFunction] = {
+    "equivalent": equivalent,
+    "fallback": fallback_equal,
+    "algebra": equivalent_algebra,
+}
 
 
 def register_reward(name: str, function: ColumnFunction) -> None:
