@@ -14,6 +14,7 @@ from sparkeval.plans.session import work_dir
 from sparkeval.registry import apply_metrics, register_metric
 from sparkeval.sources.tables import read_completions, stream_table
 from sparkeval.streaming import operators as streams
+from sparkeval.streaming import state
 from sparkeval.streaming.tables import appended, latest, start
 
 B = Bindings()
@@ -192,12 +193,12 @@ def stream_ema(spark, d):
     return ema_columns(appended(spark, path))
 
 
-@B.add(
-    "stream_last_n",
-    """SELECT event_id, user_id, event_type, value FROM (
+NEWEST = """SELECT event_id, user_id, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
-WHERE r <= 3""",
-)
+WHERE r <= 3"""
+
+
+@B.add("stream_last_n", NEWEST)
 def stream_last_n(spark, d):
     path = work_dir(spark, "stream-last")
     rows = event_stream(spark, d).drop("props")
@@ -206,6 +207,25 @@ def stream_last_n(spark, d):
     return newest.select("event_id", *SERIES, "value")
 
 
+@B.add("stream_ema_state", EMA)
+def stream_ema_state(spark, d):
+    """The averages in a keyed state store."""
+    path = work_dir(spark, "stream-ema-state")
+    rows = event_stream(spark, d).drop("props")
+    state.stream_ema_state(rows, path, SERIES, ORDER, "value", DECAY).awaitTermination()
+    return ema_columns(appended(spark, path))
+
+
+@B.add("stream_last_n_state", NEWEST)
+def stream_last_n_state(spark, d):
+    """Read from the state store itself, where a user's rows lie in shares."""
+    path = work_dir(spark, "stream-last-state")
+    rows = event_stream(spark, d).drop("props")
+    state.stream_last_n_state(rows, path, ["user_id"], ORDER, 3).awaitTermination()
+    newest = state.read_last_n_state(spark, path, ["user_id"], ORDER, 3)
+    return newest.select("event_id", *SERIES, "value")
+
+
 @B.add(
     "stream_callback",
     "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type",
