@@ -44,20 +44,29 @@ def append(
     once per row, whatever is selected afterwards. Select the columns you need before: all others pass
     through Python.
     """
+    fields = [arrow_type(f.dataType) for f in kind]
+
+    def arrays(columns: dict[str, pa.Array]) -> list[pa.Array]:
+        found = rows({c: values.to_pylist() for c, values in columns.items()})
+        return [pa.array([r[i] for r in found], type=t) for i, t in enumerate(fields)]
+
+    return append_arrays(df, into, kind, arrays, reads)
+
+
+def append_arrays(
+    df: DataFrame, into: str, kind: T.StructType, arrays: Callable[[dict[str, pa.Array]], list[pa.Array]], reads: list[str]
+) -> DataFrame:
+    """``append`` for a function of whole Arrow columns, which gives an array per field."""
     if into.lower() in {c.lower() for c in df.columns} - {c.lower() for c in reads}:
         df = df.drop(into)
     elif into.lower() in {c.lower() for c in reads}:
         raise ValueError(f"{into} is read")
-    fields = [(f.name, arrow_type(f.dataType)) for f in kind]
+    names = [f.name for f in kind]
     places = {c: df.columns.index(c) for c in reads}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = rows({c: batch.column(i).to_pylist() for c, i in places.items()})
-            columns = [
-                pa.array([r[i] for r in found], type=t) for i, (_, t) in enumerate(fields)
-            ]
-            added = pa.StructArray.from_arrays(columns, names=[n for n, _ in fields])
+            added = pa.StructArray.from_arrays(arrays({c: batch.column(i) for c, i in places.items()}), names=names)
             yield pa.RecordBatch.from_arrays([*batch.columns, added], names=[*batch.schema.names, into])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, kind)]))

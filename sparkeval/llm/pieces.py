@@ -14,18 +14,40 @@ pieces is encoded uncut.
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkeval.llm.common import append, fresh, struct
+from sparkeval.llm.common import append_arrays, fresh, struct
 
 SPACE = "▁"
 PART = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-MEMO_PARTS, MEMO_LENGTH = 200_000, 48
+MEMO_PARTS, MEMO_LENGTH, MEMO_STEPS = 300_000, 48, 1_000_000
+
+
+class Memo:
+    """The ids of parts, one behind the other in one array."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.start = array("q", [0])
+        self.ids = array("i")
+
+    def add(self, key: str, ids: Iterable[int]) -> None:
+        self.place[key] = len(self.start) - 1
+        self.ids.extend(ids)
+        self.start.append(len(self.ids))
+
+    def get(self, key: str) -> array:
+        at = self.place[key]
+        return self.ids[self.start[at] : self.start[at + 1]]
 
 
 class Pieces:
@@ -54,8 +76,9 @@ class Pieces:
             self.starts.append(not sp.is_byte(i) and piece.startswith(SPACE))
         self._automaton()
         self.cut = not any(SPACE in p.lstrip(SPACE) for p in self.rank)
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.lengths = [len(t) for t in self.text]
+        self.kept_steps = 0
+        self.memo, self.older = Memo(), Memo()
 
     def _automaton(self) -> None:
         """Per state: the steps, the state to fall back to, and the pieces that end there, longest first,
@@ -106,12 +129,22 @@ class Pieces:
             return self.merged(self.text[right]) == [right]
         return self.merged(self.text[left] + self.text[right]) == [left, right]
 
-    def tables(self, parts: list[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of each part. The parts are sorted, so that what two neighbours begin with is filled
+    def _step(self, state: int, char: str) -> int:
+        """The state after ``char``, by the states to fall back to; up to ``MEMO_STEPS`` are kept."""
+        at = state
+        while at and char not in self.steps[at]:
+            at = self.back[at]
+        to = self.steps[at].get(char, 0)
+        if self.kept_steps < MEMO_STEPS:
+            self.steps[state][char] = to
+            self.kept_steps += 1
+        return to
+
+    def tables(self, parts: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each part with its ids. The parts are sorted, so that what two neighbours begin with is filled
         in once: rows of the table stay for the next part as far as the two agree."""
-        steps, back, ends = self.steps, self.back, self.ends
-        found: dict[str, tuple[int, ...]] = {}
-        states, last, size = [0], [-1], [1]  # of the prefix of each length
+        steps, ends, lengths = self.steps, self.ends, self.lengths
+        states, last = [0], [-1]  # of the prefix of each length
         before = ""
         for part in sorted(parts):
             at = 0
@@ -120,57 +153,76 @@ class Pieces:
                     break
                 at += 1
             before = part
-            del states[at + 1 :], last[at + 1 :], size[at + 1 :]
+            del states[at + 1 :], last[at + 1 :]
             state = states[at]
             for char in part[at:]:
-                to = steps[state].get(char)
-                while to is None and state:
-                    state = back[state]
-                    to = steps[state].get(char)
-                state = to or 0
+                try:
+                    state = steps[state][char]
+                except KeyError:
+                    state = self._step(state, char)
                 states.append(state)
                 at += 1
                 for length, piece, after in ends[state]:
                     left = last[at - length]
-                    fits = after.get(left)
-                    if fits is None:
+                    try:
+                        fits = after[left]
+                    except KeyError:
                         fits = after[left] = self.follows(left, piece)
                     if fits:
                         last.append(piece)
-                        size.append(length)
                         break
                 else:
                     last.append(-1)
-                    size.append(1)
             ids = []
             while at:
                 piece = last[at]
                 if piece >= 0:
                     ids.append(piece)
+                    at -= lengths[piece]
                 else:
                     ids.extend(self.byte[b] for b in reversed(part[at - 1].encode()))
-                at -= size[at]
+                    at -= 1
             ids.reverse()
-            found[part] = tuple(ids)
-        return found
+            yield part, ids
+
+    def _keys(self, text: str | None) -> list[str]:
+        """The parts of a text. One that is a single space mark and other characters goes by these alone."""
+        if not text:
+            return []
+        if self.cut and SPACE not in text and "  " not in text and text[0] != " ":
+            return text.split(" ")
+        marked = SPACE + text.replace(" ", SPACE)
+        if not self.cut:
+            return [marked]
+        return [p if SPACE in p[1:] else p[1:] for p in PART.findall(marked)]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """The ids of each text. A memo of two generations keeps the ids of short parts."""
-        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
-        split = [PART.findall(m) if self.cut else [m] * bool(m) for m in marked]
-        if len(self.parts) > MEMO_PARTS:
-            self.older, self.parts = self.parts, {}
-        known, older = self.parts, self.older
-        missing = set().union(*split).difference(known)
-        for part in missing & older.keys():
-            known[part] = older[part]
-        new = self.tables([p for p in missing if p not in known])
-        known.update(new)
-        ids = [list(chain.from_iterable(map(known.__getitem__, parts))) for parts in split]
-        for part in new:
-            if len(part) > MEMO_LENGTH:
-                del known[part]
-        return ids
+        """The ids of each text."""
+        ids, ends = (x.tolist() for x in self.encode_all(texts))
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text begins and the last one ends. A memo of two
+        generations keeps the ids of short parts."""
+        split = [self._keys(t) for t in texts]
+        if len(self.memo.place) > MEMO_PARTS:
+            self.older, self.memo = self.memo, Memo()
+        memo, older = self.memo, self.older
+        missing = set().union(*split).difference(memo.place)
+        for key in missing & older.place.keys():
+            memo.add(key, older.get(key))
+        new = {k if SPACE in k else SPACE + k: k for k in missing if k not in memo.place}
+        for part, ids in self.tables(new):
+            memo.add(new[part], ids)
+        which = np.fromiter(map(memo.place.__getitem__, chain.from_iterable(split)), np.int64)
+        start = np.frombuffer(memo.start, np.int64)
+        first, sizes = start[which], start[which + 1] - start[which]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = np.frombuffer(memo.ids, np.int32)[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])] if len(which) else np.zeros(0, np.int32)
+        for key in new.values():
+            if len(key) > MEMO_LENGTH:
+                del memo.place[key]
+        return ids, ends[np.cumsum([0, *map(len, split)])]
 
     def decode(self, ids: list[int] | None) -> str | None:
         if ids is None:
@@ -193,23 +245,55 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
+def _lists(ids: np.ndarray, start: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(ids, pa.int32()))
+
+
 def encode(df: DataFrame, model: bytes, text: str = "text", into: str = "ids") -> DataFrame:
     """Add ``into``: the ids of ``text``, without begin or end ids.
 
     A null or empty text has no ids. Every row is encoded on its own and whole; repeated rows get equal
     ids, an empty table gives an empty table, and other columns stay (one named ``into`` is replaced).
     """
-    held = fresh(df, "_ids")
-    done = append(
-        df, held, struct(ids="array<int>"), lambda c: [(i,) for i in _pieces(model).encode(c[text])], [text]
-    )
-    return done.withColumn(into, F.col(f"{held}.ids")).drop(held)
+
+    def arrays(columns: dict[str, pa.Array]) -> list[pa.Array]:
+        return [_lists(*_pieces(model).encode_all(columns[text].to_pylist()))]
+
+    return _flat(append_arrays(df, held := fresh(df, "_ids"), struct(ids="array<int>"), arrays, [text]), held, {"ids": into})
 
 
 def decode(df: DataFrame, model: bytes, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """Add ``into``: the text of ``ids``; null for null. Bytes that are no UTF-8 become U+FFFD."""
-    held = fresh(df, "_text")
-    done = append(
-        df, held, struct(text="string"), lambda c: [(_pieces(model).decode(i),) for i in c[ids]], [ids]
-    )
-    return done.withColumn(into, F.col(f"{held}.text")).drop(held)
+    """Add ``into``: the text of ``ids``; null for null, empty for none. Bytes that are no UTF-8 become
+    U+FFFD.
+
+    Repeated rows get equal texts, an empty table gives an empty table, and other columns stay (one named
+    ``into`` is replaced).
+    """
+
+    def arrays(columns: dict[str, pa.Array]) -> list[pa.Array]:
+        column = columns[ids]
+        flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
+        past = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+        known = column.is_valid().to_pylist()
+        pieces = _pieces(model)
+        return [pa.array([pieces.decode(flat[a:b]) if k else None for a, b, k in zip([0, *past], past, known)], pa.string())]
+
+    return _flat(append_arrays(df, held := fresh(df, "_text"), struct(text="string"), arrays, [ids]), held, {"text": into})
+
+
+def round_trip(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Add what ``encode`` and then ``decode`` add, in one pass over the rows."""
+
+    def arrays(columns: dict[str, pa.Array]) -> list[pa.Array]:
+        pieces = _pieces(model)
+        found, start = pieces.encode_all(columns[text].to_pylist())
+        flat, ends = found.tolist(), start.tolist()
+        texts = [pieces.decode(flat[a:b]) for a, b in zip(ends, ends[1:])]
+        return [_lists(found, start), pa.array(texts, pa.string())]
+
+    kind = struct(ids="array<int>", text="string")
+    return _flat(append_arrays(df, held := fresh(df, "_both"), kind, arrays, [text]), held, {"ids": ids, "text": decoded})
+
+
+def _flat(df: DataFrame, held: str, names: dict[str, str]) -> DataFrame:
+    return df.withColumns({into: F.col(f"{held}.{field}") for field, into in names.items()}).drop(held)

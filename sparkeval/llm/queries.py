@@ -162,8 +162,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.read_model(PIECES)
-    encoded = pieces.encode(documents(spark, sf_dir), model).drop("text")
-    done = pieces.decode(encoded, model)
+    done = pieces.round_trip(documents(spark, sf_dir), model)
     return done.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

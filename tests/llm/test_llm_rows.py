@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import tiktoken
-from conftest import odd_texts
+from conftest import SF, odd_texts
 from pyspark.sql import functions as F
 
 from sparkeval.llm import classifier, decontam, licenses, pieces, quality, queries, secret_scan, tokens
@@ -220,6 +220,42 @@ def test_pieces(odd):
     assert pieces.encode(odd.limit(0), MODEL).count() == 0
 
 
+def test_pieces_when_the_memo_turns_over(monkeypatch):
+    monkeypatch.setattr(pieces, "MEMO_PARTS", 50)
+    monkeypatch.setattr(pieces, "MEMO_STEPS", 20)
+    library = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    own = pieces.Pieces(MODEL)
+    for at in range(0, len(TEXTS), 7):
+        some = TEXTS[at : at + 7]
+        assert own.encode(some) == [library.encode(t or "") for t in some]
+
+
+def test_round_trip_and_lone_ids(llm_spark, odd):
+    library = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    done = pieces.round_trip(odd, MODEL, ids="hits", decoded="label")
+    assert set(done.columns) == set(odd.columns)
+    rows = done.collect()
+    assert len(rows) == odd.count() and pieces.round_trip(odd.limit(0), MODEL).count() == 0
+    for r in rows:
+        assert r.hits == library.encode(r.text or "") and r.label == library.decode(r.hits)
+    lists = [None, [], [5, 6, 7], [1], [0], [198, 199, 300], *[library.encode(t or "") for t in TEXTS[:9]]]
+    ids = llm_spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "k int, ids array<int>").repartition(3)
+    for r in pieces.decode(ids, MODEL).collect():
+        assert r.decoded == (None if r.ids is None else library.decode(r.ids))
+
+
+def test_sentencepiece_query(llm_spark):
+    """The registered query against the library, on every document."""
+    library = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    docs = {r.doc_id: r.text for r in llm_spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op10_sentencepiece(llm_spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = library.encode(docs[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), brute.sha(",".join(map(str, ids))))
+        assert r.decoded_sha256 == brute.sha(library.decode(ids))
+
+
 def test_token_edits(llm_spark):
     ranks = {a: b for a, b in tokens.Counter(RANKS, public_tokenizers.PATTERN).encode.__self__._mergeable_ranks.items()}
     coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
