@@ -39,10 +39,12 @@ def rendered(turn: Column, speaker: Column) -> Column:
 
 
 def parts(turns: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """(conv_id, part, first_turn, piece, turns): the turns of each part in order."""
+    """(conv_id, part, first_turn, piece, turns): the turns of each part in order. A part of more than
+    ``part_rows`` rows has a row for each turn number and piece of the hashes; else its piece is 0."""
     own = turns.select("conv_id", "turn", "role", "text").distinct()
+    said = F.concat_ws("\x1f", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
     placed = own.withColumn("part", F.floor(F.col("turn") / PART_TURNS).cast("bigint")).withColumn(
-        "hash", F.xxhash64("role", "text")
+        "hash", F.conv(F.substring(F.md5(said), 1, 15), 16, 10).cast("bigint")
     )
     sizes = placed.groupBy("conv_id", "part").agg(F.count("*").alias("rows")).filter(F.col("rows") > part_rows)
     none = F.lit(None).cast("bigint")
@@ -52,7 +54,7 @@ def parts(turns: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
         sized = same_group(placed, sizes, ["conv_id", "part"], "left")
         shares = F.ceil(F.col("rows") / part_rows)
         # Hashes in order fall into pieces in order, so pieces keep the order of the turns.
-        piece = F.least(shares - 1, F.floor((F.col("hash") / F.lit(2.0**64) + 0.5) * shares))
+        piece = F.least(shares - 1, F.floor(F.col("hash") / F.lit(2.0**60) * shares))
         keyed = sized.withColumns(
             {
                 "in_turn": F.when(F.col("rows").isNotNull(), F.col("turn").cast("bigint")),
@@ -75,13 +77,9 @@ def views(turns: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     A dialogue of directions alone has no view. An empty table gives an empty one; other columns are not
     read.
     """
-    speakers = (
-        turns.filter(F.col("role").isNotNull() & ~F.col("role").isin(*DIRECTIONS))
-        .groupBy("conv_id")
-        .agg(F.array_sort(F.collect_set("role")).alias("speakers"))
-    )
-    seen = same_group(parts(turns, part_rows), speakers, ["conv_id"], "inner")
-    each = seen.select("*", F.explode("speakers").alias("speaker"))
+    named = turns.filter(F.col("role").isNotNull() & ~F.col("role").isin(*DIRECTIONS))
+    speakers = named.select("conv_id", F.col("role").alias("speaker")).distinct()
+    each = same_group(parts(turns, part_rows), speakers, ["conv_id"], "inner")
     shown = each.withColumn("shown", F.transform("turns", lambda t: rendered(t, F.col("speaker"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("mask"))
 

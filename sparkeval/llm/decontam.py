@@ -46,11 +46,10 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def windows(
-    benchmark: DataFrame, item: str = "item_id", text: str = "text", size: int = WINDOW, unnamed: bool = False
+    benchmark: DataFrame, item: str = "item_id", text: str = "text", size: int = WINDOW
 ) -> DataFrame:
     """(pattern, items): every window of ``size`` words, a shorter item as one window, and the items that
-    hold it. Items without words have none; items without an id have none either, or with ``unnamed``
-    have windows that list no item for them."""
+    hold it. Items without words have none; windows of items without an id list no item for them."""
     pairs = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
 
     def rows(columns: dict[str, list]) -> list[tuple]:
@@ -61,8 +60,7 @@ def windows(
             found.append((list(dict.fromkeys(b" ".join(words[i : i + size]).decode() for i in at)),))
         return found
 
-    named = pairs if unnamed else pairs.filter("item is not null")
-    split = append(named, "w", struct(patterns="array<string>"), rows, ["text"])
+    split = append(pairs, "w", struct(patterns="array<string>"), rows, ["text"])
     return (
         split.select("item", F.explode("w.patterns").alias("pattern"))
         .groupBy("pattern")
@@ -123,17 +121,15 @@ def contamination(
     item_text: str = "text",
     size: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
-    unnamed: bool = False,
 ) -> DataFrame:
     """Add ``into``: n_words, n_hit, items (ids as text, sorted) and the hit ranges, in words
     (``first``, ``past``) and in code points (``start``, ``end``), ends exclusive.
 
-    Items without an id are left out; with ``unnamed`` their words are hit too, and no item is listed for
-    them. A null or empty text has no words and no hits; an empty benchmark hits nothing. Rows are scanned one
+    Words of items without an id are hit too, and no item is listed for them. A null or empty text has no words and no hits; an empty benchmark hits nothing. Rows are scanned one
     by one, so repeated rows get equal values; other columns stay (one named ``into`` is replaced).
     """
     spark = df.sparkSession
-    patterns = materialize(windows(benchmark, item, item_text, size, unnamed), "windows")
+    patterns = materialize(windows(benchmark, item, item_text, size), "windows")
     bytes_ = F.sum(F.length("pattern") + F.length(F.array_join("items", ",")) + 64)
     total = patterns.agg(bytes_.alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_bytes))

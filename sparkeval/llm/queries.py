@@ -129,7 +129,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     span = lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))
     return chat_views.views(turns).select(
-        "conv_id", "speaker", "part", "first_turn", "n_turns", "text", joined(F.transform("mask", span)).alias("mask")
+        "conv_id", "speaker", "part", "first_turn", "piece", "n_turns", "text", joined(F.transform("mask", span)).alias("mask")
     )
 
 
@@ -287,21 +287,28 @@ ORACLE = {
         CAST(round(coalesce(score, 0), 6) AS DOUBLE) AS score
       FROM d LEFT JOIN per USING (doc_id)""",
     "op7_chat_formatting": rf"""
-      WITH c AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text, turn // {chat_views.PART_TURNS} AS part
-                 FROM conversations),
+      WITH c AS (SELECT DISTINCT conv_id, turn, role, text, CAST(floor(turn / {chat_views.PART_TURNS}) AS BIGINT) AS part FROM conversations),
+      h AS (
+        SELECT *, CAST('0x' || substr(md5(coalesce(role, '') || chr(31) || coalesce(text, '')), 1, 15) AS BIGINT) AS h,
+          ceil(count(*) OVER (PARTITION BY conv_id, part) / {chat_views.PART_ROWS}) AS shares FROM c),
+      k AS (SELECT *, CASE WHEN shares > 1 THEN turn END AS in_turn,
+              least(shares - 1, floor(h / power(2, 60) * shares)) AS piece FROM h),
       speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM c WHERE role <> 'system'),
       s AS (
-        SELECT conv_id, speaker, part, turn, role = speaker AS own,
+        SELECT k.conv_id, speaker, part, in_turn, piece, turn, h, role, text, coalesce(role = speaker, false) AS own,
           '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant'
-            ELSE 'user name=' || role END || chr(10) AS head, text || '<|im_end|>' AS said
-        FROM c JOIN speakers USING (conv_id)),
-      p AS (SELECT *, coalesce(sum(length(head) + length(said)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn
+            ELSE 'user name=' || coalesce(role, 'unknown') END || chr(10) AS head,
+          coalesce(text, '') || '<|im_end|>' AS said
+        FROM k JOIN speakers ON k.conv_id IS NOT DISTINCT FROM speakers.conv_id),
+      p AS (SELECT *, coalesce(sum(length(head) + length(said)) OVER (PARTITION BY conv_id, speaker, part, in_turn, piece
+                      ORDER BY turn NULLS FIRST, h, role NULLS FIRST, text NULLS FIRST
                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS said_at FROM s)
       SELECT conv_id, speaker, CAST(part AS BIGINT) AS part, CAST(min(turn) AS BIGINT) AS first_turn,
-        count(*) AS n_turns, string_agg(head || said, '' ORDER BY turn) AS text,
-        coalesce(string_agg(CAST(said_at AS BIGINT) || ':' || CAST(said_at + length(said) AS BIGINT), ',' ORDER BY turn)
-          FILTER (WHERE own), '') AS mask
-      FROM p GROUP BY conv_id, speaker, part""",
+        CAST(piece AS BIGINT) AS piece, count(*) AS n_turns,
+        string_agg(head || said, '' ORDER BY turn NULLS FIRST, h, role NULLS FIRST, text NULLS FIRST) AS text,
+        coalesce(string_agg(CAST(said_at AS BIGINT) || ':' || CAST(said_at + length(said) AS BIGINT), ','
+          ORDER BY said_at) FILTER (WHERE own), '') AS mask
+      FROM p GROUP BY conv_id, speaker, part, in_turn, piece""",
     "op4_minhash_near_dedup": rf"""
       WITH RECURSIVE d AS (
         SELECT doc_id, {WHITE_WORDS.replace("coalesce(text, '')", LOWERED)} AS w FROM documents),
@@ -375,7 +382,7 @@ ORACLE = {
       b AS (
         SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''),
           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
-        FROM benchmark WHERE item_id IS NOT NULL),
+        FROM benchmark),
       patterns AS (
         SELECT DISTINCT item, len(p) AS n, array_to_string(p, ' ') AS g
         FROM (SELECT item, w[i:least(i + 9, len(w))] AS p
@@ -388,7 +395,7 @@ ORACLE = {
       words AS (SELECT doc_id, count(DISTINCT p) AS n_hit
                 FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
       items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
-                FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+                FROM (SELECT DISTINCT doc_id, item FROM hits WHERE item IS NOT NULL) GROUP BY doc_id)
       SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
         CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
         coalesce(n_hit, 0) > 0 AS contaminated

@@ -7,9 +7,11 @@ import random
 
 import brute
 import corpus_pipeline
+import duckdb
 import public_tokenizers
 import pytest
 import sentencepiece
+from check import rows_of
 from conftest import SCHEMA, odd_texts
 
 from sparkeval.llm import chat_views, neardup, quality, queries, repeats, secret_scan
@@ -179,6 +181,48 @@ def test_turns_with_one_number_are_cut(llm_spark):
     assert joined == whole
 
 
+def against_sql(llm_spark, folder, name, **tables):
+    """What is wrong with a query over ``tables``, held against its SQL, if anything."""
+    con = duckdb.connect()
+    for table, df in tables.items():
+        df.write.parquet(os.path.join(folder, f"{table}.parquet"))
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    got = queries.QUERIES[name](llm_spark, str(folder))
+    result = con.execute(queries.ORACLE[name])
+    columns = [c[0] for c in result.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert rows_of(got.columns, got.collect()) == rows_of(columns, result.fetchall())
+
+
+def test_chat_query_with_large_parts_and_nulls(llm_spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(1, i, rng.choice(["ann", "bob", "system"]), f"t{i}") for i in range(150)]
+    rows += [(2, rng.choice([5, 6, None]), rng.choice(["ann", "bob", None]), f"u{i}") for i in range(2600)]
+    rows += [(None, rng.randrange(200), "cy", rng.choice(["x", None, "é😀"])) for _ in range(300)]
+    rows += [(3, 0, "system", "alone"), (4, None, "ann", None), (5, -3, "ann", "before zero")] + rows[:5]
+    df = llm_spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").repartition(3)
+    against_sql(llm_spark, tmp_path, "op7_chat_formatting", conversations=df)
+    out = queries.op7_chat_formatting(llm_spark, str(tmp_path)).filter("conv_id = 2 and speaker = 'ann'").collect()
+    assert len({r.piece for r in out}) > 1 and sum(r.n_turns for r in out) == len({r for r in rows if r[0] == 2})
+
+
+def test_decontamination_query_with_nameless_items(llm_spark, tmp_path):
+    docs = [(1, "one two three"), (1, "one two three"), (None, "FOUR five"), (2, None), (3, ""), (4, "six " * 30), (5, "none")]
+    items = [(None, "two"), ("a", "four five"), ("b", None), (None, "four"), ("c", " ".join(["six"] * 12)), ("d", "")]
+    df = llm_spark.createDataFrame([(*d, 7) for d in docs], "doc_id int, text string, hits int").repartition(2)
+    bench = llm_spark.createDataFrame(items, "item_id string, text string")
+    queries_rows = {(r.doc_id, r.n_words): r.n_hit for r in _decontaminated(llm_spark, tmp_path, df, bench)}
+    assert queries_rows == {(1, 3): 1, (None, 2): 2, (2, 0): 0, (3, 0): 0, (4, 30): 30, (5, 1): 0}
+
+
+def _decontaminated(llm_spark, folder, docs, benchmark):
+    unique = docs.distinct().filter("doc_id is not null")
+    against_sql(llm_spark, str(folder / "unique"), "op8_decontamination", documents=unique, benchmark=benchmark)
+    for name, df in (("documents", docs), ("benchmark", benchmark)):
+        df.write.parquet(str(folder / f"{name}.parquet"))
+    return queries.op8_decontamination(llm_spark, str(folder)).collect()
+
+
 def test_fresh_names(odd):
     assert fresh(odd, "_KEY") == "__KEY" and fresh(odd, "other") == "other"
 
