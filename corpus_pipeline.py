@@ -33,7 +33,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents without benchmark passages, those of items without an id included."""
     held = fresh(docs, "_hits")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    found = decontam.contamination(docs, benchmark, into=held, unnamed=True)
+    found = decontam.contamination(docs, benchmark, into=held)
     return found.filter(F.col(held)["n_hit"] == 0).select(*docs.columns)
 
 
@@ -47,8 +47,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids per document, and whether decoding them gives the text again."""
     model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
-    encoded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), model)
-    decoded = pieces.decode(encoded, model)
+    decoded = pieces.round_trip(docs.select("doc_id", "lang", "source", "text"), model)
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
     return decoded.select(
         "doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", same.alias("exact")
