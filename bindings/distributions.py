@@ -105,9 +105,7 @@ def pair_distributions(spark, d):
 FROM cells WHERE token_id = token""",
 )
 def gather_token(spark, d):
-    rows = paired(spark, d)
-    cells = O.explode_vocabulary(rows)
-    return clean(O.gather_token(cells, vectors(spark, d)), "s", "t")
+    return clean(O.gather(paired(spark, d), "token_id"), "s", "t")
 
 
 @B.add(

@@ -32,6 +32,7 @@ from sparkeval.functions.answers import (
 )
 from sparkeval.operators import grading
 from sparkeval.operators.selection import pending
+from sparkeval.plans import buckets
 from sparkeval.plans.session import materialize, work_dir
 from sparkeval.registry import apply_rewards
 from sparkeval.sources.sinks import run_key, training_run_name, write_report
@@ -546,6 +547,27 @@ def eval_report_runs(spark, d):
     )
 
 
+@B.add(
+    "join_bucketed",
+    f"""WITH {PROBLEMS_SQL}, {COMPLETIONS_SQL}
+SELECT problem_id, sample_idx, run_id, text, problem, ground_truth FROM completions JOIN problems USING (problem_id)""",
+)
+def join_bucketed(spark, d):
+    """Both tables stored in buckets; the join reads them as they lie."""
+    stored, asked = buckets.store(completions(spark, d), problems(spark, d), 16)
+    return buckets.join_stored(stored, asked).select("problem_id", "sample_idx", "run_id", "text", "problem", "ground_truth")
+
+
+@B.add(
+    "evaluate_bucketed",
+    f"""{WITH_SCORED} SELECT problem_id, num_samples, num_correct, num_formatted, has_correct, majority_vote_correct
+FROM scored""",
+)
+def evaluate_bucketed(spark, d):
+    stored, asked = buckets.store(completions(spark, d), problems(spark, d), 16)
+    return buckets.evaluate_stored(stored, asked)
+
+
 @B.add(
     "explode_outputs",
     f"{WITH_LAST} SELECT problem_id, sample_idx, text FROM completions",

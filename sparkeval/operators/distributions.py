@@ -31,6 +31,14 @@ def explode_vocabulary(df: DataFrame, on: list[str] = POSITION) -> DataFrame:
     )
 
 
+def gather(df: DataFrame, token: str = "token", on: list[str] = POSITION) -> DataFrame:
+    """(position, token, s, t): the entries of a paired table at one token of each position, read from the
+    vectors in place. Positions with a null token, or one outside the vocabulary, have none."""
+    inside = (F.col(token) >= 0) & (F.col(token) < F.size("student"))
+    s, t = (F.get(c, F.col(token).cast("int")).cast("double").alias(c[0]) for c in ("student", "teacher"))
+    return df.filter(inside).select(*on, token, s, t)
+
+
 def gather_token(
     cells: DataFrame, chosen: DataFrame, on: list[str] = POSITION, token: str = "token_id"
 ) -> DataFrame:

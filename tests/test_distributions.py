@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 
@@ -138,3 +140,14 @@ def test_ema_update(spark):
     params = spark.createDataFrame([("a", [2.0, 4.0]), ("c", [9.0])], "name string, values array<double>")
     got = {r.name: r["values"] for r in O.ema_update(state, params, 0.9).collect()}
     assert got == {"a": pytest.approx([1.1, 2.2]), "b": [3.0]}
+
+
+def test_gather_in_place_equals_gather_of_cells(spark):
+    rng = random.Random(4)
+    rows = [(i, 0, rng.choice([None, -1, 0, 3, 4, 5]), [rng.random() for _ in range(5)], [rng.random() for _ in range(5)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "seq_id int, pos int, token_id int, student array<double>, teacher array<double>")
+    got = O.gather(df, "token_id")
+    want = O.gather_token(O.explode_vocabulary(df), df)
+    assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
+    assert got.count() == sum(r[2] is not None and 0 <= r[2] < 5 for r in rows)
+    assert O.gather(df.limit(0), "token_id").count() == 0
