@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sparkeval.plans.session import materialize
 
-ROUNDS = 6  # of meetings with one representative, while they link any; what is left meets in full
+ROUNDS = 1  # of meetings with one representative, while they link any; what is left meets in full
 Linker = Callable[[DataFrame], DataFrame]
 
 
@@ -151,8 +151,9 @@ def _ends() -> list[Column]:
 
 def linked(
     members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, confirm: Linker, joined: Callable[[DataFrame, DataFrame], DataFrame]
-) -> DataFrame:
-    """``labels``, joined by all links between members (node, home, n) of one home.
+) -> tuple[DataFrame, DataFrame]:
+    """``labels``, joined by links between members (node, home, n) of one home, and the pairs (a, b) with all
+    others that can still join components of them.
 
     ``confirm`` keeps the pairs (a, b) that are links; ``joined`` adds links to labels.
     """
@@ -166,13 +167,11 @@ def linked(
         chosen = known.filter("label = main").groupBy("group", "element").agg(F.min_by(fields, order).alias("b"))
         others = _side(known.filter("label <> main"), "a")
         met = others.join(chosen.select("group", "element", "b.*"), ["group", "element"]).filter(_meet(percent, "a", "b"))
-        links = materialize(confirm(met.select(*_ends()).distinct()), "links")
-        if links.isEmpty():
+        before, labels = labels, joined(labels, confirm(met.select(*_ends()).distinct()))
+        if labels is before:
             break
-        labels = joined(labels, links)
     known = materialize(_several(posted, labels), "several")
     left, right = _side(known.filter("label <> main"), "a"), _side(known, "b", "main")
     apart = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
     same = (left["group"] == right["group"]) & (left["element"] == right["element"])
-    met = left.join(right, same & apart & _meet(percent, "a", "b")).select(*_ends()).distinct()
-    return joined(labels, confirm(met))
+    return labels, left.join(right, same & apart & _meet(percent, "a", "b")).select(*_ends()).distinct()

@@ -266,11 +266,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node of each component, by alternating star contraction.
 
-    A round joins each node's neighbours to the least of them; it ends when a round changes nothing.
-    A node with very many neighbours is a skewed join key, never a collected list.
+    A round joins each node's neighbours to the least of them; it ends when every node has one edge, to
+    the least of its component. A node with very many neighbours is a skewed join key, never a collected
+    list.
     """
     edges = links.select("a", "b")
-    before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -290,21 +290,28 @@ def components(links: DataFrame) -> DataFrame:
             .distinct()
         )
         edges = materialize(small, "edges")
-        seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % (1 << 40)).alias("h")).first()
-        if (seen["n"], seen["h"]) == before:
+        up = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = up.union(edges.select(F.col("b").alias("node"), F.lit(0), F.lit(1)))
+        tangled = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if tangled.filter("up > 1 or (up = 1 and down = 1)").isEmpty():
             break
-        before = (seen["n"], seen["h"])
     labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels.union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label): the components of ``labels`` joined by ``links`` (a, b)."""
-    links = materialize(links, "links")
-    if links.isEmpty():
+    """(node, label): the components of ``labels`` joined by ``links`` (a, b). Only components that a link
+    joins to others are contracted; a node without a label is one of its own."""
+    a, b = (labels.select(F.col("node").alias(s), F.col("label").alias(f"label_{s}")) for s in "ab")
+    known = links.join(a, "a", "left").join(b, "b", "left")
+    across = _ordered(known, F.coalesce("label_a", "a"), F.coalesce("label_b", "b")).filter("a <> b")
+    across = materialize(across, "across")
+    if across.isEmpty():
         return labels
-    tree = labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-    return materialize(components(tree.union(links)), "labels")
+    roots = materialize(components(across), "roots")
+    moved = labels.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
+    alone = roots.join(labels, "node", "left_anti").select("node", "label")
+    return materialize(moved.select("node", F.coalesce("root", "label").alias("label")).union(alone), "labels")
 
 
 def _of_mixed_homes(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -339,10 +346,10 @@ def _members(df: DataFrame, key: str, text: str, percent: int) -> DataFrame:
         homes = materialize(deltas.homes(lists, own, nodes.select("node")), "homes")
         at_home = _of_mixed_homes(nodes.join(homes, "node"), labels)
         confirm = lambda pairs: confirmed(pairs, sets, percent)
-        labels = deltas.linked(at_home, sets, labels, percent, confirm, joined)
+        labels, pairs = deltas.linked(at_home, sets, labels, percent, confirm, joined)
         members = materialize(mixed_members(lists, labels, able), "members")
-        crossing = materialize(crossing_pairs(members, homes, classes, percent=percent), "crossing")
-        labels = joined(labels, confirmed(crossing, sets, percent))
+        crossing = crossing_pairs(members, homes, classes, percent=percent)
+        labels = joined(labels, confirm(materialize(pairs.union(crossing).distinct(), "pairs")))
     least = labels.join(classes.select("node", "least"), "node")
     roots = least.groupBy("label").agg(F.min("least").alias("root"))
     ends = classes.select("node", "least").join(labels, "node", "left").join(roots, "label", "left")
