@@ -1,8 +1,8 @@
 """A quality score from document statistics: random Fourier features, ridge, isotonic calibration.
 
 The features approximate a Gaussian kernel, so a linear fit on them is a kernel fit whose size does not
-depend on the number of rows. Every partition sums its part of the normal equations; the sums have a
-fixed size. The raw scores of the training rows are counted in bins of fixed number, and the pooled
+depend on the number of rows. Every task sums its part of the normal equations; the sums have a fixed
+size. The raw scores of rows that the ridge has not seen are counted in bins of fixed number, and the pooled
 bins give a rising map from raw score to probability.
 """
 
@@ -14,11 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkeval.llm.common import append, fresh, struct
+from sparkeval.llm.common import append, fewer, fresh, struct
 
 WHITE = [9, 10, 11, 12, 13, 32]
 PUNCTUATION = [c for c in range(33, 127) if not chr(c).isalnum()]
@@ -31,6 +32,8 @@ WIDTH = 384  # random features
 GAMMA = 0.6  # of the kernel, over the square root of the number of statistics
 RIDGE = 1e-3  # per training row
 BINS = 2048
+FOLDS = 5  # one of them calibrates
+GROUPS = 64  # of tasks, whose sums are added first
 LOW, HIGH = -1.0, 2.0  # raw scores that the bins divide
 
 
@@ -105,7 +108,8 @@ def fourier(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
 
 
 def featurize(df: DataFrame, text: str = "text", into: str = "statistics") -> DataFrame:
-    """Add ``into``: the statistics of ``text``. Rows are independent; other columns stay."""
+    """Add ``into``: the statistics of ``text``; a null text has those of an empty one. Repeated rows get
+    equal statistics, an empty table stays empty, other columns stay (one named ``into`` is replaced)."""
     held = fresh(df, "_statistics")
     done = append(
         df, held, struct(x="array<double>"), lambda c: [(statistics(t),) for t in c[text]], [text]
@@ -119,8 +123,9 @@ def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
 
 
 def _sum_equations(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Z'Z and Z'y. A partition gives one row per feature; the rows of a feature are added in any
-    order after being sorted, so that the sum does not depend on the order of arrival."""
+    """Z'Z and Z'y. A task gives one row per feature, and there are only so many tasks as the cluster has
+    use for. The rows of a feature are added in two levels, ``GROUPS`` groups of tasks first, each time in
+    any order after being sorted, so that the sum does not depend on the order of arrival."""
     width = WIDTH + len(FEATURES) + 1
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,17 +136,24 @@ def _sum_equations(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> np.n
                 y = batch.column(batch.schema.get_field_index("y")).to_numpy(zero_copy_only=False)
                 total += z.T @ np.hstack([z, y[:, None]])
         if total.any():
+            group = TaskContext.get().partitionId() % GROUPS
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(width), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))],
-                names=["row", "sums"],
+                [
+                    pa.array(range(width), pa.int32()),
+                    pa.array([group] * width, pa.int32()),
+                    pa.array(list(total), pa.list_(pa.float64())),
+                ],
+                names=["row", "part", "sums"],
             )
 
     def added(table: pa.Table) -> pa.Table:
         sums = np.sort(np.array(table["sums"].to_pylist()), axis=0).sum(axis=0)
-        return pa.table({"row": table["row"][:1], "sums": pa.array([sums], pa.list_(pa.float64()))})
+        kept = {c: table[c][:1] for c in ("row", "part")}
+        return pa.table(kept | {"sums": pa.array([sums], pa.list_(pa.float64()))})
 
-    schema = "row int, sums array<double>"
-    found = rows.mapInArrow(part, schema).groupBy("row").applyInArrow(added, schema).collect()
+    schema = "row int, part int, sums array<double>"
+    parts = fewer(rows).mapInArrow(part, schema).groupBy("row", "part").applyInArrow(added, schema)
+    found = parts.groupBy("row").applyInArrow(added, schema).collect()
     out = np.zeros((width, width + 1))
     for r in found:  # a row per feature, however many documents there are
         out[r["row"]] = r["sums"]
@@ -164,11 +176,19 @@ def pooled(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: DataFrame, x: str = "statistics", y: str = "label") -> Model | None:
-    """Fit on rows of statistics and 0/1 labels; rows without a label are left out. None without rows."""
-    rows = rows.filter(F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"))
+    """Fit on rows of statistics and 0/1 labels. None without rows.
+
+    Rows without statistics or label are left out. A row that comes again counts again, and so do labels that
+    contradict each other. One row in ``FOLDS``, by a hash of its statistics, is kept from the ridge and
+    calibrates it; a table that has no such row is calibrated on all. Other columns are not read.
+    """
+    rows = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = rows.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"))
+    rows = rows.withColumn("calibrates", F.pmod(F.xxhash64("x"), F.lit(FOLDS)) == 0)
     k = len(FEATURES)
     about = rows.agg(
         F.count("*").alias("n"),
+        F.count_if("calibrates").alias("calibrating"),
         *[F.avg(F.get("x", F.lit(i))).alias(f"m{i}") for i in range(k)],
         *[F.stddev_pop(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(k)],
     ).first()
@@ -176,11 +196,13 @@ def fit(rows: DataFrame, x: str = "statistics", y: str = "label") -> Model | Non
         return None
     mean = np.array([round(about[f"m{i}"], 9) for i in range(k)])
     scale = np.array([round(about[f"s{i}"], 9) or 1.0 for i in range(k)])
-    sums = _sum_equations(rows, mean, scale)
+    apart = 0 < about["calibrating"] < about["n"]
+    learning = about["n"] - about["calibrating"] * apart
+    sums = _sum_equations(rows.filter(~F.col("calibrates")) if apart else rows, mean, scale)
     width = len(sums)
-    weights = np.linalg.solve(sums[:, :-1] + RIDGE * about["n"] / width * np.eye(width), sums[:, -1])
+    weights = np.linalg.solve(sums[:, :-1] + RIDGE * learning / width * np.eye(width), sums[:, -1])
     model = Model(mean, scale, weights, np.zeros(0), np.zeros(0))
-    held = _scored(rows, model, "x", "raw").select("raw", "y")
+    held = _scored(rows.filter("calibrates") if apart else rows, model, "x", "raw").select("raw", "y")
     edge = (F.col("raw") - LOW) / (HIGH - LOW) * BINS
     bins = held.groupBy(F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(edge))).alias("bin")).agg(
         F.count("*").alias("n"), F.sum("y").alias("good")

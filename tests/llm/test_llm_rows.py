@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import string
+import zlib
 
 import brute
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -329,6 +331,64 @@ def test_classifier_on_held_out_rows(llm_spark):
     assert sum(r.predicted for r, q in held if q) / sum(q for _, q in held) > 0.98
 
 
+def rising(values, weights):
+    """Isotonic regression by its formula: the greatest over starts of the least over ends of the means."""
+    n = len(values)
+    mean = {(a, b): np.average(values[a : b + 1], weights=weights[a : b + 1]) for a in range(n) for b in range(a, n)}
+    return [max(min(mean[a, b] for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+
+
+def test_classifier_query_against_one_machine(llm_spark):
+    """The registered query against a fit in memory: a least-squares solution and plain isotonic means."""
+    docs = llm_spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    labels = {r.doc_id: r.quality for r in llm_spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op9_quality_classifier(llm_spark, SF).collect()}
+    assert len(got) == len(docs)
+    x = {r.doc_id: np.array(classifier.statistics(r.text)) for r in docs}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in x}
+    train = [i for i in x if i in labels and not held[i]]
+    stats = llm_spark.createDataFrame([(i, x[i].tolist()) for i in train], "i long, x array<double>")
+    folds = {r.i: r.f for r in stats.select("i", F.pmod(F.xxhash64("x"), F.lit(5)).alias("f")).collect()}
+    assert 0 < sum(f == 0 for f in folds.values()) < len(train)
+    mean = np.mean([x[i] for i in train], axis=0).round(9)
+    scale = np.std([x[i] for i in train], axis=0).round(9)
+    scale[scale == 0] = 1
+    directions, phases = classifier._basis()
+
+    def features(v):
+        z = np.clip((v - mean) / scale, -6, 6)
+        return np.concatenate([np.sqrt(2 / len(phases)) * np.cos(z @ directions + phases), 0.1 * z, [1]])
+
+    learn = [i for i in train if folds[i]]
+    a, y = np.array([features(x[i]) for i in learn]), np.array([labels[i] for i in learn], float)
+    width = a.shape[1]
+    ridge = np.sqrt(classifier.RIDGE * len(learn) / width) * np.eye(width)
+    weights = np.linalg.lstsq(np.vstack([a, ridge]), np.concatenate([y, np.zeros(width)]), rcond=None)[0]
+    raw = {i: round(float(features(v) @ weights), 6) for i, v in x.items()}
+    bins = {}
+    for i in train:
+        if not folds[i]:
+            b = min(max(int((raw[i] + 1) / 3 * 2048 // 1), 0), 2047)
+            bins.setdefault(b, []).append(labels[i])
+    share = np.mean([v for vs in bins.values() for v in vs])
+    at = sorted(bins)
+    sizes = [len(bins[b]) for b in at]
+    levels = rising([(sum(bins[b]) + 1e-3 * share) / (n + 1e-3) for b, n in zip(at, sizes)], sizes)
+    for i, r in got.items():
+        level = np.interp(raw[i], [-1 + (b + 0.5) * 3 / 2048 for b in at], levels)
+        want = 0.999 * level + 0.001 * (min(max(raw[i], -1), 2) + 1) / 3
+        assert r.held_out == held[i] and abs(r.score - want) < 2e-3, i
+        assert r.predicted == (r.score >= 0.3)
+
+
+def test_classifier_with_repeated_and_conflicting_rows(llm_spark, odd):
+    rows = classifier.featurize(odd, into="hits").withColumn("y", (F.coalesce("doc_id", F.lit(0)) % 2).cast("int"))
+    both = rows.union(rows.withColumn("y", 1 - F.col("y"))).union(rows.withColumn("hits", F.lit(None).cast("array<double>")))
+    model = classifier.fit(both, "hits", "y")
+    scores = [r.label for r in classifier.score(rows, model, "hits", "label").collect()]
+    assert all(abs(s - 0.5) < 0.05 for s in scores)
+
+
 def test_classifier_without_labels(odd):
     found = classifier.featurize(odd, into="hits")
     assert classifier.fit(found.withColumn("none", F.lit(None).cast("int")), "hits", "none") is None
