@@ -12,6 +12,7 @@ from bindings.tables import rounded, table
 from sparkeval.functions import distributions as D
 from sparkeval.functions.sequences import IGNORE, mask_pads
 from sparkeval.operators import distributions as O
+from sparkeval.operators import shards as H
 from sparkeval.plans.session import materialize, spread
 
 B = Bindings()
@@ -175,6 +176,26 @@ def jsd_long(spark, d):
     return clean(O.divergence_long(cells, 0.5, T, K), "divergence")
 
 
+@B.add("jsd_sharded", f"{divergence_sql(mixture(0.3))} SELECT seq_id, pos, round(divergence, 6) + 0.0 AS divergence FROM div")
+def jsd_sharded(spark, d):
+    """The whole vocabulary, in shards of 16 entries."""
+    cells = O.explode_vocabulary(paired(spark, d))
+    return clean(H.divergence_sharded(cells, 0.3, T, size=16), "divergence")
+
+
+@B.add(
+    "topk_select",
+    f"""WITH {LONG}, {RANKED} SELECT vec_id, token_id, rank, round(t, 6) + 0.0 AS t
+FROM ranked WHERE rank <= {K}""",
+)
+def topk_select(spark, d):
+    """The k largest from the k largest of each shard."""
+    kept = H.top_k_sharded(O.explode_vocabulary(paired(spark, d), ["vec_id"]), K, 16, ["vec_id"])
+    each = kept.select("vec_id", F.posexplode("cells").alias("at", "c"))
+    ranked = each.select("vec_id", F.col("c.token_id").cast("long").alias("token_id"), (F.col("at") + 1).cast("long").alias("rank"), F.col("c.t").alias("t"))
+    return clean(ranked, "t")
+
+
 @B.add(
     "topk_vocab",
     f"""WITH {LONG}, {RANKED} SELECT vec_id, token_id, rank, round(t, 6) + 0.0 AS t

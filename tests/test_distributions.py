@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkeval.functions import distributions as D
 from sparkeval.operators import distributions as O
+from sparkeval.operators import shards as H
 
 SIZE = 12
 RNG = np.random.default_rng(4)
@@ -151,3 +152,28 @@ def test_gather_in_place_equals_gather_of_cells(spark):
     assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
     assert got.count() == sum(r[2] is not None and 0 <= r[2] < 5 for r in rows)
     assert O.gather(df.limit(0), "token_id").count() == 0
+
+
+@pytest.mark.parametrize(("beta", "top_k", "size"), [(0.5, None, 3), (0, None, 1), (1, None, 100), (0.3, 4, 3), (0.5, 20, 2)])
+def test_sharded_divergence(spark, beta, top_k, size):
+    """Far values, ties and a null position; no window and no more than a shard of entries in an array."""
+    rng = random.Random(9)
+    rows = [(seq, pos, token, rng.choice([0.0, 1.5, rng.uniform(-700, 700)]), rng.choice([0.0, rng.gauss(0, 3)]))
+            for seq in (1, 2, None) for pos in (0, 1) for token in range(11)]
+    cells = spark.createDataFrame(rows, "seq_id int, pos int, token_id int, s double, t double").repartition(5)
+    out = H.divergence_sharded(cells, beta, 0.7, top_k, size)
+    got = {(r.seq_id, r.pos): r.divergence for r in out.collect()}
+    want = {(r.seq_id, r.pos): r.divergence for r in O.divergence_long(cells, beta, 0.7, top_k).collect()}
+    assert len(got) == 6 and got == pytest.approx(want, rel=1e-9, abs=1e-9)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert max(r.n for r in H.shards(cells, size).select(F.size("cells").alias("n")).collect()) <= size
+    assert H.divergence_sharded(cells.limit(0), beta, 0.7, top_k, size).count() == 0
+
+
+def test_sharded_top_k(spark):
+    rng = random.Random(2)
+    rows = [(1, 0, token, 0.0, float(rng.randrange(5))) for token in range(50)]
+    cells = spark.createDataFrame(rows, "seq_id int, pos int, token_id int, s double, t double")
+    for k in (1, 7, 60):
+        got = [c.token_id for c in H.top_k_sharded(cells, k, 8).first().cells]
+        assert got == [r[2] for r in sorted(rows, key=lambda r: (-r[4], r[2]))][:k]
