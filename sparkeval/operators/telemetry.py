@@ -82,7 +82,7 @@ def ema(
     The whole of ``order`` is unique within ``keys``; null is a key like any other. ``start`` (keys, ema)
     continues earlier averages.
 
-    A long series is cut into order ranges, and a range into blocks short enough for ``decay**-i`` to
+    Series that are all shorter than a block take one window. A long one is cut into order ranges, and a range into blocks short enough for ``decay**-i`` to
     stay finite. Inside a block the average is a running sum of value / decay**i, scaled back, with
     values in units of the block's largest. A block maps what it inherits to its end; these maps are
     composed along the blocks of a range and along the ranges of a key, so nothing is cut off.
@@ -94,6 +94,9 @@ def ema(
         return df.withColumn("ema", x)
     block = max(1, math.ceil(100 / -math.log(decay))) if decay < 1 else 2**62
     ranged, was_cut = with_ranges(df, keys, order, rows_per_range)
+    longest = 0 if was_cut else df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if not was_cut and longest <= block:
+        return _short_series(df, keys, order, x, decay, start)
     here = Window.partitionBy(*keys, RANGE).orderBy(*order)
     units = [*keys, RANGE, "_block"]
     inside = Window.partitionBy(*units).orderBy("_i").rowsBetween(
@@ -119,7 +122,7 @@ def ema(
         most = ends.agg(F.max("_block")).first()[0] + 1
         ranges = ranged.agg(F.max(RANGE)).first()[0] + 1
     else:
-        most, ranges = math.ceil(rows_per_range / block), 1
+        most, ranges = math.ceil(longest / block), 1
     within = prefix_maps(ends.withColumns({"_pa": F.col("_a"), "_pb": F.col("_b")}), [*keys, RANGE], "_block", "_pa", "_pb", most)
     last = F.struct(
         (F.col("_a") * F.col("_pa")).alias("a"), (F.col("_b") + F.col("_a") * F.col("_pb")).alias("b")
@@ -140,6 +143,30 @@ def ema(
     return joined.select(*df.columns, (F.col("_own") + power * F.col("_inherited")).alias("ema"))
 
 
+def _short_series(
+    df: DataFrame, keys: list[str], order: list[str], x: Column, decay: float, start: DataFrame | None
+) -> DataFrame:
+    """``ema`` where every series is one block."""
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    ordered = whole.orderBy(*order)
+    unit = F.max(F.abs("_x")).over(whole)
+    placed = df.withColumn("_x", x).withColumns(
+        {
+            "_i": F.row_number().over(ordered),
+            "_start": F.first("_x").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "_m": F.when(unit > 0, unit).otherwise(1.0),
+        }
+    )
+    if start is not None:
+        given = start.select(*keys, F.col("ema").alias("_given"))
+        placed = same_group(placed, given, keys, "left").withColumn("_start", F.coalesce("_given", "_start"))
+    power = F.pow(F.lit(float(decay)), F.col("_i"))
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scaled = F.sum(F.col("_x") / F.col("_m") / power).over(upto) * power
+    own = (1 - decay) * F.coalesce(scaled, F.lit(0.0)) * F.col("_m")
+    return placed.select(*df.columns, (own + power * F.col("_start")).alias("ema"))
+
+
 def flush_step(step: str, every: int = 5) -> Column:
     """Step at which a record is written: the next multiple of ``every``, not before the first."""
     return F.greatest(F.ceil(F.col(step) / every) * every, F.lit(every)).cast("long")
