@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import string
 import zlib
 
@@ -12,6 +13,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import tiktoken
+import zstandard
 from conftest import SF, odd_texts
 from pyspark.sql import functions as F
 
@@ -105,6 +107,56 @@ def test_novel_strings_of_one_class():
         assert secret_scan.scan(f"the private key: {plain} and then the rest of the text goes on.") == []
 
 
+def slow_novel(text, base):
+    """Novel strings by hand: each run of candidate characters, its bytes before and after compressed anew."""
+    text = text or ""
+    found, at = [], 0
+    allowed = set(string.ascii_letters + string.digits + "+/_=-")
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        if end - at >= 16:
+            before, token, after = text[:at].encode(), text[at:end], text[end:].encode()
+            near = before[-48:].decode("latin-1").translate(brute.LOWER)
+            if any(w in near for w in ("key", "secret", "token", "passw", "passphrase", "credential", "bearer", "auth", "private")):
+                words = zstandard.ZstdCompressionDict(secret_scan.IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                size = lambda raw: len(
+                    zstandard.ZstdCompressor(level=3, dict_data=words, write_content_size=False, write_checksum=False,
+                                             write_dict_id=False).compress(raw))
+                around = before[-256:] + after[:256]
+                plain = re.fullmatch("[A-Z]?[a-z]+([A-Z][a-z]{2,})*|[A-Z]+", token)
+                added = size(around + token.encode()) - size(around)
+                if added >= (0.9 if plain else 0.6) * len(token) and not any(at < e and s < end for _, s, e in base):
+                    found.append(("novel", at, end))
+        at = max(end, at + 1)
+    return found
+
+
+def test_secret_query(llm_spark, tmp_path):
+    """The registered query on every document and on odd texts, against loops of their own."""
+    texts = given() + odd_texts()[:13] + [
+        "é the signing key is q7Zk2Lm9Xw4Rt8Yp3Vn6, auth_token q7Zk2Lm9Xw4Rt8Yp3Vn6+/A=", "private QzXwVbNmLkJhGfDsApOi",
+        "key token = q7Zk2Lm9Xw4Rt8Yp3Vn6 secret applicationConfiguration 日本 bearer 8fK2-mQ9_zR4tW7yB1nC",
+    ]
+    docs = llm_spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in queries.op3_secret_scan(llm_spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts)
+    novel = 0
+    for i, text in enumerate(texts):
+        base = brute.base_secrets(text)
+        added = slow_novel(text, base)
+        novel += len(added)
+        named = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+        order = ["assign", "access", "hex", "novel"]
+        r = rows[i]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for k, _, _ in base) for kind in order[:3])
+        assert r.base_sha256 == brute.sha(named(base))
+        assert r.spans == named(sorted(base + added, key=lambda x: (x[1], order.index(x[0])))), i
+    assert novel >= 4
+
+
 def test_secrets(odd):
     done = secret_scan.find(odd, into="hits")
     check_columns(odd, done, "hits")
