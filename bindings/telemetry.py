@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from bindings import Bindings
-from bindings.evaluation import VAL_N, WITH_TOTALS, SUMMARY_SQL
-from bindings.tables import completions, problems, rounded, table
+from bindings.evaluation import RUNNING, SUMMARY_SQL, VAL_N, WITH_TOTALS
+from bindings.tables import EVALUATED, completions, problems, rounded, table, votes_sql
 from sparkeval.operators import grading
 from sparkeval.operators import telemetry as M
-from sparkeval.plans.session import work_dir
+from sparkeval.plans.session import materialize, work_dir
 from sparkeval.registry import apply_metrics, register_metric
 from sparkeval.sources.tables import read_completions, stream_table
+from sparkeval.streaming import curve
 from sparkeval.streaming import operators as streams
 from sparkeval.streaming import state
 from sparkeval.streaming.tables import appended, latest, start
@@ -177,6 +182,56 @@ def stream_metrics(spark, d):
     )
 
 
+def in_waves(
+    rows: DataFrame, wave: Column, waves: int, follow: Callable[[DataFrame], StreamingQuery]
+) -> None:
+    """Start ``follow`` again after each of the arrivals, which are rows with one value of ``wave``."""
+    spark, path = rows.sparkSession, work_dir(rows.sparkSession, "waves")
+    for n in range(waves):
+        rows.filter(wave == n).write.mode("append").parquet(path)
+        follow(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
+
+
+@B.add("stream_running_metrics", f"{RUNNING} SELECT * FROM running")
+def stream_running_metrics(spark, d):
+    """The curve of an evaluation whose samples come in three micro-batches, many of them late."""
+    path = work_dir(spark, "stream-running")
+    rows, asked = materialize(completions(spark, d), "completions"), problems(spark, d)
+    wave = F.pmod(F.xxhash64("problem_id", "sample_idx"), F.lit(3))
+    in_waves(rows, wave, 3, lambda s: curve.stream_running_metrics(s, path, asked, block_size=10_000))
+    out = curve.read_running_metrics(spark, path, asked, VAL_N)
+    return out.withColumns(rounded("pass_at_n_pct", "average_at_n_pct", "format_rate"))
+
+
+KEPT = EVALUATED.replace("completions AS (", "sampled AS (", 1).replace(
+    "last_box AS (",
+    """completions AS (SELECT * FROM sampled WHERE (problem_id + sample_idx) % 5 <> 0),
+last_box AS (""",
+    1,
+)
+
+
+@B.add(
+    "resume_incremental",
+    f"""WITH {KEPT},
+{votes_sql()}
+SELECT problem_id, num_samples, num_correct, num_formatted, has_correct, majority_vote_correct FROM scored""",
+)
+def resume_incremental(spark, d):
+    """Every third sample comes without an answer first and is replaced; every fifth is taken back."""
+    path = work_dir(spark, "answers")
+    rows = materialize(completions(spark, d), "completions").drop("run_id")
+    third, fifth = F.col("sample_idx") % 3 == 1, (F.col("problem_id") + F.col("sample_idx")) % 5 == 0
+    draft = rows.withColumn("text", F.when(~third, F.col("text")))
+    waves = ((draft, 0, False), (rows.filter(third), 1, False), (rows.filter(fifth), 2, True))
+    changes = [
+        part.withColumns({"version": F.lit(n), "retracted": F.lit(gone), "text": F.lit(None) if gone else F.col("text")})
+        for part, n, gone in waves
+    ]
+    in_waves(reduce(DataFrame.union, changes), F.col("version"), 3, lambda s: curve.stream_answers(s, path))
+    return curve.read_scores(spark, path, problems(spark, d))
+
+
 @B.add("stream_loss_window", DAILY)
 def stream_loss_window(spark, d):
     path = work_dir(spark, "stream-loss")

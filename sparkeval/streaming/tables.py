@@ -29,22 +29,31 @@ def start(
 COMPACT_EVERY = 16
 
 
-def batches(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the micro-batches that have a folder there, rising."""
+def numbered_folders(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """Numbers n of the folders ``name=n`` there, rising."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(path):
         return []
     names = [f.getPath().getName() for f in files.listStatus(path)]
-    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+    return sorted(int(n.removeprefix(f"{name}=")) for n in names if n.startswith(f"{name}="))
+
+
+def batches(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the micro-batches that have a folder there, rising."""
+    return numbered_folders(spark, folder, "batch")
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_batches(spark: SparkSession, folder: str, before: int) -> None:
     """Remove the folders of the micro-batches before that number."""
     for n in batches(spark, folder):
         if n < before:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch={n}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            drop_folder(spark, f"{folder}/batch={n}")
 
 
 def changes_to(

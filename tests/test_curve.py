@@ -1,0 +1,98 @@
+"""Running rates and answers that follow a stream equal those of the batch operators."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkeval.operators import grading
+from sparkeval.plans.session import work_dir
+from sparkeval.streaming import curve
+from sparkeval.streaming.tables import batches, numbered_folders
+from test_streams import as_stream, rows_of
+
+SAMPLES = "problem_id string, sample_idx int, text string, file int"
+
+
+@pytest.fixture(scope="module")
+def asked(spark):
+    """Forty problems; the place of an answer in the stream has nothing to do with theirs."""
+    return spark.createDataFrame([(f"p{i}", 3 * i, f"{i % 3}") for i in range(40)], "problem_id string, ord long, ground_truth string").cache()
+
+
+@pytest.fixture(scope="module")
+def samples(spark):
+    rng = random.Random(4)
+    rows = [(f"p{rng.choice([0, 0, 0, *range(45)])}", i, rng.choice([f"\\boxed{{{i % 3}}}", "\\boxed{}", "none", None, ""]), rng.randrange(4)) for i in range(300)]
+    return spark.createDataFrame([*rows, (None, 300, "\\boxed{1}", 1)], SAMPLES).cache()
+
+
+def batch_curve(samples, asked):
+    return grading.running_metrics(grading.evaluate(samples, asked), asked, 4)
+
+
+@pytest.mark.parametrize("block_size", [10, 1000])
+def test_running_metrics(spark, samples, asked, block_size):
+    path = work_dir(spark)
+    stream = as_stream(samples, F.col("file"))
+    curve.stream_running_metrics(stream, path, asked, block_size=block_size).awaitTermination()
+    want = batch_curve(samples, asked)
+    assert rows_of(curve.read_running_metrics(spark, path, asked, 4).select(*want.columns)) == rows_of(want)
+
+
+def test_a_late_answer_renews_its_block_only(spark, asked):
+    """Files: answers to all, then one to the second problem, then one to no problem."""
+    rows = [(f"p{i}", 0, "\\boxed{1}", 0) for i in range(40)] + [("p1", 1, "\\boxed{1}", 1), ("p99", 0, "\\boxed{1}", 2)]
+    samples, path = spark.createDataFrame(rows, SAMPLES), work_dir(spark)
+    query = curve.stream_running_metrics(as_stream(samples, F.col("file")), path, asked, block_size=30)
+    query.awaitTermination()
+    held = {v: numbered_folders(spark, f"{path}/blocks/batch={v}", "block") for v in batches(spark, f"{path}/blocks")}
+    assert held == {1: [1, 2, 3], 2: [0]}
+    want = batch_curve(samples, asked)
+    assert rows_of(curve.read_running_metrics(spark, path, asked, 4).select(*want.columns)) == rows_of(want)
+
+
+def test_running_metrics_of_nothing(spark, samples, asked):
+    for some, of in ((samples.limit(0), asked), (samples, asked.limit(0))):
+        path, arrivals = work_dir(spark), work_dir(spark)
+        some.write.parquet(arrivals)
+        stream = spark.readStream.schema(samples.schema).parquet(arrivals)
+        curve.stream_running_metrics(stream, path, of).awaitTermination()
+        want = batch_curve(some, of)
+        assert rows_of(curve.read_running_metrics(spark, path, of, 4).select(*want.columns)) == rows_of(want)
+
+
+def test_too_many_blocks(spark, samples, asked, monkeypatch):
+    monkeypatch.setattr(curve, "MAX_BLOCKS", 5)
+    with pytest.raises(ValueError, match="block_size"):
+        curve.stream_running_metrics(as_stream(samples, F.col("file")), work_dir(spark), asked, block_size=1)
+
+
+def test_answers_under_changes(spark, asked):
+    """Random changes; for each sample the highest version holds, whenever it comes."""
+    rng = random.Random(9)
+    rows = []
+    for version in range(400):
+        text = rng.choice([f"\\boxed{{{version % 3}}}", "\\boxed{}", "no box", None])
+        rows.append((f"p{rng.choice([0, 0, 1, 2, 3])}", rng.randrange(40), text, rng.randrange(3), version, rng.choice([True, False, False, None])))
+    rng.shuffle(rows)
+    changes = spark.createDataFrame(rows, f"{SAMPLES}, version int, retracted boolean")
+    path = work_dir(spark)
+    curve.stream_answers(as_stream(changes, F.col("file")), path).awaitTermination()
+    last = {}
+    for r in sorted(rows, key=lambda r: r[4]):
+        last[r[:2]] = r
+    held = spark.createDataFrame([r for r in last.values() if not r[5]], changes.schema)
+    want = grading.evaluate(held, asked)
+    got = curve.read_scores(spark, path, asked)
+    assert rows_of(got.select(*want.columns)) == rows_of(want)
+    assert curve.read_answers(spark, path).count() == held.count()
+
+
+def test_all_taken_back(spark, asked):
+    rows = [("p1", 0, "\\boxed{1}", 0, 0, None), ("p1", 0, None, 1, 1, True)]
+    changes, path = spark.createDataFrame(rows, f"{SAMPLES}, version int, retracted boolean"), work_dir(spark)
+    curve.stream_answers(as_stream(changes, F.col("file")), path).awaitTermination()
+    assert curve.read_scores(spark, path, asked).count() == 0
