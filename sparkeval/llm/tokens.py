@@ -5,6 +5,10 @@ code points and tokens they cover, and a binary tree above them holds the sums.
 descending the tree; the pre-tokens are cut anew from a leaf that the edit cannot have changed to the
 first place after the edit where an old leaf starts. Behind it nothing changes, as the pattern reads from
 left to right. Only the leaves between are encoded; then the sums on their paths are renewed.
+
+A leaf may hold up to ``MOST`` pre-tokens or none. So the new pre-tokens nearly always have room in the leaves
+that they replace; a long insertion moves leaves within the smallest subtree that has enough empty ones, and
+only if the whole tree is full is it built again, with twice the room.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sparkeval.llm.common import append, fresh, struct
 
-LEAF = 64
+LEAF, MOST = 64, 128  # pre-tokens of a leaf when it is built, and at most
 # A pre-token's match looks at most two characters beyond its end, besides a run of whitespace.
 LOOKAHEAD = 3
 MEMO = 300_000
@@ -69,8 +73,12 @@ class Counter:
             total += n
         return total
 
-    def leaves(self, pieces: list[str]) -> list[tuple[int, int]]:
-        cut = (pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF))
+    def leaves(self, pieces: list[str], room: int = 0) -> list[tuple[int, int]]:
+        """Leaves of ``LEAF`` pre-tokens, or ``room`` fuller ones if they suffice."""
+        size = LEAF
+        if room and LEAF * room < len(pieces) <= MOST * room:
+            size = -(-len(pieces) // room)
+        cut = (pieces[i : i + size] for i in range(0, len(pieces), size))
         return [(sum(map(len, part)), self.count(part)) for part in cut]
 
 
@@ -81,28 +89,34 @@ def _counter(ranks: bytes, pattern: str) -> Counter:
 
 class Tree:
     """Sums over leaves. Node 1 is the root, node i has the children 2i and 2i + 1; ``chars`` and
-    ``tokens`` are such arrays, as stored."""
+    ``tokens`` are such arrays, as stored. Empty leaves may lie between others."""
 
-    def __init__(self, chars: list[int], tokens: list[int], n: int) -> None:
-        self.chars, self.tokens, self.n = chars, tokens, n
+    def __init__(self, chars: list[int], tokens: list[int]) -> None:
+        self.chars, self.tokens = chars, tokens
         self.width = len(chars) // 2
         self.renewed = 0
 
     @classmethod
-    def over(cls, leaves: list[tuple[int, int]]) -> Tree:
+    def over(cls, leaves: list[tuple[int, int]], room: int = 1) -> Tree:
+        """A tree with at least ``room`` places for leaves."""
         width = 1
-        while width < len(leaves):
+        while width < max(len(leaves), room):
             width *= 2
-        chars, tokens = [0] * (2 * width), [0] * (2 * width)
-        for i, (c, t) in enumerate(leaves):
-            chars[width + i], tokens[width + i] = c, t
-        for i in range(width - 1, 0, -1):
-            chars[i] = chars[2 * i] + chars[2 * i + 1]
-            tokens[i] = tokens[2 * i] + tokens[2 * i + 1]
-        return cls(chars, tokens, len(leaves))
+        tree = cls([0] * (2 * width), [0] * (2 * width))
+        tree.put(0, leaves)
+        tree.renewed = 0
+        return tree
+
+    @property
+    def n(self) -> int:
+        """Places up to the last leaf that is not empty."""
+        node = 1
+        while node < self.width:
+            node = 2 * node + (self.chars[2 * node + 1] > 0)
+        return node - self.width + 1 if self.chars[1] else 0
 
     def leaf_at(self, place: int) -> tuple[int, int]:
-        """The last leaf that starts at or before ``place``, and its start."""
+        """The last leaf, no empty one, that starts at or before ``place``, and its start."""
         node, start = 1, 0
         while node < self.width:
             node *= 2
@@ -111,27 +125,48 @@ class Tree:
                 node += 1
         return node - self.width, start
 
-    def leaves(self, first: int, past: int) -> list[tuple[int, int]]:
+    def filled(self, first: int, past: int) -> list[tuple[int, int]]:
         w = self.width
-        return list(zip(self.chars[w + first : w + past], self.tokens[w + first : w + past]))
+        pairs = zip(self.chars[w + first : w + past], self.tokens[w + first : w + past])
+        return [p for p in pairs if p[0]]
 
-    def replace(self, first: int, past: int, new: list[tuple[int, int]]) -> Tree:
-        """The tree with other leaves in a range. As many as before: only their paths are summed again."""
-        if len(new) != past - first:
-            grown = Tree.over([*self.leaves(0, first), *new, *self.leaves(past, self.n)])
-            grown.renewed = self.renewed + grown.width
-            return grown
-        nodes = set()
-        for i, (c, t) in enumerate(new, self.width + first):
+    def put(self, first: int, leaves: list[tuple[int, int]]) -> None:
+        """Set consecutive leaves and renew the sums above them."""
+        for i, (c, t) in enumerate(leaves, self.width + first):
             self.chars[i], self.tokens[i] = c, t
-            nodes.add(i // 2)
-        while nodes and min(nodes) > 0:
-            for i in nodes:
+        low, high = self.width + first, self.width + first + len(leaves) - 1
+        while low > 1 and leaves:
+            low, high = low // 2, high // 2
+            for i in range(low, high + 1):
                 self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
                 self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
-            self.renewed += len(nodes)
-            nodes = {i // 2 for i in nodes} - {0}
-        return self
+            self.renewed += high - low + 1
+
+    def replace(self, first: int, past: int, new: list[tuple[int, int]]) -> Tree:
+        """The tree with other leaves in a range. If they have no room there, they and their neighbours are
+        spread over the smallest subtree that is not too full: a small one may be filled, a large one to
+        three quarters."""
+        if len(new) <= past - first:
+            self.put(first, new + [(0, 0)] * (past - first - len(new)))
+            return self
+        depth, level = self.width.bit_length() - 1, 0
+        while level < depth:
+            level += 1
+            size = 1 << level
+            low = first // size * size
+            if past > low + size:
+                continue
+            held = [*self.filled(low, first), *new, *self.filled(past, low + size)]
+            if len(held) <= size - size * level // (4 * depth):
+                spread = [(0, 0)] * size
+                for i, leaf in enumerate(held):
+                    spread[i * size // len(held)] = leaf
+                self.put(low, spread)
+                return self
+        held = [*self.filled(0, first), *new, *self.filled(past, self.width)]
+        grown = Tree.over(held, 2 * self.width)
+        grown.renewed = self.renewed + grown.width
+        return grown
 
 
 def edit(
@@ -142,22 +177,22 @@ def edit(
     first, begin = tree.leaf_at(restart(text, start))
     shift, settled = len(by) - (end - start), start + len(by)
     past, meets = tree.leaf_at(end)
-    if meets < end:
+    if meets < end or past == first:
         past, meets = past + 1, meets + tree.chars[tree.width + past]
     pieces: list[str] = []
-    at = begin
+    at, last = begin, tree.n
     for m in counter.split.finditer(changed, begin):
         # An old leaf that starts here starts the unchanged rest.
-        while past < tree.n and meets + shift < at:
+        while past < last and meets + shift < at:
             meets += tree.chars[tree.width + past]
             past += 1
-        if at >= settled and past < tree.n and meets + shift == at:
+        if at >= settled and past < last and meets + shift == at:
             break
         pieces.append(m.group())
         at = m.end()
     else:
-        past = tree.n
-    return changed, tree.replace(first, past, counter.leaves(pieces)), at - begin
+        past = max(past, last)
+    return changed, tree.replace(first, past, counter.leaves(pieces, past - first)), at - begin
 
 
 def build(
@@ -198,10 +233,8 @@ def apply_edits(
     def one(counter: Counter, old: str | None, sums: dict, changes: list | None) -> tuple:
         if old is None:
             return 0, 0, 0, 0, None, sums["chars"], sums["tokens"]
-        chars, tokens = list(sums["chars"]), list(sums["tokens"])
-        width = len(chars) // 2
-        leaves = sum(1 for c in chars[width:] if c)
-        now, held, encoded, limit = old, Tree(chars, tokens, leaves), 0, len(old)
+        held = Tree(list(sums["chars"]), list(sums["tokens"]))
+        now, encoded, limit = old, 0, len(old)
         valid = [c for c in changes or () if c and c["start"] is not None and c["end"] is not None]
         for c in sorted(valid, key=lambda c: (c["start"], c["end"], c["by"] or ""), reverse=True):
             start = min(max(c["start"], 0), limit)

@@ -356,6 +356,48 @@ def test_edits_behind_long_whitespace():
                 assert tree.tokens[1] == counter.count(counter.split.findall(changed))
 
 
+def long_text(rng, n):
+    return "".join(rng.choice(["word ", "a, ", "x1\n", "Ünicode ", "don't "]) for _ in range(n))
+
+
+def test_small_edits_renew_their_paths_only():
+    """Nodes renewed by an edit of a few words grow with the height of the tree, not with its leaves."""
+    counter, rng = tokens.Counter(RANKS, public_tokenizers.PATTERN), random.Random(2)
+    for n in (3_000, 30_000, 120_000):
+        text = long_text(rng, n)
+        tree = tokens.Tree.over(counter.leaves(counter.split.findall(text)))
+        height, most = tree.width.bit_length(), 0
+        for _ in range(150):
+            at, before = rng.randint(0, len(text)), tree.renewed
+            by = rng.choice(["", " some more words", "\n\n", "x", " An inserted sentence."])
+            text, tree, _ = tokens.edit(counter, text, tree, at, min(len(text), at + rng.choice([0, 0, 9, 30])), by)
+            most = max(most, tree.renewed - before)
+        assert most <= 4 * height
+        assert tree.tokens[1] == counter.count(counter.split.findall(text)) and tree.chars[1] == len(text)
+
+
+def test_edits_of_every_length():
+    """Texts that grow from nothing, at one place or all over, shrink to nothing and grow again."""
+    counter, rng = tokens.Counter(RANKS, public_tokenizers.PATTERN), random.Random(5)
+    for one_place in (True, False):
+        text, tree = "", tokens.Tree.over([])
+        for step in range(240):
+            start = min(len(text), 40) if one_place else rng.randint(0, len(text))
+            shrinks = 120 <= step < 160 or not step % 7
+            end = min(len(text), start + rng.choice([5, 400, 20_000])) if shrinks else start
+            by = "" if shrinks else long_text(rng, rng.choice([1, 30, 200, 1500]))
+            text, tree, _ = tokens.edit(counter, text, tree, start, end, by)
+            if step == 150:
+                text, tree, _ = tokens.edit(counter, text, tree, 0, len(text), "")
+                assert text == "" and tree.tokens[1] == tree.n == 0
+            assert tree.chars[1] == len(text) == sum(tree.chars[tree.width :])
+            if step % 20 == 19:
+                assert tree.tokens[1] == counter.count(counter.split.findall(text))
+                for i in range(1, tree.width):
+                    assert tree.tokens[i] == tree.tokens[2 * i] + tree.tokens[2 * i + 1]
+        assert tree.renewed < 240 * 400
+
+
 def test_edit_table(llm_spark):
     docs = llm_spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "doc_id int, text string")
     edits = llm_spark.createDataFrame([(1, 0, 1, "z"), (1, 1, 1, "y"), (None, 0, 0, "n"), (9, 0, 0, "q")], "doc_id int, start int, end int, by string")
