@@ -2,11 +2,13 @@
 
 A document's rolling word pairs are hashed and joined to the places of the same pairs in the templates.
 Matches of one template that come from one passage have the same difference between the two places, a
-diagonal; words that were put in or left out shift it a little, so neighbouring diagonals are merged. A
-span is verified word by word at every vote, and by the share of the template that it covers.
+diagonal; words that were put in or left out shift it a little, so diagonals are merged that lie at most
+``MAX_SHIFT`` apart, the first from the last. So a span is at most that many words longer than its notice, and
+its pairs stand in the notice's order; it is verified word by word at every vote, and by the share of the
+template that it covers.
 
-Only DataFrame functions are used. The templates are a fixed list, so their table is broadcast. Matches
-are shuffled once, by document; texts are not.
+Only DataFrame functions are used. The templates are a fixed list, so their table is broadcast. Votes are
+counted before they are shuffled, and then brought together by document; texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ NOTICES = (
 )
 GRAM = 2
 MIN_SHARE = 0.85  # of a notice's pairs
-MAX_SHIFT = 2  # words between diagonals that are merged
+MAX_SHIFT = 2  # words between the first and the last diagonal that are merged
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -103,27 +105,28 @@ def votes(df: DataFrame, key: str, text: str) -> DataFrame:
         F.when(F.col("at") >= 0, F.expr("shiftleft(1L, at)")).otherwise(0).alias("bit"),
         F.size("w").cast("bigint").alias("n_words"),
     )
-    return (
-        hits.repartition("_key", "_own")
-        .groupBy("_key", "_own", "template", "label", "phrase", "grams", "diagonal")
-        .agg(F.bit_or("bit").alias("mask"), F.max("n_words").alias("n_words"), F.count("*").alias("copies"))
+    counted = hits.groupBy("_key", "_own", "template", "label", "phrase", "grams", "diagonal").agg(
+        F.bit_or("bit").alias("mask"), F.max("n_words").alias("n_words"), F.count("*").alias("copies")
     )
+    return counted.repartition("_key", "_own")
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """``votes`` with neighbouring diagonals of a notice merged: first and covered share per span."""
+    """``votes`` with ``share`` and ``first``: the part of the template that is covered on a diagonal and
+    those up to ``MAX_SHIFT`` behind it, and where that starts. ``best``: no span of the template that
+    starts as near by covers more, nor as much on an earlier diagonal."""
     order = Window.partitionBy("_key", "_own", "template").orderBy("diagonal")
-    apart = F.col("phrase") | (F.col("diagonal") - F.lag("diagonal").over(order) > MAX_SHIFT)
-    numbered = found.withColumn("starts", F.when(apart, 1).otherwise(0)).withColumn(
-        "span", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    )
+    ahead, around = order.rangeBetween(0, MAX_SHIFT), order.rangeBetween(-MAX_SHIFT, MAX_SHIFT)
     lowest = F.bit_count(F.col("mask").bitwiseAND(-F.col("mask")) - 1)  # place of the first matched pair
-    return numbered.groupBy("_key", "_own", "template", "label", "phrase", "grams", "span").agg(
-        F.bit_or("mask").alias("mask"),
-        F.min(F.when(F.col("mask") != 0, F.col("diagonal") + lowest)).cast("bigint").alias("first"),
-        F.max("n_words").alias("n_words"),
-        F.max("copies").alias("copies"),
-    ).withColumn("share", F.when(F.col("grams") > 0, F.bit_count("mask") / F.col("grams")).otherwise(0.0))
+    start = F.when(F.col("mask") != 0, F.col("diagonal") + lowest).cast("bigint")
+    covered = F.when(F.col("phrase"), F.col("mask")).otherwise(F.bit_or("mask").over(ahead))
+    rank = F.struct("share", -F.col("diagonal"))
+    return (
+        found.withColumn("start", start)
+        .withColumn("first", F.when(F.col("phrase"), F.col("start")).otherwise(F.min("start").over(ahead)))
+        .withColumn("share", F.when(F.col("grams") > 0, F.bit_count(covered) / F.col("grams")).otherwise(0.0))
+        .withColumn("best", F.max(rank).over(around) == rank)
+    )
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", into: str = "licences") -> DataFrame:
@@ -131,15 +134,16 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", into: str = "li
     labels, score and spans (label, first word, share).
 
     A-Z are lowered; words are runs of ASCII letters, digits and characters beyond ASCII. Base places are
-    those where a phrase stands as a whole; a notice counts from ``MIN_SHARE`` of its word pairs on, a word
-    more or less moved by up to two. ``score`` is the largest share. Null and empty texts have no words and
+    those where a phrase stands as a whole; a notice counts from ``MIN_SHARE`` of its word pairs on, all moved
+    against each other by two words at most. ``score`` is the largest share. Null and empty texts have no words and
     no labels. Every row gives one row: rows with the same key and text give equal ones, rows with one key
     and different texts their own; a null key is a key. An empty table gives an empty table; other columns
     are not read.
     """
     found = spans(votes(df, key, text))
     whole = F.col("phrase") & (F.col("share") == 1)
-    kept = whole | (~F.col("phrase") & (F.col("grams") > 0) & (F.col("share") >= MIN_SHARE))
+    notice = ~F.col("phrase") & (F.col("grams") > 0)
+    kept = whole | (notice & F.col("best") & (F.col("share") >= MIN_SHARE))
     marked = F.col("template") < 0
     span = F.struct("first", "label", F.round("share", 6).alias("share"))
     per = found.groupBy("_key", "_own").agg(

@@ -266,14 +266,12 @@ ORACLE = {
              FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
       hits AS (SELECT DISTINCT doc_id, template, label, phrase, grams, dg.i - tg.i AS diagonal, tg.i AS tpos, dg.i AS p
                FROM dg JOIN tg USING (g)),
-      diagonals AS (SELECT DISTINCT doc_id, template, phrase, diagonal FROM hits),
-      numbered AS (
-        SELECT *, sum(CASE WHEN phrase OR diagonal - before > {licenses.MAX_SHIFT} THEN 1 ELSE 0 END)
-          OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span
-        FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS before FROM diagonals)),
+      diagonals AS (SELECT DISTINCT doc_id, template, diagonal FROM hits),
       spans AS (
-        SELECT doc_id, label, phrase, count(DISTINCT tpos) / max(grams) AS share, min(p) - 1 AS first
-        FROM hits JOIN numbered USING (doc_id, template, phrase, diagonal) GROUP BY doc_id, template, label, phrase, span),
+        SELECT doc_id, label, phrase, d.diagonal, count(DISTINCT tpos) / max(grams) AS share, min(p) - 1 AS first
+        FROM hits JOIN diagonals d USING (doc_id, template)
+        WHERE hits.diagonal - d.diagonal BETWEEN 0 AND CASE WHEN phrase THEN 0 ELSE {licenses.MAX_SHIFT} END
+        GROUP BY doc_id, template, label, phrase, d.diagonal),
       good AS (SELECT *, phrase AS base FROM spans WHERE share >= CASE WHEN phrase THEN 1 ELSE {licenses.MIN_SHARE} END),
       per AS (
         SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(first) FILTER (WHERE base) AS first_word,

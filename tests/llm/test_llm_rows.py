@@ -247,6 +247,27 @@ def test_notices_with_changes(llm_spark):
     assert got[0].score == 1 and got[0].spans[0].first == 1 and 0.85 <= got[1].score < 1
 
 
+def test_spans_as_a_whole(llm_spark):
+    """A notice's pairs that drift apart are no notice; stray pairs beside a notice do not hide it."""
+    mit, bsd = licenses.NOTICES[0][0], licenses.NOTICES[8][0]
+    words = mit.split()
+    apart = " ".join(f"{a} {b} zz" for a, b in zip(words, words[1:]))
+    stray = " ".join(f"{a} {b} x" for a, b in zip(bsd.split()[:5], bsd.split()[1:6]))
+    thirds = " ".join(words[:6] + ["one"] + words[6:12] + ["two"] + words[12:])
+    slid = " ".join(words[:5] + ["one", "two", "three"] + words[5:10] + ["four", "five", "six"] + words[10:])
+    texts = [apart, f"{stray} {bsd} {stray}", thirds, slid, f"{mit} {bsd} {mit}", f"{mit} {mit}", None, ""]
+    docs = llm_spark.createDataFrame([*enumerate(texts), (0, apart), (None, mit), (None, mit), (None, bsd)], "doc_id int, text string")
+    rows = licenses.scan(docs).collect()
+    assert len(rows) == docs.count()
+    got = {r.doc_id: r.licences for r in rows if r.doc_id is not None}
+    assert [got[i].labels for i in range(8)] == [[], ["bsd"], ["mit"], [], ["bsd", "mit"], ["mit"], [], []]
+    assert got[0].score == 0 and got[1].score == 1 and [s.first for s in got[1].spans] == [15]
+    assert [(s.first, s.label, s.share) for s in got[4].spans] == [
+        (0, "mit", 1.0), (len(words), "bsd", 1.0), (len(words) + len(bsd.split()), "mit", 1.0)]
+    assert [s.first for s in got[5].spans] == [0, len(words)]
+    assert sorted(r.licences.labels for r in rows if r.doc_id is None) == [["bsd"], ["mit"], ["mit"]]
+
+
 def test_pieces_against_the_library(odd):
     library = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
     own = pieces.Pieces(MODEL)
