@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from bindings import Bindings
 from bindings.evaluation import RUNNING, SUMMARY_SQL, VAL_N, WITH_TOTALS
-from bindings.tables import EVALUATED, completions, problems, rounded, table, votes_sql
+from bindings.tables import CORPUS_SQL, EVALUATED, completions, corpus, problems, rounded, table, votes_sql
 from sparkeval.operators import grading
 from sparkeval.operators import telemetry as M
 from sparkeval.plans.session import materialize, work_dir
@@ -281,6 +281,19 @@ def stream_last_n_state(spark, d):
     return newest.select("event_id", *SERIES, "value")
 
 
+@B.add(
+    "stream_sample",
+    f"WITH {CORPUS_SQL} SELECT doc_id, problem FROM corpus ORDER BY md5('42:' || doc_id), doc_id LIMIT 50",
+)
+def stream_sample(spark, d):
+    """The sample of a table that grows three times is that of the whole table."""
+    path = work_dir(spark, "stream-sample")
+    rows = corpus(spark, d).select("doc_id", "problem")
+    wave = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    in_waves(rows, wave, 3, lambda s: streams.stream_sample(s, path, 50, 42, "doc_id"))
+    return streams.read_sample(spark, path)
+
+
 @B.add(
     "stream_callback",
     "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type",

@@ -37,6 +37,13 @@ def sample_exact(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     return df.filter(_upto(df, n, seed, key)) if n else df.limit(0)
 
 
+def sample_upto(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+    """What ``sample_exact`` picks, or all rows if there are fewer than ``n``."""
+    if n >= df.count():
+        return df
+    return df.filter(_upto(df, n, seed, key)) if n else df.limit(0)
+
+
 def sample_fraction(df: DataFrame, fraction: float, seed: int, key: str) -> DataFrame:
     """Keep each row with probability ``fraction``; a filter, decided by the row's key alone."""
     return df.filter(hash_below(seed, key, fraction))

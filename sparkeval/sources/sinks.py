@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sparkeval.functions.common import ColumnOrName, as_column
 from sparkeval.operators.telemetry import generation_log, generation_log_files
-from sparkeval.plans.session import materialize
+from sparkeval.plans.session import work_dir
+from sparkeval.streaming.tables import drop_folder
 
 
 def basename(path: ColumnOrName, level: int = 1) -> Column:
@@ -82,12 +83,19 @@ def generation_log_sink(path: str, every: int = 5) -> Callable[[DataFrame, int],
     nested under their flush step, as ``generation_log_files`` does in batch.
 
     The folder is named after the micro-batch, so a batch that runs again replaces its own files. A
-    flush that arrives in several micro-batches has a part in each; their ``num_samples`` add up.
+    flush that arrives in several micro-batches has a part in each; their ``num_samples`` add up. The
+    records are read several times, so they are stored while they are nested.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = materialize(batch, "records")
-        files = generation_log_files(generation_log(stored, every=every))
-        files.write.mode("overwrite").partitionBy("flush_step").json(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        records = work_dir(spark, "records")
+        try:
+            batch.write.parquet(records)
+            stored = spark.read.schema(batch.schema).parquet(records)
+            files = generation_log_files(generation_log(stored, every=every))
+            files.write.mode("overwrite").partitionBy("flush_step").json(f"{path}/batch={batch_id}")
+        finally:
+            drop_folder(spark, records)
 
     return write

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkeval.functions.answers import equivalent
+from sparkeval.functions.hashing import hash_order
 from sparkeval.operators.grading import PROBLEM, Grader, count_answers, extract, score
-from sparkeval.operators.selection import last_n
+from sparkeval.operators.selection import last_n, sample_upto
 from sparkeval.operators.telemetry import ema, loss_windows
 from sparkeval.plans.skew import same_group
 from sparkeval.streaming.tables import batches, changes_to, drop_batches, latest, start
@@ -119,6 +120,39 @@ def stream_last_n(
     return start(stream, path, write, "append", available_now)
 
 
+def stream_sample(
+    stream: DataFrame, path: str, n: int, seed: int, key: str, available_now: bool = True
+) -> StreamingQuery:
+    """The ``n`` rows that ``sample_exact`` picks from all rows so far (all, while there are fewer); read
+    them with ``read_sample``.
+
+    ``key`` is unique. Once the sample is full, only rows of a micro-batch whose hash is not above the
+    highest one held are looked at further: ever fewer, and of these and the sample the first ``n`` are kept.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id:
+            held = spark.read.schema(batch.schema).parquet(_held(path, batch_id - 1))
+            size, limit = held.agg(F.count("*"), F.max(hash_order(seed, key))).first()
+            if size >= n:
+                batch = batch.filter(hash_order(seed, key) <= F.lit(limit))
+            batch = held.unionByName(batch)
+        pool = f"{path}/pool/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(pool)
+        kept = sample_upto(spark.read.schema(batch.schema).parquet(pool), n, seed, key)
+        kept.write.mode("overwrite").parquet(_held(path, batch_id))
+        drop_batches(spark, f"{path}/state", batch_id - 1)
+        drop_batches(spark, f"{path}/pool", batch_id + 1)
+
+    return start(stream, path, write, "append", available_now)
+
+
+def read_sample(spark: SparkSession, path: str) -> DataFrame:
+    """The sample after the last micro-batch."""
+    return spark.read.parquet(_held(path, batches(spark, f"{path}/state")[-1]))
+
+
 def _held(path: str, batch_id: int) -> str:
     return f"{path}/state/batch={batch_id}"
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkeval.functions.answers import fallback_equal
 from sparkeval.operators import grading as G
 from sparkeval.operators import telemetry as M
-from sparkeval.operators.selection import last_n
+from sparkeval.operators.selection import last_n, sample_exact
 from sparkeval.plans.session import work_dir
 from sparkeval.sources.sinks import generation_log_sink, write_generation_log
 from sparkeval.streaming import operators as streams
@@ -216,3 +216,14 @@ def test_steps(spark):
     assert [r.id for r in got] == [5, 10]
     assert [r.id for r in df.filter(M.every_step("id", 10, 1, False)).collect()] == [9]
     assert [r.id for r in M.optimizer_steps(df, "id", 4).collect()] == [4, 8]
+
+
+@pytest.mark.parametrize("n", [0, 7, 60, 500])
+def test_sample(spark, n):
+    """Samples smaller than a file, larger than one, and larger than the stream; one key is null."""
+    rows = spark.createDataFrame([(i if i else None, i % 4) for i in range(200)], "id long, file int")
+    path = work_dir(spark)
+    streams.stream_sample(as_stream(rows, F.col("file")), path, n, 5, "id").awaitTermination()
+    want = sample_exact(rows, n, 5, "id") if n <= 200 else rows
+    assert rows_of(streams.read_sample(spark, path).fillna(-1)) == rows_of(want.fillna(-1))
+    assert batches(spark, f"{path}/pool") == [] and len(batches(spark, f"{path}/state")) == 2
