@@ -5,6 +5,9 @@ than ``ROWS_PER_RANGE`` rows is therefore sorted into ranges first, by keys and
 group of any size and rows with equal first order columns spread. Each range is summed on its own, the
 range totals (a row per range and key) are accumulated, and each row adds the total of the ranges before
 its own. Only the columns that are needed travel; wide rows are joined with their place afterwards.
+
+Rows are counted per hash of their keys first: only those of keys that may be larger than a range are cut,
+the others meet in one shuffle by key.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from sparkeval.plans.skew import same_group
 
 ROWS_PER_RANGE = 1_000_000
 RANGE = "_range"
+KEY_HASHES = 65_536
+MAX_LARGE = 1_000
 
 
 def with_ranges(
@@ -48,6 +53,32 @@ def running_sums(
 
     ``order`` is unique within ``keys`` and of any sortable types; nulls come first.
     """
+    if keys:
+        return _sums_by_key(df, keys, order, sums, rows_per_range)
+    return _sums_in_ranges(df, keys, order, sums, rows_per_range)
+
+
+def _sums_by_key(
+    df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], rows_per_range: int
+) -> DataFrame:
+    """Rows of the few hashes with more rows than a range are cut into ranges, all others are summed by key."""
+    hashed = F.pmod(F.xxhash64(*keys), F.lit(KEY_HASHES))
+    counts = df.groupBy(hashed.alias("_hash")).agg(F.count("*").alias("_n"))
+    large = [r[0] for r in counts.filter(F.col("_n") > rows_per_range).limit(MAX_LARGE + 1).collect()]
+    if len(large) > MAX_LARGE:
+        return _sums_in_ranges(df, keys, order, sums, rows_per_range)
+    whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = [F.sum(c).over(whole).alias(n) for n, c in sums.items()]
+    if not large:
+        return df.select(*df.columns, *summed)
+    is_large = hashed.isin(large)
+    cut = _sums_in_ranges(df.filter(is_large), keys, order, sums, rows_per_range)
+    return df.filter(~is_large).select(*df.columns, *summed).union(cut)
+
+
+def _sums_in_ranges(
+    df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], rows_per_range: int
+) -> DataFrame:
     ranged, was_cut = with_ranges(df, keys, order, rows_per_range)
     here = Window.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow

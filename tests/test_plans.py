@@ -213,3 +213,14 @@ def test_spread_leaves_wide_tables_alone(spark):
     wide, narrow = spark.range(100, numPartitions=16), spark.range(100, numPartitions=1)
     assert spread(wide, "id") is wide
     assert spread(narrow, "id").rdd.getNumPartitions() == 8
+
+
+def test_small_keys_are_not_cut(spark):
+    """A table larger than a range, whose keys are small, is neither written nor sorted as a whole."""
+    df = spark.range(1000).select((F.col("id") % 100).alias("k"), F.col("id").alias("i"))
+    out = ranks(df, ["k"], ["i"], rows_per_range=50)
+    assert "parquet" not in out._jdf.queryExecution().toString().lower()
+    assert all(r["rank"] == r.i // 100 for r in out.collect())
+    some_large = df.withColumn("k", F.when(F.col("i") < 200, -1).otherwise(F.col("k")))
+    out = ranks(some_large, ["k"], ["i"], rows_per_range=50)
+    assert {r.i: r["rank"] for r in out.collect()} == {i: i if i < 200 else i // 100 - 2 for i in range(1000)}
