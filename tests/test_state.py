@@ -66,3 +66,27 @@ def test_a_micro_batch_writes_the_keys_it_touches(spark):
         path = work_dir(spark)
         run(path).awaitTermination()
         assert 0 < changelog_bytes(spark, path, 2) < 0.05 * changelog_bytes(spark, path, 1)
+
+
+def test_keys_share_calls(spark):
+    """Six hundred keys in two files, with times, null values and numbers that no double holds."""
+    rows = [(2**60 + i, i % 600 if i % 600 else None, i) for i in range(3000)]
+    table = spark.createDataFrame(rows, "id long, key long, n int").select(
+        "id", "key", F.timestamp_seconds(F.col("n") * 1000).alias("ts"), F.when(F.col("n") % 7 > 0, F.col("n") / 8).alias("value")
+    )
+    stream, path = as_stream(table, F.floor((F.col("id") - 2**60) / 1500)), work_dir(spark)
+    query = state.stream_last_n_state(stream, path, ["key"], ["ts", "id"], 2)
+    query.awaitTermination()
+    got, want = state.read_last_n_state(spark, path, ["key"], ["ts", "id"], 2), last_n(table, ["key"], ["ts", "id"], 2)
+    assert dict(got.dtypes) == dict(want.dtypes)
+    assert rows_of(got.select(*want.columns).fillna(-1)) == rows_of(want.fillna(-1))
+    # A call of Python handles many keys: groups are buckets, and no key of this table is dealt to shares.
+    held = state._state(spark, path, "rows")
+    assert held.select("key").distinct().count() <= state.BUCKETS
+    assert held.count() == 600
+    path = work_dir(spark)
+    state.stream_ema_state(stream, path, ["key"], ["ts", "id"], "value", 0.9).awaitTermination()
+    want = M.ema(table, ["key"], ["ts", "id"], "value", 0.9)
+    got = appended(spark, path).select(*want.columns)
+    rounded = lambda df: rows_of(df.withColumn("ema", F.round("ema", 9)).fillna(-1))
+    assert rounded(got) == rounded(want)
