@@ -171,14 +171,20 @@ def stream_answers(
 
     A change names its sample by ``keys`` and ``sample_idx``; the one with the highest ``version`` holds,
     in whatever order they arrive. One with ``retracted`` takes the sample back (its text is not read), null
-    is false. Only the answers are kept: no text is read a second time. Changes of one sample with equal
+    is false. Only the answers are kept: no text is read a second time, and no state store holds the samples:
+    the highest change of each micro-batch is written, and the reader takes the highest of all. Changes of one sample with equal
     versions are ordered by their answers; a null version is below all others.
     """
     holds = _holds(retracted)
     answers = extract(changes).withColumn("predicted", F.when(holds, F.col("predicted")))
     place = F.struct(version, holds.alias("holds"), "predicted")
-    newest = answers.groupBy(*keys, "sample_idx").agg(F.max(place).alias("change"))
-    return start(newest, path, changes_to(path, [*keys, "sample_idx"]), available_now=available_now)
+    store = changes_to(path, [*keys, "sample_idx"], highest="change")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store(batch.groupBy(*keys, "sample_idx").agg(F.max("change").alias("change")), batch_id)
+
+    stream = answers.select(*keys, "sample_idx", place.alias("change"))
+    return start(stream, path, write, "append", available_now)
 
 
 def _holds(retracted: str) -> Column:
@@ -187,7 +193,7 @@ def _holds(retracted: str) -> Column:
 
 def read_answers(spark: SparkSession, path: str, keys: list[str] = PROBLEM) -> DataFrame:
     """The answers that hold now, as ``extract`` gives them."""
-    held = latest(spark, path, [*keys, "sample_idx"]).filter("change.holds")
+    held = latest(spark, path, [*keys, "sample_idx"], "change").filter("change.holds")
     answer = F.col("change.predicted")
     return held.select(*keys, "sample_idx", answer.alias("predicted"), answer.isNotNull().alias("formatted"))
 

@@ -57,21 +57,22 @@ def drop_batches(spark: SparkSession, folder: str, before: int) -> None:
 
 
 def changes_to(
-    path: str, keys: list[str] | None = None, every: int = COMPACT_EVERY
+    path: str, keys: list[str] | None = None, every: int = COMPACT_EVERY, highest: str | None = None
 ) -> Callable[[DataFrame, int], None]:
     """Write each micro-batch into a folder of its own.
 
     With ``keys`` the newest version of each row is written out every ``every`` micro-batches, from the
     last such table and the changes since; what is older than the last such table goes. So reading
     ``latest`` takes one table and fewer than ``2 * every`` folders, however long the stream runs. A
-    micro-batch that runs again finds all that it read the first time.
+    micro-batch that runs again finds all that it read the first time. With ``highest`` the version with the
+    highest value of that only column holds, whichever micro-batch brought it.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
         if keys and batch_id % every == every - 1:
             spark = batch.sparkSession
-            newest = _latest(spark, path, keys, batch_id)
+            newest = _latest(spark, path, keys, batch_id, highest)
             newest.write.mode("overwrite").parquet(f"{path}/compacted/batch={batch_id}")
             done = batch_id - every
             drop_batches(spark, f"{path}/compacted", done)
@@ -80,12 +81,14 @@ def changes_to(
     return write
 
 
-def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest version of each row from the changes."""
-    return _latest(spark, path, keys, None).drop("batch")
+def latest(spark: SparkSession, path: str, keys: list[str], highest: str | None = None) -> DataFrame:
+    """The newest version of each row from the changes; with ``highest`` the one highest in that column."""
+    return _latest(spark, path, keys, None, highest).drop("batch")
 
 
-def _latest(spark: SparkSession, path: str, keys: list[str], upto: int | None) -> DataFrame:
+def _latest(
+    spark: SparkSession, path: str, keys: list[str], upto: int | None, highest: str | None = None
+) -> DataFrame:
     """Newest rows with the batch they come from; ``upto``: as that micro-batch saw them."""
     tables = [n for n in batches(spark, f"{path}/compacted") if upto is None or n < upto]
     since = tables[-1] if tables else -1
@@ -99,6 +102,8 @@ def _latest(spark: SparkSession, path: str, keys: list[str], upto: int | None) -
     changes = reduce(DataFrame.unionByName, parts)
     values = [c for c in changes.columns if c not in keys]
     newest = F.max_by(F.struct(*values), "batch").alias("_row")
+    if highest:
+        newest = F.struct(F.max(highest).alias(highest), F.max("batch").alias("batch")).alias("_row")
     return changes.groupBy(*keys).agg(newest).select(*keys, "_row.*")
 
 

@@ -96,3 +96,15 @@ def test_all_taken_back(spark, asked):
     changes, path = spark.createDataFrame(rows, f"{SAMPLES}, version int, retracted boolean"), work_dir(spark)
     curve.stream_answers(as_stream(changes, F.col("file")), path).awaitTermination()
     assert curve.read_scores(spark, path, asked).count() == 0
+
+
+def test_answers_need_no_state(spark, asked):
+    """More micro-batches than are compacted; a lower version that comes later does not hold."""
+    rows = [("p1", 0, "\\boxed{1}", 0, 9, None)] + [("p1", 0, "\\boxed{2}", i, i, None) for i in range(9)]
+    changes, path = spark.createDataFrame(rows, f"{SAMPLES}, version int, retracted boolean"), work_dir(spark)
+    curve.stream_answers(as_stream(changes, F.col("file")), path).awaitTermination()
+    held = curve.read_answers(spark, path).collect()
+    assert [(r.problem_id, r.sample_idx, r.predicted) for r in held] == [("p1", 0, "1")]
+    assert batches(spark, f"{path}/changes") == list(range(9))
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/checkpoint/state")
+    assert not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
