@@ -465,7 +465,8 @@ def eval_results_runs(spark, d):
     """Every problem for every run; the first sample of a run is any index, as samples are numbered per
     problem."""
     rows = completions(spark, d)
-    return grading.results(rows, problems(spark, d), scored_runs(spark, d), VAL_N, runs=["run_id"])
+    stored = materialize(scored_runs(spark, d), "scored")
+    return grading.results(rows, problems(spark, d), stored, VAL_N, runs=["run_id"])
 
 
 @B.add(

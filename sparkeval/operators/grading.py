@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkeval.functions.answers import (
@@ -313,16 +313,16 @@ def results(
 ) -> DataFrame:
     """Report header, one row per problem (and run); the first sample stands at the top level.
 
-    The first is the one with the lowest ``sample_idx``, found on narrow rows; only its text is moved.
+    The first is the one with the lowest ``sample_idx``; the others are dropped before the shuffle.
+    ``scored`` is read twice with ``runs``: pass a stored table.
     All problems are listed, with ``runs`` all for every run that ``scored`` has; those without an answer
     with zeros and the mark for a missing answer.
     """
     runs = runs or []
     keys = [*runs, "problem_id"]
-    lowest = completions.groupBy(*keys).agg(F.min("sample_idx").alias("sample_idx"))
-    first = same_group(
-        completions.select(*keys, "sample_idx", text), lowest, [*keys, "sample_idx"], "left_semi"
-    ).select(*keys, text, boxed_last(text).alias("_answer"))
+    place = F.rank().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("sample_idx")))
+    lowest = completions.select(*keys, text, place.alias("_place")).filter(F.col("_place") <= 1)
+    first = lowest.select(*keys, text, boxed_last(text).alias("_answer"))
     gold = problems.select("problem_id", "problem", "ground_truth")
     listed = same_group(for_every_run(gold, scored, runs) if runs else gold, scored, keys, "left")
     joined = same_group(listed, first, keys, "left").fillna(0, ["num_correct"])

@@ -81,3 +81,15 @@ def test_running_metrics_count_unanswered_problems(tables):
     last = {r.run_id: r.pass_at_n_pct for r in out.filter("idx = 3").collect()}
     assert last == pytest.approx({"a": 100 / 3, "b": 100 / 3})
     assert out.count() == 6
+
+
+def test_only_first_samples_are_moved(spark):
+    """All but the first sample of a problem and run are dropped before the shuffle."""
+    rows = [("a", f"p{i % 5}", i // 5, f"\\boxed{{{i}}}") for i in range(50)]
+    samples = spark.createDataFrame(rows, "run_id string, problem_id string, sample_idx int, text string")
+    asked = spark.createDataFrame([(f"p{i}", "?", str(i)) for i in range(5)], "problem_id string, problem string, ground_truth string")
+    scored = grading.evaluate(samples, asked, keys=["run_id", "problem_id"])
+    out = grading.results(samples, asked, scored, 10, runs=["run_id"])
+    plan = out._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "LeftSemi" not in plan
+    assert sorted((r.problem_id, r.full_generation, r.correct) for r in out.collect()) == [(f"p{i}", f"\\boxed{{{i}}}", True) for i in range(5)]
