@@ -67,10 +67,10 @@ def write_report(
     path: str,
     partition_by: list[str] | None = None,
 ) -> None:
-    """Three JSON data sets below ``path``: summary, one row per problem, and the nested samples."""
+    """Three JSON data sets below ``path``, gzipped: summary, one row per problem, and the nested samples."""
     for name, df in (("summary", summary), ("results", results), ("generations", generations)):
         keys = [c for c in partition_by or [] if c in df.columns]
-        df.write.mode("overwrite").partitionBy(*keys).json(f"{path}/{name}")
+        df.write.mode("overwrite").partitionBy(*keys).json(f"{path}/{name}", compression="gzip")
 
 
 def write_generation_log(files: DataFrame, path: str) -> None:

@@ -114,3 +114,12 @@ def test_report(spark):
     assert [(s.predicted_answer, s.formatted, s.correct) for s in samples] == [
         ("A", True, True), ("[No boxed answer found]", False, False)
     ]
+
+
+def test_reports_are_compressed(spark, tmp_path):
+    one = spark.createDataFrame([("r", 1)], "run_id string, n int")
+    sinks.write_report(one, one, one, str(tmp_path), ["run_id"])
+    for name in ("summary", "results", "generations"):
+        assert spark.read.json(f"{tmp_path}/{name}").select("run_id", "n").collect() == one.collect()
+        files = [f.name for f in (tmp_path / name).rglob("part-*")]
+        assert files and all(f.endswith(".json.gz") for f in files)
