@@ -20,14 +20,12 @@ Nothing here gathers a group: differences are rows of bounded size (two texts),
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkeval.plans.session import materialize
+from sparkeval.llm.common import stored
 
 ROUNDS = 1  # of meetings with one representative, while they link any; what is left meets in full
 Linker = Callable[[DataFrame], DataFrame]
@@ -42,42 +40,14 @@ def homes(lists: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
     return counted.groupBy("node").agg(F.max(F.struct("n", "pivot"))["pivot"].alias("home"))
 
 
-def _exclusive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last two columns, sorted hashes as bytes, become their symmetric difference and its size."""
-    for batch in batches:
-        found = [
-            np.setxor1d(np.frombuffer(a, np.int64), np.frombuffer(b or b"", np.int64), assume_unique=True)
-            for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [
-                *batch.columns[:3],
-                pa.array([x.tobytes() for x in found], pa.binary()),
-                pa.array([len(x) for x in found], pa.int64()),
-            ],
-            names=["node", "group", "n", "delta", "d"],
-        )
-
-
-DELTA = "node binary, group bigint, n bigint, delta binary, d bigint"
+def _exclusive(a: str, b: Column) -> Column:
+    """The symmetric difference of two arrays without repeats."""
+    return F.concat(F.array_except(a, b), F.array_except(b, a))
 
 
 def _elements(deltas: DataFrame, *keep: str) -> DataFrame:
     """(group, element, kept columns): a row per element of each difference."""
-    kinds = ["bigint" if c != "node" else "binary" for c in keep]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, delta in enumerate(batch.column(1).to_pylist()):
-                values = np.frombuffer(delta, np.int64)
-                which = pa.array(np.full(len(values), i))
-                columns = [batch.column(c).take(which) for c in range(2, 2 + len(keep))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(which), pa.array(values), *columns], names=["group", "element", *keep]
-                )
-
-    schema = ", ".join(["group bigint", "element bigint", *(f"{c} {k}" for c, k in zip(keep, kinds))])
-    return deltas.select("group", "delta", *keep).mapInArrow(run, schema)
+    return deltas.select("group", F.explode("delta").alias("element"), *keep)
 
 
 def centred(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -85,20 +55,16 @@ def centred(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = sets.select("node", F.col("hashes").alias("own"))
     centres = sets.select(F.col("node").alias("home"), F.col("hashes").alias("centre"))
     joined = members.join(own, "node").join(centres, "home")
-    raw = joined.select("node", F.xxhash64("home").alias("group"), "n", "own", "centre").mapInArrow(_exclusive, DELTA)
-    raw = materialize(raw, "deltas")
+    raw = joined.select("node", F.xxhash64("home").alias("group"), "n", _exclusive("own", F.col("centre")).alias("delta"))
+    raw = stored(raw, "deltas")
     held = _elements(raw).groupBy("group", "element").agg(F.count("*").alias("held"))
     sizes = raw.groupBy("group").agg(F.count("*").alias("size"))
     # more than half of a group hold each of these, so they are at most twice the mean size of a difference
     flipped = held.join(sizes, "group").filter("2 * held > size").groupBy("group").agg(F.collect_list("element").alias("flip"))
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flips = [np.sort(np.array(f, np.int64)).tobytes() for f in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flips, pa.binary())], names=["group", "flip"])
-
-    flipped = flipped.mapInArrow(packed, "group bigint, flip binary")
-    moved = raw.join(flipped, "group", "left").select("node", "group", "n", "delta", "flip").mapInArrow(_exclusive, DELTA)
+    flip = F.coalesce("flip", F.array().cast("array<bigint>"))
+    moved = raw.join(flipped, "group", "left").select("node", "group", "n", _exclusive("delta", flip).alias("delta"))
+    moved = moved.withColumn("d", F.size("delta").cast("long"))
     return moved.withColumn("score", (100 + percent) * F.col("d") - (100 - percent) * F.col("n"))
 
 
@@ -157,11 +123,11 @@ def linked(
 
     ``confirm`` keeps the pairs (a, b) that are links; ``joined`` adds links to labels.
     """
-    deltas = materialize(centred(members, sets, percent), "centred")
+    deltas = stored(centred(members, sets, percent), "centred")
     labels = joined(labels, star(deltas))
-    posted = materialize(places(deltas, percent), "places")
+    posted = stored(places(deltas, percent), "places")
     for turn in range(ROUNDS):
-        known = materialize(_several(posted, labels), "several")
+        known = stored(_several(posted, labels), "several")
         order = F.struct("score", "node") if turn == 0 else F.struct(F.xxhash64("node", "element", F.lit(turn)), "score", "node")
         fields = F.struct(*[F.col(c).alias(f"{c}_b") for c in ("node", "score", "rest", "label")])
         chosen = known.filter("label = main").groupBy("group", "element").agg(F.min_by(fields, order).alias("b"))
@@ -170,7 +136,7 @@ def linked(
         before, labels = labels, joined(labels, confirm(met.select(*_ends()).distinct()))
         if labels is before:
             break
-    known = materialize(_several(posted, labels), "several")
+    known = stored(_several(posted, labels), "several")
     left, right = _side(known.filter("label <> main"), "a"), _side(known, "b", "main")
     apart = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
     same = (left["group"] == right["group"]) & (left["element"] == right["element"])

@@ -22,17 +22,15 @@ are aggregates. Tables between the steps are written to shared storage.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkeval.llm import deltas
-from sparkeval.llm.common import SHINGLE_WORDS, append, fresh, struct
+from sparkeval.llm.common import SHINGLE_WORDS, append, fresh, stored, struct
 from sparkeval.llm.hashing import window_hashes, word_hashes
 from sparkeval.plans.session import materialize
 
@@ -128,26 +126,12 @@ def _ordered(pairs: DataFrame, a: Column, b: Column) -> DataFrame:
 def own_shingles(sets: DataFrame) -> DataFrame:
     """(node, own): how many shingles of each set no other one has."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                values = np.frombuffer(hashes, np.int64)
-                high, low = np.frombuffer(node, np.int64)
-                columns = [pa.array(values), pa.array(np.full(len(values), high)), pa.array(np.full(len(values), low))]
-                yield pa.RecordBatch.from_arrays(columns, names=["shingle", "high", "low"])
-
-    held = sets.select("node", "hashes").mapInArrow(run, "shingle bigint, high bigint, low bigint")
+    halves = sets.select("node", F.xxhash64("node").alias("high"), F.xxhash64("node", F.lit(1)).alias("low"))
+    held = sets.select(F.explode("hashes").alias("shingle"), F.xxhash64("node").alias("high"), F.xxhash64("node", F.lit(1)).alias("low"))
     counts = held.groupBy("shingle").agg(
         F.count("*").alias("holders"), F.min("high").alias("high"), F.min("low").alias("low")
     )
     alone = counts.filter("holders = 1").groupBy("high", "low").agg(F.count("*").alias("own"))
-    halves = append(
-        sets.select("node"),
-        "h",
-        struct(high="bigint", low="bigint"),
-        lambda c: [tuple(np.frombuffer(n, np.int64).tolist()) for n in c["node"]],
-        ["node"],
-    ).select("node", "h.high", "h.low")
     return halves.join(alone, ["high", "low"], "left").select("node", F.coalesce("own", F.lit(0)).alias("own"))
 
 
@@ -157,7 +141,7 @@ def mixed_members(lists: DataFrame, labels: DataFrame, able: DataFrame) -> DataF
     known = lists.filter("prefix").join(able, "node").join(labels, "node", "left").select(
         "key", "node", F.coalesce("label", "node").alias("label"), "n", "most"
     )
-    known = materialize(known, "labelled")
+    known = stored(known, "labelled")
     sizes = known.groupBy("key", "label").agg(F.count("*").alias("size"))
     mixed_lists = sizes.groupBy("key").agg(
         F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("labels")
@@ -184,7 +168,7 @@ def crossing_pairs(
     """
     keys = members.groupBy("node").agg(F.collect_list("key").alias("keys"))
     more = classes.select("node", "signature").join(keys, "node").join(homes, "node")
-    members = materialize(members.join(more, "node"), "able")
+    members = stored(members.join(more, "node"), "able")
     columns = ("node", "label", "home", "n", "most", "keys", "signature")
     left = members.filter("label <> main").select("key", *[F.col(c).alias(f"{c}_a") for c in columns])
     right = members.select("key", "main", *[F.col(c).alias(f"{c}_b") for c in columns])
@@ -194,24 +178,15 @@ def crossing_pairs(
     most = F.least("most_a", "most_b")
     within = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
     first = F.array_min(F.array_intersect("keys_a", "keys_b")) == left["key"]
-    met = left.join(right, (left["key"] == right["key"]) & apart & within & first)
-    agreeing = met.select("node_a", "node_b", "signature_a", "signature_b").mapInArrow(
-        _agreeing(matches), "node_a binary, node_b binary"
-    )
-    return _ordered(agreeing, F.col("node_a"), F.col("node_b"))
+    agreeing = _agreeing("signature_a", "signature_b", matches)  # last, as it costs most
+    met = left.join(right, (left["key"] == right["key"]) & apart & within & first & agreeing)
+    return _ordered(met, F.col("node_a"), F.col("node_b"))
 
 
-def _agreeing(matches: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (
-                batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
-                for i in (2, 3)
-            )
-            enough = (a == b).sum(axis=1) >= matches
-            yield batch.select([0, 1]).filter(pa.array(enough))
-
-    return run
+def _agreeing(a: str, b: str, matches: int) -> Column:
+    """Whether two signatures agree in enough coordinates."""
+    equal = F.zip_with(a, b, lambda x, y: x == y)
+    return F.size(F.array_remove(equal, False)) >= matches
 
 
 def agreeing_pairs(
@@ -223,10 +198,8 @@ def agreeing_pairs(
         own.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("signature").alias(f"s_{s}"))
         for s in "ab"
     )
-    sized = pairs.join(a, "a").join(b, "b").filter(
-        100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    )
-    return sized.select("a", "b", "s_a", "s_b").mapInArrow(_agreeing(matches), "a binary, b binary")
+    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return pairs.join(a, "a").join(b, "b").filter(sized & _agreeing("s_a", "s_b", matches)).select("a", "b")
 
 
 def sets_of(docs: DataFrame, lists: DataFrame, classes: DataFrame, text: str) -> DataFrame:
@@ -239,9 +212,9 @@ def sets_of(docs: DataFrame, lists: DataFrame, classes: DataFrame, text: str) ->
 
     def hashes(columns: dict[str, list]) -> list[tuple]:
         sets = [shingles(t) for t in columns["_full"]]
-        return [(s.tobytes() if node_of(s) == n else None,) for s, n in zip(sets, columns["_node"])]
+        return [(s.view(np.int64) if node_of(s) == n else None,) for s, n in zip(sets, columns["_node"])]
 
-    done = append(found.select("_node", "_full"), "_set", struct(h="binary"), hashes, ["_full", "_node"])
+    done = append(found.select("_node", "_full"), "_set", struct(h="array<bigint>"), hashes, ["_full", "_node"])
     kept = done.filter("_set.h is not null").select(F.col("_node").alias("node"), F.col("_set.h").alias("hashes"))
     return kept.groupBy("node").agg(F.first("hashes").alias("hashes"))
 
@@ -249,18 +222,9 @@ def sets_of(docs: DataFrame, lists: DataFrame, classes: DataFrame, text: str) ->
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs that share at least ``percent`` of their union."""
     a, b = (sets.select(F.col("node").alias(s), F.col("hashes").alias(f"h_{s}")) for s in "ab")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
-
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "h_a", "h_b")
-    return joined.mapInArrow(run, "a binary, b binary")
+    both = F.size(F.array_intersect("h_a", "h_b")).cast("long")
+    linked = (100 + percent) * both >= percent * (F.size("h_a").cast("long") + F.size("h_b"))
+    return pairs.join(b, "b").join(a, "a").filter(linked).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -275,7 +239,7 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        large = large.filter("a <> b")  # at most a row per edge; the second half drops repeats
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         roots = down.groupBy("a").agg(F.min("b").alias("m"))
         small = (
@@ -289,7 +253,7 @@ def components(links: DataFrame) -> DataFrame:
             .filter("a <> b")
             .distinct()
         )
-        edges = materialize(small, "edges")
+        edges = stored(small, "edges")
         up = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
         ends = up.union(edges.select(F.col("b").alias("node"), F.lit(0), F.lit(1)))
         tangled = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
@@ -305,13 +269,13 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     a, b = (labels.select(F.col("node").alias(s), F.col("label").alias(f"label_{s}")) for s in "ab")
     known = links.join(a, "a", "left").join(b, "b", "left")
     across = _ordered(known, F.coalesce("label_a", "a"), F.coalesce("label_b", "b")).filter("a <> b")
-    across = materialize(across, "across")
+    across = stored(across, "across")
     if across.isEmpty():
         return labels
-    roots = materialize(components(across), "roots")
+    roots = stored(components(across), "roots")
     moved = labels.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
     alone = roots.join(labels, "node", "left_anti").select("node", "label")
-    return materialize(moved.select("node", F.coalesce("root", "label").alias("label")).union(alone), "labels")
+    return stored(moved.select("node", F.coalesce("root", "label").alias("label")).union(alone), "labels")
 
 
 def _of_mixed_homes(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -325,36 +289,36 @@ def _members(df: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """(_key, _hash, n, node, label, component_id) per document; label is one per component."""
     docs = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     hashed = signatures(docs.select("*", F.xxhash64("_text").alias("_hash")), "_text", "_s")
-    stored = materialize(hashed.select("_key", "_hash", "_s.*"), "signatures")
+    signed = materialize(hashed.select("_key", "_hash", "_s.*"), "signatures")
     member = F.struct(F.col("_key").alias("id"), F.col("_hash").alias("text"))
-    classes = stored.filter("node is not null").groupBy("node").agg(
+    classes = signed.filter("node is not null").groupBy("node").agg(
         F.min("_key").alias("least"),
         F.min(member).alias("member"),
         F.first("n").alias("n"),
         F.first("signature").alias("signature"),
     )
-    classes = materialize(classes, "classes")
-    lists = materialize(postings(classes), "postings")
-    sets = materialize(sets_of(docs, lists, classes, "_text"), "sets")
-    own = materialize(own_shingles(sets), "own")
-    links = materialize(confirmed(agreeing_pairs(pivot_pairs(lists, own), classes, percent=percent), sets, percent), "links")
-    labels = materialize(components(links), "labels")
-    able = materialize(able_classes(classes, own, percent), "able")
-    members = materialize(mixed_members(lists, labels, able), "members")
+    classes = stored(classes, "classes")
+    lists = stored(postings(classes), "postings")
+    sets = stored(sets_of(docs, lists, classes, "_text"), "sets")
+    own = stored(own_shingles(sets), "own")
+    links = stored(confirmed(agreeing_pairs(pivot_pairs(lists, own), classes, percent=percent), sets, percent), "links")
+    labels = stored(components(links), "labels")
+    able = stored(able_classes(classes, own, percent), "able")
+    members = stored(mixed_members(lists, labels, able), "members")
     if not members.isEmpty():
         nodes = members.select("node", "n").distinct()
-        homes = materialize(deltas.homes(lists, own, nodes.select("node")), "homes")
+        homes = stored(deltas.homes(lists, own, nodes.select("node")), "homes")
         at_home = _of_mixed_homes(nodes.join(homes, "node"), labels)
         confirm = lambda pairs: confirmed(pairs, sets, percent)
         labels, pairs = deltas.linked(at_home, sets, labels, percent, confirm, joined)
-        members = materialize(mixed_members(lists, labels, able), "members")
+        members = stored(mixed_members(lists, labels, able), "members")
         crossing = crossing_pairs(members, homes, classes, percent=percent)
-        labels = joined(labels, confirm(materialize(pairs.union(crossing).distinct(), "pairs")))
+        labels = joined(labels, confirm(stored(pairs.union(crossing), "pairs")))
     least = labels.join(classes.select("node", "least"), "node")
     roots = least.groupBy("label").agg(F.min("least").alias("root"))
     ends = classes.select("node", "least").join(labels, "node", "left").join(roots, "label", "left")
     ends = ends.select("node", F.coalesce("label", "node").alias("label"), F.coalesce("root", "least").alias("root"))
-    done = stored.select("_key", "_hash", "n", "node").join(ends, "node", "left")
+    done = signed.select("_key", "_hash", "n", "node").join(ends, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("_key")).otherwise(F.col("root"))
     return done.select("_key", "_hash", "n", "node", "label", component.alias("component_id"))
 

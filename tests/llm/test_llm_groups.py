@@ -13,9 +13,11 @@ import pytest
 import sentencepiece
 from check import rows_of
 from conftest import SCHEMA, odd_texts
+from pyspark.sql import functions as F
 
-from sparkeval.llm import chat_views, neardup, quality, queries, repeats, secret_scan
-from sparkeval.llm.common import fresh
+from sparkeval.llm import chat_views, common, deltas, neardup, quality, queries, repeats, secret_scan
+from sparkeval.llm.common import TASKS_PER_CORE, fresh
+from sparkeval.plans import session
 
 
 def test_near_groups(llm_spark, near_docs):
@@ -318,3 +320,60 @@ def test_pairs_of_a_large_near_group_grow_with_its_size(llm_spark, monkeypatch,
             assert kept == least_of_near(docs, percent)
         made.append(sum(met))
     assert made[1] < 2.5 * made[0], made
+
+
+def test_steps_between_near_duplicates_need_no_python(llm_spark):
+    """Sets and signatures are compared by Spark's own expressions, with the results of sets of Python's."""
+    rng = random.Random(9)
+    sets = {bytes([i]) * 16: rng.sample(range(-40, 40), rng.randrange(30, 70)) for i in range(24)}
+    values = {n: [rng.randrange(2) for _ in range(neardup.COORDINATES)] for n in sets}
+    rows = [(n, len(s), s, values[n]) for n, s in sets.items()]
+    df = llm_spark.createDataFrame(rows, "node binary, n long, hashes array<long>, signature array<long>")
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    met = llm_spark.createDataFrame(pairs, "a binary, b binary")
+    linked = neardup.confirmed(met, df.select("node", "hashes"), 60)
+    agreeing = neardup.agreeing_pairs(met, df, 17, 60)
+    own = neardup.own_shingles(df.select("node", "hashes"))
+    apart = df.filter(F.size("hashes") > 60).select("node", deltas._exclusive("hashes", F.sequence(F.lit(0), F.lit(29)).cast("array<long>")).alias("d"))
+    for found in (linked, agreeing, own, apart):
+        assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    share = lambda a, b: (len({*sets[a]} & {*sets[b]}), len({*sets[a]} | {*sets[b]}))
+    close = {(a, b) for a, b in pairs if 100 * share(a, b)[0] >= 60 * share(a, b)[1]}
+    assert {(bytes(r.a), bytes(r.b)) for r in linked.collect()} == close and 0 < len(close) < len(pairs)
+    alike = {
+        (a, b)
+        for a, b in pairs
+        if sum(x == y for x, y in zip(values[a], values[b])) >= 17
+        and 100 * min(len(sets[a]), len(sets[b])) >= 60 * max(len(sets[a]), len(sets[b]))
+    }
+    assert {(bytes(r.a), bytes(r.b)) for r in agreeing.collect()} == alike and 0 < len(alike) < len(pairs)
+    others = lambda n: {x for m, s in sets.items() if m != n for x in s}
+    assert {bytes(r.node): r.own for r in own.collect()} == {n: len({*s} - others(n)) for n, s in sets.items()}
+    assert {bytes(r.node): {*r.d} for r in apart.collect()} == {n: {*s} ^ {*range(30)} for n, s in sets.items() if len(s) > 60}
+
+
+def test_near_duplicates_store_small_tables_in_few_files(llm_spark, near_docs, monkeypatch):
+    """However many partitions shuffles have, a table between the steps has a few files for each core."""
+    most = TASKS_PER_CORE * llm_spark.sparkContext.defaultParallelism
+    held = {"spark.sql.shuffle.partitions": str(most + 8), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: llm_spark.conf.get(k) for k in held}
+    docs = llm_spark.createDataFrame(near_docs[:60], "doc_id long, text string").repartition(2)
+    tables = []
+    kept = session.materialize
+
+    def noted(df, name="table"):
+        tables.append((name, kept(df, name)))
+        return tables[-1][1]
+
+    for module in (neardup, deltas, common):
+        monkeypatch.setattr(module, "materialize", noted, raising=False)
+    for k, v in held.items():
+        llm_spark.conf.set(k, v)
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.groups(docs).collect()}
+    finally:
+        for k, v in before.items():
+            llm_spark.conf.set(k, v)
+    assert got == brute.near_groups(near_docs[:60])
+    files = {name: len(df.inputFiles()) for name, df in tables}
+    assert len(files) > 5 and max(files.values()) <= most, files
