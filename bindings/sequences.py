@@ -23,6 +23,7 @@ from sparkeval.registry import collate_with
 
 B = Bindings()
 MAX_LENGTH = 2048
+LONGEST_TEXT = 2 * MAX_LENGTH  # of a row of pads
 BATCH = 32
 VOCAB = vocab_sql("documents")
 ENCODED = f"WITH {VOCAB},\n{encoded_sql('encoded', 'documents', 'doc_id', 'text')}"
@@ -127,10 +128,12 @@ def padded_left(spark, d):
 )
 def collated(spark, d):
     out = collate(batches(spark, d), "ids", MAX_LENGTH)
-    mask = F.array_join(F.transform("attention_mask", lambda x: x.cast("string")), "")
-    return out.select(
-        "doc_id", "batch_id", "length", joined_ids("ids").alias("ids"), mask.alias("attention_mask")
-    )
+    real = F.size(F.array_remove("attention_mask", 0))  # ones come first, and so do ids; then pads
+    pads = F.size("attention_mask") - real
+    mask = F.concat(F.repeat(F.lit("1"), real), F.repeat(F.lit("0"), pads))
+    ids = F.concat(joined_ids(F.slice("ids", F.lit(1), real)), F.repeat(F.lit(" 0"), pads))
+    ids = F.when(real > 0, ids).otherwise(F.substring(ids, 2, LONGEST_TEXT))
+    return out.select("doc_id", "batch_id", "length", ids.alias("ids"), mask.alias("attention_mask"))
 
 
 @B.add(

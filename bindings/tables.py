@@ -175,7 +175,7 @@ def encoded_sql(name: str, source: str, key: str, text: str, vocab: str = "vocab
 
 def joined_ids(ids: Column | str) -> Column:
     """Arrays leave the queries as text, which every engine compares alike."""
-    return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
+    return F.array_join((F.col(ids) if isinstance(ids, str) else ids).cast("array<string>"), " ")
 
 
 def ids_sql(ids: str) -> str:

@@ -12,7 +12,9 @@ IGNORE = -100  # fixed value: label of a token that takes no part in the loss
 
 def tokens(text: ColumnOrName) -> Column:
     """Words of a text: split at blanks, tabs and line ends, no empty words."""
-    return F.array_remove(F.split(as_column(text), "[ \t\n\r]+"), "")
+    for blank in "\t\n\r":
+        text = F.replace(as_column(text), F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")  # one character is split without a pattern
 
 
 def truncate(ids: ColumnOrName, size: int = 2048) -> Column:

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkeval.functions.sequences import pad_to, tokens
+from sparkeval.functions.sequences import pad_to
 from sparkeval.plans.ordering import numbered
+from sparkeval.plans.session import materialize
 from sparkeval.plans.skew import attach
 
 # Frequent words that are looked up without a shuffle, and their longest: a few megabytes at most.
 HEAD = 50_000
 LONGEST_HEAD = 64
+TEXTS_AT_ONCE = 512  # bounds the memory of a Python worker; it changes no result
 
 
 def build_vocab(df: DataFrame, text: str, min_count: int = 1, first_id: int = 2) -> DataFrame:
@@ -19,15 +27,19 @@ def build_vocab(df: DataFrame, text: str, min_count: int = 1, first_id: int = 2)
 
     Ids follow the order of the tokens' md5. Distinct tokens spread evenly over the 4,096 hash
     prefixes, so numbering needs no global sort. Ids below ``first_id`` are left for pad and unknown.
+    Words are counted by the batch of texts first: a row per distinct word of a batch goes on. Counts are
+    stored, as the numbering reads them twice.
     """
-    counts = (
-        df.select(F.explode(tokens(text)).alias("token"))
+    counted = (
+        df.select(F.col(text).alias("text"))
+        .mapInArrow(_counted, "token string, n long")
         .groupBy("token")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
         .filter(F.col("n") >= min_count)
         .withColumn("_h", F.md5("token"))
         .withColumn("_p", F.substring("_h", 1, 3))
     )
+    counts = materialize(counted, "counts")
     earlier = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         counts.groupBy("_p")
@@ -56,36 +68,91 @@ def encode(
 
     With a list of text columns there is one column of ids per text, all from one pass. ``key`` is unique;
     texts without words give an empty array. The ``head`` most frequent words of the vocabulary, a table
-    of bounded size, are looked up where the text is; only the other words are shuffled, and none of
-    them is frequent. Ids are gathered per text before they move. ``vocab`` is read twice: pass a stored
-    table.
+    of bounded size, are looked up where the text is, a batch of texts at once, and leave it as one array
+    per text; only the other words are rows of their own that are shuffled, and none of them is frequent.
+    Head words are looked up when this is called. ``vocab`` is read twice: pass a stored table.
     """
     texts = [text] if isinstance(text, str) else text
     sides = F.posexplode(F.array(*[F.col(t) for t in texts])).alias("_side", "_text")
-    words = df.select(key, sides).select(
-        key, "_side", F.posexplode_outer(tokens("_text")).alias("pos", "token")
-    )
+    rows = df.select(F.col(key).alias("_key"), sides)
     short = vocab.filter(F.length("token") <= LONGEST_HEAD)
-    frequent = short.orderBy(F.desc("n"), "token").limit(head).select("token", "id")
-    looked = words.join(F.broadcast(frequent), "token", "left")
-    there = F.col("id").isNotNull() | F.col("token").isNull()
-    rare = looked.filter(~there).drop("id").join(vocab.select("token", "id"), "token", "left")
-    columns = [key, "_side", "pos", "token", "id"]
-    found = looked.filter(there).select(*columns).union(
-        rare.select(*columns).withColumn("id", F.coalesce("id", F.lit(unk_id)))
-    )
-    # Position and id in one long: arrays of longs are collected and sorted without objects. Null for
-    # a text without words, which leaves its array empty.
-    packed = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("id")
+    frequent = short.orderBy(F.desc("n"), "token").limit(head).select("token", "id").toArrow()
+    keyed = [f for f in rows.schema.fields if f.name != "_text"]
+    known = rows.mapInArrow(_looked_up(frequent), T.StructType([*keyed, T.StructField("packed", T.ArrayType(T.LongType()))]))
+    others = [T.StructField("pos", T.LongType()), T.StructField("token", T.StringType())]
+    rare = rows.mapInArrow(_left_over(frequent), T.StructType([*keyed, *others]))
+    found = rare.join(vocab.select("token", "id"), "token", "left").withColumn("id", F.coalesce("id", F.lit(unk_id)))
+    # Position and id in one long: arrays of longs are collected and sorted without objects.
+    packed = F.shiftleft("pos", 32) + F.col("id")
+    parts = known.union(found.select("_key", "_side", F.array(packed)))
     lower = F.lit(2**32 - 1)
     ids = [
         F.transform(
-            F.sort_array(F.collect_list(F.when(F.col("_side") == i, packed))),
+            F.sort_array(F.flatten(F.collect_list(F.when(F.col("_side") == i, F.col("packed"))))),
             lambda x: x.bitwiseAND(lower).cast("int"),
         ).alias("ids" if isinstance(text, str) else name)
         for i, name in enumerate(texts)
     ]
-    return found.groupBy(key).agg(*ids)
+    return parts.groupBy(F.col("_key").alias(key)).agg(*ids)
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of texts, as ``tokens`` cuts them, with the text and the place in it of each."""
+    for blank in "\t\n\r":
+        texts = pc.replace_substring(texts, blank, " ")
+    cut = pc.split_pattern(texts, " ")
+    words, at = cut.flatten(), pc.list_parent_indices(cut)
+    real = pc.not_equal(words, "")
+    at = at.filter(real).to_numpy(zero_copy_only=False)
+    counts = np.bincount(at, minlength=len(texts))
+    return words.filter(real), at, np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        counts = pc.value_counts(_words(batch.column(0))[0])
+        yield pa.RecordBatch.from_arrays(counts.flatten(), names=["token", "n"])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(start, TEXTS_AT_ONCE)
+
+
+def _looked_up(head: pa.Table):
+    """The words in ``head`` (token, id) of each text, as one array of packed places and ids."""
+    tokens, ids = (head.column(c).combine_chunks() for c in ("token", "id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            words, at, pos = _words(batch.column(2))
+            found = pc.index_in(words, value_set=tokens)
+            there = found.is_valid().to_numpy(zero_copy_only=False)
+            values = ids.take(found.drop_null()).to_numpy().astype(np.int64)
+            ends = np.cumsum(np.bincount(at[there], minlength=batch.num_rows))
+            offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+            packed = pa.ListArray.from_arrays(offsets, pa.array((pos[there] << 32) + values, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["_key", "_side", "packed"])
+
+    return run
+
+
+def _left_over(head: pa.Table):
+    """A row per word that is not in ``head``, with its place."""
+    tokens = head.column("token").combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            words, at, pos = _words(batch.column(2))
+            other = pc.invert(pc.is_in(words, value_set=tokens))
+            rare = other.to_numpy(zero_copy_only=False)
+            rows = batch.select([0, 1]).take(pa.array(at[rare]))
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns, pa.array(pos[rare], pa.int64()), words.filter(other)], names=["_key", "_side", "pos", "token"]
+            )
+
+    return run
 
 
 def assign_batch(
@@ -139,9 +206,10 @@ def collate(
     cut = df.withColumn(ids, F.slice(F.col(ids), 1, max_length))
     cut = cut.withColumn("length", F.size(ids))
     padded = pad_batch(cut, ids, batch, pad, **options)
-    real = F.transform(F.sequence(F.lit(1), "max_len"), lambda i: (i <= F.col("length")).cast("int"))
-    mask = F.when(F.col("max_len") > 0, real).otherwise(F.array().cast("array<int>"))
-    return padded.withColumn("attention_mask", mask)
+    length = F.coalesce("length", F.lit(0))  # of a row without ids, whose mask is null at every place
+    pads = F.array_repeat(F.when(F.col("length").isNotNull(), 0), F.col("max_len") - length)
+    mask = F.concat(F.array_repeat(F.lit(1), length), pads)
+    return padded.withColumn("attention_mask", F.coalesce(mask, F.array().cast("array<int>")))
 
 
 def align_next(scores: DataFrame, ids: DataFrame, seq: str = "seq_id", pos: str = "pos") -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 import pytest
 
 from pyspark.sql import functions as F
 
+from bindings import sequences as bound
 from sparkeval.functions import prompts as P
 from sparkeval.functions import sequences as A
 from sparkeval.operators import chat as C
@@ -231,3 +234,46 @@ def test_distillation_shuffles(spark):
     df = entry.queries()["distillation_batch"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") < 10
+
+
+ODD = [None, "", " \t\n\r ", "one", "a\x0bb a\x0cb é\xa0é", "two  two\ttwo\n", "x" * 70 + " one", "\n".join("w%d the" % (i % 40) for i in range(900))]
+
+
+@pytest.mark.parametrize("head", [50_000, 3])
+def test_words_are_looked_up_without_a_row_each(spark, head):
+    """Frequent words never become rows, which would be grouped again; words are counted by the batch."""
+    df = spark.createDataFrame(list(enumerate(ODD)), "k int, text string").repartition(3)
+    vocab = S.build_vocab(df, "text")
+    words = {k: [w for w in re.split("[ \t\n\r]+", t or "") if w] for k, t in enumerate(ODD)}
+    counts = Counter(w for ws in words.values() for w in ws)
+    rows = vocab.collect()
+    assert {r.token: r.n for r in rows} == counts
+    ids = {r.token: r.id for r in rows}
+    encoded = S.encode(df, "k", "text", vocab, head=head)
+    assert {r.k: r.ids for r in encoded.collect()} == {k: [ids[w] for w in ws] for k, ws in words.items()}
+    assert "split(" not in encoded._jdf.queryExecution().toString()
+
+
+def test_collate_query(spark, tmp_path):
+    """The text of padded ids and masks, also of rows that are pads only and of a batch without words."""
+    texts = [*ODD, *["the " * 2050, "b a"] * 12, *[None, " "] * 16]
+    docs = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    ids = {r.token: r.id for r in S.build_vocab(df, "text").collect()}
+    cut = [[ids[w] for w in re.split("[ \t\n\r]+", t or "") if w][:2048] for t in texts]
+    want = {}
+    for i, row in enumerate(cut):
+        longest = max(map(len, cut[i // 32 * 32 : i // 32 * 32 + 32]))
+        pads = longest - len(row)
+        want[i] = (i // 32, len(row), " ".join(map(str, row + [0] * pads)), "1" * len(row) + "0" * pads)
+    got = bound.collated(spark, str(tmp_path))
+    assert {r.doc_id: (r.batch_id, r.length, r.ids, r.attention_mask) for r in got.collect()} == want
+    lambdas = got._jdf.queryExecution().optimizedPlan().toString().count("lambda")
+    assert lambdas == 0  # ids and masks leave without a function call for each pad
+
+
+def test_mask_of_rows_without_ids(spark):
+    df = spark.createDataFrame([(1, 0, [5, 6]), (2, 0, None), (3, 1, None)], "doc int, batch_id int, ids array<int>")
+    got = {r.doc: (r.ids, r.attention_mask) for r in S.collate(df, "ids", 9).collect()}
+    assert got == {1: ([5, 6], [1, 1]), 2: (None, [None, None]), 3: (None, [])}
