@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkeval.functions.sequences import pad_to
+from sparkeval.functions.sequences import pad_to, tokens
 from sparkeval.plans.ordering import numbered
-from sparkeval.plans.session import materialize
 from sparkeval.plans.skew import attach
 
 # Frequent words that are looked up without a shuffle, and their longest: a few megabytes at most.
@@ -27,19 +26,15 @@ def build_vocab(df: DataFrame, text: str, min_count: int = 1, first_id: int = 2)
 
     Ids follow the order of the tokens' md5. Distinct tokens spread evenly over the 4,096 hash
     prefixes, so numbering needs no global sort. Ids below ``first_id`` are left for pad and unknown.
-    Words are counted by the batch of texts first: a row per distinct word of a batch goes on. Counts are
-    stored, as the numbering reads them twice.
     """
-    counted = (
-        df.select(F.col(text).alias("text"))
-        .mapInArrow(_counted, "token string, n long")
+    counts = (
+        df.select(F.explode(tokens(text)).alias("token"))
         .groupBy("token")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count("*").alias("n"))
         .filter(F.col("n") >= min_count)
         .withColumn("_h", F.md5("token"))
         .withColumn("_p", F.substring("_h", 1, 3))
     )
-    counts = materialize(counted, "counts")
     earlier = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         counts.groupBy("_p")
@@ -82,13 +77,16 @@ def encode(
     others = [T.StructField("pos", T.LongType()), T.StructField("token", T.StringType())]
     rare = rows.mapInArrow(_left_over(frequent), T.StructType([*keyed, *others]))
     found = rare.join(vocab.select("token", "id"), "token", "left").withColumn("id", F.coalesce("id", F.lit(unk_id)))
-    # Position and id in one long: arrays of longs are collected and sorted without objects.
-    packed = F.shiftleft("pos", 32) + F.col("id")
-    parts = known.union(found.select("_key", "_side", F.array(packed)))
+    # Position and id in one long: arrays of longs are sorted without objects.
+    one = (F.shiftleft("pos", 32) + F.col("id")).alias("one")
+    parts = known.withColumn("one", F.lit(None).cast("long")).union(
+        found.select("_key", "_side", F.lit(None).cast("array<bigint>").alias("packed"), one)
+    )
+    of_text = lambda i, c: F.collect_list(F.when(F.col("_side") == i, F.col(c)))
     lower = F.lit(2**32 - 1)
     ids = [
         F.transform(
-            F.sort_array(F.flatten(F.collect_list(F.when(F.col("_side") == i, F.col("packed"))))),
+            F.sort_array(F.concat(F.flatten(of_text(i, "packed")), of_text(i, "one"))),
             lambda x: x.bitwiseAND(lower).cast("int"),
         ).alias("ids" if isinstance(text, str) else name)
         for i, name in enumerate(texts)
@@ -108,12 +106,6 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words.filter(real), at, np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
-        counts = pc.value_counts(_words(batch.column(0))[0])
-        yield pa.RecordBatch.from_arrays(counts.flatten(), names=["token", "n"])
-
-
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, TEXTS_AT_ONCE):

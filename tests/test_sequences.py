@@ -16,6 +16,7 @@ from sparkeval.functions import sequences as A
 from sparkeval.operators import chat as C
 from sparkeval.operators import sequences as S
 from sparkeval.operators.distillation import assemble, collate_prompts, prompt_pairs, with_reasoning
+from sparkeval.plans.session import materialize
 from sparkeval.registry import collate_with
 
 
@@ -241,9 +242,9 @@ ODD = [None, "", " \t\n\r ", "one", "a\x0bb a\x0cb é\xa0é", "two  two\ttwo\n",
 
 @pytest.mark.parametrize("head", [50_000, 3])
 def test_words_are_looked_up_without_a_row_each(spark, head):
-    """Frequent words never become rows, which would be grouped again; words are counted by the batch."""
+    """Frequent words never become rows, which would be joined and grouped again."""
     df = spark.createDataFrame(list(enumerate(ODD)), "k int, text string").repartition(3)
-    vocab = S.build_vocab(df, "text")
+    vocab = materialize(S.build_vocab(df, "text"))
     words = {k: [w for w in re.split("[ \t\n\r]+", t or "") if w] for k, t in enumerate(ODD)}
     counts = Counter(w for ws in words.values() for w in ws)
     rows = vocab.collect()
